@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.llm import bpe, chat, decontaminate, line_dedup, token_output
+from vacanta.llm import bpe, chat, decontaminate, line_dedup, ngram_join, token_output
 from vacanta.llm.shared import shared_path, table, written
 
 
@@ -27,6 +27,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(token_output.read(spark, path))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -46,11 +50,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.page_host(F.col("url")).alias("host"), line_dedup.page_text(F.col("html")).alias("text"))
-    return line_dedup.drop_boilerplate(pages, "host").select("page_id", "host", "n_lines", "n_dropped", "text")
+    return line_dedup.drop_boilerplate(written(pages, "op10"), "host").select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op7_chat_format, op8_byte_bpe, op9_decontaminate, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_token_output, op3_ngram_join, op7_chat_format, op8_byte_bpe, op9_decontaminate, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

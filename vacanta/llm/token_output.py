@@ -11,6 +11,7 @@ doc_id are ordered by their text. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -27,15 +28,40 @@ KNOWN_WORDS = 400_000
 _known: dict = {}
 
 
+#: Words of one run of letters and at most one run of signs: the tokenizer takes each run as a unit of its own.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!#$%&*+,./:;=?@|~-]*)")
+
+
 def word_ids(path: str, words: list[str], known: dict[str, bytes]) -> None:
-    """Add to known the ids of each word, as little-endian 32-bit integers."""
+    """Add to known the ids of each word, as little-endian 32-bit integers.
+
+    Plain words are encoded in one text, whose ids are cut where units end; the others one by one.
+    """
     from tokenizers import Tokenizer
 
     if path not in _known:
-        _known[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        _known[path] = (tokenizer, {}, ends)
+    tokenizer, _, ends = _known[path]
+    rest = []
     for i in range(0, len(words), 2000):
-        part = words[i : i + 2000]
-        for w, e in zip(part, _known[path][0].encode_batch_fast(part, add_special_tokens=False), strict=True):
+        part = [(w, 1 + bool(m[1])) for w in words[i : i + 2000] if (m := PLAIN.fullmatch(w)) or rest.append(w)]
+        if not part:
+            continue
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(w for w, _ in part)], add_special_tokens=False)[0].ids, "<i4")
+        units = np.flatnonzero(ends[ids]) + 1
+        upto = np.cumsum([n for _, n in part])
+        if len(units) != upto[-1]:
+            rest += [w for w, _ in part]
+            continue
+        cut = [0, *(4 * units[upto - 1]).tolist()]
+        flat = ids.tobytes()
+        known.update((w, flat[a:b]) for (w, _), a, b in zip(part, cut[:-1], cut[1:], strict=True))
+    for i in range(0, len(rest), 2000):
+        part = rest[i : i + 2000]
+        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<i4").tobytes()
 
 
