@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.llm import bpe, chat, decontaminate, line_dedup, ngram_join, token_output
+from vacanta.llm import bpe, chat, decontaminate, line_dedup, ngram_join, quality, substring_dedup, token_output, toxicity, vector_dedup
+from vacanta.llm.samples import bucket
 from vacanta.llm.shared import shared_path, table, written
 
 
@@ -27,10 +28,33 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(token_output.read(spark, path))
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(bucket("doc_id", 4) != 2))
+    held_out = F.coalesce(bucket("doc_id", 4) == 2, F.lit(False))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT_SCORE).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(bucket("doc_id", 5) != 0))
+    held_out = F.coalesce(bucket("doc_id", 5) == 0, F.lit(False))
+    return toxicity.predicted(toxicity.score(docs, model)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -54,7 +78,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op3_ngram_join, op7_chat_format, op8_byte_bpe, op9_decontaminate, op10_line_dedup)}
+    ops = (op1_token_output, op2_vector_dedup, op3_ngram_join, op4_quality, op5_toxicity, op6_substring_dedup, op7_chat_format, op8_byte_bpe, op9_decontaminate, op10_line_dedup)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
