@@ -13,7 +13,9 @@ than once in one task's part are counted, and the most frequent of them (a bound
 
 Equal texts are one text throughout. Long lists of near copies would give all pairs; so each list first offers
 its smallest set against the others, and after components are known only pairs of different components are
-compared. Every pair that could link has then been compared or is connected.
+compared. Every pair that could link has then been compared or is connected. A pair is left out where what both sets
+have from their first common shingle on is too little to link; as shingles go from rare to frequent, that
+clears pairs which share one common passage.
 
 Null, empty and wordless texts have no set and link with nothing. doc_id is an integer; repeated rows give rows of
 their own and link with each other.
@@ -84,7 +86,7 @@ def frequent(docs: DataFrame, text: str, most: int) -> tuple[np.ndarray, np.ndar
 
 
 def postings(docs: DataFrame, text: str, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The short lists as rows: shingle, n and k1 of the text, and whether the list is short for the smaller set too."""
+    """The short lists as rows: shingle, n and k1 of the text, and the place of the shingle in the order of the text."""
     held = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
@@ -102,10 +104,9 @@ def postings(docs: DataFrame, text: str, often: tuple[np.ndarray, np.ndarray]) -
             place = np.arange(len(value)) - np.repeat(at[:-1], n)
             each = np.repeat(n, n)
             short = (place <= each - -(-4 * each // 5)) & np.repeat(fresh(k1, at, seen), n)
-            least = place <= each - -(-8 * each // 9)
-            yield pa.RecordBatch.from_arrays([pa.array(value[order][short].view(np.int64)), pa.array(each[short]), pa.array(np.repeat(k1, n)[short]), pa.array(least[short])], ["shingle", "n", "k1", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(value[order][short].view(np.int64)), pa.array(each[short]), pa.array(np.repeat(k1, n)[short]), pa.array(place[short])], ["shingle", "n", "k1", "place"])
 
-    return docs.select(text).mapInArrow(run, "shingle long, n long, k1 long, least boolean")
+    return docs.select(text).mapInArrow(run, "shingle long, n long, k1 long, place long")
 
 
 def merged(lists: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def merged(lists: DataFrame) -> DataFrame:
 
     Rows come sorted and are streamed; no list is held, however long.
     """
-    names = ["shingle", "n", "k1", "least", "head_n", "head"]
+    names = ["shingle", "n", "k1", "place", "head_n", "head"]
 
     def run(batches):
         last = None  # the row before: its values, and whether it has been given out
@@ -121,13 +122,13 @@ def merged(lists: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            s, n, k, least = (b.column(c).to_numpy(zero_copy_only=False) for c in names[:4])
+            s, n, k, place = (b.column(c).to_numpy(zero_copy_only=False) for c in names[:4])
             if last is not None:
-                s, n, k, least = (np.concatenate([[x], y]) for x, y in zip(last[:4], (s, n, k, least), strict=True))
+                s, n, k, place = (np.concatenate([[x], y]) for x, y in zip(last[:4], (s, n, k, place), strict=True))
             new = np.ones(len(s), bool)
             new[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
             first_given = last is not None and last[4]
-            s, n, k, least = s[new], n[new], k[new], least[new]
+            s, n, k, place = s[new], n[new], k[new], place[new]
             begin = np.ones(len(s), bool)
             begin[1:] = s[1:] != s[:-1]
             at = np.maximum.accumulate(np.where(begin, np.arange(len(s)), 0))
@@ -142,12 +143,12 @@ def merged(lists: DataFrame) -> DataFrame:
             if first_given:
                 out[0] = False
             given = bool(more[-1]) or (first_given and len(s) == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (s, n, k, least.astype(bool), head_n, head_k)], names)
-            last = (s[-1], n[-1], k[-1], least[-1], given)
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (s, n, k, place, head_n, head_k)], names)
+            last = (s[-1], n[-1], k[-1], place[-1], given)
             head = (head_n[-1], head_k[-1])
 
     spark = lists.sparkSession
-    return lists.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "n", "k1").mapInArrow(run, "shingle long, n long, k1 long, least boolean, head_n long, head long")
+    return lists.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "n", "k1").mapInArrow(run, "shingle long, n long, k1 long, place long, head_n long, head long")
 
 
 def reaches(small: np.ndarray, large: np.ndarray, need: int) -> bool:
@@ -197,12 +198,12 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_m
     first = lists.filter("k1 <> head AND 5 * head_n >= 4 * n").select(F.col("head").alias("a"), F.col("k1").alias("b")).distinct()
     links = written(verified(first, bodies), "links")
     label = components(links)
-    x = lists.join(label.withColumnRenamed("node", "k1"), "k1", "left").select("shingle", "n", "k1", "least", F.coalesce("component", "k1").alias("label"))
+    x = lists.join(label.withColumnRenamed("node", "k1"), "k1", "left").select("shingle", "n", "k1", "place", F.coalesce("component", "k1").alias("label"))
     x = written(x, "labelled")
     mixed = x.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
     x = x.join(mixed, "shingle", "left_semi")
-    y = x.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("n", "k1", "label")))
-    second = x.filter("least").join(y, "shingle").filter("label <> label_ AND (n < n_ OR n = n_ AND k1 < k1_) AND 5 * n >= 4 * n_")
+    y = x.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("n", "k1", "place", "label")))
+    second = x.filter("9 * place <= n").join(y, "shingle").filter("label <> label_ AND (n < n_ OR n = n_ AND k1 < k1_) AND 5 * n >= 4 * n_ AND 9 * least(n - place, n_ - place_) >= 4 * (n + n_)")
     second = second.select(F.col("k1").alias("a"), F.col("k1_").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = written(verified(second, bodies), "links")
     label = components(links.union(more))
