@@ -24,7 +24,7 @@ from vacanta.llm.shared import partitions, ship
 from vacanta.llm.text import pieces
 
 #: Words that a worker remembers the ids of. When as many are known, others are encoded anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 900_000
 _known: dict = {}
 
 
