@@ -97,3 +97,15 @@ def test_components(spark):
                     root[x] = ra
     assert got == {x: min(s) for x, s in root.items()}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_parities_never_differ_more_than_sets():
+    rnd = np.random.default_rng(3)
+    for size in (1, 9, 90, 900, 9000):
+        base = rnd.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+        for changed in (0, 1, size // 10, size // 2):
+            other = base.copy()
+            other[:changed] = rnd.integers(0, 1 << 63, changed, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            both = ngram_join.sketch(np.concatenate([base, other]), np.array([0, size, 2 * size]))
+            bits = sum(int(x).bit_count() for x in (both[0] ^ both[1]).view(np.uint64))
+            assert bits <= 2 * changed

@@ -15,7 +15,10 @@ Equal texts are one text throughout. Long lists of near copies would give all pa
 its smallest set against the others, and after components are known only pairs of different components are
 compared. Every pair that could link has then been compared or is connected. A pair is left out where what both sets
 have from their first common shingle on is too little to link; as shingles go from rare to frequent, that
-clears pairs which share one common passage.
+clears pairs which share one common passage. It is also left out where the bitmap filter of Sandes, Teodoro and
+Melo rules it out: each set has the parities of its shingles in SKETCH words of 64 bits; two sets differ in at least
+as many shingles as their parities differ in bits, and sets that link differ in at most a ninth of both sizes. That
+clears copies of one text which have drifted too far apart; it never drops a pair that links.
 
 Null, empty and wordless texts have no set and link with nothing. doc_id is an integer; repeated rows give rows of
 their own and link with each other.
@@ -37,6 +40,9 @@ K = 5
 FREQUENT = 200_000
 #: Texts that a task remembers having read, so that it lists each once.
 REMEMBERED = 1 << 20
+#: Words of 64 parities for each set, a power of 2. Fewer leave out fewer pairs; the result is the same.
+SKETCH = 8
+PARITIES = [f"s{i}" for i in range(SKETCH)]
 
 
 def sets(batch: pa.RecordBatch, text: str):
@@ -45,15 +51,30 @@ def sets(batch: pa.RecordBatch, text: str):
     return value, at, whole(w, 1).view(np.int64), whole(w, 2).view(np.int64)
 
 
+def sketch(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of SKETCH words for each set: the parity of its shingles that fall on each bit."""
+    bit = (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 6 - (SKETCH.bit_length() - 1))
+    out = np.zeros((len(at) - 1) * SKETCH, np.uint64)
+    place = np.repeat(np.arange(len(at) - 1), np.diff(at)) * SKETCH + (bit >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, place, np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64).reshape(-1, SKETCH)
+
+
+def within_reach(n: str, n_: str, a: str = "", b: str = "_") -> str:
+    """SQL: the parities, named with these endings, differ in no more bits than a link allows shingles to differ."""
+    return f"9 * ({' + '.join(f'bit_count({s}{a} ^ {s}{b})' for s in PARITIES)}) <= {n} + {n_}"
+
+
 def texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n (size of its set), and k1 and k2, which name its word sequence."""
+    """doc_id, n (size of its set), k1 and k2, which name its word sequence, and its parities."""
 
     def run(batches):
         for b in pieces(batches, text):
-            _, at, k1, k2 = sets(b, text)
-            yield pa.RecordBatch.from_arrays([b.column(doc_id).cast(pa.int64()), pa.array(np.diff(at)), pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"])
+            value, at, k1, k2 = sets(b, text)
+            bits = sketch(value, at)
+            yield pa.RecordBatch.from_arrays([b.column(doc_id).cast(pa.int64()), pa.array(np.diff(at)), pa.array(k1), pa.array(k2), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], ["doc_id", "n", "k1", "k2", *PARITIES])
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, " + ", ".join(f"{s} long" for s in PARITIES))
 
 
 def fresh(k1: np.ndarray, at: np.ndarray, seen: set) -> np.ndarray:
@@ -190,20 +211,22 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_m
     named = written(texts(docs, doc_id, text), "texts")
     lists = written(merged(postings(docs, text, frequent(docs, text, frequent_most))), "lists")
     # One document for each text that stands on a list.
-    of_text = named.filter("n > 0").groupBy("k1").agg(F.min("doc_id").alias("doc_id"))
-    listed = of_text.join(lists.select("k1").distinct(), "k1")
-    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(listed, "doc_id").select("k1", "text")
+    of_text = named.filter("n > 0").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("size"), *(F.first(s).alias(s) for s in PARITIES))
+    listed = written(of_text.join(lists.select("k1").distinct(), "k1"), "listed")
+    bits = listed.select("k1", "size", *PARITIES)
+    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(listed.select("doc_id", "k1"), "doc_id").select("k1", "text")
     bodies = written(body.dropDuplicates(["k1"]), "bodies")
 
     first = lists.filter("k1 <> head AND 5 * head_n >= 4 * n").select(F.col("head").alias("a"), F.col("k1").alias("b")).distinct()
+    first = written(first.join(bits.withColumnRenamed("k1", "a"), "a").join(bits.select(*(F.col(c).alias(f"{c}_") for c in bits.columns)).withColumnRenamed("k1_", "b"), "b").filter(within_reach("size", "size_")).select("a", "b"), "pairs")
     links = written(verified(first, bodies), "links")
     label = components(links)
     x = lists.join(label.withColumnRenamed("node", "k1"), "k1", "left").select("shingle", "n", "k1", "place", F.coalesce("component", "k1").alias("label"))
     x = written(x, "labelled")
     mixed = x.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    x = x.join(mixed, "shingle", "left_semi")
-    y = x.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("n", "k1", "place", "label")))
-    second = x.filter("9 * place <= n").join(y, "shingle").filter("label <> label_ AND (n < n_ OR n = n_ AND k1 < k1_) AND 5 * n >= 4 * n_ AND 9 * least(n - place, n_ - place_) >= 4 * (n + n_)")
+    x = x.join(mixed, "shingle", "left_semi").join(bits.drop("size"), "k1")
+    y = x.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("n", "k1", "place", "label", *PARITIES)))
+    second = x.filter("9 * place <= n").join(y, "shingle").filter("label <> label_ AND (n < n_ OR n = n_ AND k1 < k1_) AND 5 * n >= 4 * n_ AND 9 * least(n - place, n_ - place_) >= 4 * (n + n_) AND " + within_reach("n", "n_"))
     second = second.select(F.col("k1").alias("a"), F.col("k1_").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = written(verified(second, bodies), "links")
     label = components(links.union(more))
