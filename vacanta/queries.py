@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vacanta import history_queries
 from vacanta.functions import pay, place, role
 from vacanta.operators import screen as screening
 from vacanta.plans import postings as P
@@ -140,8 +141,8 @@ FROM b LEFT JOIN j USING (company, title) JOIN g USING (company, title) LEFT JOI
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in ORACLES}
+    return {name: globals()[name] for name in ORACLES} | history_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | history_queries.oracle_sql()
