@@ -67,7 +67,7 @@ def test_empty_and_long(spark):
 def test_merged_lists_stream(spark):
     rows = [(s, n, k, 3) for s, n, k in ((1, 1, 5), (1, 1, 5), (1, 2, 6), (2, 1, 5), (2, 1, 5), (3, 3, 7), (3, 4, 8), (3, 4, 9))]
     lists = spark.createDataFrame(rows, "shingle long, n long, k1 long, place long")
-    want = Counter({(1, 1, 5, 3, 1, 5): 1, (1, 2, 6, 3, 1, 5): 1, (3, 3, 7, 3, 3, 7): 1, (3, 4, 8, 3, 3, 7): 1, (3, 4, 9, 3, 3, 7): 1})
+    want = Counter({(1, 1, 5, 3, 1, 5, 5): 1, (1, 2, 6, 3, 1, 5, 5): 1, (3, 3, 7, 3, 3, 7, 7): 1, (3, 4, 8, 3, 3, 7, 7): 1, (3, 4, 9, 3, 3, 7, 8): 1})
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
         for size in ("1", "2", "3", "100"):

@@ -12,8 +12,8 @@ Which lists are long need not be known exactly: any order that all documents sha
 than once in one task's part are counted, and the most frequent of them (a bounded number, broadcast) come last.
 
 Equal texts are one text throughout. Long lists of near copies would give all pairs; so each list first offers
-its smallest set against the others, and after components are known only pairs of different components are
-compared. Every pair that could link has then been compared or is connected. A pair is left out where what both sets
+its smallest set against the others and each set against the next, as many pairs as twice its length, and after
+components are known only pairs of different components are compared. Every pair that could link has then been compared or is connected. A pair is left out where what both sets
 have from their first common shingle on is too little to link; as shingles go from rare to frequent, that
 clears pairs which share one common passage. It is also left out where the bitmap filter of Sandes, Teodoro and
 Melo rules it out: each set has the parities of its shingles in SKETCH words of 64 bits; two sets differ in at least
@@ -131,11 +131,12 @@ def postings(docs: DataFrame, text: str, often: tuple[np.ndarray, np.ndarray]) -
 
 
 def merged(lists: DataFrame) -> DataFrame:
-    """The lists of two texts or more, each text once, with the first (smallest) text of the list: head_n, head.
+    """The lists of two texts or more, each text once, with the first (smallest) text of the list (head_n, head) and the text
+    before it (prev; the first text has itself there).
 
     Rows come sorted and are streamed; no list is held, however long.
     """
-    names = ["shingle", "n", "k1", "place", "head_n", "head"]
+    names = ["shingle", "n", "k1", "place", "head_n", "head", "prev"]
 
     def run(batches):
         last = None  # the row before: its values, and whether it has been given out
@@ -157,6 +158,8 @@ def merged(lists: DataFrame) -> DataFrame:
             if head is not None and last is not None:
                 same = s == s[0]
                 head_n, head_k = np.where(same, head[0], head_n), np.where(same, head[1], head_k)
+            # A row carried over that has not been given out is the first of its list.
+            prev = np.where(begin, k, np.concatenate([k[:1], k[:-1]]))
             more = np.zeros(len(s), bool)
             more[1:] |= ~begin[1:]
             more[:-1] |= ~begin[1:]
@@ -164,12 +167,12 @@ def merged(lists: DataFrame) -> DataFrame:
             if first_given:
                 out[0] = False
             given = bool(more[-1]) or (first_given and len(s) == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (s, n, k, place, head_n, head_k)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (s, n, k, place, head_n, head_k, prev)], names)
             last = (s[-1], n[-1], k[-1], place[-1], given)
             head = (head_n[-1], head_k[-1])
 
     spark = lists.sparkSession
-    return lists.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "n", "k1").mapInArrow(run, "shingle long, n long, k1 long, place long, head_n long, head long")
+    return lists.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "n", "k1").mapInArrow(run, "shingle long, n long, k1 long, place long, head_n long, head long, prev long")
 
 
 def reaches(small: np.ndarray, large: np.ndarray, need: int) -> bool:
@@ -217,8 +220,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_m
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(listed.select("doc_id", "k1"), "doc_id").select("k1", "text")
     bodies = written(body.dropDuplicates(["k1"]), "bodies")
 
-    first = lists.filter("k1 <> head AND 5 * head_n >= 4 * n").select(F.col("head").alias("a"), F.col("k1").alias("b")).distinct()
-    first = written(first.join(bits.withColumnRenamed("k1", "a"), "a").join(bits.select(*(F.col(c).alias(f"{c}_") for c in bits.columns)).withColumnRenamed("k1_", "b"), "b").filter(within_reach("size", "size_")).select("a", "b"), "pairs")
+    first = lists.filter("k1 <> head AND 5 * head_n >= 4 * n").select(F.col("head").alias("a"), F.col("k1").alias("b"))
+    first = first.union(lists.filter("k1 <> prev AND prev <> head").select("prev", "k1")).distinct()
+    first = written(first.join(bits.withColumnRenamed("k1", "a"), "a").join(bits.select(*(F.col(c).alias(f"{c}_") for c in bits.columns)).withColumnRenamed("k1_", "b"), "b").filter("5 * size >= 4 * size_ AND " + within_reach("size", "size_")).select("a", "b"), "pairs")
     links = written(verified(first, bodies), "links")
     label = components(links)
     x = lists.join(label.withColumnRenamed("node", "k1"), "k1", "left").select("shingle", "n", "k1", "place", F.coalesce("component", "k1").alias("label"))
