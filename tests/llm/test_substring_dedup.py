@@ -1,9 +1,12 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from tests.llm import edge
 
 from vacanta.llm import substring_dedup as sub
+from vacanta.llm import text
 
 
 def brute(rows):
@@ -59,5 +62,23 @@ def test_runs_and_compaction(spark):
     assert Counter(map(tuple, sub.remove(docs, found, 5).collect())) == want
 
 
+def test_windows_around_one_phrase_that_agree_in_32_bits(spark):
+    rnd = random.Random(5)
+    hashed = lambda texts: text.words(pa.array(texts), text.NOT_SPACE, False).hash
+    phrases = [" ".join(f"p{rnd.randrange(10**6)}" for _ in range(4)) for _ in range(100_000)]
+    phrase = phrases[int(np.argmin(text.runs(hashed(phrases), 4, 11)[::4]))]
+    texts = [phrase + "".join(f" w{rnd.randrange(10**6)}" for _ in range(9)) for _ in range(250_000)]
+    full = text.runs(hashed(texts), 13)[::13]
+    order = np.argsort(full & np.uint64(0xFFFFFFFF))
+    low = full[order] & np.uint64(0xFFFFFFFF)
+    pairs = [(texts[order[i]], texts[order[i + 1]]) for i in np.flatnonzero(low[1:] == low[:-1])]
+    pairs = [p for p in pairs if len(set(sub.entries(pa.array(p), np.arange(2))[0].tolist())) == 1]
+    assert pairs
+    rows = [(i, x) for i, x in enumerate(x for p in pairs for x in p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for history in (0.0, 0.5):
+        assert Counter(map(tuple, sub.dedup(docs, history=history).collect())) == brute(rows)
+
+
 def test_empty(spark):
     assert sub.dedup(edge.empty(spark)).count() == 0

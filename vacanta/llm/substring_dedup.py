@@ -2,8 +2,9 @@
 
 A window is 13 words in a row. Its fingerprint is the least hash of the 4-word runs inside it; as the windows that
 share one lie side by side, a text has one entry for some five windows: fingerprint, document, place, and for
-each window 32 further bits of the hash of its 13 words, which verify a match. Equal windows have equal entries
-wherever they stand, so every window is judged, and a false match needs 96 equal bits.
+each window the 64 bits of the hash of its 13 words, which verify a match. Equal windows have equal entries
+wherever they stand, so every window is judged. All windows around one frequent 4-word run have the same
+fingerprint, so only the hash of the 13 words tells them apart: a false match needs those 64 bits to be equal.
 
 The index is a list of immutable runs, tables of fingerprints and window bits, sorted in each bucket, without
 document ids: what is in a run came in an earlier batch. A new batch is dealt to the buckets of the runs and merge-joined with
@@ -62,13 +63,13 @@ def entries(column: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(ok)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none, none, none.astype(np.uint32)
+        return none.view(np.uint64), none, none, none, none.view(np.uint64)
     doc = np.searchsorted(w.of, at, "right") - 1
     new = np.ones(len(at), bool)
     new[1:] = (arg[at][1:] != arg[at][:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(at)))
-    return best[at[first]], ids[doc[first]], at[first] - w.of[doc[first]], size, (full[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return best[at[first]], ids[doc[first]], at[first] - w.of[doc[first]], size, full[at]
 
 
 def expand(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -114,7 +115,7 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataF
             if not len(fp):
                 continue
             begin = np.cumsum(size) - size
-            same = np.add.reduceat(mix(bits.astype(np.uint64) + (expand(np.zeros(len(size), np.int64), size).astype(np.uint64) << np.uint64(32))), begin) + mix(fp)
+            same = np.add.reduceat(mix(bits + mix(expand(np.zeros(len(size), np.int64), size).astype(np.uint64))), begin) + mix(fp)
             order = np.lexsort((doc, same))
             new = np.ones(len(order), bool)
             new[1:] = same[order][1:] != same[order][:-1]
@@ -145,25 +146,25 @@ def judge(buckets: int, keep_run: bool):
         if new.num_rows and bucket < 0:
             out = [[g, *x, None, None, None] for g, *x in packed(group_of(doc, buckets), [doc, pos, size.astype("u1")])]
         elif new.num_rows:
-            fp, bits = joined(new, "fp", "<u8"), joined(new, "bits", "<u4")
+            fp, bits = joined(new, "fp", "<u8"), joined(new, "bits", "<u8")
             fps, of, count = np.unique(fp, return_inverse=True, return_counts=True)
             was = np.zeros(0, np.uint64)
             if old is not None and old.num_rows:
-                was, was_size, was_bits = joined(old, "fp", "<u8"), joined(old, "size", "<u4").astype(np.int64), joined(old, "bits", "<u4")
+                was, was_size, was_bits = joined(old, "fp", "<u8"), joined(old, "size", "<u4").astype(np.int64), joined(old, "bits", "<u8")
             begin = np.cumsum(size) - size
             shared = (count[of] > 1) | np.isin(fp, was)
             some = np.flatnonzero(shared)
             place = expand(begin[some], size[some])
             entry = np.repeat(some, size[some])
             f, x, d = of[entry], bits[place], doc[entry]
-            o_f = o_x = np.zeros(0, np.int64)
+            o_f, o_x = np.zeros(0, np.int64), np.zeros(0, np.uint64)
             if len(was):
                 hit = np.minimum(np.searchsorted(fps, was), len(fps) - 1)
                 ok = np.flatnonzero(fps[hit] == was)
                 o_f = np.repeat(hit[ok], was_size[ok])
                 o_x = was_bits[expand((np.cumsum(was_size) - was_size)[ok], was_size[ok])]
             # What a run holds sorts first, as a document below all others.
-            f, x = np.concatenate([o_f, f]).astype(np.int64), np.concatenate([o_x, x]).astype(np.uint32)
+            f, x = np.concatenate([o_f, f]).astype(np.int64), np.concatenate([o_x, x]).astype(np.uint64)
             d = np.concatenate([np.full(len(o_f), np.iinfo(np.int64).min), d])
             order = np.lexsort((d, x, f))
             f, x, d = f[order], x[order], d[order]
@@ -195,7 +196,7 @@ def run_row(bucket: int, fp: np.ndarray, bits: np.ndarray) -> list:
     new[1:] = (fp[1:] != fp[:-1]) | (bits[1:] != bits[:-1])
     fp, bits = fp[new], bits[new]
     fps, n = np.unique(fp, return_counts=True)
-    return [n.astype("<u4").tobytes(), bucket, fps.astype("<u8").tobytes(), bits.astype("<u4").tobytes()]
+    return [n.astype("<u4").tobytes(), bucket, fps.astype("<u8").tobytes(), bits.astype("<u8").tobytes()]
 
 
 def out_batch(rows: list[list]) -> pa.RecordBatch:
@@ -250,7 +251,7 @@ def compact(index: Index) -> Index:
     """All runs as one, each window once. The files of the old runs are no longer read."""
 
     def one(t: pa.Table) -> pa.Table:
-        fp, size, bits = joined(t, "fp", "<u8"), joined(t, "size", "<u4").astype(np.int64), joined(t, "bits", "<u4")
+        fp, size, bits = joined(t, "fp", "<u8"), joined(t, "size", "<u4").astype(np.int64), joined(t, "bits", "<u8")
         size_, bucket, fps, kept = run_row(t.column("bucket")[0].as_py(), np.repeat(fp, size), bits)
         return pa.Table.from_batches([batch_of([[bucket, fps, size_, kept]], RUNS)])
 
