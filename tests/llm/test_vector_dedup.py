@@ -56,6 +56,41 @@ def test_recall_over_many_vectors(spark):
     assert 0.9 * want <= got <= want and want > 200
 
 
+def crowd(shared, hot, n=6000, pairs=900, d=32):
+    """Vectors of mean cosine `shared` in the first `hot` of them, each of the last near one of those before."""
+    rnd = np.random.default_rng(9)
+    base = rnd.normal(size=(n, d))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    axis = rnd.normal(size=d)
+    axis /= np.linalg.norm(axis)
+    some = int(n * hot)
+    base[:some] = base[:some] * np.sqrt(1 - shared) + axis * np.sqrt(shared)
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    of = rnd.choice(some, pairs, replace=False)
+    off = rnd.normal(size=(pairs, d))
+    off -= (off * base[of]).sum(1)[:, None] * base[of]
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    near = base[of] * 0.905 + off * np.sqrt(1 - 0.905**2)
+    return [(i, x.astype(np.float32).tolist()) for i, x in enumerate(np.concatenate([base, near]))]
+
+
+def recall(spark, rows):
+    x = np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = int(((x @ x.T) >= 0.9).sum()) - len(x)
+    got = vector_dedup.link(frame(spark, rows), window=16).agg({"n_links": "sum"}).first()[0]
+    assert want > 1500 and got <= want
+    return got / want
+
+
+def test_recall_with_a_common_direction(spark):
+    assert recall(spark, crowd(0.6, 1)) >= 0.96
+
+
+def test_recall_with_a_hot_third(spark):
+    assert recall(spark, crowd(0.7, 1 / 3)) >= 0.96
+
+
 def test_empty(spark):
     assert vector_dedup.link(frame(spark, [(1, [1.0])]).limit(0)).count() == 0
     assert [tuple(r) for r in vector_dedup.link(frame(spark, [(1, None)])).collect()] == [(1, 0, 1, True)]

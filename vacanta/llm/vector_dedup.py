@@ -1,12 +1,18 @@
 """Embedding near-dedup by sorted projection passes.
 
 In a pass every vector gets a key of concatenated random hashes (signs of random projections), all vectors are
-sorted by it, and each is compared in double precision with the WINDOW that follow it. The number of passes
-follows from the number of vectors: two vectors at the threshold agree on enough leading hashes to stand within a
-window, in at least one pass, with probability RECALL; closer ones with more. Verified pairs of all passes are united
-to components.
-
-All passes are one sort: first of keys and ids alone, which gives each vector its rank; then vectors go to
+sorted by it, and each is compared in double precision with the WINDOW that follow it. Verified pairs of all passes
+are united to components.
+
+The number of passes follows from the data. Each pass measures for every vector the shortest prefix of its key that
+no more than a window of vectors share; a vector at the threshold agrees on so many hashes with a known chance, so the
+chance that a link was missed in all passes is known for each vector. Passes come in rounds, at most doubling each
+time. A vector leaves once that chance is below 1 - RECALL, as all its links then have it. One that links with a
+quarter of its window stays but waits for nothing: its crowd is its own component. Rounds end when no vector waits,
+or when a round that finds a link with chance ENOUGH or more found so few that those left should be below a tenth
+of 1 - RECALL of all.
+
+The passes of a round are one sort: first of keys and ids alone, which gives each vector its rank; then vectors go to
 blocks of ranks, with the first WINDOW of the next block. A block gives a spanning forest of its pairs, so that a
 dense group adds a row for each member and not for each pair. n_links is then counted inside each component in
 tiles of bounded size, exactly: nothing caps the links of a vector.
@@ -30,11 +36,12 @@ from vacanta.llm.shared import partitions, ship, written
 WINDOW = 64
 BLOCK = 1024
 RECALL = 0.97
+ENOUGH = 0.2
 BITS = 60
 
 
 def passes_for(n: int, threshold: float, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Each hash agrees with probability 1 - angle / pi; after log2(n / window) of them a window holds what is left."""
+    """Passes of the first round: what evenly spread hashes would need, log2(n / window) of them to fill a window."""
     agree = 1 - math.acos(threshold) / math.pi
     near = agree ** max(0.0, math.log2(max(n, 1) / window))
     return 1 if near >= recall else math.ceil(math.log(1 - recall) / math.log(1 - near))
@@ -56,14 +63,14 @@ def by_length(rows: list[np.ndarray]) -> list[np.ndarray]:
     return [np.flatnonzero(size == s) for s in np.unique(size)]
 
 
-def keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
+def keys(vectors: DataFrame, passes: range, seed: int) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = matrix(b.column("embedding"))
             rep = b.column("rep").to_numpy()
             for part in by_length(rows):
                 x = np.array([rows[i] for i in part])
-                for p in range(passes):
+                for p in passes:
                     plane = np.random.default_rng([seed, p, x.shape[1]]).normal(size=(x.shape[1], BITS))
                     key = ((x @ plane) > 0) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), p, np.int32)), pa.array(key), pa.array(rep[part])], ["pass", "key", "rep"])
@@ -72,37 +79,97 @@ def keys(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """pass, rep and rank, the place in the order of (pass, key, rep) over all partitions."""
+    """pass, key, rep and rank, the place in the order of (pass, key, rep) over all partitions."""
     spark = rows.sparkSession
     order = ["pass", "key", "rep"]
-    placed = written(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("pass", "rep", F.monotonically_increasing_id().alias("at")), "ranked")
+    placed = written(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select(*order, F.monotonically_increasing_id().alias("at")), "ranked")
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     size = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     # One row for each partition meets in this window.
     base = size.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return placed.withColumn("part", part).join(base, "part").select("pass", "rep", (F.col("base") + place).alias("rank"))
+    return placed.withColumn("part", part).join(base, "part").select(*order, (F.col("base") + place).alias("rank"))
+
+
+def crowded(key: np.ndarray, turn: np.ndarray, window: int) -> np.ndarray:
+    """For each of these neighbours in rank, how many leading hashes it takes until at most window + 1 vectors share them."""
+    lag = window + 1
+    if len(key) <= lag:
+        return np.zeros(len(key), np.int64)
+    differ = key[:-lag] ^ key[lag:]
+    high = differ >> 30
+    same = BITS - np.where(high > 0, 30 + np.frexp(high)[1], np.frexp(differ & ((1 << 30) - 1))[1])
+    need = np.where(turn[:-lag] == turn[lag:], same + 1, 0)
+    # The runs of window + 2 that hold vector i begin at i - lag to i; at the ends of a block the nearest whole ones stand in.
+    padded = np.pad(need, lag, mode="edge")
+    most = np.lib.stride_tricks.sliding_window_view(padded, lag + 1).max(1)
+    return most[: len(key)]
 
 
 def compare(threshold: float, window: int):
+    """Forest edges a, b of a block; and for each vector a of its own, the log of the chance to miss a link in all its passes here, and if it links with a quarter of a window."""
+    agree = 1 - math.acos(threshold) / math.pi
+
     def one(block: pa.Table) -> pa.Table:
         block = block.sort_by("rank").combine_chunks()
         rows, rep, pass_ = matrix(block.column("embedding").combine_chunks()), block.column("rep").to_numpy(), block.column("pass").to_numpy()
         rank = block.column("rank").to_numpy()
         a, b = [], []
+        met = np.zeros(len(rep), np.int64)
         for part in by_length(rows):
             x, own, turn, at = np.array([rows[i] for i in part]), rep[part], pass_[part], rank[part]
             for step in range(1, min(window, len(part) - 1) + 1):
                 near = np.flatnonzero((np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold) & (turn[:-step] == turn[step:]) & (at[step:] - at[:-step] <= window))
                 a.append(own[near])
                 b.append(own[near + step])
-        if not a or not sum(map(len, a)):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        node, least = forest(np.concatenate(a), np.concatenate(b))
-        return pa.table({"a": node, "b": least})
+                met[part[near]] += 1
+                met[part[near + step]] += 1
+        here = np.flatnonzero(rank // BLOCK == block.column("block")[0].as_py())
+        chance = np.minimum(agree ** crowded(block.column("key").to_numpy(), pass_, window)[here].astype(float), 1 - 1e-9)
+        none = np.zeros(0, np.int64)
+        node, least = forest(np.concatenate(a), np.concatenate(b)) if a and sum(map(len, a)) else (none, none)
+        edges = {"a": pa.array(node), "b": pa.array(least), "miss": pa.nulls(len(node), pa.float64()), "dense": pa.nulls(len(node), pa.bool_())}
+        own = {"a": pa.array(rep[here]), "b": pa.nulls(len(here), pa.int64()), "miss": pa.array(np.log1p(-chance)), "dense": pa.array(met[here] >= window / 2)}
+        return pa.concat_tables([pa.table(edges), pa.table(own)])
 
     return one
 
 
+def round_of(vectors: DataFrame, passes: range, threshold: float, window: int, seed: int) -> DataFrame:
+    """What compare() says of each block of these passes."""
+    rank = ranked(keys(vectors, passes, seed))
+    block = F.floor(F.col("rank") / BLOCK)
+    blocks = F.when((F.col("rank") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    at = rank.groupBy("rep").agg(F.collect_list(F.struct("pass", "key", "rank", blocks.alias("blocks"))).alias("at"))
+    dealt = vectors.join(at, "rep").select("rep", "embedding", F.explode("at").alias("x")).select("rep", "embedding", "x.pass", "x.key", "x.rank", F.explode("x.blocks").alias("block"))
+    return written(dealt.groupBy("block").applyInArrow(compare(threshold, window), "a long, b long, miss double, dense boolean"), "links")
+
+
+def linked_components(reps: DataFrame, n: int, threshold: float, window: int, seed: int) -> DataFrame:
+    """node and component, after as many rounds of passes as the vectors need."""
+    wanted = math.log(1 - RECALL)
+    active, found, state, total = reps.select("rep", "embedding"), None, None, 0
+    first, count = 0, passes_for(n, threshold, window)
+    while True:
+        seen = round_of(active, range(first, first + count), threshold, window, seed)
+        edges = seen.filter("b IS NOT NULL").select("a", "b")
+        found = components(edges if found is None else edges.union(found))
+        chance = seen.filter("b IS NULL").groupBy("a").agg(F.sum("miss").alias("miss"), F.max("dense").alias("dense"))
+        if state is not None:
+            was = state.select("a", F.col("miss").alias("miss_before"), F.col("dense").alias("dense_before"))
+            chance = chance.join(was, "a").select("a", (F.col("miss") + F.col("miss_before")).alias("miss"), (F.col("dense") | F.col("dense_before")).alias("dense"), F.col("miss").alias("now"))
+        else:
+            chance = chance.withColumn("now", F.col("miss"))
+        first += count
+        state = written(chance, "chance").filter((F.col("miss") > wanted) | F.col("dense"))
+        waiting = state.filter(~F.col("dense") & (F.col("miss") > wanted))
+        left, finds, rate = waiting.agg(F.count(F.lit(1)), F.avg(1 - F.exp("now")), F.avg(F.col("miss") / first)).first()
+        before, total = total, found.filter("node <> component").count()
+        if n <= window + 1 or not left or (finds >= ENOUGH and (total - before) * (1 - finds) / finds <= (1 - RECALL) / 10 * total):
+            return found
+        count = max(1, min(first, math.ceil(wanted / rate) - first))
+        active = reps.join(state.select(F.col("a").alias("rep")), "rep").select("rep", "embedding")
+
+
 def tile(threshold: float):
     def one(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -145,20 +212,16 @@ def links_inside(members: DataFrame, threshold: float) -> DataFrame:
 def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, window: int = WINDOW, seed: int = 11) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept."""
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    # Floats stay floats in what is written and shuffled; every comparison widens them first.
+    kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = written(rows.withColumn("sound", sound), "rows")
     good = rows.filter("sound")
     reps = written(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")), "vectors")
     n = reps.count()
-    rank = ranked(keys(reps, passes_for(n, threshold, window), seed))
-    block = F.floor(F.col("rank") / BLOCK)
-    blocks = F.when((F.col("rank") % BLOCK < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    at = rank.groupBy("rep").agg(F.collect_list(F.struct("pass", "rank", blocks.alias("blocks"))).alias("at"))
-    dealt = reps.join(at, "rep").select("rep", "embedding", F.explode("at").alias("x")).select("rep", "embedding", "x.pass", "x.rank", F.explode("x.blocks").alias("block"))
-    edges = dealt.groupBy("block").applyInArrow(compare(threshold, window), "a long, b long")
-    found = components(edges).withColumnRenamed("node", "rep")
+    found = linked_components(reps, n, threshold, window, seed).withColumnRenamed("node", "rep")
     members = written(reps.join(found, "rep"), "members")
     links = members.select("rep", "component").join(links_inside(members, threshold), "rep")
     by_vector = reps.join(links, "rep", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
