@@ -36,6 +36,19 @@ def test_quality(spark):
     assert quality.score(edge.empty(spark), model).count() == 0
 
 
+def test_quality_cut_does_not_move_with_the_sample(spark):
+    docs, labels, truth = corpus(spark)
+    noisy = labels.selectExpr("doc_id", "if(doc_id % 11 = 0, 1 - quality, quality) as quality")
+    model = quality.train(docs, noisy, most=(60, 60))
+    share = noisy.filter("quality = 0").count() / noisy.count()
+    kept = quality.score(docs, model).filter("score >= 0.7").count()
+    assert abs(kept / 600 - (1 - share)) < 0.01
+    x = model.value(quality.measures(pa.array([r["text"] for r in docs.collect()])))
+    assert abs(model.cut - np.quantile(x, share, method="midpoint")) < 1e-6
+    whole = quality.train(docs, noisy)
+    assert abs(quality.cut_of(docs, samples.known(noisy, "quality"), whole) - whole.cut) < 1e-9
+
+
 def test_toxicity(spark):
     docs, labels, truth = corpus(spark)
     model = toxicity.train(docs, labels.filter(samples.bucket("doc_id", 5) != 0))

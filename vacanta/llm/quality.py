@@ -3,24 +3,27 @@
 A document has measures of its form (shares of signs, capitals, digits, repeated and distinct words, lengths).
 Each measure becomes a piecewise-linear basis over quantiles of the training rows. Preference pairs (a document
 of label 1 over one of label 0) give a logistic loss on the difference of their features, whose weights make a
-score; the cut is the quantile of training scores at the share of label 0. Scores are mapped to 0..1 by a
+score. The weights come from a bounded sample; the cut is the quantile of the scores of all labelled rows at their
+share of label 0, so it doesn't move with the size of the input. Scores are mapped to 0..1 by a
 logistic curve that gives 0.7 at the cut.
 
-Training takes at most `most` rows of each label (a parameter) and `pairs` pairs; everything else scans whole
-texts of all rows in one pass without shuffle. Null and empty texts have measures of zero and get a score; with no
+The weights learn from at most `most` rows of each label (a parameter) and `pairs` pairs. While that leaves no row out,
+the cut comes from the same rows; else all rows are scored once more, and the scores of the labelled ones are joined and
+counted in Spark, without their texts. Scoring scans whole texts of all rows in one pass without shuffle. Null and empty texts have measures of zero and get a score; with no
 rows of one label every document scores 1.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from vacanta.llm.samples import labelled
-from vacanta.llm.shared import ship
+from vacanta.llm.samples import known, labelled
+from vacanta.llm.shared import ship, written
 from vacanta.llm.text import NOT_SPACE, pieces, runs, text_bytes, words
 
 CUT_SCORE = 0.7
@@ -102,8 +105,11 @@ class Ranker:
     weight: np.ndarray
     cut: float
 
+    def value(self, x: np.ndarray) -> np.ndarray:
+        return basis(x, self.knots) @ self.weight
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        value = basis(x, self.knots) @ self.weight - self.cut
+        value = self.value(x) - self.cut
         return 1 / (1 + np.exp(-np.clip(value + np.log(CUT_SCORE / (1 - CUT_SCORE)), -30, 30)))
 
 
@@ -140,7 +146,7 @@ def measured(docs: DataFrame, keep: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: tuple[int, int] = MOST) -> Ranker | None:
-    """From at most 12,000 rows by default, whose measures alone (some 30 numbers each) come to the driver."""
+    """Weights from at most 12,000 rows by default, whose measures alone (some 30 numbers each) come to the driver; the cut from all."""
     ship(docs.sparkSession)
     got = measured(labelled(docs, labels, label, most), "y").toArrow()
     y = got.column("y").to_numpy()
@@ -148,7 +154,48 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: tupl
         return None
     x = np.array(got.column("x").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # rows come in any order
-    return fit(x[order], y[order])
+    model = fit(x[order], y[order])
+    every = known(labels, label)
+    n = dict(every.groupBy("y").count().collect())
+    if model is None or all(n.get(k, 0) <= most[k] for k in (0, 1)):
+        return model
+    return replace(model, cut=cut_of(docs, every, model))
+
+
+def cut_of(docs: DataFrame, every: DataFrame, model: Ranker) -> float:
+    """The midpoint quantile of the values of all rows of docs that every (doc_id, y) labels, at their share of label 0."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(held.value.value(measures(b.column("text"))))], ["doc_id", "value"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # Only ids and values are joined, no texts.
+    values = written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, value double").join(every, "doc_id").select("y", "value"), "values")
+    n, bad = values.agg(F.count(F.lit(1)), F.count_if(F.col("y") == 0)).first()
+    place = bad / n * (n - 1)
+    low = nth(values, int(place))
+    if place == int(place):
+        return low
+    upto, above = values.agg(F.count_if(F.col("value") <= low), F.min(F.when(F.col("value") > low, F.col("value")))).first()
+    return low if upto > int(place) + 1 else (low + above) / 2
+
+
+def nth(values: DataFrame, k: int, bins: int = 4096) -> float:
+    """The value at place k of the ascending order, from 0, by counts of ever smaller bins: `bins` numbers come to the driver at a time."""
+    low, high = values.agg(F.min("value"), F.max("value")).first()
+    while low < high:
+        bin_ = F.least(F.floor((F.col("value") - low) / (high - low) * bins), F.lit(bins - 1))
+        got = values.filter(F.col("value").between(low, high)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).orderBy("bin").collect()
+        for r in got:
+            if k < r["n"]:
+                break
+            k -= r["n"]
+        if (r["low"], r["high"]) == (low, high):
+            return low
+        low, high = r["low"], r["high"]
+    return low
 
 
 def score(docs: DataFrame, model: Ranker | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
