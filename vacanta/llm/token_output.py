@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,61 +25,69 @@ from pyspark.sql import functions as F
 from vacanta.llm.shared import partitions, ship
 from vacanta.llm.text import pieces
 
-#: Words that a worker remembers the ids of. When as many are known, others are encoded anew.
+#: Words, and units (runs of letters or signs), that a worker remembers the ids of; beyond these they are encoded anew.
 KNOWN_WORDS = 900_000
+KNOWN_UNITS = 500_000
 _known: dict = {}
 
+#: Words of letters up to U+00FF, digits and ASCII signs.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~-]*")
+#: The units that the tokenizer cuts such a word to, once it is lower case: a fixed value.
+UNIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-zß-öø-ÿ0-9]+")
 
-#: Words of one run of letters and at most one run of signs: the tokenizer takes each run as a unit of its own.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!#$%&*+,./:;=?@|~-]*)")
 
+class Encoder:
+    """Ids of words by one tokenizer, which drops white space and cuts a text to units before it merges.
 
-def word_ids(path: str, words: list[str], known: dict[str, bytes]) -> None:
-    """Add to known the ids of each word, as little-endian 32-bit integers.
-
-    Plain words are encoded in one text, whose ids are cut where units end; the others one by one.
+    Plain words are cut here, and each distinct unit is merged once by the tokenizer's own model. Other words go
+    through the whole tokenizer.
     """
-    from tokenizers import Tokenizer
 
-    if path not in _known:
-        tokenizer = Tokenizer.from_file(path)
-        ends = np.zeros(tokenizer.get_vocab_size(), bool)
-        ends[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-        _known[path] = (tokenizer, {}, ends)
-    tokenizer, _, ends = _known[path]
-    rest = []
-    for i in range(0, len(words), 2000):
-        part = [(w, 1 + bool(m[1])) for w in words[i : i + 2000] if (m := PLAIN.fullmatch(w)) or rest.append(w)]
-        if not part:
-            continue
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(w for w, _ in part)], add_special_tokens=False)[0].ids, "<i4")
-        units = np.flatnonzero(ends[ids]) + 1
-        upto = np.cumsum([n for _, n in part])
-        if len(units) != upto[-1]:
-            rest += [w for w, _ in part]
-            continue
-        cut = [0, *(4 * units[upto - 1]).tolist()]
-        flat = ids.tobytes()
-        known.update((w, flat[a:b]) for (w, _), a, b in zip(part, cut[:-1], cut[1:], strict=True))
-    for i in range(0, len(rest), 2000):
-        part = rest[i : i + 2000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<i4").tobytes()
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.units: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        # How the tokenizer spells the bytes of letters beyond ASCII.
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelling = {ord(c): spell(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+
+    def merged(self, u: str) -> bytes:
+        ids = self.units.get(u)
+        if ids is None:
+            ids = array("i", [t.id for t in self.model.tokenize(u if u.isascii() else u.translate(self.spelling))]).tobytes()
+            if len(self.units) < KNOWN_UNITS:
+                self.units[u] = ids
+        return ids
+
+    def whole(self, word: str) -> bytes:
+        return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.merged, UNIT.findall(word.lower())))
+        return self.whole(word)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit integers of each text."""
+        split = [x.replace("\n", " ").split(" ") for x in texts]
+        known = self.words
+        new = {w: self.word(w) for w in {w for doc in split for w in doc if w not in known}}
+        if len(known) + len(new) <= KNOWN_WORDS:
+            known.update(new)
+        else:
+            known.update(islice(new.items(), KNOWN_WORDS - len(known)))
+            known = {w: new[w] if w in new else known[w] for doc in split for w in doc}
+        return [b"".join(map(known.__getitem__, doc)) for doc in split]
 
 
 def encode_texts(path: str, texts: list[str | None], end_id: int) -> list[bytes]:
-    """Ids of each text. The tokenizer drops white space and no token spans it, so words can be encoded apart."""
     if path not in _known:
-        word_ids(path, [], {})
-    end = np.array([end_id], "<i4").tobytes()
-    kept = _known[path][1]
-    split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-    new = list({w for doc in split for w in doc if w not in kept})
-    known = kept
-    if len(kept) + len(new) > KNOWN_WORDS:
-        known = {w: kept[w] for doc in split for w in doc if w in kept}
-    word_ids(path, new, known)
-    return [b"".join([*map(known.__getitem__, doc), end]) for doc in split]
+        _known[path] = Encoder(path)
+    end = array("i", [end_id]).tobytes()
+    return [x + end for x in _known[path].encode([x or "" for x in texts])]
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,7 +129,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # One row for each file meets in this window, however long the files are.
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = total.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    return files.join(base, "part").select("doc_id", (F.col("base") + F.col("pos")).alias("start"), "n_tokens", "ids")
+    # As many rows as there are files, whatever the size of the files.
+    return files.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("pos")).alias("start"), "n_tokens", "ids")
 
 
 def digest(tokens: DataFrame) -> DataFrame:
