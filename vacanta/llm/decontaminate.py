@@ -4,10 +4,11 @@ The windows of the benchmark items are the patterns, words are the symbols and t
 table over hashed blocks says how far a search may skip; where it says none, the bucket of the window's last
 block selects patterns, and their words are compared one by one. Documents are cut into segments whose cursors
 move together in numpy. The patterns are taken in blocks of bounded size, each a search over all documents; one
-block is the usual case and needs no shuffle, more are merged by document.
+block is the usual case and needs no shuffle; the hits of more blocks are merged by a number given to each row, so that
+the result does not depend on the size of a block.
 
 Null texts have no words; items without words have no windows; an item of fewer words than a window is one window.
-Repeated items each count. With several pattern blocks doc_id has to be unique.
+Repeated items each count. Repeated rows and rows without id each give a row.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vacanta.llm.shared import ship
-from vacanta.llm.text import LETTERS, STEP, Words, mix, pieces, words
+from vacanta.llm.shared import beside, written
+from vacanta.llm.text import LETTERS, STEP, Words, mix, words
 
 WINDOW = 10
 #: Bytes of benchmark text in one block of patterns. The tables take about 40 times as much memory.
@@ -119,51 +120,69 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def search(docs: DataFrame, found: list[Matcher], doc_id: str, text: str) -> DataFrame:
-    spark = docs.sparkSession
-    ship(spark)
-    held = spark.sparkContext.broadcast(found)
-
-    def run(batches):
-        for b in pieces(batches, text):
-            w = words(b.column(text), LETTERS, True)
-            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            items: dict[int, set[int]] = defaultdict(set)
-            for m in held.value:
-                where, which = m.search(w)
-                doc = np.searchsorted(w.of, where, "right") - 1
-                for d, i, p in zip(doc.tolist(), (where - w.of[doc]).tolist(), which.tolist(), strict=True):
-                    hits[d].append((i, i + m.m - 1))
-                    items[d].update(m.items[p].tolist())
-            spans = [[{"first": x, "last": y} for x, y in merge(hits[d])] if d in hits else [] for d in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(doc_id),
-                    pa.array(np.diff(w.of).astype(np.int64)),
-                    pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                    pa.array([sorted(items[d]) if d in items else [] for d in range(b.num_rows)], pa.list_(pa.int64())),
-                ],
-                [doc_id, "n_words", "hits", "items"],
-            )
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_words long, hits array<struct<first: bigint, last: bigint>>, items array<bigint>")
-
-
-def merged(hits: pd.Series) -> pd.Series:
-    return hits.map(lambda x: [{"first": a, "last": b} for a, b in merge([(y["first"], y["last"]) for y in x])])
+SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
+SPAN_ARROW = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def found_in(column: pa.Array, patterns: list[Matcher]) -> list[pa.Array]:
+    """n_words, hits and items of each text."""
+    w = words(column, LETTERS, True)
+    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    items: dict[int, set[int]] = defaultdict(set)
+    for m in patterns:
+        where, which = m.search(w)
+        doc = np.searchsorted(w.of, where, "right") - 1
+        for d, i, p in zip(doc.tolist(), (where - w.of[doc]).tolist(), which.tolist(), strict=True):
+            hits[d].append((i, i + m.m - 1))
+            items[d].update(m.items[p].tolist())
+    n = len(column)
+    return [
+        pa.array(np.diff(w.of).astype(np.int64)),
+        pa.array([[{"first": x, "last": y} for x, y in merge(hits[d])] if d in hits else [] for d in range(n)], SPAN_ARROW),
+        pa.array([sorted(items[d]) if d in items else [] for d in range(n)], pa.list_(pa.int64())),
+    ]
+
+
+def search(docs: DataFrame, found: list[Matcher], text: str) -> DataFrame:
+    """Whole rows as beside() names them, with n_words, hits and items as v0, v1 and v2."""
+    held = docs.sparkSession.sparkContext.broadcast(found)
+    return beside(docs, text, lambda x: found_in(x, held.value), [T.LongType(), SPANS, T.ArrayType(T.LongType())])
+
+
+def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Whole rows as beside() names them, with n_words, hits and items as v0, v1 and v2: the same rows for any block_bytes."""
+    parts = blocks(items, item_id, item_text, block_bytes)
+    first = next(parts)
+    other = next(parts, None)
+    if other is None:
+        return search(docs, matchers(first, window), text)
+    # Several blocks: rows are numbered once, in a written table. The searches after the first give only rows with hits.
+    numbered = written(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    at = f"c{docs.columns.index(text)}"
+    every, total, part = written(search(numbered, matchers(first, window), at), "hits"), None, other
+    row = f"c{len(docs.columns)}"
+    while part is not None:
+        # One block is on the driver at a time; its hits are written before the next is built.
+        more = search(numbered.select(at, "row"), matchers(part, window), at).filter(F.size("v1") > 0).select(F.col("c1").alias("row"), "v1", "v2")
+        more = written(more, "hits")
+        total = more if total is None else total.unionByName(more)
+        part = next(parts, None)
+    # Rows with hits in later blocks are a small part of all, and each has at most one row for a block.
+    by_row = total.groupBy("row").agg(F.flatten(F.collect_list("v1")).alias("more_hits"), F.flatten(F.collect_list("v2")).alias("more_items"))
+    one = every.join(by_row, every[row] == by_row["row"], "left")
+    first_of = F.transform(F.array_sort(F.concat("v1", "more_hits")), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last")))
+    none = F.array().cast(SPANS)
+    spans = F.when(F.col("more_hits").isNull(), F.col("v1")).otherwise(
+        F.aggregate(first_of, none, lambda done, x: F.when((F.size(done) > 0) & (x["first"] <= F.element_at(done, -1)["last"] + 1), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(done, F.array(x))))
+    )
+    items_ = F.when(F.col("more_items").isNull(), F.col("v2")).otherwise(F.array_sort(F.array_union("v2", "more_items")))
+    return one.select(*(f"c{i}" for i in range(len(docs.columns))), "v0", spans.alias("v1"), items_.alias("v2"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document: n_words, hits (ranges of words inside an occurrence, apart and ascending), items."""
-    parts = [search(docs, matchers(part, window), doc_id, text) for part in blocks(items, item_id, item_text, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    one = every.groupBy(doc_id).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return one.withColumn("hits", F.pandas_udf(merged, "array<struct<first: bigint, last: bigint>>")("hits"))
+    found = marked(docs.select(doc_id, text), items, text, item_id, item_text, window, block_bytes)
+    return found.select(F.col("c0").alias(doc_id), F.col("v0").alias("n_words"), F.col("v1").alias("hits"), F.col("v2").alias("items"))
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

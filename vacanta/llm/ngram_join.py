@@ -65,16 +65,18 @@ def within_reach(n: str, n_: str, a: str = "", b: str = "_") -> str:
     return f"9 * ({' + '.join(f'bit_count({s}{a} ^ {s}{b})' for s in PARITIES)}) <= {n} + {n_}"
 
 
-def texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n (size of its set), k1 and k2, which name its word sequence, and its parities."""
+def texts(docs: DataFrame, doc_id: str, text: str, carried: str | None) -> DataFrame:
+    """doc_id, n (size of its set), k1 and k2, which name its word sequence, its parities, and the column that is carried along."""
+    also = [carried] if carried else []
 
     def run(batches):
         for b in pieces(batches, text):
             value, at, k1, k2 = sets(b, text)
             bits = sketch(value, at)
-            yield pa.RecordBatch.from_arrays([b.column(doc_id).cast(pa.int64()), pa.array(np.diff(at)), pa.array(k1), pa.array(k2), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], ["doc_id", "n", "k1", "k2", *PARITIES])
+            yield pa.RecordBatch.from_arrays([b.column(doc_id).cast(pa.int64()), pa.array(np.diff(at)), pa.array(k1), pa.array(k2), *(pa.array(np.ascontiguousarray(x)) for x in bits.T), *(b.column(c) for c in also)], ["doc_id", "n", "k1", "k2", *PARITIES, *also])
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, " + ", ".join(f"{s} long" for s in PARITIES))
+    kinds = ["doc_id long", "n long", "k1 long", "k2 long", *(f"{s} long" for s in PARITIES), *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in also)]
+    return docs.select(doc_id, text, *also).mapInArrow(run, ", ".join(kinds))
 
 
 def fresh(k1: np.ndarray, at: np.ndarray, seen: set) -> np.ndarray:
@@ -208,10 +210,10 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_most: int = FREQUENT) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id."""
+def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_most: int = FREQUENT, carried: str | None = None) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, and the column that is carried along, if any."""
     ship(docs.sparkSession)
-    named = written(texts(docs, doc_id, text), "texts")
+    named = written(texts(docs, doc_id, text, carried), "texts")
     lists = written(merged(postings(docs, text, frequent(docs, text, frequent_most))), "lists")
     # One document for each text that stands on a list.
     of_text = named.filter("n > 0").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("size"), *(F.first(s).alias(s) for s in PARITIES))
@@ -239,4 +241,4 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_m
     rooted = class_.join(label.withColumnRenamed("node", "k1"), "k1", "left").select("k1", "least", F.coalesce("component", "k1").alias("root"))
     total = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_text = rooted.join(total, "root").select("k1", "component_id")
-    return named.join(by_text, "k1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.join(by_text, "k1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *([carried] if carried else []))

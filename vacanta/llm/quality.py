@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacanta.llm.samples import known, labelled
-from vacanta.llm.shared import ship, written
+from vacanta.llm.shared import beside, ship, written
 from vacanta.llm.text import NOT_SPACE, pieces, runs, text_bytes, words
 
 CUT_SCORE = 0.7
@@ -198,15 +199,13 @@ def nth(values: DataFrame, k: int, bins: int = 4096) -> float:
     return low
 
 
-def score(docs: DataFrame, model: Ranker | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score, 0 to 1."""
-    ship(docs.sparkSession)
+def rated(docs: DataFrame, model: Ranker | None, text: str = "text") -> DataFrame:
+    """Whole rows as beside() names them, and their score as v0."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    return beside(docs, text, lambda x: [pa.array(held.value.score(measures(x)) if held.value else np.ones(len(x)))], [T.DoubleType()])
 
-    def run(batches):
-        for b in pieces(batches, text):
-            s = held.value.score(measures(b.column(text))) if held.value else np.ones(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(doc_id), pa.array(s)], [doc_id, "score"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, score double")
+def score(docs: DataFrame, model: Ranker | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and score, 0 to 1."""
+    got = rated(docs.select(doc_id, text), model, text)
+    return got.select(F.col("c0").alias(doc_id), F.col("v0").alias("score"))

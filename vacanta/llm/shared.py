@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -40,7 +43,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once what was derived from them is itself written."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def beside(docs: DataFrame, text: str, values: Callable[[pa.Array], list[pa.Array]], kinds: list[T.DataType], most: int = 1 << 20) -> DataFrame:
+    """The columns of docs as c0, c1, ... and what values() makes of their texts as v0, v1, ...
+
+    Rows stay whole and where they are: nothing is joined back by a key, so rows without one are kept too.
+    """
+    from vacanta.llm.text import pieces
+
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = names[docs.columns.index(text)]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)] + [T.StructField(f"v{i}", k) for i, k in enumerate(kinds)])
+
+    def run(batches):
+        for b in pieces(batches, at, most):
+            yield pa.RecordBatch.from_arrays([*b.columns, *values(b.column(at))], schema.names)
+
+    ship(docs.sparkSession)
+    return docs.toDF(*names).mapInArrow(run, schema)
+
+
+def restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns that docs gave to beside(), under their own names."""
+    return found.select(*(found[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
