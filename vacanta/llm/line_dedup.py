@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacanta.llm.shared import written
+
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
@@ -24,29 +26,39 @@ def key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
-    """For each host with any: the hashes of its boilerplate lines."""
-    own = F.array_distinct(F.transform(F.filter(lines(F.col(text)), lambda x: F.trim(x) != ""), key))
-    named = pages.select(F.col(host).alias("_host"), own.alias("_own")).filter(F.col("_host").isNotNull() & (F.col("_host") != ""))
+def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """For each host with any: the hashes of its boilerplate lines. pages has host and text."""
+    own = F.array_distinct(F.transform(F.filter(lines(F.col("text")), lambda x: F.trim(x) != ""), key))
+    named = pages.filter("host <> ''").select("host", own.alias("own"))
     # The page itself is counted as a line of hash null, so that totals need no second pass.
-    each = named.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce("_own", F.array().cast("array<bigint>")))).alias("_line"))
-    count = each.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
-    total = count.filter(F.col("_line").isNull() & (F.col("_n") >= min_pages)).select("_host", F.col("_n").alias("_total"))
-    often = count.filter(F.col("_line").isNotNull() & (F.col("_n") > ratio * min_pages)).join(total, "_host")
-    return often.filter(F.col("_n") > ratio * F.col("_total")).groupBy("_host").agg(F.collect_list("_line").alias("_drop"))
+    each = named.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce("own", F.array().cast("array<bigint>")))).alias("line"))
+    count = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    total = count.filter(F.col("line").isNull() & (F.col("n") >= min_pages)).select("host", F.col("n").alias("total"))
+    often = count.filter(F.col("line").isNotNull() & (F.col("n") > ratio * min_pages)).join(total, "host")
+    return often.filter(F.col("n") > ratio * F.col("total")).groupBy("host").agg(F.collect_list("line").alias("drop"))
 
 
 def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = 0.3, min_pages: int = 5) -> DataFrame:
-    """pages with text less its boilerplate lines, and n_lines and n_dropped (of those not blank)."""
-    found = boilerplate(pages, host, text, ratio, min_pages)
-    joined = pages.join(found, pages[host] == found["_host"], "left")
-    full = F.filter(lines(F.col(text)), lambda x: F.trim(x) != "")
-    kept = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(
-        F.array_join(F.filter(lines(F.col(text)), lambda x: (F.trim(x) == "") | ~F.array_contains("_drop", key(x))), "\n")
+    """pages with text less its boilerplate lines, and n_lines and n_dropped (of those not blank).
+
+    Columns of pages may have any names; those named n_lines or n_dropped give way to these.
+    """
+    # Written, so that Spark knows its size: small lists are broadcast and pages stay where they are; larger ones
+    # are joined by host, where a hot host's pages can be split, as nothing but the join is in that stage.
+    found = written(boilerplate(pages.select(F.col(host).alias("host"), F.col(text).alias("text")), ratio, min_pages), "boilerplate")
+    row = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
+    joined = row.join(found, "host", "left")
+    full = F.filter(lines(F.col("text")), lambda x: F.trim(x) != "")
+    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(
+        F.array_join(F.filter(lines(F.col("text")), lambda x: (F.trim(x) == "") | ~F.array_contains("drop", key(x))), "\n")
     )
-    dropped = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size(F.filter(full, lambda x: F.array_contains("_drop", key(x)))))
-    counted = joined.withColumns({"n_lines": F.coalesce(F.size(F.when(F.col(text).isNotNull(), full)), F.lit(0)), "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(dropped)})
-    return counted.withColumn(text, kept).drop("_host", "_drop").withColumns({c: F.greatest(F.col(c), F.lit(0)).cast("long") for c in ("n_lines", "n_dropped")})
+    dropped = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size(F.filter(full, lambda x: F.array_contains("drop", key(x)))))
+    none = F.col("text").isNull()
+    counts = [F.when(none, 0).otherwise(F.size(full)).cast("long").alias("n_lines"), F.when(none, 0).otherwise(dropped).cast("long").alias("n_dropped")]
+    names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    # Named only at the end: an input column named drop must not be taken for the list of lines.
+    same = [(kept if c == text else F.col("row")[c]).alias(f"c{i}") for i, c in enumerate(names)]
+    return joined.select(*same, *counts).toDF(*names, "n_lines", "n_dropped")
 
 
 #: Each element that ends a line in the text of a page.
