@@ -5,7 +5,9 @@ events. kind is
   delta       text is appended to the message,
   edit        text takes the place of all that the message held,
   regenerate  the message starts anew with text, and messages after it that had begun before are dropped.
-A null kind is a delta, a null text or role is empty. Events with equal seq are taken in the order of kind and text.
+A null kind is a delta, a null text or role is empty; a null seq comes before all others. Events of a message with
+equal seq are taken in the order delta, edit, regenerate and then of text, so of two edits with one seq the greater text
+stays, and an edit takes the place of a delta with its seq. A message that begins with the seq of a regeneration stays.
 
 Each message is folded on its own, so a conversation of any length spreads over tasks; the conversation itself is
 only ever streamed in order. render gives one row for each turn, with the span under the loss mask; the formatted
@@ -37,33 +39,53 @@ def unescape(x: str) -> str:
     return re.sub(r"\\(.)", r"\1", x, flags=re.S) if "\\" in x else x
 
 
+#: Characters of a delta in rows_as_events.
+DELTA_CHARS = 200
+#: One message of so many gets a draft that is edited, and one a draft that is regenerated.
+DRAFTS = 4
+
+
 def rows_as_events(turns: DataFrame) -> DataFrame:
-    """A table with a row for each turn, as a log: every row is the one delta of its message.
+    """A table with a row for each turn, as the log that would have led to it.
 
-    Rows with the same conversation and turn are turns of their own, ordered by role and text.
+    A text comes in deltas of DELTA_CHARS characters. By a hash of its place, one message in DRAFTS first has a draft
+    that an edit replaces with the first part of the text, and another one a draft that is regenerated. Rows with the
+    same conversation and turn are turns of their own, ordered by role and text. A conversation's rows are sorted in one
+    task, which streams them.
     """
-    twin = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return turns.select("conv_id", F.struct("turn", twin.alias("twin")).alias("message"), F.lit(0).alias("seq"), "role", F.lit("delta").alias("kind"), "text")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    parts = F.greatest(F.lit(1), F.ceil(F.length(text) / DELTA_CHARS).cast("int"))
+    said = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(text, i * DELTA_CHARS + 1, F.lit(DELTA_CHARS)))
+    turn = F.pmod(F.xxhash64("conv_id", "message"), F.lit(DRAFTS))
+    again = F.when(turn == 0, "edit").when(turn == 1, "regenerate")
+    first = F.when(again.isNull(), F.array(F.struct(F.lit("delta").alias("kind"), F.get(said, F.lit(0)).alias("text")))).otherwise(
+        F.array(F.struct(F.lit("delta").alias("kind"), F.lit("a draft ").alias("text")), F.struct(again.alias("kind"), F.get(said, F.lit(0)).alias("text")))
+    )
+    rest = F.transform(F.slice(said, 2, F.greatest(F.lit(1), parts)), lambda x: F.struct(F.lit("delta").alias("kind"), x.alias("text")))
+    log = turns.select("conv_id", place.alias("message"), "role", "text").select("conv_id", "message", "role", F.posexplode(F.concat(first, rest)).alias("i", "e"))
+    return log.select("conv_id", "message", (F.shiftleft("message", 32) + F.col("i")).alias("seq"), "role", "e.kind", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
     """The final messages: conv_id, message, role, text."""
     kind = F.coalesce("kind", F.lit("delta"))
-    reset = kind.isin("edit", "regenerate")
-    one = events.groupBy("conv_id", "message").agg(
+    log = events.select("conv_id", "message", "role", F.coalesce(F.col("seq").cast("long"), F.lit(-(2**63))).alias("seq"), F.when(kind == "regenerate", 2).when(kind == "edit", 1).otherwise(0).alias("step"), F.coalesce("text", F.lit("")).alias("text"))
+    at = F.struct("seq", "step", "text")
+    one = log.groupBy("conv_id", "message").agg(
         F.min("seq").alias("begun"),
-        F.max(F.when(reset, F.col("seq"))).alias("reset"),
-        F.max(F.when(kind == "regenerate", F.col("seq"))).alias("again"),
-        F.min_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"),
-        F.collect_list(F.struct("seq", (~reset).alias("more"), F.coalesce("text", F.lit("")).alias("text"))).alias("log"),
+        F.max(F.when(F.col("step") > 0, at)).alias("reset"),
+        F.max(F.when(F.col("step") == 2, F.col("seq"))).alias("again"),
+        F.min_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "step", "text", "role"))).alias("role"),
+        F.collect_list(at).alias("log"),
     )
-    last = F.filter("log", lambda e: F.col("reset").isNull() | (e["seq"] > F.col("reset")) | ((e["seq"] == F.col("reset"))))
-    text = F.array_join(F.transform(F.array_sort(last), lambda e: e["text"]), "")
+    last = F.filter("log", lambda e: F.col("reset").isNull() | (e > F.col("reset")))
+    text = F.concat(F.coalesce("reset.text", F.lit("")), F.array_join(F.transform(F.array_sort(last), lambda e: e["text"]), ""))
     earlier = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
     return (
         one.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), "begun", "again")
         .withColumn("cut", F.max("again").over(earlier))
-        .filter(F.col("cut").isNull() | (F.col("cut") < F.col("begun")))
+        .filter(F.col("cut").isNull() | (F.col("cut") <= F.col("begun")))
         .select("conv_id", "message", "role", "text")
     )
 
