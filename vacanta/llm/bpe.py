@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacanta.llm.shared import ship
 from vacanta.llm.text import pieces
@@ -67,17 +68,18 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
 
 
 def decode(tokens: DataFrame, ranks: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """tokens with a column decoded, binary; null ids decode to no bytes."""
-    schema = tokens.schema.simpleString()[7:-1]
+    """tokens with a column decoded, binary, in place of any of that name; null ids decode to no bytes."""
+    tokens = tokens.drop("decoded")
+    schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         enc = encoder(ranks, pattern)
         for b in batches:
             out = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], schema.names)
 
     ship(tokens.sparkSession)
-    return tokens.mapInArrow(run, f"{schema}, decoded binary")
+    return tokens.mapInArrow(run, schema)
 
 
 def digest(coded: DataFrame, doc_id: str = "doc_id") -> DataFrame:
