@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataF
     """Entries by bucket; those judged at once have a bucket below zero and no bits."""
 
     def run(batches):
-        for b in pieces(batches, text, 8 << 20):
+        for b in pieces(batches, text, 2 << 20):
             fp, doc, pos, size, bits = entries(b.column(text), b.column(doc_id).to_numpy())
             if not len(fp):
                 continue
@@ -271,7 +271,7 @@ def remove(docs: DataFrame, found: DataFrame, groups: int, doc_id: str = "doc_id
         import zstandard
 
         small = zstandard.ZstdCompressor(level=3)
-        for b in pieces(batches, text, 8 << 20):
+        for b in pieces(batches, text, 2 << 20):
             ids = b.column(doc_id)
             grp = group_of(ids.fill_null(0).to_numpy().astype("<i8"), groups)
             yield pa.RecordBatch.from_arrays([pa.array(grp), ids, pa.array([small.compress((x or "").encode()) for x in b.column(text).to_pylist()], pa.binary())], ["grp", "doc_id", "packed"])
@@ -306,13 +306,21 @@ def remove(docs: DataFrame, found: DataFrame, groups: int, doc_id: str = "doc_id
     return texts.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", history: float = 0.125) -> DataFrame:
-    """Two batches in the order of doc_id: the first `history` of the range of ids is indexed, the rest meets its run."""
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 4) -> DataFrame:
+    """The documents as so many batches, equal ranges of doc_id in ascending order, each met with the index of those before.
+
+    The first batch makes a run, every further one is merge-joined with the runs there are and adds its own; two runs
+    are compacted to one before the next batch comes. The last batch needs no run.
+    """
     size, low, high = docs.agg(F.sum(F.octet_length(F.col(text))), F.min(doc_id), F.max(doc_id)).first()
     index = Index(max(8, -(-(size or 0) // BUCKET_BYTES)))
     if low is None:
         low = high = 0
-    edge = low + int((high - low) * history)
-    first, index = add(index, docs.filter(F.col(doc_id) <= edge), doc_id, text)
-    second, index = add(index, docs.filter(F.col(doc_id) > edge), doc_id, text, keep_run=False)
-    return remove(docs, first.unionByName(second), index.buckets, doc_id, text)
+    span, found = high - low + 1, None
+    for i in range(batches):
+        first, last = low + span * i // batches, low + span * (i + 1) // batches
+        part, index = add(index, docs.filter((F.col(doc_id) >= first) & (F.col(doc_id) < last)), doc_id, text, keep_run=i + 1 < batches)
+        found = part if found is None else found.unionByName(part)
+        if len(index.runs) > 1 and i + 1 < batches:
+            index = compact(index)
+    return remove(docs, found, index.buckets, doc_id, text)
