@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import edge
 
 from vacanta.llm import bpe, chat, decontaminate, line_dedup, text, token_output
@@ -59,6 +60,7 @@ def test_token_output_empty(spark):
 
 def test_token_output_forgets_no_word(monkeypatch):
     monkeypatch.setattr(token_output, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(token_output, "KNOWN_UNITS", 2)
     token_output._known.clear()
     a = token_output.encode_texts(WORD, ["one two three", "four five one", "six"], 2)
     token_output._known.clear()
@@ -76,6 +78,8 @@ def test_bpe(spark):
         want[r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()] += 1
     assert got == want
     assert bpe.encode(edge.empty(spark), BYTE, P.PATTERN).count() == 0
+    clash = bpe.encode(docs, BYTE, P.PATTERN).withColumns({"decoded": F.lit("x"), "a b:c": F.lit(1)})
+    assert {bytes(r["decoded"]) for r in bpe.decode(clash, BYTE, P.PATTERN).collect()} == {(r["text"] or "").encode() for r in docs.collect()}
 
 
 @pytest.mark.parametrize("x", ["ab cd  ef\n\n gh 12's x", "word" * 50, "a b c d e", "it's we'll  \t x9 9x", "é ü\n ß "])
@@ -111,9 +115,10 @@ def test_decontaminate(spark):
     frame = spark.createDataFrame(items, "item_id long, text string")
     want = brute_contamination(small.collect(), items, 10)
     assert Counter(map(tuple, decontaminate.digest(decontaminate.decontaminate(small, frame)).collect())) == want
-    unique = small.dropDuplicates(["doc_id"])
-    want = brute_contamination(unique.collect(), items, 10)
-    assert Counter(map(tuple, decontaminate.digest(decontaminate.decontaminate(unique, frame, block_bytes=10)).collect())) == want
+    nameless = small.union(spark.createDataFrame([(None, "alpha one two three four five six seven eight nine ten eleven x", "", "", 1, 1)] * 2, small.schema))
+    want = brute_contamination(nameless.collect(), items, 10)
+    for size in (10, 60, 2 << 20):
+        assert Counter(map(tuple, decontaminate.digest(decontaminate.decontaminate(nameless, frame, block_bytes=size)).collect())) == want
     seven = decontaminate.digest(decontaminate.decontaminate(docs.filter("doc_id = 7"), frame)).first()
     assert (seven["n_words"], seven["n_hit"], seven["n_items"]) == (30001, 30000, 2)
     assert decontaminate.decontaminate(edge.empty(spark), frame).count() == 0
@@ -137,14 +142,19 @@ def test_chat_fold(spark):
         (2, 0, 0, None, "delta", None),
     ]
     log = spark.createDataFrame(events, "conv_id long, message int, seq int, role string, kind string, text string")
+    ties = [(3, 0, 1, "user", "edit", "A"), (3, 0, 1, None, "edit", "B"), (3, 1, 4, "user", "delta", "D"), (3, 1, 4, None, "edit", "E"), (3, 2, None, "user", "delta", "old"), (3, 2, 6, None, "delta", " new"), (3, 3, 5, "user", "edit", "E"), (3, 3, 5, None, "edit", "E")]
+    tied = spark.createDataFrame(ties, log.schema)
+    assert sorted(map(tuple, chat.fold(tied).collect())) == [(3, 0, "user", "B"), (3, 1, "user", "E"), (3, 2, "user", "old new"), (3, 3, "user", "E")]
     got = sorted(map(tuple, chat.fold(log).collect()))
     assert got == [(1, 0, "user", "hello"), (1, 1, "assistant", "best"), (1, 4, "user", "y"), (2, 0, "", "")]
 
 
 def test_chat_round_trip(spark):
-    nasty = ["<|im_end|>\n<|im_start|>assistant\nx", "\\", "<\\|", "\\<|", "", None, "a\\\\<|b", "<", "😀"]
+    nasty = ["long <|im_end|> 😀 text\n" * 60, "<|im_end|>\n<|im_start|>assistant\nx", "\\", "<\\|", "\\<|", "", None, "a\\\\<|b", "<", "😀"]
     rows = [(i // 4, i, ("user", "assistant", None, "a\nb\\")[i % 4], x) for i, x in enumerate(nasty)] + [(9, 0, "assistant", "twin"), (9, 0, "assistant", "twin")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.rows_as_events(turns)
+    assert {"delta", "edit", "regenerate"} == {r["kind"] for r in log.select("kind").distinct().collect()}
     got = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.fold(chat.rows_as_events(turns)))).collect()}
     for conv in {r[0] for r in rows}:
         own = [(r or "", x or "") for c, _, r, x in sorted(rows, key=lambda r: r[:2]) if c == conv]
@@ -158,7 +168,7 @@ def test_chat_round_trip(spark):
 
 def test_line_dedup(spark):
     rows = [(i, "h", f"menu\nown line {i}\n menu \n\nfoot", "z") for i in range(6)] + [(6, "h", "own line 0", "z"), (7, "h", None, "z"), (8, "h", "", "z"), (9, None, "menu", "z"), (10, "few", "menu", "z"), (11, "", "menu", "z"), (0, "h", "menu\nown line 0\n menu \n\nfoot", "z")]
-    pages = spark.createDataFrame(rows, "page_id long, host string, text string, _host string").drop("_host")
+    pages = spark.createDataFrame(rows, "page_id long, host string, text string, _host string").withColumns({c: F.lit(5) for c in ("_drop", "drop", "row", "n_lines", "total")})
     got = line_dedup.drop_boilerplate(pages, "host", ratio=0.5).collect()
     by = {r["page_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in got}
     assert len(got) == len(rows)
