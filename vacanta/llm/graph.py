@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacanta.llm.shared import ship, written
+from vacanta.llm.shared import discard, ship, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +69,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     was = state(now)
     while was[0]:
-        now = written(star(star(now, True), False), "edges")
-        if (new := state(now)) == was:
+        before, now = now, written(star(star(now, True), False), "edges")
+        new = state(now)
+        discard(before)
+        if new == was:
             break
         was = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -32,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacanta.llm.graph import components
-from vacanta.llm.shared import partitions, ship, written
+from vacanta.llm.shared import discard, partitions, ship, written
 from vacanta.llm.text import NOT_SPACE, pieces, shingles, whole, words
 
 K = 5
 #: Shingles that are known to be frequent: 16 bytes each on every executor.
 FREQUENT = 200_000
+#: Shingles that a task counts at a time: 8 bytes each.
+COUNTED = 1 << 20
 #: Texts that a task remembers having read, so that it lists each once.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Words of 64 parities for each set, a power of 2. Fewer leave out fewer pairs; the result is the same.
 SKETCH = 8
 PARITIES = [f"s{i}" for i in range(SKETCH)]
@@ -91,21 +93,42 @@ def fresh(k1: np.ndarray, at: np.ndarray, seen: set) -> np.ndarray:
 
 
 def frequent(docs: DataFrame, text: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, ascending, and the magnitude of their counts; at most so many."""
+    """Shingles, ascending, and the magnitude of their counts; at most so many.
+
+    Shingles are counted COUNTED at a time in a task, whatever the size of the pieces that its texts come in. Which
+    are kept is decided by a histogram of magnitudes, so nothing is sorted as a whole.
+    """
+
+    def counts(values: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(values), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
 
     def run(batches):
         seen: set = set()
+        held, size = [], 0
         for b in pieces(batches, text):
             value, at, k1, _ = sets(b, text)
-            kept = np.repeat(fresh(k1, at, seen), np.diff(at))
-            found, n = np.unique(value[kept], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
+            held.append(value[np.repeat(fresh(k1, at, seen), np.diff(at))])
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield counts(held)
+                held, size = [], 0
+        if held:
+            yield counts(held)
 
     count = docs.select(text).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = count.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    count = written(count.withColumn("size", F.floor(F.log2("n")).cast("long")), "counts")
+    left, cut = most, None
+    for size, n in sorted(map(tuple, count.groupBy("size").count().collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        cut = size
+    top = count.filter(F.col("size") >= (64 if cut is None else cut)).select("shingle", "size").toArrow()
+    discard(count)
     value = top.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(value)
-    return value[order], np.log2(np.maximum(top.column("n").to_numpy()[order], 1)).astype(np.int64)
+    return value[order], top.column("size").to_numpy()[order]
 
 
 def postings(docs: DataFrame, text: str, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -228,14 +251,16 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_m
     links = written(verified(first, bodies), "links")
     label = components(links)
     x = lists.join(label.withColumnRenamed("node", "k1"), "k1", "left").select("shingle", "n", "k1", "place", F.coalesce("component", "k1").alias("label"))
-    x = written(x, "labelled")
+    x = x_table = written(x, "labelled")
     mixed = x.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
     x = x.join(mixed, "shingle", "left_semi").join(bits.drop("size"), "k1")
     y = x.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("n", "k1", "place", "label", *PARITIES)))
     second = x.filter("9 * place <= n").join(y, "shingle").filter("label <> label_ AND (n < n_ OR n = n_ AND k1 < k1_) AND 5 * n >= 4 * n_ AND 9 * least(n - place, n_ - place_) >= 4 * (n + n_) AND " + within_reach("n", "n_"))
     second = second.select(F.col("k1").alias("a"), F.col("k1_").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = written(verified(second, bodies), "links")
+    discard(lists, listed, bodies, first, x_table)
     label = components(links.union(more))
+    discard(links, more)
 
     class_ = named.filter("n > 0").groupBy("k1").agg(F.min("doc_id").alias("least"))
     rooted = class_.join(label.withColumnRenamed("node", "k1"), "k1", "left").select("k1", "least", F.coalesce("component", "k1").alias("root"))
