@@ -14,11 +14,19 @@ from pyspark.sql import types as T
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+BATCH_SETTING, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it.
+    """Let Python workers import this package from where the driver found it, and bound the batches they get.
 
-    A cluster installs it (or gets --py-files); this covers drivers that were started from another folder.
+    A cluster installs it (or gets --py-files); this covers drivers that were started from another folder. Arrow batches
+    are set to BATCH_BYTES unless the session has a size of its own: by default a batch may be 64 MB of text, which the
+    JVM and the worker both hold beside what is made of it.
     """
+    if spark.conf.get(BATCH_SETTING, "") == DEFAULT_BATCH:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), ROOT) if x)

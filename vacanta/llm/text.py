@@ -76,6 +76,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             end = min(end, batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+        # Freed buffers go back to the system: a worker shares its memory with a JVM and other workers.
+        pa.default_memory_pool().release_unused()
 
 
 @dataclass
