@@ -25,7 +25,7 @@ def ship(spark: SparkSession) -> None:
     are set to BATCH_BYTES unless the session has a size of its own: by default a batch may be 64 MB of text, which the
     JVM and the worker both hold beside what is made of it.
     """
-    if spark.conf.get(BATCH_SETTING, "") == DEFAULT_BATCH:
+    if spark.conf.get(BATCH_SETTING) == DEFAULT_BATCH:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
