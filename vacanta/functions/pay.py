@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacanta.functions import rules
-from vacanta.functions.place import has, ignoring_case
+from vacanta.functions.place import has, ignoring_case, let
 
 KIND = "struct<min: double, max: double, currency: string, period: string, raw: string, confirmed: boolean>"
 
@@ -35,44 +35,75 @@ def period_of(text: Column) -> Column:
 
 def scan(text: Column, default: Column, need_context: bool) -> Column:
     """A range, else a single figure; figures that only a word can tell from prose need one in the 120 characters before."""
-    period = period_of(text)
 
-    def look(number_pattern: str, joint: str, loose: str) -> Column:
-        both = ignoring_case(rf"([£$€]){loose}\s?({number_pattern})\s*(?:{joint})\s*([£$€])?\s?({number_pattern})")
-        one = ignoring_case(rf"([£$€])\s?({number_pattern})")
+    def introduced(t: Column, pattern: str) -> Column:
+        at = F.regexp_instr(t, F.lit(pattern))
+        return has(F.substring(t, F.greatest(F.lit(1), at - 120), F.least(F.lit(120), at - 1)), rules.PAY_WORD)
 
-        def group(p: str, i: int) -> Column:
-            return F.regexp_extract(text, p, i)
+    def code(symbol: Column) -> Column:
+        return F.coalesce(F.when(symbol == "£", "GBP").when(symbol == "$", "USD").when(symbol == "€", "EUR"), default)
 
-        def introduced(p: str) -> Column:
-            at = F.regexp_instr(text, F.lit(p))
-            lead = F.substring(text, F.greatest(F.lit(1), at - 120), F.least(F.lit(120), at - 1))
-            return has(lead, rules.PAY_WORD)
+    def look(t: Column, period: str, ranges: str, singles: str) -> Column:
+        both, one = ignoring_case(ranges), ignoring_case(singles)
 
-        def code(symbol: Column) -> Column:
-            return F.coalesce(F.when(symbol == "£", "GBP").when(symbol == "$", "USD").when(symbol == "€", "EUR"), default)
+        def single(m: Column) -> Column:
+            value = number(F.regexp_extract(m, one, 2))
+            doubt = ~introduced(t, one) if need_context else F.lit(False)
+            good = (m != "") & ~doubt & F.coalesce(value > 0, F.lit(False))
+            return F.when(good, salary(value, value, code(F.regexp_extract(m, one, 1)), F.lit(period), F.trim(m), True)).otherwise(salary())
 
-        mark = F.coalesce(F.nullif(group(both, 1), F.lit("")), F.nullif(group(both, 3), F.lit("")))
-        low, high, value = number(group(both, 2)), number(group(both, 4)), number(group(one, 2))
-        doubt = F.lit(True) if need_context else mark.isNull()
-        single = (
-            F.when(~has(text, rf"[£$€]\s?(?:{number_pattern})") | (F.lit(need_context) & ~introduced(one)) | ~F.coalesce(value > 0, F.lit(False)), salary())
-            .otherwise(salary(value, value, code(group(one, 1)), period, F.trim(group(one, 0)), True))
-        )
-        found = F.regexp_like(text, F.lit(both))
-        return F.when(found & doubt & ~introduced(both), salary()).when(found & (high >= low), salary(low, high, code(mark), period, F.trim(group(both, 0)), True)).otherwise(single)
+        def ranged(m: Column) -> Column:
+            # The match is read again for its parts: short, whatever the length of the text.
+            mark = F.coalesce(F.nullif(F.regexp_extract(m, both, 1), F.lit("")), F.nullif(F.regexp_extract(m, both, 3), F.lit("")))
+            low, high = number(F.regexp_extract(m, both, 2)), number(F.regexp_extract(m, both, 4))
+            doubt = F.lit(True) if need_context else mark.isNull()
+            return (
+                F.when((m != "") & doubt & ~introduced(t, both), salary())
+                .when((m != "") & (high >= low), salary(low, high, code(mark), F.lit(period), F.trim(m), True))
+                .otherwise(let(F.regexp_extract(t, one, 0), single))
+            )
 
-    # Rates have to carry a sign at their first figure; yearly figures need not.
-    return F.when(period == "year", look(rules.NUMBER, "-|–|—|to|up to", "?")).otherwise(look(rules.RATE, "-|–|—|to", ""))
+        return let(F.regexp_extract(t, both, 0), ranged)
+
+    def by_period(t: Column) -> Column:
+        # Rates have to carry a sign at their first figure; yearly figures need not.
+        rates = {p: look(t, p, rules.RATE_RANGE, rules.RATE_SINGLE) for p in ("day", "hour")}
+        return let(period_of(t), lambda p: F.when(p == "year", look(t, "year", rules.YEAR_RANGE, rules.YEAR_SINGLE)).when(p == "day", rates["day"]).otherwise(rates["hour"]))
+
+    return let(text, lambda t: F.when(t.rlike(r"\d"), by_period(t)).otherwise(salary()))
 
 
 def parse(text: Column, default: Column | None = None) -> Column:
+    """Each pattern is run once on a text; texts without a digit are not searched at all."""
     default = F.lit(None).cast("string") if default is None else default
-    full = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-    first, rest = F.substring(full, 1, 400), F.substring(full, 401, 19600)
-    silent = has(first, rules.NOISE) & ~first.rlike(r"[£$€]\s?\d")
-    near = scan(first, default, False)
-    return F.when(full == "", salary()).when(silent, salary(raw=F.substring(F.trim(first), 1, 120))).when(near["confirmed"] | (F.length(full) <= 400), near).otherwise(scan(rest, default, True))
+
+    def whole(full: Column) -> Column:
+        first, rest = F.substring(full, 1, 400), F.substring(full, 401, 19600)
+        silent = has(first, rules.NOISE) & ~first.rlike(r"[£$€]\s?\d")
+        near = let(scan(first, default, False), lambda s: F.when(s["confirmed"] | (F.length(full) <= 400), s).otherwise(scan(rest, default, True)))
+        return F.when(full == "", salary()).when(silent, salary(raw=F.substring(F.trim(first), 1, 120))).otherwise(near)
+
+    return let(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")), whole)
+
+
+def from_summary(summary: Column) -> Column:
+    """Pay of a structured summary text; the text itself is kept as raw."""
+    return let(parse(summary), lambda s: F.when(s["confirmed"], salary(s["min"], s["max"], s["currency"], s["period"], F.substring(F.trim(F.coalesce(summary, s["raw"])), 1, 120), True)).otherwise(s))
+
+
+def from_range(low_cents: Column, low_value: Column, low_plain: Column, high_cents: Column, high_value: Column, high_plain: Column, currency: Column, title: Column) -> Column:
+    """Pay of a structured range in cents or units; the high end falls back to the low one, and no figure at all to the title's text."""
+
+    def amount(cents: Column, *units: Column) -> Column:
+        return F.coalesce(F.when(cents > 0, cents / 100.0), *(F.when(u > 0, u.cast("double")) for u in units))
+
+    def both(x: Column) -> Column:
+        low, high = x["low"], x["high"]
+        shown = F.concat(F.format_number(low, 0), F.lit("-"), F.format_number(high, 0))
+        raw = F.when(low.isNotNull() & high.isNotNull(), F.coalesce(F.nullif(title, F.lit("")), shown))
+        return F.when(low.isNull() & high.isNull(), parse(title)).otherwise(salary(low, F.coalesce(high, low), currency, F.lit("year"), raw, True))
+
+    return let(F.struct(amount(low_cents, low_value, low_plain).alias("low"), amount(high_cents, high_value, high_plain).alias("high")), both)
 
 
 def label(s: Column) -> Column:

@@ -15,19 +15,27 @@ def has(text: Column, pattern: str) -> Column:
     return text.rlike(ignoring_case(pattern))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def country_of(location: Column) -> Column:
     """A country named outright, else a US state after a comma, else a known town; the first rule that holds."""
-    low = F.lower(location)
-    named = [F.when(low.rlike("(?U)" + p), F.lit(c)) for c, p in rules.COUNTRIES]
-    state = location.rlike(r",\s*(?:" + "|".join(rules.STATE_CODES) + r")\b") | low.rlike(r",\s*(?:" + "|".join(rules.STATE_NAMES) + r")\b")
-    towns = [F.when(low.rlike("(?U)" + p), F.lit(c)) for c, p in rules.CITIES]
-    return F.coalesce(*named, F.when(state, F.lit("US")), *towns)
+
+    def first(low: Column) -> Column:
+        named = [F.when(low.rlike("(?U)" + p), F.lit(c)) for c, p in rules.COUNTRIES]
+        state = location.rlike(r",\s*(?:" + "|".join(rules.STATE_CODES) + r")\b") | low.rlike(r",\s*(?:" + "|".join(rules.STATE_NAMES) + r")\b")
+        towns = [F.when(low.rlike("(?U)" + p), F.lit(c)) for c, p in rules.CITIES]
+        return F.coalesce(*named, F.when(state, F.lit("US")), *towns)
+
+    return let(F.lower(location), first)
 
 
 def countries_in(location: Column) -> Column:
     """All countries named, ascending."""
     parts = F.array_distinct(F.array_compact(F.transform(F.split(F.coalesce(location, F.lit("")), rules.SPLIT), country_of)))
-    return F.array_sort(F.when(F.size(parts) > 0, parts).otherwise(F.array_compact(F.array(country_of(location)))))
+    return let(parts, lambda found: F.array_sort(F.when(F.size(found) > 0, found).otherwise(F.array_compact(F.array(country_of(location))))))
 
 
 def remote_scope(description: Column) -> Column:
@@ -42,12 +50,12 @@ def generic_remote(location: Column) -> Column:
 
 def city_of(location: Column) -> Column:
     x = F.element_at(F.split(F.coalesce(location, F.lit("")), r"[|/]"), 1)
-    x = F.regexp_replace(x, r"(?iu)^\s*(?:remote|hybrid|on[- ]?site)\s*[-–—:,]\s*", "")
+    x = F.regexp_replace(x, "(?iu)" + rules.MODE_PREFIX, "")
     x = F.regexp_replace(F.element_at(F.split(x, ","), 1), r"^[ \-–—]+|[ \-–—]+$", "")
-    x = F.regexp_replace(x, r"^[A-Z]{2}-[A-Z]{2}-", "")
-    x = F.regexp_replace(x, r"(?i)\s+Area$", "")
-    x = F.regexp_replace(x, r"(?i)\s*\b[a-z]{1,2}\d[a-z\d]?\s*\d[a-z]{2}\b\s*$", "")
-    return F.when((x == "") | has(x, rules.NOT_A_CITY) | (F.length(x) > 34), F.lit("")).otherwise(F.trim(x))
+    x = F.regexp_replace(x, rules.COUNTRY_STATE_PREFIX, "")
+    x = F.regexp_replace(x, "(?i)" + rules.AREA_SUFFIX, "")
+    x = F.regexp_replace(x, "(?i)" + rules.POSTCODE_SUFFIX, "")
+    return let(x, lambda town: F.when((town == "") | has(town, rules.NOT_A_CITY) | (F.length(town) > 34), F.lit("")).otherwise(F.trim(town)))
 
 
 def posting_country(tag: Column, found: Column) -> Column:

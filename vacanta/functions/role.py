@@ -1,28 +1,49 @@
 """Title, level, working mode and right to work; keys and links of a posting."""
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacanta.functions import rules
-from vacanta.functions.place import has
+from vacanta.functions.place import has, let
 
 
 def seniority(title: Column) -> Column:
     """0 when nothing tells; a junior word wins over all others."""
     title = F.coalesce(title, F.lit(""))
-    return F.when(has(title, rules.JUNIOR), 1).otherwise(F.greatest(F.lit(0), *(F.when(has(title, p), n).otherwise(0) for n, p in rules.LEVELS)))
+    (junior, first), *others = rules.LEVELS
+    return F.when(has(title, first), junior).otherwise(F.greatest(F.lit(0), *(F.when(has(title, p), n).otherwise(0) for n, p in others)))
+
+
+def mentions(low: Column, words: list[str]) -> Column:
+    """Whether lower-case text holds any of these: much cheaper than a pattern, and most texts go no further."""
+    return reduce(lambda a, b: a | b, (low.contains(w) for w in words))
 
 
 def work_mode(title: Column, location: Column, description: Column, remote: Column) -> Column:
-    text = F.concat_ws(" ", title, location, F.substring(description, 1, 2500))
-    return F.when(has(text, rules.HYBRID), "hybrid").when(has(text, rules.ONSITE), "office").when(F.coalesce(remote, F.lit(False)) | has(text, rules.REMOTE), "remote").otherwise("unstated")
+    """hybrid before office before remote (by flag or text) before unstated."""
+
+    def mode(text: Column, low: Column) -> Column:
+        hybrid = mentions(low, ["hybrid", "office", "site"]) & has(text, rules.HYBRID)
+        office = mentions(low, ["office", "site", "person"]) & has(text, rules.ONSITE)
+        remote_text = mentions(low, ["remote", "anywhere"]) & has(text, rules.REMOTE)
+        return F.when(hybrid, "hybrid").when(office, "office").when(F.coalesce(remote, F.lit(False)) | remote_text, "remote").otherwise("unstated")
+
+    return let(F.concat_ws(" ", title, location, F.substring(description, 1, 2500)), lambda t: let(F.lower(t), lambda low: mode(t, low)))
 
 
 def work_rights(description: Column) -> Column:
-    d = F.coalesce(description, F.lit(""))
-    return F.when(has(d, rules.NO_SPONSOR), "no sponsorship").when(has(d, rules.EXPORT_CONTROL), "export control or clearance").when(has(d, rules.WILL_SPONSOR), "sponsorship offered").otherwise("")
+    """A refusal of sponsorship before export control before an offer; empty when nothing is said."""
+
+    def note(text: Column, low: Column) -> Column:
+        refused = mentions(low, ["sponsor", "visa", "permit", "right"]) & has(text, rules.NO_SPONSOR)
+        controlled = mentions(low, ["export", "itar", "ear", "author", "person", "citizen", "clearance", "vetting"]) & has(text, rules.EXPORT_CONTROL)
+        offered = mentions(low, ["sponsor", "visa"]) & has(text, rules.WILL_SPONSOR)
+        return F.when(refused, "no sponsorship").when(controlled, "export control or clearance").when(offered, "sponsorship offered").otherwise("")
+
+    return let(F.coalesce(description, F.lit("")), lambda t: let(F.lower(t), lambda low: note(t, low)))
 
 
 def any_of(terms: list[str]) -> str:
@@ -31,6 +52,47 @@ def any_of(terms: list[str]) -> str:
     return "|".join(edge(t[0]) + re.escape(t) + edge(t[-1]) for t in sorted(terms, key=len, reverse=True))
 
 
+def whole_words(terms: list[str]) -> str:
+    """One pattern of literal terms, longest first, between edges of words."""
+    return r"\b(?:" + "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True)) + r")\b"
+
+
+def any_place(terms: list[str]) -> str:
+    """One pattern of literal terms anywhere in a place."""
+    return "|".join(re.escape(t) for t in terms)
+
+
+#: Short forms in titles and what they stand for.
+SHORT_FORMS = [
+    ("fp&a", "financial planning and analysis"), ("hr", "human resources"), ("qa", "quality assurance"), ("pm", "project manager"), ("bd", "business development"),
+    ("sre", "site reliability engineer"), ("ml", "machine learning"), ("bi", "business intelligence"), ("ux", "user experience"), ("cs", "customer success"),
+    ("m&a", "mergers and acquisitions"), ("ap", "accounts payable"), ("ar", "accounts receivable"),
+]
+
+
+def title_variants(terms: list[str]) -> list[str]:
+    """Wanted titles with short forms written out and the reverse, wherever they stand, and with '&' for 'and'; on the driver.
+
+    Two rounds, as a form that is written out may hold an 'and'.
+    """
+    swaps = SHORT_FORMS + [(long, short) for short, long in SHORT_FORMS]
+    joins = [("&", " and "), (" and ", " & ")]
+
+    def tidy(t: str) -> str:
+        return " ".join(t.split())
+
+    known = {tidy(t.lower()) for t in terms}
+    for _ in range(2):
+        known |= {t.replace(x, y) for t in known for x, y in swaps}
+        known |= {tidy(t.replace(x, y)) for t in known for x, y in joins}
+    return sorted(filter(None, map(tidy, known)))
+
+
+def reason_key(reason: Column) -> Column:
+    """A drop reason without what stands in brackets."""
+    short = F.trim(F.regexp_replace(reason, r"\(.*?\)", ""))
+    return F.when(short == "", reason).otherwise(short)
+
 def uid(url: Column, company: Column, title: Column, location: Column) -> Column:
     link = F.lower(F.trim(F.coalesce(url, F.lit(""))))
     basis = F.when(link != "", F.regexp_replace(link, r"[?#].*$", "")).otherwise(F.lower(F.concat_ws("|", company, title, location)))

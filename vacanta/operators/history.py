@@ -14,7 +14,6 @@ from vacanta.functions import role
 # Statuses, and how far along each is.
 PROGRESS = {"new": 0, "skipped": 1, "interested": 2, "applied": 3, "submitted": 4, "closed": 5, "withdrawn": 6, "rejected": 7, "interviewing": 8, "offer": 9}
 SETTLED = ["rejected", "withdrawn", "skipped", "closed"]
-IN_FLIGHT = ["applied", "submitted", "interviewing", "offer"]
 DESCRIPTION_CHARS = 20_000
 LIVE_DAYS = 14
 

@@ -19,7 +19,7 @@ def score(postings: DataFrame, wanted: list[str], band: tuple[int, int], home: l
     at_home, moved = F.array_intersect(found, F.array(*map(F.lit, home))), F.array_intersect(found, F.array(*map(F.lit, relocate)).cast("array<string>"))
     scoped = F.arrays_overlap(scope, F.array(*map(F.lit, home)))
     remote = F.coalesce("remote", F.lit(False))
-    title = place.has(F.coalesce("title", F.lit("")), role.any_of(wanted))
+    title = place.has(F.coalesce("title", F.lit("")), role.whole_words(wanted))
 
     def named(before: str, c: Column, after: str = "") -> Column:
         return F.concat(F.lit(before), F.array_join(F.array_sort(c), ", "), F.lit(after))

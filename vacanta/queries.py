@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta import history_queries
+from vacanta import board_queries, board_view_queries, history_queries, source_queries
 from vacanta.functions import pay, place, role
+from vacanta.operators import history
+from vacanta.operators import score as scoring
 from vacanta.operators import screen as screening
 from vacanta.plans import postings as P
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-DEALBREAKERS = [("take home", r"take.home")]
+RULES = screening.Rules(P.WANTED, P.EXCLUDED, ["UK", "IE"], ["DE"], True, [], 55000.0, "GBP", [("take home", r"take.home", True), ("weekends", r"\bweekends\b", False)])
+NOT_GLASGOW = replace(RULES, places_excluded=["glasgow"])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +31,22 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(spark, sf_dir).withColumn("salary", pay.parse(F.col("pay")))
+    return screening.with_pay(postings(spark, sf_dir))
 
 
 def posting_keys(spark, sf_dir):
     p = postings(spark, sf_dir)
-    return p.select(*KEY, role.uid(F.col("url"), F.col("company"), F.col("title"), F.col("location")).alias("uid"), role.source_key(F.col("url")).alias("source_key"), role.directness(F.col("platform")).alias("directness"), role.safe_url(F.col("url")).alias("safe_url"))
+    return p.select(*KEY, role.uid(F.col("url"), F.col("company"), F.col("title"), F.col("location")).alias("uid"), role.source_key(F.col("url")).alias("source_key"), role.directness(F.col("platform")).alias("directness"), role.safe_url(F.col("link")).alias("safe_url"))
 
 
 def posting_places(spark, sf_dir):
-    p = postings(spark, sf_dir).withColumn("found", place.countries_in(F.col("location")))
-    return p.select(*KEY, F.array_join("found", ",").alias("countries"), place.city_of(F.col("location")).alias("city"), place.posting_country(F.lit(None).cast("string"), F.col("found")).alias("country"))
+    p = screening.with_places(postings(spark, sf_dir))
+    return p.select(*KEY, F.array_join("countries", ",").alias("countries"), "city", place.posting_country(F.col("tag"), F.col("countries")).alias("country"))
+
+
+def posting_scope(spark, sf_dir):
+    """Countries that a body limits a remote role to."""
+    return postings(spark, sf_dir).select(*KEY, F.array_join(place.remote_scope(F.col("description")), ",").alias("scope"))
 
 
 def posting_pay(spark, sf_dir):
@@ -51,15 +61,33 @@ def posting_roles(spark, sf_dir):
 
 
 def posting_dedupe(spark, sf_dir):
-    return screening.dedupe(paid(spark, sf_dir)).select(*KEY, "company", "title", "platform", "location", F.array_join("flags", "; ").alias("flags"))
+    return screening.dedupe(paid(spark, sf_dir), KEY, RULES.allowed).select(*KEY, "company", "title", "platform", "location", F.array_join("flags", "; ").alias("flags"))
 
 
-def screened(spark, sf_dir):
-    return screening.screen(paid(spark, sf_dir), P.WANTED, P.EXCLUDED, ["UK", "IE"], 55000.0, "GBP", DEALBREAKERS)
+def screen_gates(spark, sf_dir):
+    """The gate that drops each posting, and the flags of those kept, with places in Glasgow excluded."""
+    s = screening.screen(screening.derive(paid(spark, sf_dir)), NOT_GLASGOW)
+    return s.select(*KEY, F.coalesce("drop_reason", F.lit("")).alias("reason"), F.array_join("flags", "; ").alias("flags"))
+
+
+def today_of(rows: DataFrame):
+    """The greatest posted_at, as a scalar subquery."""
+    return rows.agg(F.max("posted_at")).scalar()
 
 
 def screen_reasons(spark, sf_dir):
-    return screened(spark, sf_dir).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts by drop reason of the whole screen: dedupe, derived columns, gates."""
+    s = screening.screen(screening.derive(screening.dedupe(paid(spark, sf_dir), KEY, RULES.allowed)), RULES)
+    return screening.reasons(s)
+
+
+def posting_scores(spark, sf_dir):
+    """Score of each posting that the screen keeps."""
+    p = paid(spark, sf_dir)
+    kept = screening.screen(screening.derive(p), RULES).filter("drop_reason IS NULL").withColumn("scope", place.remote_scope(F.col("description")))
+    band = screening.target_band(RULES.wanted, spark)
+    done = scoring.score(kept, role.title_variants(RULES.wanted), band, RULES.countries, RULES.relocate_to, RULES.floor, RULES.currency, today_of(postings(spark, sf_dir)))
+    return done.select(*KEY, "score", F.size("reasons").cast("long").alias("n_reasons"), F.size("flags").cast("long").alias("n_flags"))
 
 
 def coverage(spark, sf_dir):
@@ -71,9 +99,7 @@ def coverage(spark, sf_dir):
 
 def live_board(spark, sf_dir):
     """Roles seen in the 14 days up to the newest sighting of all, and whether they were first seen on that day."""
-    p = postings(spark, sf_dir)
-    newest = p.agg(F.max("last_seen").alias("newest"))
-    return p.crossJoin(F.broadcast(newest)).filter(F.col("last_seen") >= F.date_sub("newest", 14)).select(*KEY, F.col("last_seen").cast("string").alias("last_seen"), (F.col("first_seen") == F.col("newest")).alias("is_new"))
+    return history.live(postings(spark, sf_dir)).select(*KEY, F.col("last_seen").cast("string").alias("last_seen"), "is_new")
 
 
 def role_history(spark, sf_dir):
@@ -92,15 +118,6 @@ def throttled_sources(spark, sf_dir):
     return now.filter((F.col("was") >= 3) & F.col("n").isNull()).select("user_id", F.col("day").cast("string").alias("day"), "was")
 
 
-def document_keywords(spark, sf_dir, k: int = 5):
-    """The k most frequent words of three letters or more of each document; ties by word."""
-    d = table(spark, sf_dir, "documents")
-    word = d.select("doc_id", F.explode(F.expr("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{3,}', 0)")).alias("word"))
-    count = word.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    place_ = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "word"))
-    return count.withColumn("place", place_).filter(F.col("place") <= k).select("doc_id", "word", "n", F.col("place").cast("long").alias("place"))
-
-
 def sector_totals(spark, sf_dir):
     """Sources (suppliers) by country tag, untagged ones apart; boards without postings count 0."""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
@@ -112,37 +129,66 @@ def sector_totals(spark, sf_dir):
 READ = f"p AS ({P.view(**P.readings())})"
 K = ", ".join(KEY)
 GBP = "CASE WHEN r_min IS NULL OR coalesce(r_currency, '') <> 'GBP' THEN true ELSE CAST(r_max AS DOUBLE) * CASE r_period WHEN 'day' THEN 220 WHEN 'hour' THEN 1760 ELSE 1 END >= 55000 END"
+HIT = "'dealbreaker: ' || r_hard || CASE WHEN r_soft <> '' THEN ', ' || r_soft ELSE '' END"
+FLAGS = (
+    "concat_ws('; ', CASE WHEN r_rights <> '' THEN r_rights END, CASE WHEN r_min IS NULL THEN 'unconfirmed salary' WHEN r_currency <> 'GBP' THEN 'salary in ' || r_currency || ', floor in GBP, not compared' WHEN r_currency IS NULL THEN 'salary has no currency, floor in GBP, not compared' END, "
+    "CASE WHEN r_thin THEN 'not screened: no description from this source' END, CASE WHEN r_soft <> '' THEN 'soft flag: ' || r_soft END)"
+)
+DEDUPED = f"""p AS MATERIALIZED ({P.view(**P.readings())}),
+  b AS (SELECT *, count(*) OVER (PARTITION BY company, title) AS members, row_number() OVER (PARTITION BY company, title ORDER BY CASE platform WHEN 'linkedin' THEN 0 WHEN 'nhs' THEN 1 ELSE 2 END DESC, r_min IS NOT NULL DESC, length(description) DESC, {K}) AS rn FROM p),
+  f AS (SELECT company, title, location, r_countries, row_number() OVER (PARTITION BY company, title, location ORDER BY {K}) AS one, {K} FROM p),
+  l AS (SELECT company, title, location, r_countries, row_number() OVER (PARTITION BY company, title ORDER BY CASE WHEN regexp_matches(r_countries, 'UK|IE|DE') THEN 0 ELSE 1 END, {K}) AS i FROM f WHERE one = 1 AND location <> ''),
+  j AS (SELECT company, title, string_agg(CASE WHEN i <= 6 THEN location END, ' / ' ORDER BY i) || CASE WHEN count(*) > 6 THEN ' +' || CAST(count(*) - 6 AS VARCHAR) || ' more' ELSE '' END AS locations, count(*) AS spots,
+    bool_or(i <= 6 AND r_countries <> '') AS known, bool_or(i <= 6 AND regexp_matches(r_countries, 'UK|IE|DE')) AS allowed FROM l GROUP BY company, title),
+  g0 AS (SELECT company, title, count(DISTINCT location) AS kinds, list_sort(list(DISTINCT platform)) AS platforms FROM p GROUP BY company, title),
+  dd AS (SELECT b.* EXCLUDE (location, rn), CASE WHEN members = 1 THEN b.location ELSE coalesce(locations, '') END AS location, coalesce(known, false) AS known, coalesce(allowed, false) AS allowed,
+    concat_ws('; ', CASE WHEN len(platforms) > 1 THEN 'also listed on ' || array_to_string(list_filter(platforms, lambda x: x <> b.platform), ', ') END, CASE WHEN kinds > 1 THEN 'posted in ' || CAST(coalesce(spots, 0) AS VARCHAR) || ' locations' END) AS flags
+    FROM b LEFT JOIN j USING (company, title) JOIN g0 USING (company, title) WHERE rn = 1)"""
 ORACLES = {
-    "posting_keys": f"WITH {READ} SELECT {K}, substr(sha1(regexp_replace(url, '[?#].*$', '')), 1, 16) AS uid, url AS source_key, CASE platform WHEN 'linkedin' THEN 0 WHEN 'nhs' THEN 1 ELSE 2 END AS directness, url AS safe_url FROM p",
-    "posting_places": f"WITH {READ} SELECT {K}, r_countries AS countries, r_city AS city, CASE WHEN r_countries = '' THEN NULL WHEN r_countries LIKE '%,%' THEN 'multiple' ELSE r_countries END AS country FROM p",
+    "posting_keys": f"WITH {READ} SELECT {K}, substr(sha1(regexp_replace(url, '[?#].*$', '')), 1, 16) AS uid, split_part(url, '#', 1) AS source_key, CASE platform WHEN 'linkedin' THEN 0 WHEN 'nhs' THEN 1 ELSE 2 END AS directness, CASE WHEN l_linenumber = 5 THEN '' ELSE link END AS safe_url FROM p",
+    "posting_places": f"WITH {READ} SELECT {K}, r_countries AS countries, r_city AS city, CASE WHEN tag IS NOT NULL THEN tag WHEN r_countries = '' THEN NULL WHEN r_countries LIKE '%,%' THEN 'multiple' ELSE r_countries END AS country FROM p",
+    "posting_scope": f"WITH {READ} SELECT {K}, r_scope AS scope FROM p",
     "posting_pay": f"WITH {READ} SELECT {K}, CAST(r_min AS DOUBLE) AS pay_min, CAST(r_max AS DOUBLE) AS pay_max, r_currency AS currency, r_period AS period, r_min IS NOT NULL AS confirmed, CAST(r_max AS DOUBLE) * CASE r_period WHEN 'day' THEN 220 WHEN 'hour' THEN 1760 ELSE 1 END AS per_year, r_label AS label, {GBP} AS clears FROM p",
     "posting_roles": f"WITH {READ} SELECT {K}, r_level AS level, r_mode AS mode, r_rights AS rights FROM p",
-    "posting_dedupe": f"""WITH {READ},
-  b AS (SELECT *, row_number() OVER (PARTITION BY company, title ORDER BY CASE platform WHEN 'linkedin' THEN 0 WHEN 'nhs' THEN 1 ELSE 2 END DESC, r_min IS NOT NULL DESC, length(description) DESC, {K}) AS rn FROM p),
-  f AS (SELECT company, title, location, row_number() OVER (PARTITION BY company, title, location ORDER BY {K}) AS one, {K} FROM p),
-  l AS (SELECT company, title, location, row_number() OVER (PARTITION BY company, title ORDER BY {K}) AS i FROM f WHERE one = 1 AND location <> ''),
-  j AS (SELECT company, title, string_agg(CASE WHEN i <= 6 THEN location END, ' / ' ORDER BY i) || CASE WHEN count(*) > 6 THEN ' +' || CAST(count(*) - 6 AS VARCHAR) || ' more' ELSE '' END AS locations, count(*) AS spots FROM l GROUP BY company, title),
-  g AS (SELECT company, title, count(DISTINCT location) AS kinds FROM p GROUP BY company, title),
-  o AS (SELECT q.company, q.title, string_agg(DISTINCT q.platform, ', ' ORDER BY q.platform) AS others FROM p q JOIN b ON b.company = q.company AND b.title = q.title AND b.rn = 1 WHERE q.platform <> b.platform GROUP BY q.company, q.title)
-SELECT {K}, b.company, b.title, platform, coalesce(locations, '') AS location,
-  concat_ws('; ', CASE WHEN others IS NOT NULL THEN 'also listed on ' || others END, CASE WHEN kinds > 1 THEN 'posted in ' || CAST(coalesce(spots, 0) AS VARCHAR) || ' locations' END) AS flags
-FROM b LEFT JOIN j USING (company, title) JOIN g USING (company, title) LEFT JOIN o USING (company, title) WHERE rn = 1""",
-    "screen_reasons": f"""WITH {READ} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN r_gate <> '' THEN r_gate WHEN location IN ('', 'Remote') THEN
-    CASE WHEN NOT {GBP} THEN 'stated pay below floor' WHEN r_hard <> '' THEN 'dealbreaker: ' || r_hard ELSE 'kept' END
-  WHEN r_countries = '' THEN 'location not recognised' WHEN r_countries NOT LIKE '%UK%' AND r_countries NOT LIKE '%IE%' THEN 'outside target countries'
-  WHEN NOT {GBP} THEN 'stated pay below floor' WHEN r_hard <> '' THEN 'dealbreaker: ' || r_hard ELSE 'kept' END AS reason FROM p) GROUP BY reason""",
+    "posting_dedupe": f"""WITH {DEDUPED} SELECT {K}, company, title, platform, location, flags FROM dd""",
+    "screen_gates": f"""WITH {READ}, g AS (SELECT *, CASE WHEN r_gate <> '' THEN r_gate WHEN r_left IS NULL THEN 'location excluded (' || location || ')'
+    WHEN r_left IN ('', 'Remote') AND r_scope = 'US' THEN 'remote but restricted to US' WHEN r_left NOT IN ('', 'Remote') AND r_left_countries = '' THEN 'location not recognised (' || r_left || ')'
+    WHEN r_left NOT IN ('', 'Remote') AND NOT regexp_matches(r_left_countries, 'UK|IE|DE') THEN r_left || ' outside target countries'
+    WHEN NOT {GBP} THEN 'stated pay below floor' WHEN r_hard <> '' THEN {HIT} ELSE '' END AS reason FROM p)
+SELECT {K}, reason, CASE WHEN reason = '' THEN {FLAGS} ELSE r_rights END AS flags FROM g""",
+    "screen_reasons": f"""WITH {DEDUPED}, g AS (SELECT CASE WHEN r_gate <> '' THEN r_gate WHEN location IN ('', 'Remote') AND r_scope = 'US' THEN 'remote but restricted to US'
+    WHEN location NOT IN ('', 'Remote') AND NOT known THEN 'location not recognised' WHEN location NOT IN ('', 'Remote') AND NOT allowed THEN location || ' outside target countries'
+    WHEN NOT {GBP} THEN 'stated pay below floor' WHEN r_hard <> '' THEN {HIT} ELSE 'kept' END AS reason FROM dd)
+SELECT reason, count(*) AS n FROM g GROUP BY reason""",
+    "posting_scores": f"""WITH {READ}, m AS (SELECT max(posted_at) AS today FROM p), g AS (SELECT *, r_min IS NOT NULL AS stated, r_min IS NOT NULL AND coalesce(r_currency, 'GBP') = 'GBP' AS alike, CAST(r_max AS DOUBLE) * CASE r_period WHEN 'day' THEN 220 WHEN 'hour' THEN 1760 ELSE 1 END AS per_year,
+    date_diff('day', posted_at, today) AS age, {FLAGS} AS flags, coalesce(remote, false) AND r_countries = '' AS nowhere FROM p, m
+    WHERE r_gate = '' AND (location IN ('', 'Remote') AND r_scope <> 'US' OR regexp_matches(r_countries, 'UK|IE|DE')) AND {GBP} AND r_hard = ''),
+  s AS (SELECT *, regexp_matches(r_countries, 'UK|IE') AS home, stated AND alike AND per_year >= 55000 * 1.15 AS ample, CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, '; ')) END AS n FROM g)
+SELECT {K}, CAST(least(100, greatest(0, 35 + CASE WHEN home OR nowhere THEN 20 WHEN r_countries <> '' THEN 8 ELSE 0 END + CASE WHEN alike THEN 10 WHEN stated THEN 4 ELSE 0 END
+    + CASE WHEN ample THEN 10 ELSE 0 END + CASE WHEN age <= 7 THEN 15 WHEN age <= 21 THEN 8 ELSE 0 END + CASE WHEN n = 0 THEN 10 ELSE 0 END - CASE WHEN r_level >= 6 THEN 25 WHEN r_level = 5 THEN 8 ELSE 0 END)) AS DOUBLE) AS score,
+  CAST(1 + CASE WHEN home OR nowhere OR r_countries <> '' THEN 1 ELSE 0 END + 1 + CASE WHEN ample THEN 1 ELSE 0 END + CASE WHEN age <= 21 THEN 1 ELSE 0 END + CASE WHEN r_level >= 5 THEN 1 ELSE 0 END AS BIGINT) AS n_reasons,
+  CAST(n + CASE WHEN r_level >= 6 THEN 1 ELSE 0 END AS BIGINT) AS n_flags FROM s""",
     "coverage": f"WITH {READ} SELECT coalesce(platform, '*') AS platform, coalesce(r_mode, '*') AS mode, count(*) AS n FROM p GROUP BY GROUPING SETS ((platform), (r_mode), ())",
     "live_board": f"WITH {READ}, m AS (SELECT max(last_seen) AS newest FROM p) SELECT {K}, CAST(last_seen AS VARCHAR) AS last_seen, first_seen = newest AS is_new FROM p, m WHERE last_seen >= newest - INTERVAL 14 DAY",
     "role_history": "SELECT user_id, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS first_seen, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS last_seen, count(DISTINCT CAST(ts AS DATE)) AS runs, (array_agg(event_type ORDER BY ts DESC, event_id DESC))[1] AS status FROM events GROUP BY user_id",
     "throttled_sources": "WITH c AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2), days AS (SELECT DISTINCT d FROM c) SELECT a.user_id, CAST(days.d AS VARCHAR) AS day, a.n AS was FROM c a JOIN days ON days.d = CAST(a.d + INTERVAL 1 DAY AS DATE) LEFT JOIN c b ON b.user_id = a.user_id AND b.d = days.d WHERE a.n >= 3 AND b.n IS NULL",
-    "document_keywords": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{3,}')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM c) SELECT * FROM r WHERE place <= 5",
     "sector_totals": "SELECT coalesce(n_name, 'untagged') AS country, count(*) AS sources, CAST(sum(coalesce(n, 0)) AS BIGINT) AS postings FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) ON s_suppkey = l_suppkey GROUP BY 1",
 }
 
 
+#: Modules with queries of their own.
+OTHERS = (history_queries, board_queries, board_view_queries, source_queries)
+
+
 def queries() -> dict:
-    return {name: globals()[name] for name in ORACLES} | history_queries.queries()
+    out = {name: globals()[name] for name in ORACLES}
+    for m in OTHERS:
+        out |= m.queries()
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | history_queries.oracle_sql()
+    out = dict(ORACLES)
+    for m in OTHERS:
+        out |= m.oracle_sql()
+    return out
