@@ -14,8 +14,9 @@ of 1 - RECALL of all.
 
 The passes of a round are one sort: first of keys and ids alone, which gives each vector its rank; then vectors go to
 blocks of ranks, with the first WINDOW of the next block. A block gives a spanning forest of its pairs, so that a
-dense group adds a row for each member and not for each pair. n_links is then counted inside each component in
-tiles of bounded size, exactly: nothing caps the links of a vector.
+dense group adds a row for each member and not for each pair. n_links is then counted inside each component, exactly:
+members near enough to its centre all link with one another and are counted, the others are compared in tiles of bounded
+size. Nothing caps the links of a vector.
 
 Equal vectors are one vector with a count. Vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different length do not link. Rows with the same vec_id are vectors of their own.
@@ -193,20 +194,66 @@ def tile(threshold: float):
     return one
 
 
+def sums(t: pa.Table) -> pa.Table:
+    """The sum of the unit vectors of one slice of a component."""
+    t = t.combine_chunks()
+    total = np.array(matrix(t.column("embedding").combine_chunks())).sum(0)
+    return pa.table({"component": t.column("component")[:1], "total": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+
+def centre(t: pa.Table) -> pa.Table:
+    """The direction of the sums of all slices of a component."""
+    total = np.array(t.column("total").to_pylist()).sum(0)
+    length = math.sqrt(total @ total)
+    return pa.table({"component": t.column("component")[:1], "centre": pa.array([(total / length if length else total).tolist()], pa.list_(pa.float64()))})
+
+
+def cores(large: DataFrame, threshold: float) -> DataFrame:
+    """Members of large components, with core: closer to the centre of the component than half the angle of the threshold.
+
+    Any two such members link, so they are counted and need no products.
+    """
+    reach = math.cos(math.acos(threshold) / 2 - 1e-9)
+
+    def run(batches):
+        for b in batches:
+            rows, middle = matrix(b.column("embedding")), b.column("centre").to_pylist()
+            near = pa.array([bool(x @ np.array(c) >= reach) for x, c in zip(rows, middle, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "mult", "embedding", "component")), near], ["rep", "mult", "embedding", "component", "core"])
+
+    slice_ = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
+    kind = large.schema["embedding"].dataType.simpleString()
+    parts = large.select("embedding", "component", slice_.alias("slice")).groupBy("component", "slice").applyInArrow(sums, "component long, total array<double>")
+    middle = parts.groupBy("component").applyInArrow(centre, "component long, centre array<double>")
+    return large.join(middle, "component").select("rep", "mult", "embedding", "component", "centre").mapInArrow(run, f"rep long, mult long, embedding {kind}, component long, core boolean")
+
+
 def links_inside(members: DataFrame, threshold: float) -> DataFrame:
-    """rep and links: for each member (rep, mult, embedding, component) the vectors of its component that it links with."""
+    """rep and links: for each member (rep, mult, embedding, component) the vectors of its component that it links with.
+
+    Components of up to BLOCK members share tiles of products. Of a larger one only the members outside its core are
+    multiplied, with one another and with the core; a crowd of near copies is all core and needs a count alone.
+    """
     size = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     total = size.agg(F.sum("n")).first()[0] or 0
     bins = -(-total // BLOCK) + 1
-    slices = F.ceil(F.col("n") / BLOCK)
-    sliced = members.join(size, "component").select("rep", "mult", "embedding", "component", slices.alias("slices"), F.when(slices > 1, F.pmod(F.xxhash64("rep"), slices)).otherwise(0).alias("slice"))
-    # Components of one slice share tiles; larger ones have a tile for each pair of slices.
-    tiled = sliced.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).select(
-        "rep", "mult", "embedding", "component", "slice",
-        F.when(F.col("slices") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(bins))).alias("tile"),
-        F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"),
-    )
-    return tiled.groupBy("tile", "low", "high").applyInArrow(tile(threshold), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    sized = members.join(size, "component")
+    bin_ = -1 - F.pmod(F.xxhash64("component"), F.lit(bins))
+    zero = F.lit(0).cast("long")
+    small = sized.filter(F.col("n") <= BLOCK).select("rep", "mult", "embedding", "component", zero.alias("slice"), bin_.alias("tile"), zero.alias("low"), zero.alias("high"))
+
+    marked = written(cores(sized.filter(F.col("n") > BLOCK), threshold), "cores")
+    inside = marked.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("mult")).otherwise(0)).alias("in_core"), F.count_if(~F.col("core")).alias("out"), F.count_if("core").alias("n_core"))
+    far, near = F.ceil(F.col("out") / BLOCK), F.ceil(F.col("n_core") / BLOCK)
+    # Slices of members outside come first; a member of the core meets only those.
+    slice_ = F.when(F.col("core"), far + F.pmod(F.xxhash64("rep"), near)).otherwise(F.pmod(F.xxhash64("rep"), far))
+    others = F.when(F.col("core"), far).otherwise(far + near)
+    apart = marked.join(inside, "component").filter("out > 0").select("rep", "mult", "embedding", "component", slice_.alias("slice"), F.explode(F.sequence(zero, others - 1)).alias("other"))
+    large = apart.select("rep", "mult", "embedding", "component", "slice", F.col("component").alias("tile"), F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"))
+
+    tiled = small.unionByName(large).groupBy("tile", "low", "high").applyInArrow(tile(threshold), "rep long, links long")
+    counted = marked.filter("core").join(inside, "component").select("rep", (F.col("in_core") - F.col("mult")).alias("links"))
+    return tiled.unionByName(counted).groupBy("rep").agg(F.sum("links").alias("links"))
 
 
 def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, window: int = WINDOW, seed: int = 11) -> DataFrame:
