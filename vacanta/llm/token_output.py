@@ -122,9 +122,14 @@ def write(encoded: DataFrame, path: str, stripe_bytes: int = 16 << 20, stride: i
     )
 
 
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows as written; a filter on doc_id goes down to the stripes and row groups that may hold it."""
+    return spark.read.orc(path)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids of a written folder."""
-    files = spark.read.orc(path)
+    files = read_rows(spark, path)
     total = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     # One row for each file meets in this window, however long the files are.
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
