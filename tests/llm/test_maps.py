@@ -52,6 +52,27 @@ def test_token_output(spark):
     assert "EqualTo(doc_id,5)" in plan
 
 
+def test_token_lookup_reads_few_rows(spark):
+    """A document is found through the statistics and Bloom filters of doc_id: most row groups are not read."""
+    docs = spark.range(20_000).selectExpr("(id * 7919) % 20011 as doc_id", "concat('word ', id) as text").coalesce(1)
+    path = shared_path(spark, "t")
+    token_output.write(token_output.encode(docs, WORD, 2), path, stride=1000)
+
+    def scanned(condition):
+        found = token_output.read_rows(spark, path).filter(condition)
+        execution = found._jdf.queryExecution()
+        n, node = execution.toRdd().count(), execution.executedPlan()
+        while node.children().size():
+            node = node.children().apply(0)
+        return n, node.metrics().apply("numOutputRows").value()
+
+    some = docs.first()["doc_id"]
+    n, read = scanned(f"doc_id = {some}")
+    assert n == 1 and read <= 2000
+    n, read = scanned("doc_id = -5")
+    assert n == 0 and read == 0
+
+
 def test_token_output_empty(spark):
     path = shared_path(spark, "t")
     token_output.write(token_output.encode(edge.empty(spark), WORD, 2), path)
