@@ -36,8 +36,9 @@ from vacanta.llm.shared import discard, partitions, ship, written
 from vacanta.llm.text import NOT_SPACE, pieces, shingles, whole, words
 
 K = 5
-#: Shingles that are known to be frequent: 16 bytes each on every executor.
-FREQUENT = 200_000
+#: Shingles that are known to be frequent: 16 bytes each on every executor. With more repeated shingles than this, those
+#: repeated least count as rare, which compares more pairs and gives the same result.
+FREQUENT = 1 << 20
 #: Shingles that a task counts at a time: 8 bytes each.
 COUNTED = 1 << 20
 #: Texts that a task remembers having read, so that it lists each once.
@@ -96,7 +97,7 @@ def frequent(docs: DataFrame, text: str, most: int) -> tuple[np.ndarray, np.ndar
     """Shingles, ascending, and the magnitude of their counts; at most so many.
 
     Shingles are counted COUNTED at a time in a task, whatever the size of the pieces that its texts come in. Which
-    are kept is decided by a histogram of magnitudes, so nothing is sorted as a whole.
+    are kept is decided by a histogram of counts up to 64, so nothing is sorted as a whole.
     """
 
     def counts(values: list[np.ndarray]) -> pa.RecordBatch:
@@ -117,18 +118,18 @@ def frequent(docs: DataFrame, text: str, most: int) -> tuple[np.ndarray, np.ndar
             yield counts(held)
 
     count = docs.select(text).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    count = written(count.withColumn("size", F.floor(F.log2("n")).cast("long")), "counts")
+    count = written(count.withColumns({"size": F.least("n", F.lit(64)), "magnitude": F.floor(F.log2("n")).cast("long")}), "counts")
     left, cut = most, None
     for size, n in sorted(map(tuple, count.groupBy("size").count().collect()), reverse=True):
         left -= n
         if left < 0:
             break
         cut = size
-    top = count.filter(F.col("size") >= (64 if cut is None else cut)).select("shingle", "size").toArrow()
+    top = count.filter(F.col("size") >= (65 if cut is None else cut)).select("shingle", "magnitude").toArrow()
     discard(count)
     value = top.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(value)
-    return value[order], top.column("size").to_numpy()[order]
+    return value[order], top.column("magnitude").to_numpy()[order]
 
 
 def postings(docs: DataFrame, text: str, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
