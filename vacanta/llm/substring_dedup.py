@@ -33,6 +33,9 @@ from vacanta.llm.text import NOT_SPACE, mix, pieces, runs, words
 
 WINDOW = 13
 RUN = 4
+#: Batches of dedup(): where the range of ids is cut, and how many runs are compacted to one. Runs are written and shuffled
+#: again with every batch, so the history before the last batch is kept small.
+EDGES, MOST_RUNS = (1 / 32, 2 / 32, 3 / 32), 3
 #: Bytes of text for each bucket of fingerprints and each group of documents.
 BUCKET_BYTES = 8 << 20
 
@@ -306,21 +309,22 @@ def remove(docs: DataFrame, found: DataFrame, groups: int, doc_id: str = "doc_id
     return texts.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 4) -> DataFrame:
-    """The documents as so many batches, equal ranges of doc_id in ascending order, each met with the index of those before.
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edges: tuple[float, ...] = EDGES, most_runs: int = MOST_RUNS) -> DataFrame:
+    """The documents as batches in ascending order of doc_id, cut at these shares of the range of ids.
 
-    The first batch makes a run, every further one is merge-joined with the runs there are and adds its own; two runs
-    are compacted to one before the next batch comes. The last batch needs no run.
+    The first batch makes a run; every further one is merge-joined with the runs that there are and adds its own, and
+    most_runs of them are compacted to one before the next batch comes. The last batch needs no run.
     """
     size, low, high = docs.agg(F.sum(F.octet_length(F.col(text))), F.min(doc_id), F.max(doc_id)).first()
     index = Index(max(8, -(-(size or 0) // BUCKET_BYTES)))
     if low is None:
         low = high = 0
-    span, found = high - low + 1, None
-    for i in range(batches):
-        first, last = low + span * i // batches, low + span * (i + 1) // batches
-        part, index = add(index, docs.filter((F.col(doc_id) >= first) & (F.col(doc_id) < last)), doc_id, text, keep_run=i + 1 < batches)
+    ends = [low + int((high + 1 - low) * e) for e in edges] + [high + 1]
+    found = None
+    for i, (first, last) in enumerate(zip([low, *ends[:-1]], ends, strict=True)):
+        final = i + 1 == len(ends)
+        part, index = add(index, docs.filter((F.col(doc_id) >= first) & (F.col(doc_id) < last)), doc_id, text, keep_run=not final)
         found = part if found is None else found.unionByName(part)
-        if len(index.runs) > 1 and i + 1 < batches:
+        if len(index.runs) >= most_runs and not final:
             index = compact(index)
     return remove(docs, found, index.buckets, doc_id, text)
