@@ -42,8 +42,8 @@ def corpus(seed=3):
 def test_against_brute_force(spark):
     docs = edge.documents(spark, corpus()).repartition(4)
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
-    for batches in (1, 2, 5):
-        assert Counter(map(tuple, sub.dedup(docs, batches=batches).collect())) == want
+    for edges in ((), (0.3,), (0.2, 0.4, 0.6), (0.1, 0.3, 0.5, 0.7, 0.9)):
+        assert Counter(map(tuple, sub.dedup(docs, edges=edges).collect())) == want
     assert any(n for _, _, n, _ in want)
 
 
@@ -76,8 +76,8 @@ def test_windows_around_one_phrase_that_agree_in_32_bits(spark):
     assert pairs
     rows = [(i, x) for i, x in enumerate(x for p in pairs for x in p)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for batches in (1, 2):
-        assert Counter(map(tuple, sub.dedup(docs, batches=batches).collect())) == brute(rows)
+    for edges in ((), (0.5,)):
+        assert Counter(map(tuple, sub.dedup(docs, edges=edges).collect())) == brute(rows)
 
 
 def test_empty(spark):
