@@ -71,14 +71,14 @@ def signals(documents: DataFrame, text: str = "text") -> DataFrame:
     plain = F.filter("_lines", lambda x: F.length(x).between(40, 400) & ~((F.upper(x) == x) & (F.lower(x) != x)))
     rows = rows.withColumn("_bullets", let(marked, lambda m: F.when(F.size(m) > 0, m).otherwise(plain)))
     verbs = F.array(*map(F.lit, W.VERBS))
-    metric = F.size(F.filter("_bullets", lambda b: F.lower(b).rlike(W.METRIC)))
+    metric = F.size(F.filter("_bullets", lambda b: F.lower(b).rlike("(?U)" + W.METRIC)))
     led = F.size(F.filter("_bullets", lambda b: F.array_contains(verbs, F.regexp_replace(F.lower(F.regexp_extract(b, r"\S+", 0)), "[^a-z]", ""))))
     n, words = F.size("_bullets"), F.regexp_count("_full", F.lit(r"\S+"))
     missing = F.array_compact(F.array(*(F.when(~F.col("_full").rlike(r"(?im)^\W{0,3}(" + "|".join(names) + r")\b") & ~F.col("_low").rlike("|".join(names)), F.lit(k)) for k, names in W.SECTIONS.items())))
     slop = F.array_sort(F.array_compact(F.array(*(F.when(F.col("_low").contains(w) & F.col("_low").rlike(r"\b" + re.escape(w) + r"\b"), F.lit(w)) for w in W.SLOP))))
     made = {
         "word_count": words, "est_pages": F.bround(words / 500.0, 1), "bullets": n, "with_metric": metric, "metric_pct": percent(metric, n), "verb_led": led, "verb_pct": percent(led, n), "missing_sections": missing,
-        "has_email": F.col("_full").rlike(W.EMAIL), "has_phone": F.col("_full").rlike(W.PHONE), "has_linkedin": F.col("_low").contains("linkedin.com"), "year_tokens": F.regexp_count("_full", F.lit(W.YEAR)),
+        "has_email": F.col("_full").rlike("(?U)" + W.EMAIL), "has_phone": F.col("_full").rlike(W.PHONE), "has_linkedin": F.col("_low").contains("linkedin.com"), "year_tokens": F.regexp_count("_full", F.lit(W.YEAR)),
         "date_ranges": F.regexp_count("_low", F.lit(W.YEARS)), "em_dashes": F.length("_full") - F.length(F.replace("_full", F.lit("—"), F.lit(""))), "slop_terms": slop,
     }
     return rows.withColumns(made).drop("_lines", "_full", "_low", "_bullets")
@@ -96,7 +96,7 @@ def titles(text: Column, top: int = TOP_TITLES) -> Column:
 
 def specifics(text: Column) -> Column:
     """Figures and words of scale, as written."""
-    return F.concat(F.transform(all_of(text, W.FIGURE), lambda t: F.trim(t)), all_of(text, "(?i)" + W.SCALE_WORD))
+    return F.concat(F.transform(all_of(text, "(?U)" + W.FIGURE), lambda t: F.trim(t)), all_of(text, "(?iuU)" + W.SCALE_WORD))
 
 
 def plain(token: Column) -> Column:
@@ -105,7 +105,7 @@ def plain(token: Column) -> Column:
 
 def unsourced(draft: Column, source: Column, most: int = MOST_UNSOURCED) -> Column:
     """The first specifics of a draft, each once, that its source has nowhere; years and single digits are no claims."""
-    known = F.array_union(F.transform(all_of(blank(source), W.FIGURE), lambda t: plain(F.trim(t))), F.transform(all_of(blank(source), "(?i)" + W.SCALE_WORD), lambda t: F.lower(t)))
+    known = F.array_union(F.transform(all_of(blank(source), "(?U)" + W.FIGURE), lambda t: plain(F.trim(t))), F.transform(all_of(blank(source), "(?iuU)" + W.SCALE_WORD), lambda t: F.lower(t)))
     new = let(known, lambda have: F.filter(specifics(blank(draft)), lambda t: ~F.array_contains(have, plain(t)) & ~F.array_contains(have, F.lower(t)) & ~plain(t).rlike(r"^(?:19|20)\d\d$|^\d$")))
     return F.slice(F.array_distinct(new), 1, most)
 
