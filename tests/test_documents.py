@@ -1,9 +1,10 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from vacanta.functions import role, text
-from vacanta.operators import documents, screen
+from vacanta.operators import documents, history, screen
 from vacanta.sources import boards
 
 NUMBER = re.compile(r"(?<![\w.])\d[\d,.]*\s?[%kKmMbB]?(?![\w])")
@@ -65,3 +66,17 @@ def test_bad_payloads(spark):
     parsed = boards.parse(raw)
     assert [r["source_key"] for r in parsed.collect()] == ["b"]
     assert [r["source_key"] for r in boards.bad_payloads(raw, parsed).collect()] == ["a"]
+
+
+def test_refusals(spark):
+    with pytest.raises(Exception, match="not known: atlantis"):
+        one(spark, text.country_code(F.col("t")), t="Atlantis")
+    rules = screen.Rules(["x"], dealbreakers=[("bad", "(", True)])
+    with pytest.raises(Exception, match="(?i)regex|pattern|Unclosed"):
+        screen.validated(spark, rules)
+
+
+def test_import_of_a_seen_set(spark):
+    seen, legacy = (spark.createDataFrame(x, "uid string, first_seen string, last_seen string") for x in ([("a", "1", "2")], [("a", "0", "0"), ("b", "0", "1")]))
+    once = history.import_seen(seen, legacy)
+    assert {tuple(r) for r in history.import_seen(once, legacy).collect()} == {("a", "1", "2"), ("b", "0", "1")}

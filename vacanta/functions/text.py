@@ -5,6 +5,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vacanta.functions import rules
 from vacanta.functions.place import has, let
 
 #: Words that say remote, and that deny it.
@@ -148,3 +149,19 @@ def repaired_url(url: Column) -> Column:
 def fit_band(fit: Column) -> Column:
     """good from 70, mid from 50, else low; null where nothing was judged."""
     return F.when(fit.isNull() | (fit < 0), None).when(fit >= 70, "good").when(fit >= 50, "mid").otherwise("low")
+
+
+def known_as(value: Column, names: dict[str, str], codes: list[str]) -> Column:
+    """The code that a name stands for, or the code itself; what is neither is an error. Blank is null."""
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    code = F.coalesce(F.try_element_at(table, value), F.upper(value))
+    refused = F.raise_error(F.concat(F.lit("not known: "), value))
+    return F.when(blank(value) == "", None).when(code.isin(*codes), code).otherwise(refused)
+
+
+def country_code(name: Column) -> Column:
+    return known_as(F.lower(F.trim(name)), rules.COUNTRY_NAMES, [c for c, _ in rules.COUNTRIES])
+
+
+def currency_code(name: Column) -> Column:
+    return known_as(F.upper(F.trim(name)), rules.CURRENCY_NAMES, rules.CURRENCIES)

@@ -42,6 +42,11 @@ def listing(rows: DataFrame, status: str | None = None, new: bool = False, every
     return rows.filter("is_new") if new else rows if every else rows.filter("shown")
 
 
+def first_rows(rows: DataFrame, k: int) -> DataFrame:
+    """The first k rows of a list: a report."""
+    return rows.orderBy(*by_score(), "uid").limit(k)
+
+
 def view(rows: DataFrame, name: str, sectors: list[str] = (), modes: list[str] = (), country: str = "", city: str = "") -> DataFrame:
     """Rows of a tab (open, pay, new, live, closed, fit, all) in these facets."""
     tabs = {

@@ -97,6 +97,12 @@ def record_seen(seen: DataFrame, batch: DataFrame, today: Column, key: str = "ui
     return seen.select(key, "first_seen", "last_seen").unionByName(now).groupBy(key).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
+def import_seen(seen: DataFrame, legacy: DataFrame, key: str = "uid") -> DataFrame:
+    """The seen-set with rows of an older one (same columns) for keys that it lacks; a second import adds nothing."""
+    fresh = legacy.select(*seen.columns).dropDuplicates([key]).join(seen.select(key), key, "left_anti")
+    return seen.unionByName(fresh)
+
+
 def prune_seen(seen: DataFrame, today: Column, days: int = 180) -> DataFrame:
     return seen.filter(F.col("last_seen") >= F.date_sub(today, days))
 

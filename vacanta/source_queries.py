@@ -93,6 +93,13 @@ def recognised_pages(spark, sf_dir):
     return p.select("page_id", discover.unsupported(F.lit("https://x"), F.col("html")).alias("system"), discover.is_blocked(status, body).alias("blocked"))
 
 
+def known_names(spark, sf_dir):
+    """Codes for names of countries and currencies, as nations might be written."""
+    n = table(spark, sf_dir, "nation")
+    written = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("n_nationkey") % len(words) + 1).cast("int"))
+    return n.select("n_nationkey", T.country_code(written([" Germany", "uk", "Holland ", "us", ""])).alias("country"), T.currency_code(written(["euro", "GBP", "us$", "Pounds"])).alias("currency"))
+
+
 def source_health(spark, sf_dir):
     """Suppliers as boards with an expected name and domain, and what their postings say of them."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_key"), F.concat(F.lit("Firm "), (F.col("s_suppkey") % 7).cast("string")).alias("company"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("www.site"), (F.col("s_suppkey") % 4).cast("string"), F.lit(".com"))).alias("domain"), F.when(F.col("s_suppkey") % 10 == 9, "linkedin").otherwise("lever").alias("platform"), (F.col("s_suppkey") % 20 == 0).alias("keyword_template"))
@@ -246,6 +253,7 @@ UNION ALL SELECT url, 'workday', 'a/Site' || k, 'https://a.wd5.myworkdayjobs.com
 UNION ALL SELECT url, 'recruitee', 'co' || k, 'https://co' || k || '.recruitee.com/api/offers/' FROM p WHERE page_id % 5 = 3
 UNION ALL SELECT url, 'phenom', host, 'https://' || host || '/gb/en/search-results?s=1' FROM p WHERE page_id % 5 = 4""",
     "recognised_pages": "SELECT page_id, CASE page_id % 5 WHEN 4 THEN 'Taleo' WHEN 2 THEN 'Workday (site unknown)' ELSE '' END AS system, page_id % 5 IN (1, 4) OR (page_id % 5 IN (2, 3) AND page_id % 2 = 0) AS blocked FROM pages",
+    "known_names": "SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'DE' WHEN 1 THEN 'UK' WHEN 2 THEN 'NL' WHEN 3 THEN 'US' END AS country, CASE n_nationkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' WHEN 2 THEN 'USD' ELSE 'GBP' END AS currency FROM nation",
     "source_health": """WITH n AS (SELECT l_suppkey, count(*) AS live_jobs FROM lineitem WHERE l_suppkey % 6 > 0 GROUP BY 1)
 SELECT s_suppkey AS source_key, coalesce(live_jobs, 0) AS live_jobs, CASE WHEN live_jobs IS NULL THEN 'dead' WHEN s_suppkey % 20 = 0 THEN 'live' WHEN s_suppkey % 10 = 9 THEN 'unchecked' WHEN s_suppkey % 3 = 0 THEN 'ok' WHEN s_suppkey % 5 = 0 THEN 'unchecked' WHEN s_suppkey % 7 = s_suppkey % 3 THEN 'ok' ELSE 'mismatch' END AS verdict FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey""",
     "prune_guard": "WITH d AS (SELECT count(*) AS sources, count(*) FILTER (WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey % 6 > 0)) AS dead FROM supplier) SELECT sources, dead, dead / sources > 0.25 AND dead > 5 AS refuse, CASE WHEN dead / sources > 0.25 AND dead > 5 THEN sources ELSE sources - dead END AS \"left\" FROM d",
