@@ -52,3 +52,25 @@ def test_empty(spark):
     docs = edge.empty(spark)
     assert quality.score(docs, None).count() == line_dedup.drop_boilerplate(docs.drop("n_words", "label"), "source").count() == ngram_join.link(docs).count() == 0
     assert decontaminate.decontaminate(docs, spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+def test_stages_keep_rows_without_id_and_repeated_ones(spark, tmp_path):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    docs = edge.documents(spark)
+    nameless = spark.createDataFrame([(None, base, "en", None, 7, 8)] * 2 + [(1, "another text of the same number", "en", None, 7, 8)], docs.schema)
+    docs = docs.union(nameless).selectExpr("*", "1 AS c0", "2 AS v0", "3 AS drop", "4 AS k1", "5 AS text_hash", "6 AS hits", "7 AS `a b.c`", "0L AS n_chars")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "short, ONE!"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ids = lambda df: sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in df.collect())
+    want = ids(docs)
+    # 5 is a copy of 1, and 6 has 12 of its 13 shingles; 8 is an item of the benchmark.
+    gone = {"quality": [], "lines": [], "near_duplicates": [5, 6], "benchmark": [8]}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[-2:] == ["a b.c", "n_chars"]
+        want = [x for x in want if not (x[0] and x[1] in gone[name])]
+        assert ids(docs) == want, name
+        assert {r["c0"] for r in docs.collect()} == {1}
+    assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(want)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
