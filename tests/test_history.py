@@ -1,24 +1,9 @@
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vacanta import history_queries
 from vacanta.functions import pay
 from vacanta.operators import history, phrases, score
 
-SF = "/root/testdata/sf0.001"
-
-
-@pytest.mark.parametrize("name", list(history_queries.ORACLES))
-def test_against_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("lineitem", "events", "customer", "documents", "benchmark"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.sql(history_queries.ORACLES[name])
-    got = history_queries.queries()[name](spark, SF)
-    assert sorted(got.columns) == sorted(want.columns)
-    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
-
 
 def test_merge_of_duplicates(spark):
     roles = spark.createDataFrame(
