@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -66,6 +67,17 @@ def test_op8(spark, docs):
     assert rows(spark, "op8_byte_bpe", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
 
 
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
 def test_edge_rows_are_scored(spark):
     long = edge.documents(spark).filter("doc_id in (7, 10)")
     scores = [tuple(r) for r in quality.score(long, None).collect()]

@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from vacanta.llm import license_scan, ranked_search, resampling
 from vacanta.llm.line_dedup import BLOCKS
 
 CHAT = r"""
@@ -47,4 +48,56 @@ SELECT page_id, host, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FI
 FROM l LEFT JOIN f USING (host, line) GROUP BY page_id, host
 """
 
-ORACLES = {"op7_chat_format": CHAT, "op9_decontaminate": DECONTAMINATE, "op10_line_dedup": LINES}
+WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+# crc32 of each different word: its bytes one by one through a table of 256, which is made here too.
+RESAMPLING = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+  x AS (SELECT r, unnest(w) AS word FROM d), y AS (SELECT unnest({WORDS}) AS word FROM benchmark),
+  crcs AS (SELECT list(list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)),
+  v AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM x UNION SELECT word FROM y)),
+  k AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+    lambda c, z: xor(t[CAST(xor(c & 255, z) AS BIGINT) + 1], c // 256)), 4294967295) % {resampling.BUCKETS} AS bucket FROM v, crcs),
+  s AS (SELECT bucket, count(*) AS n FROM x JOIN k USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM y JOIN k USING (word) GROUP BY bucket),
+  g AS (SELECT s.bucket, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM x) + {resampling.BUCKETS}) / (CAST(s.n + 1 AS DOUBLE) * ((SELECT count(*) FROM y) + {resampling.BUCKETS})))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+  m AS (SELECT r, sum(gain) AS weight FROM x JOIN k USING (word) JOIN g USING (bucket) GROUP BY r),
+  z AS (SELECT r, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN m USING (r)),
+  o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank FROM z WHERE n_features >= {resampling.LEAST_WORDS})
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CAST(CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM o) THEN rank END AS BIGINT) AS rank FROM z LEFT JOIN o USING (r)
+"""
+
+LICENSES = rf"""
+WITH t(template, label, phrase, w) AS (VALUES {", ".join(f"({i}, '{label}', {phrase}, string_split('{x}', ' '))" for i, (x, label, phrase) in enumerate([(x, y, True) for x, y in license_scan.PHRASES.items()] + [(x, y, False) for x, y in license_scan.NOTICES.items()]))}),
+  d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+  dg AS (SELECT r, i - 1 AS place, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+  tg AS (SELECT template, i - 1 AS a, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT template, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+  v AS (SELECT DISTINCT r, template, place - a AS diag, a FROM dg JOIN tg USING (run)),
+  one AS (SELECT r, template, diag, count(DISTINCT a) AS votes, min(a) AS low, max(a) AS high FROM v GROUP BY ALL),
+  held AS (SELECT r, template, diag, count(DISTINCT a + o) AS n FROM v, (VALUES (0), (1), (2)) AS q(o) GROUP BY ALL),
+  place AS (SELECT r, label, diag FROM one JOIN t USING (template) WHERE phrase AND votes = len(w) - 2),
+  c AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diag) AS cluster FROM
+    (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY r, template ORDER BY diag) <= {license_scan.GAP} THEN 0 ELSE 1 END AS fresh FROM one)),
+  both_ AS (SELECT r, template, cluster, count(DISTINCT a + o) AS n FROM c JOIN v USING (r, template, diag), (VALUES (0), (1), (2)) AS q(o) GROUP BY ALL),
+  long_ AS (SELECT r, template, cluster, max(n) AS alone, max(diag + high) + 3 - min(diag + low) AS span FROM c JOIN held USING (r, template, diag) GROUP BY ALL),
+  part AS (SELECT r, label, phrase, greatest(alone, CASE WHEN span <= {license_scan.STRETCH} * len(w) THEN n ELSE 0 END) / CAST(len(w) AS DOUBLE) AS part FROM both_ JOIN long_ USING (r, template, cluster) JOIN t USING (template)),
+  b AS (SELECT r, count(*) AS n_base, min(diag) AS first_word, max(diag) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY r),
+  l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM place UNION SELECT r, label FROM part WHERE NOT phrase AND part >= {license_scan.ENOUGH}) GROUP BY r),
+  s AS (SELECT r, max(part) AS score FROM part GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN s USING (r)
+"""
+
+RANKED = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents), q AS (SELECT row_number() OVER () AS number, item_id, {WORDS} AS w FROM benchmark),
+  a AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_all FROM d WHERE len(w) > 0),
+  qt AS (SELECT number, term, count(*) AS times FROM (SELECT number, unnest(w) AS term FROM q) GROUP BY ALL),
+  tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+  wt AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM tf, a GROUP BY term, n_docs),
+  e AS (SELECT r, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(w) * n_docs) // n_all))) AS gain FROM tf JOIN wt USING (term) JOIN d USING (r), a),
+  s AS (SELECT number, r, CAST(sum(times * gain) AS BIGINT) AS score FROM qt JOIN e USING (term) GROUP BY ALL),
+  o AS (SELECT number, doc_id, score, row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o JOIN q USING (number) WHERE rank <= {ranked_search.TOP}
+"""
+
+ORACLES = {"op11_importance_resampling": RESAMPLING, "op12_license_scan": LICENSES, "op13_ranked_search": RANKED, "op7_chat_format": CHAT, "op9_decontaminate": DECONTAMINATE, "op10_line_dedup": LINES}

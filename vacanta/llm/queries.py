@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.llm import bpe, chat, decontaminate, line_dedup, ngram_join, quality, substring_dedup, token_output, toxicity, vector_dedup
+from vacanta.llm import bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, quality, ranked_search, resampling, substring_dedup, token_output, toxicity, vector_dedup
 from vacanta.llm.samples import bucket
 from vacanta.llm.shared import shared_path, table, written
 
@@ -77,8 +77,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(written(pages, "op10"), "host").select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates(spark)))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    ops = (op1_token_output, op2_vector_dedup, op3_ngram_join, op4_quality, op5_toxicity, op6_substring_dedup, op7_chat_format, op8_byte_bpe, op9_decontaminate, op10_line_dedup)
+    ops = (
+        op1_token_output, op2_vector_dedup, op3_ngram_join, op4_quality, op5_toxicity, op6_substring_dedup, op7_chat_format, op8_byte_bpe, op9_decontaminate, op10_line_dedup,
+        op11_importance_resampling, op12_license_scan, op13_ranked_search,
+    )
     return {f.__name__: f for f in ops}
 
 

@@ -96,7 +96,8 @@ class Words:
         return np.repeat(self.of[1:], np.diff(self.of))
 
 
-def words(column: pa.Array, kind: np.ndarray, lower: bool) -> Words:
+def spans(column: pa.Array, kind: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """data, first, last and of, as Words has them."""
     data, at = text_bytes(column)
     if lower:
         data = LOWER[data]
@@ -110,19 +111,37 @@ def words(column: pa.Array, kind: np.ndarray, lower: bool) -> Words:
     after[:n] = inside
     after[at] = False
     last = np.flatnonzero(inside & ~after[1:]) + 1
-    of = np.searchsorted(first, at)
+    return data, first, last, np.searchsorted(first, at)
+
+
+def words(column: pa.Array, kind: np.ndarray, lower: bool) -> Words:
+    data, first, last, of = spans(column, kind, lower)
     if not len(first):
         return Words(data, first, last, of, np.zeros(0, U64))
     length = last - first
     begin = np.cumsum(length) - length
     weight = WEIGHT if length.max() <= len(WEIGHT) else stream(int(length.max()), 2)
-    place = np.arange(int(length.sum())) - np.repeat(begin, length)
-    value = BYTE[data[inside]]
-    value *= weight[place]
+    at = ranges(first, length)
+    value = BYTE[data[at]]
+    value *= weight[at - np.repeat(first, length)]
     found = np.add.reduceat(value, begin) + length.astype(U64)
     return Words(data, first, last, of, mix(found))
 
 
+def ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... so many as length[0], and so on for each."""
+    return np.arange(int(length.sum())) + np.repeat(first - (np.cumsum(length) - length), length)
+
+
+def spaced(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words with one space after each: the bytes, and where each word begins and ends."""
+    length = last - first
+    begin = np.cumsum(length + 1) - (length + 1)
+    out = np.full(int((length + 1).sum()), 0x20, np.uint8)
+    out[ranges(begin, length)] = data[ranges(first, length)]
+    return out, begin, begin + length
+
+
 def runs(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hash of each k words in a row, by where they begin; the last k - 1 places have none."""
     n = len(hashes) - k + 1
