@@ -95,13 +95,17 @@ FORMATS = {
 FORMATS["rss"][3]["description"] = "'Pay £' || amt || 'k, ' || loc"
 
 
+#: Part keys that one page of a board spans: a board is landed as pages of bounded size, a payload each.
+PAGE = 5000
+
+
 def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The boards of a platform: a payload for each brand, and one that can't be read."""
+    """The boards of a platform: pages for each brand, and one payload that can't be read."""
     item, payload, url, _, _ = FORMATS[name]
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     base = spark.sql(BASE.replace("FROM part", "FROM {part}"), part=part)
     rows = base.selectExpr("brand", "k", f"{item} AS item")
-    by_brand = rows.groupBy("brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]).alias("items"))
+    by_brand = rows.groupBy("brand", F.floor(F.col("k") / PAGE).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]).alias("items"))
     made = by_brand.selectExpr(f"'{name}/' || brand AS source_key", "brand AS company", f"'{name}' AS platform", f"{url} AS url", payload.replace("{items}", "items") + " AS payload")
     broken = made.limit(0).unionByName(spark.sql(f"SELECT '{name}/broken' AS source_key, 'Broken' AS company, '{name}' AS platform, 'https://x' AS url, '{{\"jobs\": [oops' AS payload"))
     return made.unionByName(broken)
@@ -113,7 +117,7 @@ def shown(jobs: DataFrame) -> DataFrame:
 
 def board(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown(boards.BOARDS[name](landed(spark, sf_dir, name)))
+        return shown(boards.parse(landed(spark, sf_dir, name), {name: boards.BOARDS[name]}))
 
     query.__doc__ = f"Postings of {name} payloads."
     return query
@@ -131,7 +135,7 @@ def board_counts(spark, sf_dir):
     """Postings by platform over all landed payloads together; payloads that gave none count 0."""
     raw = written(all_landed(spark, sf_dir), "landed")
     n = boards.parse(raw).groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
-    return raw.join(n, "source_key", "left").groupBy("platform").agg(F.sum(F.coalesce("n", F.lit(0))).alias("postings"), F.count_if(F.col("n").isNull()).alias("unread"))
+    return raw.select("source_key", "platform").distinct().join(n, "source_key", "left").groupBy("platform").agg(F.sum(F.coalesce("n", F.lit(0))).alias("postings"), F.count_if(F.col("n").isNull()).alias("unread"))
 
 
 def expected(name: str) -> str:

@@ -86,13 +86,8 @@ def parse(text: Column, default: Column | None = None) -> Column:
     return let(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")), whole)
 
 
-def from_summary(summary: Column) -> Column:
-    """Pay of a structured summary text; the text itself is kept as raw."""
-    return let(parse(summary), lambda s: F.when(s["confirmed"], salary(s["min"], s["max"], s["currency"], s["period"], F.substring(F.trim(F.coalesce(summary, s["raw"])), 1, 120), True)).otherwise(s))
-
-
 def from_range(low_cents: Column, low_value: Column, low_plain: Column, high_cents: Column, high_value: Column, high_plain: Column, currency: Column, title: Column) -> Column:
-    """Pay of a structured range in cents or units; the high end falls back to the low one, and no figure at all to the title's text."""
+    """Pay of a structured range in cents or units; the high end falls back to the low one. Null without any figure."""
 
     def amount(cents: Column, *units: Column) -> Column:
         return F.coalesce(F.when(cents > 0, cents / 100.0), *(F.when(u > 0, u.cast("double")) for u in units))
@@ -101,7 +96,7 @@ def from_range(low_cents: Column, low_value: Column, low_plain: Column, high_cen
         low, high = x["low"], x["high"]
         shown = F.concat(F.format_number(low, 0), F.lit("-"), F.format_number(high, 0))
         raw = F.when(low.isNotNull() & high.isNotNull(), F.coalesce(F.nullif(title, F.lit("")), shown))
-        return F.when(low.isNull() & high.isNull(), parse(title)).otherwise(salary(low, F.coalesce(high, low), currency, F.lit("year"), raw, True))
+        return F.when(low.isNotNull() | high.isNotNull(), salary(low, F.coalesce(high, low), currency, F.lit("year"), raw, True))
 
     return let(F.struct(amount(low_cents, low_value, low_plain).alias("low"), amount(high_cents, high_value, high_plain).alias("high")), both)
 

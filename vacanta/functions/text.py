@@ -1,6 +1,7 @@
 """Text, dates and flags as boards write them."""
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,46 +27,77 @@ def first_of(*values: Column) -> Column:
     return F.coalesce(*(F.nullif(v, F.lit("")) for v in values), F.lit(""))
 
 
-def character(code: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def named_references() -> tuple[str, str]:
+    """The named references of HTML 5 by their first letter, as JSON, and a pattern of the names that need no semicolon, longest first."""
+    by_first: dict[str, dict[str, str]] = {}
+    for name, text in html5.items():
+        by_first.setdefault(name[0], {})[name] = text
+    loose = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return json.dumps(by_first).replace("'", "\\u0027"), f"^(?:{'|'.join(loose)})"
 
 
-def unescape(c: Column) -> Column:
-    """Character references of HTML 4 and numeric ones; others stay as they are."""
-    names = F.create_map(*(F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))))
+NAMED, LOOSE = named_references()
+#: What the numbers 128 to 159 stand for in old pages, where they stand for anything.
+OLD_PAGE = "".join(bytes([n]).decode("cp1252", errors="ignore") or chr(n) for n in range(0x80, 0xA0))
+
+
+def letting(name: str, value: str, use: str) -> str:
+    """SQL of use, in which name stands for value, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
+
+
+def applied(c: Column, body: str) -> Column:
+    """SQL in x with c for x, evaluated once. Text is read and built much faster than Column calls where a function is used often."""
+    return F.get(F.call_function("transform", F.array(c), F.expr(f"x -> {body}")), F.lit(0))
+
+
+#: The character of a numeric reference, code; null is a number too large. Some numbers stand for none.
+NUMBERED = f"""CASE WHEN code IS NULL OR code > 1114111 OR code BETWEEN 55296 AND 57343 OR code = 0 THEN '\\ufffd'
+  WHEN code BETWEEN 128 AND 159 THEN substring({"'" + "".join(f"\\u{ord(x):04x}" for x in OLD_PAGE) + "'"}, CAST(code - 127 AS INT), 1)
+  WHEN code BETWEEN 1 AND 8 OR code = 11 OR code BETWEEN 14 AND 31 OR code = 127 OR code BETWEEN 64976 AND 65007 OR (code & 65535) >= 65534 THEN ''
+  ELSE decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32') END"""
+CODE = r"""CASE WHEN part RLIKE r'^#[0-9]' THEN try_cast(regexp_replace(regexp_extract(part, r'^#([0-9]+)', 1), r'^0+(?=.)', '') AS BIGINT)
+  ELSE try_cast(conv(nullif(regexp_extract(part, r'^#[xX]0*([0-9a-fA-F]{1,8})(?![0-9a-fA-F])', 1), ''), 16, 10) AS BIGINT) END"""
+LOOK = "try_element_at(try_element_at(from_json(r'{}', 'map<string, map<string, string>>'), substring({}, 1, 1)), {})"
+NAME = "regexp_extract(part, r'^[A-Za-z][A-Za-z0-9]{0,30};', 0)"
+#: What stands after an ampersand, with the reference that it begins with resolved: a number, a name with its semicolon, or the longest old name.
+REFERENCE = f"""CASE WHEN part RLIKE r'^#(?:[0-9]|[xX][0-9a-fA-F])' THEN concat({letting("code", CODE, NUMBERED)}, regexp_replace(part, r'^#(?:[0-9]+|[xX][0-9a-fA-F]+);?', ''))
+  ELSE coalesce({letting("name", NAME, f"concat({LOOK.format(NAMED, 'name', 'name')}, substring(part, length(name) + 1))")},
+    {letting("name", f"regexp_extract(part, r'{LOOSE}', 0)", f"concat({LOOK.format(NAMED, 'name', 'name')}, substring(part, length(name) + 1))")}, concat('&', part)) END"""
 
-    def one(part: Column) -> Column:
-        rest = F.regexp_replace(part, r"^#?[A-Za-z0-9]+;?", "")
-        number = F.regexp_extract(part, r"^#([0-9]{1,6})", 1)
-        hexed = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,5})", 1)
-        named = F.try_element_at(names, F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1))
-        return (
-            F.when(number != "", F.concat(character(number.cast("long")), F.regexp_replace(part, r"^#[0-9]+;?", "")))
-            .when(hexed != "", F.concat(character(F.conv(hexed, 16, 10).cast("long")), F.regexp_replace(part, r"^#[xX][0-9a-fA-F]+;?", "")))
-            .when(named.isNotNull(), F.concat(named, rest))
-            .otherwise(F.concat(F.lit("&"), part))
-        )
 
-    whole = F.array_join(F.transform(F.split(c, "&"), lambda p, i: F.when(i == 0, p).otherwise(one(p))), "")
-    return F.when(c.contains("&"), whole).otherwise(c)
+def unescaped(x: str) -> str:
+    """Of SQL that is short, as it is written three times."""
+    return f"CASE WHEN contains({x}, '&') THEN array_join(transform(split({x}, '&'), (part, i) -> CASE WHEN i = 0 THEN part ELSE {REFERENCE} END), '') ELSE {x} END"
+
+
+def unescape(c: Column) -> Column:
+    """Character references as HTML 5 reads them: named ones, of the old names also without semicolon, and numbers."""
+    return applied(c, unescaped("x"))
 
 
 def squeezed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
 
 
+def flattened(x: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({unescaped(x)}, '<[^>]+>', ' '), r'(?U)\\s+', ' '), '^ | $', '')"
+
+
 def flat(c: Column) -> Column:
     """Readable text of a string that may hold markup: references first, then tags, then white space. Null is empty."""
-    return squeezed(F.regexp_replace(unescape(blank(c)), r"<[^>]+>", " "))
+    return applied(blank(c), flattened("x"))
+
+
+# Values that are objects or lists themselves are not text.
+FIELDS = "map_filter(from_json(x, 'map<string, string>'), (k, v) -> NOT startswith(v, '{') AND NOT startswith(v, '['))"
+OBJECT = letting("m", FIELDS, f"coalesce({', '.join(f"try_element_at(m, '{k}')" for k in TEXT_KEYS)}, array_join(map_values(m), ' '), x)")
+NODE = letting("y", f"CASE WHEN startswith(x, '{{') THEN {OBJECT} WHEN startswith(x, '[') THEN coalesce(array_join(from_json(x, 'array<string>'), ', '), x) ELSE x END", flattened("y"))
 
 
 def node(c: Column) -> Column:
     """Readable text of a JSON node given as text: of an object its first known key, else its values; of a list its items."""
-    # Values that are objects or lists themselves are not text.
-    fields = F.map_filter(F.from_json(c, "map<string, string>"), lambda _, v: ~v.startswith("{") & ~v.startswith("["))
-    named = F.coalesce(*(F.try_element_at(fields, F.lit(k)) for k in TEXT_KEYS), F.array_join(F.map_values(fields), " "))
-    items = F.array_join(F.from_json(c, "array<string>"), ", ")
-    return flat(F.when(c.startswith("{"), F.coalesce(named, c)).when(c.startswith("["), F.coalesce(items, c)).otherwise(c))
+    return applied(blank(c), NODE)
 
 
 def date_of(c: Column) -> Column:

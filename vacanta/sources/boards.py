@@ -1,55 +1,44 @@
-"""Postings from landed payloads of boards, one DataFrame job for each format.
+"""Postings from landed payloads of boards, all formats in one pass over the landed rows.
 
 A landed payload is a row (source_key, company, platform, url, payload and more); payload is the text that the board
-gave. Each normaliser takes the rows of its format and gives postings: source_key, place (in the payload), company,
-title, url, platform, location, remote, department, posted_at, description, salary, flags. JSON is read by from_json
-with the fields that are wanted, HTML and XML by patterns; a payload that can't be read gives no rows (bad_payloads
-lists it). Null and empty payloads give no rows; payloads are read in one pass, without shuffle.
+gave. A format is a function of the columns payload, board (its company) and url that gives an array of items: what the
+payload says of each posting, in one common shape (ITEM). parse() picks the format of each row, explodes the items and
+does for all formats alike what is costly: dates, remote work, pay. It gives source_key, place (of the posting among those
+of its payload), company, title, url, platform, location, remote, department, posted_at, description, salary, flags.
+
+JSON is read by from_json with the fields that are wanted, HTML and XML by patterns; a payload that can't be read gives no
+rows (bad_payloads lists it). Null and empty payloads give no rows. There is one scan, without shuffle and without Python.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacanta.functions import pay
 from vacanta.functions.place import let
 from vacanta.functions.text import blank, date_of, first_of, flat, node, remote_of
-from vacanta.tables import ship
 
 LISTING_ONLY = "listing-only: no description available from this source"
 NOT_SCREENED = "not screened: search listing only, open the advert"
-KEPT = ["source_key", "board", "board_url", "place"]
-
-
-def start(raw: DataFrame) -> DataFrame:
-    return raw.select("source_key", F.col("company").alias("board"), F.col("url").alias("board_url"), "payload")
 
+#: bits are searched for words of remote work where remote is null; amounts is pay given as numbers, pays are texts to look for
+#: pay in, in this order, and raw is the text that found pay stands for, if it is another one.
+ITEM = f"struct<title: string, url: string, company: string, location: string, remote: boolean, bits: array<string>, department: string, posted: string, description: string, amounts: {pay.KIND}, pays: array<string>, raw: string, flags: array<string>>"
+#: Characters of a description that are searched for pay.
+PAY_CHARS = 1500
 
-def items_of(raw: DataFrame, items: Callable[[Column], Column]) -> DataFrame:
-    """A row for each item j of the payload, with its place."""
-    return start(raw).select("source_key", "board", "board_url", F.posexplode(items(F.col("payload"))).alias("place", "j"))
 
-
-def postings(rows: DataFrame, platform: str, title: Column, url: Column, location: Column, remote: Column, posted_at: Column | None = None, description: Column | None = None, salary: Column | None = None, department: Column | None = None, company: Column | None = None, flags: list[Column] = ()) -> DataFrame:
-    """Rows in the common shape, without those that lack a title or a url."""
-    none = F.lit(None).cast("string")
-    out = rows.select(
-        "source_key", "place", (first_of(company, F.col("board")) if company is not None else F.col("board")).alias("company"), blank(title).alias("title"), blank(url).alias("url"), F.lit(platform).alias("platform"),
-        blank(location).alias("location"), remote.alias("remote"), (F.nullif(department, F.lit("")) if department is not None else none).alias("department"),
-        (posted_at if posted_at is not None else F.lit(None).cast("date")).alias("posted_at"), (blank(description) if description is not None else F.lit("")).alias("description"),
-        (salary if salary is not None else pay.salary()).alias("salary"), F.array_compact(F.array(*flags).cast("array<string>")).alias("flags"),
-    )
-    return out.filter("title <> '' AND url <> ''")
+def item(title: Column, url: Column, location: Column, bits: list[Column], remote: Column | None = None, company: Column | None = None, department: Column | None = None, posted: Column | None = None, description: Column | None = None, amounts: Column | None = None, pays: list[Column] = (), raw: Column | None = None, flags: list[Column] = ()) -> Column:
+    none = F.lit(None)
+    given = {"title": title, "url": url, "company": company, "location": location, "remote": remote, "bits": F.array(*bits), "department": department, "posted": posted, "description": description, "amounts": amounts, "pays": F.array(*pays), "raw": raw, "flags": F.array_compact(F.array(*flags).cast("array<string>"))}
+    return F.struct(*((none if v is None else v).alias(k) for k, v in given.items())).cast(ITEM)
 
 
-def described(rows: DataFrame, text: Column) -> DataFrame:
-    """rows with the column text, made once, and the pay that its first 1,500 characters state."""
-    return rows.withColumn("text", text).withColumn("stated", pay.parse(F.substring("text", 1, 1500)))
+def start_of(text: Column) -> Column:
+    return F.substring(text, 1, PAY_CHARS)
 
 
 def joined(parts: Column, by: str = ", ") -> Column:
@@ -60,254 +49,331 @@ def some(*parts: Column, by: str = ", ") -> Column:
     return F.concat_ws(by, *(F.nullif(p, F.lit("")) for p in parts))
 
 
-def greenhouse(raw: DataFrame) -> DataFrame:
+def host_of(url: Column) -> Column:
+    return F.regexp_extract(url, "^[a-z]+://([^/?#]*)", 1)
+
+
+def greenhouse(payload: Column, board: Column, url: Column) -> Column:
     kind = (
         "struct<jobs: array<struct<title: string, absolute_url: string, company_name: string, location: string, offices: array<struct<name: string>>, departments: array<struct<name: string>>, content: string, first_published: string, updated_at: string,"
         " pay_input_ranges: array<struct<min_cents: double, max_cents: double, min_value: double, max_value: double, min: double, max: double, currency_type: string, currency: string, title: string>>>>>"
     )
-    rows = described(items_of(raw, lambda p: F.from_json(p, kind)["jobs"]), flat(F.col("j.content")))
-    place = F.when(F.col("j.location").startswith("{"), F.get_json_object("j.location", "$.name")).otherwise(node(F.col("j.location")))
-    offices = joined(F.col("j.offices.name"))
-    r = F.get("j.pay_input_ranges", F.lit(0))
-    ranged = pay.from_range(r["min_cents"], r["min_value"], r["min"], r["max_cents"], r["max_value"], r["max"], first_of(r["currency_type"], r["currency"]), r["title"])
-    salary = let(ranged, lambda s: F.when(s["confirmed"], s).otherwise(F.col("stated")))
-    return postings(rows, "greenhouse", node(F.col("j.title")), F.col("j.absolute_url"), flat(first_of(place, offices)), remote_of(place, offices, F.col("j.title")), date_of(first_of(F.col("j.first_published"), F.col("j.updated_at"))), F.col("text"), salary, joined(F.col("j.departments.name")), F.col("j.company_name"))
+
+    def one(j: Column) -> Column:
+        place = F.when(j["location"].startswith("{"), F.get_json_object(j["location"], "$.name")).otherwise(node(j["location"]))
+        offices, r = joined(j["offices"]["name"]), F.get(j["pay_input_ranges"], F.lit(0))
+        amounts = pay.from_range(r["min_cents"], r["min_value"], r["min"], r["max_cents"], r["max_value"], r["max"], first_of(r["currency_type"], r["currency"]), r["title"])
+        return let(flat(j["content"]), lambda t: item(node(j["title"]), j["absolute_url"], flat(first_of(place, offices)), [place, offices, j["title"]], company=j["company_name"], department=joined(j["departments"]["name"]), posted=first_of(j["first_published"], j["updated_at"]), description=t, amounts=amounts, pays=[r["title"], start_of(t)]))
+
+    return F.transform(F.from_json(payload, kind)["jobs"], one)
 
 
-def ashby(raw: DataFrame) -> DataFrame:
+def ashby(payload: Column, board: Column, url: Column) -> Column:
     kind = "struct<jobs: array<struct<title: string, isListed: boolean, location: string, secondaryLocations: array<string>, isRemote: boolean, jobUrl: string, applyUrl: string, department: string, team: string, publishedAt: string, descriptionPlain: string, descriptionHtml: string, compensation: struct<scrapeableCompensationSalarySummary: string, compensationTierSummary: string>>>>"
-    rows = items_of(raw, lambda p: F.from_json(p, kind)["jobs"]).filter(F.coalesce("j.isListed", F.lit(True)))
-    others = F.array_join(F.transform("j.secondaryLocations", lambda x: F.when(x.startswith("{"), blank(F.get_json_object(x, "$.location"))).otherwise(x)), ", ")
-    here = node(F.col("j.location"))
-    salary = pay.from_summary(first_of(F.col("j.compensation.scrapeableCompensationSalarySummary"), F.col("j.compensation.compensationTierSummary")))
-    return postings(rows, "ashby", node(F.col("j.title")), first_of(F.col("j.jobUrl"), F.col("j.applyUrl")), some(here, others), F.coalesce(F.col("j.isRemote"), remote_of(here, others)), date_of(F.col("j.publishedAt")), flat(first_of(F.col("j.descriptionPlain"), F.col("j.descriptionHtml"))), salary, node(first_of(F.col("j.department"), F.col("j.team"))))
 
+    def one(j: Column) -> Column:
+        others = F.array_join(F.transform(j["secondaryLocations"], lambda x: F.when(x.startswith("{"), blank(F.get_json_object(x, "$.location"))).otherwise(x)), ", ")
+        here, summary = node(j["location"]), first_of(j["compensation"]["scrapeableCompensationSalarySummary"], j["compensation"]["compensationTierSummary"])
+        return item(node(j["title"]), first_of(j["jobUrl"], j["applyUrl"]), some(here, others), [here, others], j["isRemote"], department=node(first_of(j["department"], j["team"])), posted=j["publishedAt"], description=flat(first_of(j["descriptionPlain"], j["descriptionHtml"])), pays=[summary], raw=summary)
+
+    return F.transform(F.filter(F.from_json(payload, kind)["jobs"], lambda j: F.coalesce(j["isListed"], F.lit(True))), one)
+
+
+def lever(payload: Column, board: Column, url: Column) -> Column:
+    kind = "struct<text: string, hostedUrl: string, applyUrl: string, categories: struct<location: string, commitment: string, team: string, department: string>, workplaceType: string, createdAt: string, descriptionPlain: string, description: string, lists: array<struct<content: string>>>"
 
-def lever(raw: DataFrame) -> DataFrame:
-    item = "struct<text: string, hostedUrl: string, applyUrl: string, categories: struct<location: string, commitment: string, team: string, department: string>, workplaceType: string, createdAt: string, descriptionPlain: string, description: string, lists: array<struct<content: string>>>"
-    rows = items_of(raw, lambda p: F.when(F.trim(p).startswith("["), F.from_json(p, f"array<{item}>")).otherwise(F.from_json(p, f"struct<data: array<{item}>>")["data"]))
-    text, extra = flat(first_of(F.col("j.descriptionPlain"), F.col("j.description"))), F.array_join(F.transform("j.lists", lambda x: flat(x["content"])), " ")
-    rows = rows.withColumns({"text": text, "extra": blank(extra)})
-    salary = pay.parse(F.concat(F.substring("text", 1, 1500), F.lit(" "), F.substring("extra", 1, 500)))
-    here = node(F.col("j.categories.location"))
-    return postings(rows, "lever", node(F.col("j.text")), first_of(F.col("j.hostedUrl"), F.col("j.applyUrl")), here, remote_of(here, F.col("j.categories.commitment"), F.col("j.workplaceType")), date_of(F.col("j.createdAt")), F.trim(F.concat("text", F.lit(" "), "extra")), salary, node(first_of(F.col("j.categories.team"), F.col("j.categories.department"))))
+    def one(j: Column) -> Column:
+        here = node(j["categories"]["location"])
+        both = F.struct(flat(first_of(j["descriptionPlain"], j["description"])).alias("text"), blank(F.array_join(F.transform(j["lists"], lambda x: flat(x["content"])), " ")).alias("extra"))
+        return let(both, lambda b: item(node(j["text"]), first_of(j["hostedUrl"], j["applyUrl"]), here, [here, j["categories"]["commitment"], j["workplaceType"]], department=node(first_of(j["categories"]["team"], j["categories"]["department"])), posted=j["createdAt"], description=F.trim(F.concat(b["text"], F.lit(" "), b["extra"])), pays=[F.concat(start_of(b["text"]), F.lit(" "), F.substring(b["extra"], 1, 500))]))
 
+    return F.transform(F.when(F.trim(payload).startswith("["), F.from_json(payload, f"array<{kind}>")).otherwise(F.from_json(payload, f"struct<data: array<{kind}>>")["data"]), one)
 
-def workable(raw: DataFrame) -> DataFrame:
+
+def divided(location: Column, kind: str, remote: Callable[[Column], Column]) -> Column:
+    """Of a location that is an object of city, region and country, or a text: here, and whether it is remote (null for a text)."""
+    at = F.from_json(location, kind)
+    split = blank(location).startswith("{") | (blank(location) == "")
+    return F.struct(F.when(split, blank(some(at["city"], at["region"], at["country"]))).otherwise(node(location)).alias("here"), F.when(split, remote(at)).alias("away"))
+
+
+def told(flag: Column) -> Column:
+    return ~F.coalesce(flag, F.lit("false")).isin("false", "", "0")
+
+
+def workable(payload: Column, board: Column, url: Column) -> Column:
     kind = "struct<jobs: array<struct<title: string, location: string, url: string, application_url: string, shortlink: string, department: string, published_on: string, created_at: string, description: string>>>"
-    rows = described(items_of(raw, lambda p: F.from_json(p, kind)["jobs"]), flat(F.col("j.description")))
-    at = F.from_json("j.location", "struct<city: string, region: string, country: string, workplace: string, telecommuting: string>")
-    split = blank(F.col("j.location")).startswith("{") | (blank(F.col("j.location")) == "")
-    here = F.when(split, blank(some(at["city"], at["region"], at["country"]))).otherwise(node(F.col("j.location")))
-    away = F.when(split, F.coalesce(at["workplace"] == "remote", F.lit(False)) | ~F.coalesce(at["telecommuting"], F.lit("false")).isin("false", "", "0")).otherwise(remote_of(here))
-    return postings(rows, "workable", node(F.col("j.title")), first_of(F.col("j.url"), F.col("j.application_url"), F.col("j.shortlink")), here, away, date_of(first_of(F.col("j.published_on"), F.col("j.created_at"))), F.col("text"), F.col("stated"), node(F.col("j.department")))
 
+    def one(j: Column) -> Column:
+        at = divided(j["location"], "struct<city: string, region: string, country: string, workplace: string, telecommuting: string>", lambda x: F.coalesce(x["workplace"] == "remote", F.lit(False)) | told(x["telecommuting"]))
+        return let(F.struct(at.alias("at"), flat(j["description"]).alias("text")), lambda x: item(node(j["title"]), first_of(j["url"], j["application_url"], j["shortlink"]), x["at"]["here"], [x["at"]["here"]], x["at"]["away"], department=node(j["department"]), posted=first_of(j["published_on"], j["created_at"]), description=x["text"], pays=[start_of(x["text"])]))
+
+    return F.transform(F.from_json(payload, kind)["jobs"], one)
 
-def smartrecruiters(raw: DataFrame) -> DataFrame:
+
+def smartrecruiters(payload: Column, board: Column, url: Column) -> Column:
     kind = "struct<content: array<struct<id: string, name: string, ref: string, company: struct<identifier: string, name: string>, location: string, department: struct<label: string>, releasedDate: string, createdOn: string, jobAd: string>>>"
-    rows = items_of(raw, lambda p: F.from_json(p, kind)["content"])
-    at = F.from_json("j.location", "struct<city: string, region: string, country: string, remote: string>")
-    split = blank(F.col("j.location")).startswith("{") | (blank(F.col("j.location")) == "")
-    here = F.when(split, blank(some(at["city"], at["region"], at["country"]))).otherwise(node(F.col("j.location")))
-    away = F.when(split, ~F.coalesce(at["remote"], F.lit("false")).isin("false", "", "0")).otherwise(remote_of(here))
-    url = F.when(blank(F.col("j.id")) != "", F.concat(F.lit("https://jobs.smartrecruiters.com/"), first_of(flat(F.col("j.company.identifier")), F.col("board")), F.lit("/"), F.col("j.id"))).otherwise(F.col("j.ref"))
-    return postings(rows, "smartrecruiters", node(F.col("j.name")), url, here, away, date_of(first_of(F.col("j.releasedDate"), F.col("j.createdOn"))), node(F.col("j.jobAd")), None, node(F.col("j.department.label")), flat(F.col("j.company.name")))
+
+    def one(j: Column) -> Column:
+        at = divided(j["location"], "struct<city: string, region: string, country: string, remote: string>", lambda x: told(x["remote"]))
+        link = F.when(blank(j["id"]) != "", F.concat(F.lit("https://jobs.smartrecruiters.com/"), first_of(flat(j["company"]["identifier"]), board), F.lit("/"), j["id"])).otherwise(j["ref"])
+        return let(at, lambda x: item(node(j["name"]), link, x["here"], [x["here"]], x["away"], company=flat(j["company"]["name"]), department=node(j["department"]["label"]), posted=first_of(j["releasedDate"], j["createdOn"]), description=node(j["jobAd"])))
+
+    return F.transform(F.from_json(payload, kind)["content"], one)
 
 
-def workday(raw: DataFrame) -> DataFrame:
+def workday(payload: Column, board: Column, url: Column) -> Column:
     kind = "struct<jobPostings: array<struct<title: string, externalPath: string, locationsText: string, bulletFields: array<string>, startDate: string, postedOn: string>>>"
-    rows = items_of(raw, lambda p: F.from_json(p, kind)["jobPostings"])
-    base, site = F.regexp_replace("board_url", "/wday/cxs/.*$", ""), F.regexp_extract("board_url", "/wday/cxs/[^/]+/([^/]+)/jobs", 1)
-    path, bullets = blank(F.col("j.externalPath")), blank(joined(F.col("j.bulletFields"), " "))
-    url = F.when(path == "", base).otherwise(F.concat(base, F.lit("/en-US/"), site, F.lit("/"), F.regexp_replace(path, "^/+", "")))
-    in_path = flat(F.replace(F.regexp_extract(path, "/job/([^/]+)/", 1), F.lit("-"), F.lit(" ")))
-    here = first_of(flat(F.col("j.locationsText")), in_path, joined(F.slice("j.bulletFields", 1, 2), " "))
-    return postings(rows, "workday", node(F.col("j.title")), url, here, remote_of(here, F.col("j.title")), date_of(first_of(F.col("j.startDate"), F.col("j.postedOn"))), bullets, pay.parse(bullets))
+    base, site = F.regexp_replace(url, "/wday/cxs/.*$", ""), F.regexp_extract(url, "/wday/cxs/[^/]+/([^/]+)/jobs", 1)
 
+    def one(j: Column) -> Column:
+        path, bullets = blank(j["externalPath"]), blank(joined(j["bulletFields"], " "))
+        link = F.when(path == "", base).otherwise(F.concat(base, F.lit("/en-US/"), site, F.lit("/"), F.regexp_replace(path, "^/+", "")))
+        in_path = flat(F.replace(F.regexp_extract(path, "/job/([^/]+)/", 1), F.lit("-"), F.lit(" ")))
+        here = first_of(flat(j["locationsText"]), in_path, joined(F.slice(j["bulletFields"], 1, 2), " "))
+        return let(here, lambda at: item(node(j["title"]), link, at, [at, j["title"]], posted=first_of(j["startDate"], j["postedOn"]), description=bullets, pays=[bullets]))
 
-def recruitee(raw: DataFrame) -> DataFrame:
+    return F.transform(F.from_json(payload, kind)["jobPostings"], one)
+
+
+def recruitee(payload: Column, board: Column, url: Column) -> Column:
     kind = "struct<offers: array<struct<title: string, city: string, country: string, location: string, description: string, requirements: string, careers_url: string, careers_apply_url: string, remote: string, department: string, published_at: string, created_at: string>>>"
-    rows = described(items_of(raw, lambda p: F.from_json(p, kind)["offers"]), F.concat(flat(F.col("j.description")), F.lit(" "), flat(F.col("j.requirements"))))
-    here = first_of(some(F.col("j.city"), F.col("j.country")), node(F.col("j.location")))
-    # A flag that is set reads as its name in the text searched, which says nothing of working remotely.
-    return postings(rows, "recruitee", node(F.col("j.title")), first_of(F.col("j.careers_url"), F.col("j.careers_apply_url")), here, remote_of(here, F.col("j.remote")), date_of(first_of(F.col("j.published_at"), F.col("j.created_at"))), F.trim("text"), F.col("stated"), node(F.col("j.department")))
 
+    def one(j: Column) -> Column:
+        here = first_of(some(j["city"], j["country"]), node(j["location"]))
+        text = F.concat(flat(j["description"]), F.lit(" "), flat(j["requirements"]))
+        # A flag that is set reads as its name in the text searched, which says nothing of working remotely.
+        return let(F.struct(here.alias("here"), text.alias("text")), lambda x: item(node(j["title"]), first_of(j["careers_url"], j["careers_apply_url"]), x["here"], [x["here"], j["remote"]], department=node(j["department"]), posted=first_of(j["published_at"], j["created_at"]), description=F.trim(x["text"]), pays=[start_of(x["text"])]))
+
+    return F.transform(F.from_json(payload, kind)["offers"], one)
 
-def oracle(raw: DataFrame) -> DataFrame:
+
+def oracle(payload: Column, board: Column, url: Column) -> Column:
     kind = "struct<items: array<struct<requisitionList: array<struct<Id: string, Title: string, PrimaryLocation: string, secondaryLocations: array<struct<Name: string, PrimaryLocation: string>>, ShortDescriptionStr: string, ExternalResponsibilitiesStr: string, WorkplaceTypeCode: string, JobFamily: string, JobFunction: string, PostedDate: string>>>>>"
-    rows = items_of(raw, lambda p: F.flatten(F.transform(F.from_json(p, kind)["items"], lambda x: F.coalesce(x["requisitionList"], F.array())))).filter(blank(F.col("j.Id")) != "")
-    rows = described(rows, flat(first_of(F.col("j.ShortDescriptionStr"), F.col("j.ExternalResponsibilitiesStr"))))
-    host, site = F.regexp_extract("board_url", "^[a-z]+://([^/?#]*)", 1), first_of(F.regexp_extract("board_url", r"(?i)siteNumber=(CX_\d+)", 1), F.lit("CX_1"))
-    here = node(F.col("j.PrimaryLocation"))
-    others = F.array_join(F.transform("j.secondaryLocations", lambda x: flat(first_of(x["Name"], x["PrimaryLocation"]))), ", ")
-    url = F.concat(F.lit("https://"), host, F.lit("/hcmUI/CandidateExperience/en/sites/"), site, F.lit("/job/"), F.col("j.Id"))
-    return postings(rows, "oracle", node(F.col("j.Title")), url, some(here, others), remote_of(here, F.col("j.WorkplaceTypeCode"), F.col("j.Title")), date_of(F.col("j.PostedDate")), F.col("text"), F.col("stated"), node(first_of(F.col("j.JobFamily"), F.col("j.JobFunction"))))
+    site = first_of(F.regexp_extract(url, r"(?i)siteNumber=(CX_\d+)", 1), F.lit("CX_1"))
+
+    def one(j: Column) -> Column:
+        here = node(j["PrimaryLocation"])
+        others = F.array_join(F.transform(j["secondaryLocations"], lambda x: flat(first_of(x["Name"], x["PrimaryLocation"]))), ", ")
+        link = F.concat(F.lit("https://"), host_of(url), F.lit("/hcmUI/CandidateExperience/en/sites/"), site, F.lit("/job/"), j["Id"])
+        return let(flat(first_of(j["ShortDescriptionStr"], j["ExternalResponsibilitiesStr"])), lambda t: item(node(j["Title"]), link, some(here, others), [here, j["WorkplaceTypeCode"], j["Title"]], department=node(first_of(j["JobFamily"], j["JobFunction"])), posted=j["PostedDate"], description=t, pays=[start_of(t)]))
+
+    listed = F.flatten(F.transform(F.from_json(payload, kind)["items"], lambda x: F.coalesce(x["requisitionList"], F.array())))
+    return F.transform(F.filter(listed, lambda j: blank(j["Id"]) != ""), one)
 
 
-def phenom(raw: DataFrame) -> DataFrame:
+def phenom(payload: Column, board: Column, url: Column) -> Column:
     """The search answer, or the same embedded in a page."""
     jobs = "array<struct<title: string, applyUrl: string, imApplyUrl: string, cityStateCountry: string, location: string, country: string, descriptionTeaser: string, jobType: string, category: string, postedDate: string, dateCreated: string>>"
     block = f"struct<data: struct<jobs: {jobs}>, jobs: {jobs}>"
     page = r"(?s)phApp\.ddo\s*=\s*(\{.*?\});\s*(?:phApp|</script>|window\.)"
+    body = F.when(F.ltrim(payload).startswith("{"), payload).otherwise(F.regexp_extract(payload, page, 1))
+    read = F.from_json(body, f"struct<refineSearch: {block}, eagerLoadRefineSearch: {block}>")
+    listed = let(read, lambda x: let(F.coalesce(x["refineSearch"], x["eagerLoadRefineSearch"]), lambda b: F.when(F.size(b["data"]["jobs"]) > 0, b["data"]["jobs"]).otherwise(b["jobs"])))
 
-    def found(p: Column) -> Column:
-        body = F.when(F.ltrim(p).startswith("{"), p).otherwise(F.regexp_extract(p, page, 1))
-        read = F.from_json(body, f"struct<refineSearch: {block}, eagerLoadRefineSearch: {block}>")
-        return let(read, lambda x: let(F.coalesce(x["refineSearch"], x["eagerLoadRefineSearch"]), lambda b: F.when(F.size(b["data"]["jobs"]) > 0, b["data"]["jobs"]).otherwise(b["jobs"])))
+    def one(j: Column) -> Column:
+        here, title = node(first_of(j["cityStateCountry"], j["location"], j["country"])), node(j["title"])
+        return let(flat(j["descriptionTeaser"]), lambda t: item(title, first_of(j["applyUrl"], j["imApplyUrl"]), here, [here, title, j["jobType"]], department=node(j["category"]), posted=first_of(j["postedDate"], j["dateCreated"]), description=t, pays=[t]))
 
-    rows = items_of(raw, found).withColumn("text", flat(F.col("j.descriptionTeaser")))
-    here = node(first_of(F.col("j.cityStateCountry"), F.col("j.location"), F.col("j.country")))
-    return postings(rows, "phenom", node(F.col("j.title")), first_of(F.col("j.applyUrl"), F.col("j.imApplyUrl")), here, remote_of(here, node(F.col("j.title")), F.col("j.jobType")), date_of(first_of(F.col("j.postedDate"), F.col("j.dateCreated"))), F.col("text"), pay.parse(F.col("text")), node(F.col("j.category")))
+    return F.transform(listed, one)
 
 
-def found(pattern: str, group: int = 0, of: str = "j") -> Column:
+def found(text: Column, pattern: str, group: int = 0) -> Column:
     """What the first match of a pattern holds, as text; empty without one."""
-    return F.regexp_extract(of, "(?s)" + pattern, group)
+    return F.regexp_extract(text, "(?s)" + pattern, group)
 
 
-def blocks(pattern: str, group: int = 1) -> Callable[[Column], Column]:
-    return lambda p: F.regexp_extract_all(p, F.lit("(?s)" + pattern), F.lit(group))
+def blocks(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)" + pattern), F.lit(group))
 
 
 def first_each(rows: Column, key: Callable[[Column], Column]) -> Column:
     """Of the items of one payload the first with each key."""
-    return let(F.transform(rows, key), lambda keys: F.filter(rows, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    return let(rows, lambda every: let(F.transform(every, key), lambda keys: F.filter(every, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
-def linkedin(raw: DataFrame) -> DataFrame:
-    rows = items_of(raw, blocks("<li>(.*?)</li>"))
-    title, here = found('base-search-card__title"[^>]*>(.*?)<', 1), found('job-search-card__location"[^>]*>(.*?)<', 1)
-    company = flat(found(r'base-search-card__subtitle"[^>]*>\s*(?:<a[^>]*>)?(.*?)<', 1))
-    return postings(rows, "linkedin", flat(title), found('href="(https://[^"]*?/jobs/view/[^"?]+)', 1), flat(here), remote_of(here, title), date_of(found(r'datetime="([\d-]+)"', 1)), company=company, flags=[F.lit(LISTING_ONLY)])
+def linkedin(payload: Column, board: Column, url: Column) -> Column:
+    def one(j: Column) -> Column:
+        title, here = found(j, 'base-search-card__title"[^>]*>(.*?)<', 1), found(j, 'job-search-card__location"[^>]*>(.*?)<', 1)
+        company = flat(found(j, r'base-search-card__subtitle"[^>]*>\s*(?:<a[^>]*>)?(.*?)<', 1))
+        return item(flat(title), found(j, 'href="(https://[^"]*?/jobs/view/[^"?]+)', 1), flat(here), [here, title], company=company, posted=found(j, r'datetime="([\d-]+)"', 1), flags=[F.lit(LISTING_ONLY)])
 
+    return F.transform(blocks(payload, "<li>(.*?)</li>"), one)
 
-def tag(name: str, attributes: bool = False) -> Column:
+
+def tag(text: Column, name: str, attributes: bool = False) -> Column:
     open_ = f"<{name}[^>]*>" if attributes else f"<{name}>"
-    return flat(found(rf"{open_}(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{name}>", 1))
+    return flat(found(text, rf"{open_}(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{name}>", 1))
 
 
-def personio(raw: DataFrame) -> DataFrame:
-    rows = described(items_of(raw, blocks("<position>(.*?)</position>")), flat(F.col("j")))
-    url = first_of(tag("url"), F.concat(F.lit("https://"), F.col("board"), F.lit(".jobs.personio.de/job/"), tag("id")))
-    return postings(rows, "personio", tag("name"), url, first_of(tag("office"), tag("location")), remote_of(tag("office"), tag("name")), date_of(tag("createdAt")), F.col("text"), F.col("stated"), tag("department"))
+def personio(payload: Column, board: Column, url: Column) -> Column:
+    def one(j: Column) -> Column:
+        link = first_of(tag(j, "url"), F.concat(F.lit("https://"), board, F.lit(".jobs.personio.de/job/"), tag(j, "id")))
+        read = F.struct(flat(j).alias("text"), tag(j, "name").alias("title"), tag(j, "office").alias("office"))
+        return let(read, lambda x: item(x["title"], link, first_of(x["office"], tag(j, "location")), [x["office"], x["title"]], department=tag(j, "department"), posted=tag(j, "createdAt"), description=x["text"], pays=[start_of(x["text"])]))
 
+    return F.transform(blocks(payload, "<position>(.*?)</position>"), one)
 
-def rss(raw: DataFrame) -> DataFrame:
-    t = lambda name: tag(name, True)
-    rows = described(items_of(raw, blocks("<(?:item|entry)>(.*?)</(?:item|entry)>")), first_of(t("description"), t("summary"), t("content")))
-    link = first_of(t("link"), found('<link[^>]*href="([^"]+)"', 1))
-    return postings(rows, "rss", t("title"), link, t("location"), remote_of(F.substring("text", 1, 300), t("title")), date_of(first_of(t("pubDate"), t("published"), t("updated"))), F.col("text"), F.col("stated"))
 
+def rss(payload: Column, board: Column, url: Column) -> Column:
+    def one(j: Column) -> Column:
+        t = lambda name: tag(j, name, True)
+        link = first_of(t("link"), found(j, '<link[^>]*href="([^"]+)"', 1))
+        read = F.struct(first_of(t("description"), t("summary"), t("content")).alias("text"), t("title").alias("title"))
+        return let(read, lambda x: item(x["title"], link, t("location"), [F.substring(x["text"], 1, 300), x["title"]], posted=first_of(t("pubDate"), t("published"), t("updated")), description=x["text"], pays=[start_of(x["text"])]))
 
-def nhs(raw: DataFrame) -> DataFrame:
-    rows = items_of(raw, blocks('<li class="nhsuk-list-panel search-result.*?(?=<li class="nhsuk-list-panel|</ul>)', 0))
+    return F.transform(blocks(payload, "<(?:item|entry)>(.*?)</(?:item|entry)>"), one)
 
-    def field(name: str) -> Column:
-        return flat(found(rf'data-test="search-result-{name}"[^>]*>.*?<strong[^>]*>\s*(.*?)\s*</strong>', 1))
 
+def nhs(payload: Column, board: Column, url: Column) -> Column:
     employer = r'data-test="search-result-location">.*?<h3[^>]*>\s*(.*?)\s*<div class="location-font-size">\s*(.*?)\s*</div>'
-    rows = rows.withColumns({"pay": field("salary"), "pattern": field("workingPattern"), "closing": field("closingDate"), "here": flat(found(employer, 2)), "head": flat(found(r'data-test="search-result-job-title"[^>]*>\s*(.*?)\s*</a>', 1))})
-    href = found('href="(/candidate/jobadvert/[^"?]+)', 1)
-    url = F.when(href != "", F.concat(F.lit("https://www.jobs.nhs.uk"), href))
-    company = F.when(F.col("j").rlike("(?s)" + employer), flat(found(employer, 1))).otherwise("NHS")
-    closes = F.when(F.col("closing") != "", F.concat(F.lit("closes "), F.col("closing")))
-    return postings(rows, "nhs", F.col("head"), url, F.col("here"), remote_of(F.col("here"), F.col("head"), F.col("pattern")), date_of(field("publicationDate")), some(field("jobType"), F.col("pattern"), F.col("pay"), by=" "), pay.parse(F.col("pay")), company=company, flags=[closes, F.lit(NOT_SCREENED)])
 
+    def one(j: Column) -> Column:
+        def field(name: str) -> Column:
+            return flat(found(j, rf'data-test="search-result-{name}"[^>]*>.*?<strong[^>]*>\s*(.*?)\s*</strong>', 1))
+
+        title = flat(found(j, r'data-test="search-result-job-title"[^>]*>\s*(.*?)\s*</a>', 1))
+        read = F.struct(field("salary").alias("pay"), field("workingPattern").alias("pattern"), field("closingDate").alias("closing"), flat(found(j, employer, 2)).alias("here"), title.alias("title"), found(j, 'href="(/candidate/jobadvert/[^"?]+)', 1).alias("href"))
+        company = F.when(j.rlike("(?s)" + employer), flat(found(j, employer, 1))).otherwise("NHS")
+
+        def made(x: Column) -> Column:
+            closes = F.when(x["closing"] != "", F.concat(F.lit("closes "), x["closing"]))
+            link = F.when(x["href"] != "", F.concat(F.lit("https://www.jobs.nhs.uk"), x["href"]))
+            return item(x["title"], link, x["here"], [x["here"], x["title"], x["pattern"]], company=company, posted=field("publicationDate"), description=some(field("jobType"), x["pattern"], x["pay"], by=" "), pays=[x["pay"]], flags=[closes, F.lit(NOT_SCREENED)])
 
-def rmk(raw: DataFrame) -> DataFrame:
+        return let(read, made)
+
+    return F.transform(blocks(payload, '<li class="nhsuk-list-panel search-result.*?(?=<li class="nhsuk-list-panel|</ul>)', 0), one)
+
+
+def rmk(payload: Column, board: Column, url: Column) -> Column:
     marked, any_ = r'<a[^>]*class="[^"]*jobTitle-link[^"]*"[^>]*href="([^"?]+)"[^>]*>\s*(.*?)\s*</a>', r'(?i)href="((?:/[a-z0-9_-]+)?/job/[^"?]+)"[^>]*>\s*(.*?)\s*</a>'
 
-    def pairs(pattern: str) -> Callable[[Column], Column]:
-        p = "(?s)" + pattern
-        return lambda text: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, p, 1).alias("path"), flat(F.regexp_extract(m, p, 2)).alias("title")))
-
-    both = lambda text: let(pairs(marked)(text), lambda x: F.when(F.size(x) > 0, x).otherwise(pairs(any_)(text)))
-    rows = items_of(raw, lambda p: first_each(F.filter(both(p), lambda x: x["title"] != ""), lambda x: x["path"]))
-    tail = F.regexp_replace(F.regexp_extract("j.path", "^.*/job/(.*)$", 1), r"/\d+/?$", "")
-    slug = flat(F.replace(F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))), F.lit("-"), F.lit(" ")))
-    rows = rows.withColumn("slug", slug)
-    low, head = F.lower("slug"), F.lower(F.col("j.title"))
-    # Where the title begins for the last time in the slug: what stands before it is the place.
-    upto = F.length("slug") - F.length(head) - F.instr(F.reverse(low), F.reverse(head)) + 1
-    here = F.when(low.contains(head), F.btrim(F.substring("slug", F.lit(1), upto), F.lit(" ,-"))).otherwise(F.col("slug"))
-    url = F.when(F.col("j.path").startswith("http"), F.col("j.path")).otherwise(F.concat(F.lit("https://"), F.regexp_extract("board_url", "^[a-z]+://([^/?#]*)", 1), F.col("j.path")))
-    return postings(rows, "rmk", F.col("j.title"), url, here, remote_of(here, F.col("j.title")), flags=[F.lit(NOT_SCREENED)])
-
-
-def avature(raw: DataFrame) -> DataFrame:
-    link = r'(?s)href="(https?://[^"]*?/JobDetail/[^"?]+)"[^>]*>\s*(.*?)\s*</a>'
-    pairs = lambda text: F.transform(F.regexp_extract_all(text, F.lit(link), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, link, 1).alias("url"), flat(F.regexp_extract(m, link, 2)).alias("title")))
-    rows = items_of(raw, lambda p: first_each(F.filter(pairs(p), lambda x: x["title"] != ""), lambda x: x["url"]))
-    slug = F.replace(F.regexp_extract("j.url", "^.*/JobDetail/(.*)$", 1), F.lit("-"), F.lit(" "))
-    return postings(rows, "avature", F.col("j.title"), F.col("j.url"), F.lit(""), remote_of(slug, F.col("j.title")), description=flat(slug), flags=[F.lit(NOT_SCREENED)])
-
-
-def icims(raw: DataFrame) -> DataFrame:
-    link = r'(?s)<a[^>]+href="(https?://[^"]*?/jobs/\d+/[^"?]+[^"]*)"[^>]*class="iCIMS_Anchor"[^>]*>(.*?)</a>'
-    place_ = r'(?s)field-label">Job Locations?</span>\s*<span[^>]*>\s*(.*?)\s*</span>'
-    read = lambda m: F.struct(F.regexp_extract(m, link, 1).alias("url"), flat(F.regexp_replace(F.regexp_extract(m, link, 2), r'(?s)<span[^>]*class="[^"]*sr-only[^"]*"[^>]*>.*?</span>', " ")).alias("title"), flat(F.regexp_extract(m, place_, 1)).alias("at"))
-    rows = items_of(raw, lambda p: first_each(F.filter(F.transform(blocks('<div class="row">(.*?)(?=<div class="row">|</body>)')(p), read), lambda x: (x["title"] != "") & (x["url"] != "")), lambda x: x["url"]))
+    def pairs(pattern: str) -> Column:
+        return F.transform(blocks(payload, pattern, 0), lambda m: F.struct(found(m, pattern, 1).alias("path"), flat(found(m, pattern, 2)).alias("title")))
+
+    def one(j: Column) -> Column:
+        tail = F.regexp_replace(F.regexp_extract(j["path"], "^.*/job/(.*)$", 1), r"/\d+/?$", "")
+        slug = flat(F.replace(F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))), F.lit("-"), F.lit(" ")))
+        link = F.when(j["path"].startswith("http"), j["path"]).otherwise(F.concat(F.lit("https://"), host_of(url), j["path"]))
+
+        def placed(x: Column) -> Column:
+            low, head = F.lower(x), F.lower(j["title"])
+            # Where the title begins for the last time in the slug: what stands before it is the place.
+            upto = F.length(x) - F.length(head) - F.instr(F.reverse(low), F.reverse(head)) + 1
+            return F.when(low.contains(head), F.btrim(F.substring(x, F.lit(1), upto), F.lit(" ,-"))).otherwise(x)
+
+        return let(let(slug, placed), lambda here: item(j["title"], link, here, [here, j["title"]], flags=[F.lit(NOT_SCREENED)]))
+
+    both = let(pairs(marked), lambda x: F.when(F.size(x) > 0, x).otherwise(pairs(any_)))
+    return F.transform(first_each(F.filter(both, lambda x: x["title"] != ""), lambda x: x["path"]), one)
+
+
+def avature(payload: Column, board: Column, url: Column) -> Column:
+    link = r'href="(https?://[^"]*?/JobDetail/[^"?]+)"[^>]*>\s*(.*?)\s*</a>'
+    pairs = F.transform(blocks(payload, link, 0), lambda m: F.struct(found(m, link, 1).alias("url"), flat(found(m, link, 2)).alias("title")))
+
+    def one(j: Column) -> Column:
+        slug = F.replace(F.regexp_extract(j["url"], "^.*/JobDetail/(.*)$", 1), F.lit("-"), F.lit(" "))
+        return item(j["title"], j["url"], F.lit(""), [slug, j["title"]], description=flat(slug), flags=[F.lit(NOT_SCREENED)])
+
+    return F.transform(first_each(F.filter(pairs, lambda x: x["title"] != ""), lambda x: x["url"]), one)
+
+
+def icims(payload: Column, board: Column, url: Column) -> Column:
+    link = r'<a[^>]+href="(https?://[^"]*?/jobs/\d+/[^"?]+[^"]*)"[^>]*class="iCIMS_Anchor"[^>]*>(.*?)</a>'
+    place_ = r'field-label">Job Locations?</span>\s*<span[^>]*>\s*(.*?)\s*</span>'
+    hidden = r'(?s)<span[^>]*class="[^"]*sr-only[^"]*"[^>]*>.*?</span>'
+    read = lambda m: F.struct(found(m, link, 1).alias("url"), flat(F.regexp_replace(found(m, link, 2), hidden, " ")).alias("title"), flat(found(m, place_, 1)).alias("at"))
+    rows = F.filter(F.transform(blocks(payload, '<div class="row">(.*?)(?=<div class="row">|</body>)'), read), lambda x: (x["title"] != "") & (x["url"] != ""))
 
     def tidy(part: Column) -> Column:
         bits = F.filter(F.split(part, "-"), lambda b: b != "")
         return F.when(F.size(bits) > 1, F.concat(F.array_join(F.slice(bits, 2, F.size(bits)), ", "), F.lit(", "), F.get(bits, F.lit(0)))).otherwise(part)
 
-    here = F.array_join(F.transform(F.filter(F.transform(F.split("j.at", r"\|"), lambda x: F.trim(x)), lambda x: x != ""), tidy), " / ")
-    return postings(rows, "icims", F.col("j.title"), F.col("j.url"), here, remote_of(here, F.col("j.title")), flags=[F.lit(NOT_SCREENED)])
+    def one(j: Column) -> Column:
+        here = F.array_join(F.transform(F.filter(F.transform(F.split(j["at"], r"\|"), lambda x: F.trim(x)), lambda x: x != ""), tidy), " / ")
+        return item(j["title"], j["url"], here, [here, j["title"]], flags=[F.lit(NOT_SCREENED)])
+
+    return F.transform(first_each(rows, lambda x: x["url"]), one)
 
 
-#: Keys that may hold a title or a link, in the order of choice.
+# Keys that may hold a title, a link or a date, in the order of choice, and how far below the root they are looked for.
 TITLE_KEYS = ["title", "name", "jobTitle", "positionTitle", "text"]
 URL_KEYS = ["url", "absolute_url", "jobUrl", "applyUrl", "hostedUrl", "link", "applyLink"]
 DATE_KEYS = ["postedDate", "posted_at", "updated_at", "publishedAt"]
-
-
-def first_list(payload: str | None) -> list[str]:
-    """The objects, as JSON, of the first list whose first item is an object with a title's key, at most six levels down."""
-    try:
-        level = [(json.loads(payload or ""), 0)]
-    except ValueError:
-        return []
-    while level:
-        x, depth = level.pop()
-        if depth > 6:
-            continue
-        if isinstance(x, list) and x and isinstance(x[0], dict) and any(k in x[0] for k in TITLE_KEYS):
-            return [json.dumps(j) for j in x if isinstance(j, dict)]
-        below = x[:50] if isinstance(x, list) else list(x.values()) if isinstance(x, dict) else []
-        level += [(y, depth + 1) for y in reversed(below)]
-    return []
-
-
-def generic(raw: DataFrame) -> DataFrame:
-    """Boards of no known format. Only the walk to the list is Python, a batch of payloads at a time."""
-
-    def run(batches):
-        for b in batches:
-            lists = pa.array([first_list(x) for x in b.column("payload").to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("source_key", "board", "board_url")), lists], ["source_key", "board", "board_url", "items"])
-
-    ship(raw.sparkSession)
-    listed = start(raw).mapInArrow(run, "source_key string, board string, board_url string, items array<string>")
-    get = lambda k: F.get_json_object("j", f"$.{k}")
-    rows = described(listed.select("source_key", "board", "board_url", F.posexplode("items").alias("place", "j")), node(first_of(get("description"), get("content"))))
-    where = first_of(get("location"), get("locations"), get("city"))
-    here = F.when(where.startswith("{"), flat(F.array_join(F.map_values(F.from_json(where, "map<string, string>")), ", "))).otherwise(node(where))
-    title, url = first_of(*(node(get(k)) for k in TITLE_KEYS)), first_of(*(get(k) for k in URL_KEYS))
-    return postings(rows, "custom", title, F.when(url.startswith("http"), url), here, remote_of(here, title), date_of(first_of(*(get(k) for k in DATE_KEYS))), F.col("text"), F.col("stated"))
-
-
-#: A new board is a function of landed rows and an entry here.
-BOARDS: dict[str, Callable[[DataFrame], DataFrame]] = {f.__name__: f for f in (greenhouse, ashby, lever, workable, smartrecruiters, workday, linkedin, recruitee, personio, oracle, rss, nhs, phenom, rmk, avature, icims)} | {"custom": generic}
-
-
-def parse(raw: DataFrame) -> DataFrame:
-    """Postings of all landed rows by their platform; unknown ones are walked."""
-    platform = F.when(F.col("platform").isin(*BOARDS), F.col("platform")).otherwise("custom")
-    parts = [f(raw.filter(platform == name)) for name, f in BOARDS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+DEEPEST = 6
+#: Items of a list that are looked into.
+LOOKED_INTO = 50
+
+
+def first_list(node_: Column, depth: int = 0) -> Column:
+    """The objects, as JSON, of the first list whose first item is an object with a title's key, at most DEEPEST levels down.
+
+    What stands first is looked into first, to its end. Each level is one lambda within another, and once a list is found
+    nothing more is read. A string that begins with a bracket is taken for what it looks like.
+    """
+    is_list = node_.startswith("[")
+
+    def judged(values: Column) -> Column:
+        head = F.get(values, F.lit(0))
+        keys = F.map_keys(F.from_json(head, "map<string, string>"))
+        titled = F.coalesce(head.startswith("{") & F.arrays_overlap(keys, F.array(*map(F.lit, TITLE_KEYS))), F.lit(False))
+        here = F.when(is_list & titled, F.filter(values, lambda x: x.startswith("{")))
+        if depth == DEEPEST:
+            return here
+        kids = F.filter(F.when(is_list, F.slice(values, 1, LOOKED_INTO)).otherwise(values), lambda x: x.startswith("{") | x.startswith("["))
+        return F.coalesce(here, F.aggregate(kids, F.lit(None).cast("array<string>"), lambda found_, kid: F.coalesce(found_, first_list(kid, depth + 1))))
+
+    values = F.when(is_list, F.from_json(node_, "array<string>")).when(node_.startswith("{"), F.map_values(F.from_json(node_, "map<string, string>")))
+    return let(values, judged)
+
+
+def custom(payload: Column, board: Column, url: Column) -> Column:
+    """Boards of no known format."""
+
+    def one(j: Column) -> Column:
+        get = lambda k: F.get_json_object(j, f"$.{k}")
+        where = first_of(get("location"), get("locations"), get("city"))
+        here = F.when(where.startswith("{"), flat(F.array_join(F.map_values(F.from_json(where, "map<string, string>")), ", "))).otherwise(node(where))
+        link = first_of(*(get(k) for k in URL_KEYS))
+        read = F.struct(first_of(*(node(get(k)) for k in TITLE_KEYS)).alias("title"), here.alias("here"), node(first_of(get("description"), get("content"))).alias("text"))
+        return let(read, lambda x: item(x["title"], F.when(link.startswith("http"), link), x["here"], [x["here"], x["title"]], posted=first_of(*(get(k) for k in DATE_KEYS)), description=x["text"], pays=[start_of(x["text"])]))
+
+    return F.transform(first_list(F.trim(payload)), one)
+
+
+Format = Callable[[Column, Column, Column], Column]
+#: A new board is a function of payload, board and url that gives an array of item(), and an entry here or in a dict for parse().
+BOARDS: dict[str, Format] = {f.__name__: f for f in (greenhouse, ashby, lever, workable, smartrecruiters, workday, linkedin, recruitee, personio, oracle, rss, nhs, phenom, rmk, avature, icims, custom)}
+
+
+def pay_of(j: Column) -> Column:
+    """Pay given as numbers, else the first that a text states, else what the last text gives."""
+    tried = F.transform(j["pays"], lambda t: pay.parse(t))
+    read = let(tried, lambda all_: F.coalesce(F.get(F.filter(all_, lambda s: s["confirmed"]), F.lit(0)), F.try_element_at(all_, F.lit(-1)), pay.salary()))
+    named = let(read, lambda s: F.when(s["confirmed"] & j["raw"].isNotNull(), s.withField("raw", F.substring(F.trim(j["raw"]), 1, 120))).otherwise(s))
+    return F.coalesce(j["amounts"], named)
+
+
+def parse(raw: DataFrame, boards: dict[str, Format] | None = None) -> DataFrame:
+    """Postings of all landed rows by their platform; those of platforms that boards lacks are walked like custom ones."""
+    boards = BOARDS if boards is None else boards
+    others = boards.get("custom", custom)
+    columns = F.col("payload"), F.col("company"), F.col("url")
+    named = {name: f(*columns) for name, f in boards.items() if name != "custom"}
+    listed = F
+    for name, items in named.items():
+        listed = listed.when(F.col("platform") == name, items)
+    listed = listed.otherwise(others(*columns)) if named else others(*columns)
+    known = F.col("platform").isin(*named)
+    rows = raw.select("source_key", F.col("company").alias("board"), F.when(known, F.col("platform")).otherwise("custom").alias("platform"), F.posexplode(listed).alias("place", "j"))
+    j = F.col("j")
+    out = rows.filter("j.title <> '' AND j.url <> ''").select(
+        "source_key", "place", first_of(j["company"], F.col("board")).alias("company"), j["title"].alias("title"), j["url"].alias("url"), "platform", blank(j["location"]).alias("location"),
+        F.coalesce(j["remote"], remote_of(F.concat_ws(" ", j["bits"]))).alias("remote"), F.nullif(j["department"], F.lit("")).alias("department"), date_of(j["posted"]).alias("posted_at"), blank(j["description"]).alias("description"),
+        pay_of(j).alias("salary"), j["flags"].alias("flags"),
+    )
     return out
 
 
