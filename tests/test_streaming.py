@@ -1,28 +1,93 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from vacanta.functions import role
+from vacanta.functions import pay, role
 from vacanta.streaming import jobs
+from vacanta.streaming.store import Store
+
+
+SCHEMA = "source_key string, company string, platform string, url string, payload string"
+
+
+def land(folder, name, items, key="k"):
+    row = {"source_key": key, "company": "C", "platform": "lever", "url": "u", "payload": json.dumps(items)}
+    (folder / name).write_text(json.dumps(row) + "\n")
+
+
+def screen(p):
+    uid = role.uid(F.col("url"), F.col("company"), F.col("title"), F.col("location"))
+    return p.select(uid.alias("uid"), "source_key", "place", "title", "description", "salary")
+
+
+def posts(*titles, url=None):
+    return [{"text": t, "hostedUrl": f"https://x.example.com/{url or t}"} for t in titles]
 
 
 def test_runs_are_batches(spark, tmp_path):
     """Two files of payloads are two runs; roles keep their first run, and running on without new files changes nothing."""
-    schema = "source_key string, company string, platform string, url string, payload string"
     folder, root = tmp_path / "in", str(tmp_path / "roles")
     folder.mkdir()
-
-    def land(name, *titles):
-        row = {"source_key": "k", "company": "C", "platform": "lever", "url": "u", "payload": json.dumps([{"text": t, "hostedUrl": f"https://x.example.com/{t}"} for t in titles])}
-        (folder / name).write_text(json.dumps(row) + "\n")
-
-    screen = lambda p: p.select(role.uid(F.col("url"), F.col("company"), F.col("title"), F.col("location")).alias("uid"), "title", "description", "salary")
-    first = spark.sql("SELECT '' uid, '' title, '' description, CAST(NULL AS struct<min: double, max: double, currency: string, period: string, raw: string, confirmed: boolean>) salary, '' first_seen, 0 first_run, '' last_seen").limit(0)
-    land("a.json", "one", "two")
-    jobs.ingest(jobs.landed(spark, str(folder), schema), root, screen, first, F.lit("2026-01-01"))
-    land("b.json", "two", "three")
-    jobs.ingest(jobs.landed(spark, str(folder), schema), root, screen, first, F.lit("2026-01-02"))
-    jobs.ingest(jobs.landed(spark, str(folder), schema), root, screen, first, F.lit("2026-01-03"))
-    got = {r["title"]: (r["first_run"], r["last_seen"]) for r in spark.read.parquet(f"{root}/version=1").collect()}
+    run = lambda day: jobs.ingest(jobs.landed(spark, str(folder), SCHEMA), root, screen, F.lit(day), 3)
+    land(folder, "a.json", posts("one", "two", "two") + posts("two again", url="two"))
+    run("2026-01-01")
+    land(folder, "b.json", posts("two", "three"))
+    run("2026-01-02")
+    store = run("2026-01-03")
+    got = {r["title"]: (r["first_run"], r["last_seen"]) for r in store.roles().collect()}
     assert got == {"one": (1, "2026-01-01"), "two": (1, "2026-01-02"), "three": (2, "2026-01-02")}
-    assert not (tmp_path / "roles" / "version=2").exists()
+    assert [tuple(r) for r in store.runs().select("run", "sources", "postings", "kept", "new", "roles").orderBy("run").collect()] == [(1, 1, 4, 2, 2, 2), (2, 1, 2, 2, 1, 3)]
+    assert [r["title"] for r in store.new_roles().collect()] == ["three"]
+
+
+def batch(spark, *rows):
+    return spark.createDataFrame(rows, "uid string, place int, title string, description string").withColumn("salary", pay.salary())
+
+
+def counts(spark, **n):
+    return spark.createDataFrame([(k, k.upper(), v) for k, v in n.items()], "source_key string, company string, n long")
+
+
+def test_a_run_is_merged_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), 4)
+    assert store.roles() is None and store.current()["run"] == 0
+    one = batch(spark, ("a", 2, "last", "x"), ("a", 1, "first", "xx"), ("b", 1, "b", None))
+    for day in ("2026-01-01", "2026-01-09"):
+        assert store.merge(one, counts(spark, s=3, t=5), 1, F.lit(day)) == (day == "2026-01-01")
+    assert sorted((r["uid"], r["title"], r["last_seen"]) for r in store.roles().collect()) == [("a", "last", "2026-01-01"), ("b", "b", "2026-01-01")]
+    assert store.new_roles().count() == 0 and store.throttled().count() == 0
+    store.merge(batch(spark), counts(spark, s=0, t=0, u=0), 2, F.lit("2026-01-02"))
+    assert store.roles().count() == 2 and sorted(r[0] for r in store.throttled().collect()) == ["S", "T"]
+
+
+def test_a_failed_run_leaves_nothing_that_is_read(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"), 2)
+    store.merge(batch(spark, ("a", 1, "a", "")), counts(spark, s=1), 1, F.lit("2026-01-01"))
+    with monkeypatch.context() as m:
+        m.setattr(store, "_switch", lambda state: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.merge(batch(spark, ("a", 1, "changed", ""), ("c", 1, "c", "")), counts(spark, s=2), 2, F.lit("2026-01-02"))
+    assert [r["title"] for r in store.roles().collect()] == ["a"] and store.runs().count() == 1
+    store.merge(batch(spark, ("a", 1, "changed", ""), ("c", 1, "c", "")), counts(spark, s=2), 2, F.lit("2026-01-03"))
+    assert sorted((r["title"], r["first_run"], r["last_seen"]) for r in store.roles().collect()) == [("c", 2, "2026-01-03"), ("changed", 1, "2026-01-03")]
+
+
+def test_only_touched_buckets_are_written_and_old_ones_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), 8)
+    store.merge(batch(spark, *((f"u{i}", 1, "x", "") for i in range(60))), counts(spark), 1, F.lit("2026-01-01"))
+    for run in (2, 3, 4):
+        store.merge(batch(spark, ("u7", 1, f"run {run}", "")), counts(spark), run, F.lit("2026-01-02"))
+    held = {b: run for b, (run, _) in store.current()["buckets"].items()}
+    assert sorted(held.values()) == [1] * 7 + [4]
+    folders = sorted(str(f.relative_to(tmp_path / "s" / "roles")) for f in (tmp_path / "s" / "roles").glob("run=*/bucket=*"))
+    mine = next(b for b, run in held.items() if run == 4)
+    assert folders == sorted([f"run=1/bucket={b}" for b in held if b != mine] + [f"run=3/bucket={mine}", f"run=4/bucket={mine}"])
+    assert store.roles().count() == 60 and Store(spark, str(tmp_path / "s"), 99).buckets == 8
+
+
+def test_other_columns_of_stored_roles_stay(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), 2)
+    store.merge(batch(spark, ("a", 1, "a", "")).withColumn("fit", F.lit(70)), counts(spark), 1, F.lit("2026-01-01"))
+    store.merge(batch(spark, ("a", 1, "b", "")).withColumn("sector", F.lit("it")), counts(spark), 2, F.lit("2026-01-01"))
+    assert [(r["title"], r["fit"], r["sector"]) for r in store.roles().collect()] == [("b", 70, "it")]

@@ -43,14 +43,14 @@ def scan(text: Column, default: Column, need_context: bool) -> Column:
     def code(symbol: Column) -> Column:
         return F.coalesce(F.when(symbol == "£", "GBP").when(symbol == "$", "USD").when(symbol == "€", "EUR"), default)
 
-    def look(t: Column, period: str, ranges: str, singles: str) -> Column:
+    def look(t: Column, period: Column, ranges: str, singles: str) -> Column:
         both, one = ignoring_case(ranges), ignoring_case(singles)
 
         def single(m: Column) -> Column:
             value = number(F.regexp_extract(m, one, 2))
             doubt = ~introduced(t, one) if need_context else F.lit(False)
             good = (m != "") & ~doubt & F.coalesce(value > 0, F.lit(False))
-            return F.when(good, salary(value, value, code(F.regexp_extract(m, one, 1)), F.lit(period), F.trim(m), True)).otherwise(salary())
+            return F.when(good, salary(value, value, code(F.regexp_extract(m, one, 1)), period, F.trim(m), True)).otherwise(salary())
 
         def ranged(m: Column) -> Column:
             # The match is read again for its parts: short, whatever the length of the text.
@@ -59,7 +59,7 @@ def scan(text: Column, default: Column, need_context: bool) -> Column:
             doubt = F.lit(True) if need_context else mark.isNull()
             return (
                 F.when((m != "") & doubt & ~introduced(t, both), salary())
-                .when((m != "") & (high >= low), salary(low, high, code(mark), F.lit(period), F.trim(m), True))
+                .when((m != "") & (high >= low), salary(low, high, code(mark), period, F.trim(m), True))
                 .otherwise(let(F.regexp_extract(t, one, 0), single))
             )
 
@@ -67,8 +67,7 @@ def scan(text: Column, default: Column, need_context: bool) -> Column:
 
     def by_period(t: Column) -> Column:
         # Rates have to carry a sign at their first figure; yearly figures need not.
-        rates = {p: look(t, p, rules.RATE_RANGE, rules.RATE_SINGLE) for p in ("day", "hour")}
-        return let(period_of(t), lambda p: F.when(p == "year", look(t, "year", rules.YEAR_RANGE, rules.YEAR_SINGLE)).when(p == "day", rates["day"]).otherwise(rates["hour"]))
+        return let(period_of(t), lambda p: F.when(p == "year", look(t, p, rules.YEAR_RANGE, rules.YEAR_SINGLE)).otherwise(look(t, p, rules.RATE_RANGE, rules.RATE_SINGLE)))
 
     return let(text, lambda t: F.when(t.rlike(r"\d"), by_period(t)).otherwise(salary()))
 

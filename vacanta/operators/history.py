@@ -6,7 +6,7 @@ by uid; statuses hold uid, status, note and updated_at. Null notes and descripti
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacanta.functions import role
@@ -31,7 +31,8 @@ def upsert(stored: DataFrame, batch: DataFrame, seen: Column, run: Column, key:
     """Roles after a run. batch has one row for each key and no first_seen, first_run or last_seen.
 
     first_seen and first_run stay; the longer description wins, the new one of equals; pay is replaced only by stated
-    pay or where none was stated; all else is overwritten, by nulls too. One full outer join on the key.
+    pay or where none was stated; all else is overwritten, by nulls too. Columns that only stored has stay as they are, and
+    those that only batch has are new. One full outer join on the key.
     """
     s = stored.select(key, F.struct(*stored.columns).alias("s"))
     b = batch.select(key, F.struct(*batch.columns).alias("b"))
@@ -46,7 +47,9 @@ def upsert(stored: DataFrame, batch: DataFrame, seen: Column, run: Column, key:
             return F.when(came & (~was | blank_false(new["confirmed"]) | ~blank_false(old["confirmed"])), new).otherwise(old)
         return F.when(came, new).otherwise(old)
 
-    columns = [value(c).alias(c) for c in batch.columns if c != key]
+    dated = ("first_seen", "first_run", "last_seen")
+    stored_only = [F.col(f"s.{c}").alias(c) for c in stored.columns if c not in batch.columns and c not in dated]
+    columns = [(value(c) if c in stored.columns else F.col(f"b.{c}")).alias(c) for c in batch.columns if c != key] + stored_only
     dates = [F.coalesce("s.first_seen", seen).alias("first_seen"), F.coalesce("s.first_run", run).alias("first_run"), F.when(came, seen).otherwise(F.col("s.last_seen")).alias("last_seen")]
     return s.join(b, key, "full_outer").select(key, *columns, *dates)
 
@@ -107,37 +110,52 @@ def prune_seen(seen: DataFrame, today: Column, days: int = 180) -> DataFrame:
     return seen.filter(F.col("last_seen") >= F.date_sub(today, days))
 
 
+def order_of(key: str) -> Column:
+    """The order of choice among equals, least first: the most direct, then stated pay, then the longest description, then the key."""
+    return F.struct((-role.directness(F.col("platform"))).alias("direct"), (~blank_false(F.col("salary.confirmed"))).alias("unpaid"), (-F.length(blank("description"))).alias("long"), F.col(key).alias("key"))
+
+
 def keepers(roles: DataFrame, key: str = "uid") -> DataFrame:
-    """key, keep and place for each role: the role of its company and title that stays, and the place in the order of choice.
+    """key, keep and chosen for each role: the role of its company and title that stays, and its place in the order of choice, a struct.
 
-    The most direct comes first, then stated pay, then the longest description, then the least key.
+    The role that stays is an aggregate, partly taken before the shuffle, so a group of any size is never sorted or held.
+    Roles without company or title stay themselves.
     """
-    group = Window.partitionBy(F.lower(F.trim("company")), F.lower(F.trim("title"))).orderBy(
-        role.directness(F.col("platform")).desc(), blank_false(F.col("salary.confirmed")).desc(), F.length(blank("description")).desc(), F.col(key)
-    )
-    return roles.select(key, F.first(key).over(group).alias("keep"), F.row_number().over(group).alias("place"))
+    group = [F.lower(F.trim("company")).alias("k_company"), F.lower(F.trim("title")).alias("k_title")]
+    placed = roles.select(key, *group, order_of(key).alias("chosen"))
+    best = placed.filter("k_company IS NOT NULL AND k_title IS NOT NULL").groupBy("k_company", "k_title").agg(F.min("chosen").getField("key").alias("keep"))
+    return placed.join(best, ["k_company", "k_title"], "left").select(key, F.coalesce("keep", F.col(key)).alias("keep"), "chosen")
 
 
 def merge_states(chosen: DataFrame, states: DataFrame, key: str = "uid") -> DataFrame:
-    """States of the roles that stay (chosen is of keepers()): the status furthest along of the group.
+    """States of the roles that stay (chosen is of keepers()): the status furthest along of the group, the first of equals.
 
     A note moves with a status that goes beyond all before it in the order of choice, the last such note that is not
     blank; else the role's own note stays, else the first one of the group. Only roles that someone acted on move.
+    Each status keeps its first role and its first note on the way, and there are only as many as statuses, so groups
+    are aggregated in part before the shuffle and nothing of a group is sorted.
     """
     far = F.coalesce(*(F.when(F.col("status") == k, F.lit(v)) for k, v in PROGRESS.items()), F.lit(0))
-    known = chosen.join(states, key).withColumn("far", far).filter("status <> 'new' OR place = 1")
-    before = Window.partitionBy("keep").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    step = known.withColumn("further", (F.col("place") > 1) & (F.col("far") > F.coalesce(F.max("far").over(before), F.lit(0))))
-    said = blank("note") != ""
-    moved = F.max_by("note", F.when(F.col("further") & said, F.col("place")))
-    first = F.min_by("note", F.when(said, F.col("place")))
-    best = F.max_by("status", F.struct("far", (-F.col("place")).alias("place")))
-    return step.groupBy(F.col("keep").alias(key)).agg(best.alias("status"), F.coalesce(moved, first, F.lit("")).alias("note"), F.max("updated_at").alias("updated_at"))
+    own, said = F.col("keep") == F.col(key), F.when(blank("note") != "", F.col("note"))
+    known = chosen.join(states, key).withColumns({"far": far, "own": own, "said": said}).filter("status <> 'new' OR own")
+    # Of the roles of one status only the first in the order of choice can go beyond all before it.
+    first = known.groupBy("keep", "status", "far").agg(F.min_by(F.struct("chosen", "own", "said"), "chosen").alias("first"), F.min_by("said", F.when(F.col("said").isNotNull(), F.col("chosen"))).alias("spoken"), F.min(F.when(F.col("said").isNotNull(), F.col("chosen"))).alias("spoken_at"), F.max("updated_at").alias("updated_at"))
+    steps = F.array_sort(F.collect_list(F.struct("first.chosen", "far", "first.own", "first.said")))
+    # Statuses in the order of their first roles: a step goes further if its status is beyond all before.
+    start = F.struct(F.lit(0).alias("far"), F.lit(None).cast("string").alias("note"))
+
+    def step(done: Column, x: Column) -> Column:
+        further = ~x["own"] & (x["far"] > done["far"])
+        return F.struct(F.greatest(done["far"], x["far"]).alias("far"), F.when(further, F.coalesce(x["said"], done["note"])).otherwise(done["note"]).alias("note"))
+
+    best = F.max_by("status", F.struct("far", F.struct((-F.col("first.chosen.direct")).alias("d"), (~F.col("first.chosen.unpaid")).alias("u"), (-F.col("first.chosen.long")).alias("n"))))
+    moved = F.aggregate(steps, start, step)["note"]
+    return first.groupBy(F.col("keep").alias(key)).agg(best.alias("status"), F.coalesce(moved, F.min_by("spoken", "spoken_at"), F.lit("")).alias("note"), F.max("updated_at").alias("updated_at"))
 
 
 def merge_duplicates(roles: DataFrame, states: DataFrame, artifacts: DataFrame, key: str = "uid") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(roles, states, artifacts) with one role for each company and title; artifacts move to the role that stays."""
     chosen = keepers(roles, key)
-    left = roles.join(chosen.filter("place = 1").select(key), key, "left_semi")
+    left = roles.join(chosen.filter(F.col("keep") == F.col(key)).select(key), key, "left_semi")
     moved = artifacts.join(chosen.select(key, "keep"), key, "left").withColumn(key, F.coalesce("keep", key)).drop("keep")
     return left, merge_states(chosen, states, key), moved

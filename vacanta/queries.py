@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta import board_queries, board_view_queries, history_queries, source_queries
+from vacanta import board_queries, board_view_queries, history_queries, ingest_queries, source_queries
 from vacanta.functions import pay, place, role
 from vacanta.operators import history
 from vacanta.operators import score as scoring
@@ -177,7 +177,7 @@ SELECT {K}, CAST(least(100, greatest(0, 35 + CASE WHEN home OR nowhere THEN 20 W
 
 
 #: Modules with queries of their own.
-OTHERS = (history_queries, board_queries, board_view_queries, source_queries)
+OTHERS = (history_queries, board_queries, board_view_queries, source_queries, ingest_queries)
 
 
 def queries() -> dict:

@@ -356,8 +356,11 @@ def pay_of(j: Column) -> Column:
     return F.coalesce(j["amounts"], named)
 
 
-def parse(raw: DataFrame, boards: dict[str, Format] | None = None) -> DataFrame:
-    """Postings of all landed rows by their platform; those of platforms that boards lacks are walked like custom ones."""
+def parse(raw: DataFrame, boards: dict[str, Format] | None = None, every: bool = False) -> DataFrame:
+    """Postings of all landed rows by their platform; those of platforms that boards lacks are walked like custom ones.
+
+    With every, landed rows and items that give no posting stay as rows without title. raw may be a stream.
+    """
     boards = BOARDS if boards is None else boards
     others = boards.get("custom", custom)
     columns = F.col("payload"), F.col("company"), F.col("url")
@@ -367,10 +370,10 @@ def parse(raw: DataFrame, boards: dict[str, Format] | None = None) -> DataFrame:
         listed = listed.when(F.col("platform") == name, items)
     listed = listed.otherwise(others(*columns)) if named else others(*columns)
     known = F.col("platform").isin(*named)
-    rows = raw.select("source_key", F.col("company").alias("board"), F.when(known, F.col("platform")).otherwise("custom").alias("platform"), F.posexplode(listed).alias("place", "j"))
-    j = F.col("j")
-    out = rows.filter("j.title <> '' AND j.url <> ''").select(
-        "source_key", "place", first_of(j["company"], F.col("board")).alias("company"), j["title"].alias("title"), j["url"].alias("url"), "platform", blank(j["location"]).alias("location"),
+    rows = raw.select("source_key", F.col("company").alias("board"), F.when(known, F.col("platform")).otherwise("custom").alias("platform"), (F.posexplode_outer if every else F.posexplode)(listed).alias("place", "j"))
+    j, good = F.col("j"), F.expr("j.title <> '' AND j.url <> ''")
+    out = (rows if every else rows.filter(good)).select(
+        "source_key", "place", first_of(j["company"], F.col("board")).alias("company"), F.when(good, j["title"]).alias("title"), j["url"].alias("url"), "platform", blank(j["location"]).alias("location"),
         F.coalesce(j["remote"], remote_of(F.concat_ws(" ", j["bits"]))).alias("remote"), F.nullif(j["department"], F.lit("")).alias("department"), date_of(j["posted"]).alias("posted_at"), blank(j["description"]).alias("description"),
         pay_of(j).alias("salary"), j["flags"].alias("flags"),
     )

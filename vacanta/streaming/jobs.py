@@ -1,8 +1,7 @@
 """The run loop as Structured Streaming jobs.
 
 Each job takes streams and gives a stream or starts a query; run() ends one with all that is there (availableNow), as a
-scheduled job would. A snapshot that a batch replaces has the number of the batch in its path, so a batch that is run
-again after a failure writes the same folder anew and nothing twice.
+scheduled job would.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vacanta.operators import history
 from vacanta.sources import boards
-from vacanta.tables import shared_path
+from vacanta.streaming.store import BUCKETS, Store
+from vacanta.tables import shared_path, written
 
 
 def run(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
@@ -64,19 +64,25 @@ def landed(spark: SparkSession, folder: str, schema: str, files: int = 100) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
 
 
-def ingest(payloads: DataFrame, root: str, screen: Callable[[DataFrame], DataFrame], first: DataFrame, today: Column) -> None:
-    """Parse each batch of payloads, screen it and merge it into the roles under root; a batch is a run.
+def ingest(payloads: DataFrame, root: str, screen: Callable[[DataFrame], DataFrame], today: Column, buckets: int = BUCKETS) -> Store:
+    """Parse landed payloads, screen each batch and merge what stays into the roles under root; a batch is a run.
 
-    first gives the columns of roles before any run. The newest snapshot is version=<batch>.
+    screen takes the postings of a batch and gives roles with uid, a row for each; the run's number is not known to it. The
+    payloads are parsed as a stream, so that the plan of all formats is made once. The checkpoint is kept under root, beside the
+    roles: a batch that is run again after a failure is a run that was merged already, or is merged as if for the first time.
     """
-    spark = payloads.sparkSession
+    store = Store(payloads.sparkSession, root, buckets)
 
     def each(batch: DataFrame, number: int) -> None:
-        kept = screen(boards.parse(batch))
-        stored = spark.read.parquet(f"{root}/version={number - 1}") if number else first
-        history.upsert(stored, kept, today, F.lit(number + 1)).write.mode("overwrite").parquet(f"{root}/version={number}")
-
-    run(payloads, each, checkpoint=f"{root}/checkpoint")
+        run_ = number + 1
+        if store.current()["run"] >= run_:
+            return
+        landed_ = written(batch, "postings")
+        counts = landed_.groupBy("source_key").agg(F.max("company").alias("company"), F.count("title").alias("n"))
+        store.merge(screen(landed_.filter("title IS NOT NULL")), counts, run_, today)
+
+    run(boards.parse(payloads, every=True), each, checkpoint=f"{root}/checkpoint")
+    return store
 
 
 def first_and_last(sightings: DataFrame, key: str, at: str = "ts") -> DataFrame:
