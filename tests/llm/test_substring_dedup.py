@@ -72,7 +72,7 @@ def test_windows_around_one_phrase_that_agree_in_32_bits(spark):
     order = np.argsort(full & np.uint64(0xFFFFFFFF))
     low = full[order] & np.uint64(0xFFFFFFFF)
     pairs = [(texts[order[i]], texts[order[i + 1]]) for i in np.flatnonzero(low[1:] == low[:-1])]
-    pairs = [p for p in pairs if len(set(sub.entries(pa.array(p), np.arange(2))[0].tolist())) == 1]
+    pairs = [p for p in pairs if len(set(sub.entries(pa.array(p))[0].tolist())) == 1]
     assert pairs
     rows = [(i, x) for i, x in enumerate(x for p in pairs for x in p)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -80,5 +80,14 @@ def test_windows_around_one_phrase_that_agree_in_32_bits(spark):
         assert Counter(map(tuple, sub.dedup(docs, edges=edges).collect())) == brute(rows)
 
 
+def test_two_texts_of_one_document(spark):
+    first, other = " ".join(f"w{i}" for i in range(13)), " ".join(f"x{i}" for i in range(20))
+    rows = [(1, first), (2, first), (2, other), (2, other), (3, other + " end"), (None, first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute([r for r in rows if r[0]]) + Counter({(None, 13, 0, first): 1})
+    for edges in ((), (0.5,)):
+        assert Counter(map(tuple, sub.dedup(docs, edges=edges).collect())) == want
+
+
 def test_empty(spark):
     assert sub.dedup(edge.empty(spark)).count() == 0

@@ -13,9 +13,9 @@ make the next run. compact() merges runs into one.
 
 Entries that are the same in several documents of one part of a task are sent once, for the smallest doc_id, the
 others are judged there; so a passage in a third of all documents sends one entry for each part. Buckets and
-document groups are sized by the bytes of the batch. Null and empty texts have no words. Rows of the
-same doc_id should hold the same text: a window is not repeated by another row of its own document, and removals
-apply to each row.
+document groups are sized by the bytes of the batch. Null and empty texts have no words; rows without doc_id keep all
+their words and repeat nothing. doc_id is an integer. Rows of one doc_id are told apart by a 64-bit hash of their text:
+a window is not repeated by another row of its own document, and what is removed from one of its texts stays in the others.
 """
 
 from __future__ import annotations
@@ -39,9 +39,9 @@ EDGES, MOST_RUNS = (1 / 32, 2 / 32, 3 / 32), 3
 #: Bytes of text for each bucket of fingerprints and each group of documents.
 BUCKET_BYTES = 8 << 20
 
-ENTRIES = "bucket int, fp binary, doc binary, pos binary, size binary, bits binary"
+ENTRIES = "bucket int, fp binary, doc binary, txt binary, pos binary, size binary, bits binary"
 RUNS = "bucket int, fp binary, size binary, bits binary"
-OUT = "grp int, doc binary, pos binary, size binary, bucket int, fp binary, bits binary"
+OUT = "grp int, doc binary, txt binary, pos binary, size binary, bucket int, fp binary, bits binary"
 
 
 @dataclass
@@ -50,8 +50,8 @@ class Index:
     runs: list[DataFrame] = field(default_factory=list)
 
 
-def entries(column: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """fp, doc, pos and size of each entry, and the bits of all windows, entry after entry."""
+def entries(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """fp, row, pos and size of each entry, and the bits of all windows, entry after entry."""
     w = words(column, NOT_SPACE, False)
     full = runs(w.hash, WINDOW)
     ok = np.arange(len(full)) + WINDOW <= w.ends()[: len(full)]
@@ -72,7 +72,7 @@ def entries(column: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = (arg[at][1:] != arg[at][:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(at)))
-    return best[at[first]], ids[doc[first]], at[first] - w.of[doc[first]], size, full[at]
+    return best[at[first]], doc[first], at[first] - w.of[doc[first]], size, full[at]
 
 
 def expand(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -114,7 +114,8 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataF
 
     def run(batches):
         for b in pieces(batches, text, 2 << 20):
-            fp, doc, pos, size, bits = entries(b.column(text), b.column(doc_id).to_numpy())
+            fp, row, pos, size, bits = entries(b.column(text))
+            doc, txt = b.column(doc_id).to_numpy()[row], b.column("txt").to_numpy()[row].astype("<i8")
             if not len(fp):
                 continue
             begin = np.cumsum(size) - size
@@ -127,12 +128,12 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataF
             kept[order] = doc[order] == least
             d64, p32, s8 = doc.astype("<i8"), pos.astype("<u4"), size.astype("u1")
             held = np.flatnonzero(kept)
-            out = packed((fp[held] >> np.uint64(33)).astype(np.int64) % buckets, [fp[held], d64[held], p32[held], s8[held]], size[held], bits[expand(begin[held], size[held])])
+            out = packed((fp[held] >> np.uint64(33)).astype(np.int64) % buckets, [fp[held], d64[held], txt[held], p32[held], s8[held]], size[held], bits[expand(begin[held], size[held])])
             rest = np.flatnonzero(~kept)
-            out += [[-1 - k, b"", *x, b""] for k, *x in packed(group_of(d64[rest], buckets), [d64[rest], p32[rest], s8[rest]])]
+            out += [[-1 - k, b"", *x, b""] for k, *x in packed(group_of(d64[rest], buckets), [d64[rest], txt[rest], p32[rest], s8[rest]])]
             yield batch_of(out, ENTRIES)
 
-    return docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, ENTRIES)
+    return docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias(doc_id), F.col(text), F.xxhash64(text).alias("txt")).mapInArrow(run, ENTRIES)
 
 
 def joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
@@ -145,9 +146,9 @@ def judge(buckets: int, keep_run: bool):
     def one(key, new: pa.Table, old: pa.Table | None = None) -> pa.Table:
         out = []
         bucket = new.column("bucket")[0].as_py() if new.num_rows else -1
-        doc, pos, size = joined(new, "doc", "<i8"), joined(new, "pos", "<u4"), joined(new, "size", "u1").astype(np.int64)
+        doc, txt, pos, size = joined(new, "doc", "<i8"), joined(new, "txt", "<i8"), joined(new, "pos", "<u4"), joined(new, "size", "u1").astype(np.int64)
         if new.num_rows and bucket < 0:
-            out = [[g, *x, None, None, None] for g, *x in packed(group_of(doc, buckets), [doc, pos, size.astype("u1")])]
+            out = [[g, *x, None, None, None] for g, *x in packed(group_of(doc, buckets), [doc, txt, pos, size.astype("u1")])]
         elif new.num_rows:
             fp, bits = joined(new, "fp", "<u8"), joined(new, "bits", "<u8")
             fps, of, count = np.unique(fp, return_inverse=True, return_counts=True)
@@ -178,14 +179,14 @@ def judge(buckets: int, keep_run: bool):
             repeated[order] = (d > d[at]) & (order >= len(o_f)) if len(f) else False
             repeated = repeated[len(o_f) :]
             start = pos[entry] + (place - begin[entry])
-            out = ranges(doc[entry][repeated], start[repeated], buckets)
+            out = ranges(doc[entry][repeated], txt[entry][repeated], start[repeated], buckets)
             if keep_run:
                 alone = np.flatnonzero(~shared)
                 whole_place = expand(begin[alone], size[alone])
                 fresh = head & (d != np.iinfo(np.int64).min)
                 n_f = np.concatenate([np.repeat(of[alone], size[alone]), f[fresh]])
                 n_x = np.concatenate([bits[whole_place], x[fresh]])
-                out.append([None, None, None, *run_row(bucket, fps[n_f], n_x)])
+                out.append([None, None, None, None, *run_row(bucket, fps[n_f], n_x)])
         return pa.Table.from_batches([out_batch(out)])
 
     return one
@@ -203,21 +204,21 @@ def run_row(bucket: int, fp: np.ndarray, bits: np.ndarray) -> list:
 
 
 def out_batch(rows: list[list]) -> pa.RecordBatch:
-    # rows of ranges are grp, doc, pos, size, -, -, -; the row of a run is -, -, -, size, bucket, fp, bits
+    # rows of ranges are grp, doc, txt, pos, size, -, -, -; the row of a run is -, -, -, -, size, bucket, fp, bits
     return batch_of(rows, OUT)
 
 
-def ranges(doc: np.ndarray, start: np.ndarray, groups: int) -> list[list]:
-    """Windows that begin side by side in one document as a range of up to 255, packed by document group."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order].astype(np.int64)
+def ranges(doc: np.ndarray, txt: np.ndarray, start: np.ndarray, groups: int) -> list[list]:
+    """Windows that begin side by side in one text as a range of up to 255, packed by document group."""
+    order = np.lexsort((start, txt, doc))
+    doc, txt, start = doc[order], txt[order], start[order].astype(np.int64)
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (txt[1:] != txt[:-1]) | (start[1:] != start[:-1] + 1)
     run_at = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0)) if len(doc) else np.zeros(0, np.int64)
     new |= (np.arange(len(doc)) - run_at) % 255 == 0
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(doc)))
-    return [[g, *x, None, None, None] for g, *x in packed(group_of(doc[first], groups), [doc[first].astype("<i8"), start[first].astype("<u4"), size.astype("u1")])]
+    return [[g, *x, None, None, None] for g, *x in packed(group_of(doc[first], groups), [doc[first].astype("<i8"), txt[first].astype("<i8"), start[first].astype("<u4"), size.astype("u1")])]
 
 
 def add(index: Index, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_run: bool = True) -> tuple[DataFrame, Index]:
@@ -233,7 +234,7 @@ def add(index: Index, docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         found = new.applyInArrow(two(judge(index.buckets, keep_run)), OUT)
     found = written(found, "fingerprints")
     runs_ = [*index.runs, found.filter("bucket IS NOT NULL").select("bucket", "fp", "size", "bits")] if keep_run else index.runs
-    return found.filter("grp IS NOT NULL").select("grp", "doc", "pos", "size"), Index(index.buckets, runs_)
+    return found.filter("grp IS NOT NULL").select("grp", "doc", "txt", "pos", "size"), Index(index.buckets, runs_)
 
 
 def two(f):
@@ -277,20 +278,21 @@ def remove(docs: DataFrame, found: DataFrame, groups: int, doc_id: str = "doc_id
         for b in pieces(batches, text, 2 << 20):
             ids = b.column(doc_id)
             grp = group_of(ids.fill_null(0).to_numpy().astype("<i8"), groups)
-            yield pa.RecordBatch.from_arrays([pa.array(grp), ids, pa.array([small.compress((x or "").encode()) for x in b.column(text).to_pylist()], pa.binary())], ["grp", "doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(grp), ids, b.column("txt"), pa.array([small.compress((x or "").encode()) for x in b.column(text).to_pylist()], pa.binary())], ["grp", "doc_id", "txt", "packed"])
 
     def apply(texts: pa.Table, marks: pa.Table) -> pa.Table:
         import zstandard
 
         large = zstandard.ZstdDecompressor()
-        doc, pos, size = joined(marks, "doc", "<i8"), joined(marks, "pos", "<u4").astype(np.int64), joined(marks, "size", "u1").astype(np.int64)
-        order = np.argsort(doc, kind="stable")
-        doc, pos, size = doc[order], pos[order], size[order]
+        doc, txt, pos, size = joined(marks, "doc", "<i8"), joined(marks, "txt", "<i8"), joined(marks, "pos", "<u4").astype(np.int64), joined(marks, "size", "u1").astype(np.int64)
+        order = np.lexsort((txt, doc))
+        doc, txt, pos, size = doc[order], txt[order], pos[order], size[order]
         ids = texts.column("doc_id").to_pylist()
         n, removed, kept = [], [], []
-        for d, x in zip(ids, texts.column("packed").to_pylist(), strict=True):
+        for d, h, x in zip(ids, texts.column("txt").to_pylist(), texts.column("packed").to_pylist(), strict=True):
             w = large.decompress(x).split()
             a, b = (np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")) if d is not None else (0, 0)
+            a, b = a + np.searchsorted(txt[a:b], h, "left"), a + np.searchsorted(txt[a:b], h, "right")
             n.append(len(w))
             if a == b:
                 removed.append(0)
@@ -305,7 +307,7 @@ def remove(docs: DataFrame, found: DataFrame, groups: int, doc_id: str = "doc_id
         return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     ship(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(pack, "grp int, doc_id long, packed binary")
+    texts = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text), F.xxhash64(text).alias("txt")).mapInArrow(pack, "grp int, doc_id long, txt long, packed binary")
     return texts.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
 
 
