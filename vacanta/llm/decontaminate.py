@@ -8,7 +8,8 @@ block is the usual case and needs no shuffle; the hits of more blocks are merged
 the result does not depend on the size of a block.
 
 Null texts have no words; items without words have no windows; an item of fewer words than a window is one window.
-Repeated items each count. Repeated rows and rows without id each give a row.
+Items of one id, of any type, count as one; those without id do too, and have no name in the list of ids that digest()
+hashes. Repeated rows and rows without id each give a row.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +37,10 @@ SEGMENT = 512
 class Matcher:
     """Patterns of one length."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[int]]):
+    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[str | None]]):
         self.m, self.b = length, min(2, length)
         self.words = list(patterns)
-        self.items = [np.unique(v) for v in patterns.values()]
+        self.items = list(patterns.values())
         flat = words(pa.array([b" ".join(p).decode() for p in self.words]), LETTERS, False)
         self.hash = flat.hash.reshape(len(self.words), length)
         self.bits = max(12, int(8 * self.hash.size).bit_length())
@@ -85,22 +87,22 @@ class Matcher:
         return where[sure], which[sure]
 
 
-def matchers(items: list[tuple[int, str | None]], window: int) -> list[Matcher]:
+def matchers(items: list[tuple[str | None, str | None]], window: int) -> list[Matcher]:
     w = words(pa.array([x for _, x in items], pa.string()), LETTERS, True)
-    by_length: dict[int, dict[tuple[bytes, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
+    by_length: dict[int, dict[tuple[bytes, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
     for (item, _), i, j in zip(items, w.of[:-1], w.of[1:], strict=True):
         size = min(window, j - i)
         if size:
             own = [w.word(k) for k in range(i, j)]
             for k in range(len(own) - size + 1):
-                by_length[size][tuple(own[k : k + size])].append(item)
+                by_length[size][tuple(own[k : k + size])].add(item)
     return [Matcher(size, patterns) for size, patterns in sorted(by_length.items())]
 
 
-def blocks(items: DataFrame, item_id: str, text: str, size: int) -> Iterator[list[tuple[int, str | None]]]:
-    """All items, a bounded part at a time; at least one part, if an empty one."""
+def blocks(items: DataFrame, item_id: str, text: str, size: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """All items, their ids as text, a bounded part at a time; at least one part, if an empty one."""
     part, held, some = [], 0, False
-    for item, x in items.select(item_id, text).toLocalIterator():
+    for item, x in items.select(F.col(item_id).cast("string"), text).toLocalIterator():
         part.append((item, x))
         held += len((x or "").encode())
         if held >= size:
@@ -128,43 +130,47 @@ def found_in(column: pa.Array, patterns: list[Matcher]) -> list[pa.Array]:
     """n_words, hits and items of each text."""
     w = words(column, LETTERS, True)
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    items: dict[int, set[int]] = defaultdict(set)
+    items: dict[int, set[str | None]] = defaultdict(set)
     for m in patterns:
         where, which = m.search(w)
         doc = np.searchsorted(w.of, where, "right") - 1
         for d, i, p in zip(doc.tolist(), (where - w.of[doc]).tolist(), which.tolist(), strict=True):
             hits[d].append((i, i + m.m - 1))
-            items[d].update(m.items[p].tolist())
+            items[d].update(m.items[p])
     n = len(column)
     return [
         pa.array(np.diff(w.of).astype(np.int64)),
         pa.array([[{"first": x, "last": y} for x, y in merge(hits[d])] if d in hits else [] for d in range(n)], SPAN_ARROW),
-        pa.array([sorted(items[d]) if d in items else [] for d in range(n)], pa.list_(pa.int64())),
+        pa.array([sorted(items[d], key=lambda x: (x is None, x)) if d in items else [] for d in range(n)], pa.list_(pa.string())),
     ]
 
 
-def search(docs: DataFrame, found: list[Matcher], text: str) -> DataFrame:
-    """Whole rows as beside() names them, with n_words, hits and items as v0, v1 and v2."""
-    held = docs.sparkSession.sparkContext.broadcast(found)
-    return beside(docs, text, lambda x: found_in(x, held.value), [T.LongType(), SPANS, T.ArrayType(T.LongType())])
+def search(docs: DataFrame, held: Broadcast, text: str) -> DataFrame:
+    """Whole rows as beside() names them, with n_words, hits and items as v0, v1 and v2. held is a block of matchers."""
+    return beside(docs, text, lambda x: found_in(x, held.value), [T.LongType(), SPANS, T.ArrayType(T.StringType())])
 
 
 def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Whole rows as beside() names them, with n_words, hits and items as v0, v1 and v2: the same rows for any block_bytes."""
+    """Whole rows as beside() names them, with n_words, hits and items as v0, v1 and v2: the same rows for any block_bytes. Ids of items are text."""
+    send = docs.sparkSession.sparkContext.broadcast
     parts = blocks(items, item_id, item_text, block_bytes)
     first = next(parts)
     other = next(parts, None)
     if other is None:
-        return search(docs, matchers(first, window), text)
+        return search(docs, send(matchers(first, window)), text)
     # Several blocks: rows are numbered once, in a written table. The searches after the first give only rows with hits.
     numbered = written(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id()), "numbered")
     at = f"c{docs.columns.index(text)}"
-    every, total, part = written(search(numbered, matchers(first, window), at), "hits"), None, other
+    held = send(matchers(first, window))
+    every, total, part = written(search(numbered, held, at), "hits"), None, other
+    held.destroy()
     row = f"c{len(docs.columns)}"
     while part is not None:
         # One block is on the driver at a time; its hits are written before the next is built.
-        more = search(numbered.select(at, "row"), matchers(part, window), at).filter(F.size("v1") > 0).select(F.col("c1").alias("row"), "v1", "v2")
+        held = send(matchers(part, window))
+        more = search(numbered.select(at, "row"), held, at).filter(F.size("v1") > 0).select(F.col("c1").alias("row"), "v1", "v2")
         more = written(more, "hits")
+        held.destroy()
         total = more if total is None else total.unionByName(more)
         part = next(parts, None)
     # Rows with hits in later blocks are a small part of all, and each has at most one row for a block.
@@ -180,9 +186,9 @@ def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each document: n_words, hits (ranges of words inside an occurrence, apart and ascending), items."""
+    """One row for each document: n_words, hits (ranges of words inside an occurrence, apart and ascending), items (their ids, ascending as text)."""
     found = marked(docs.select(doc_id, text), items, text, item_id, item_text, window, block_bytes)
-    return found.select(F.col("c0").alias(doc_id), F.col("v0").alias("n_words"), F.col("v1").alias("hits"), F.col("v2").alias("items"))
+    return found.select(F.col("c0").alias(doc_id), F.col("v0").alias("n_words"), F.col("v1").alias("hits"), F.col("v2").cast(T.ArrayType(items.schema[item_id].dataType)).alias("items"))
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
