@@ -147,6 +147,29 @@ def test_decontaminate(spark):
     assert none.filter("contaminated or n_items > 0").count() == 0
 
 
+def test_decontaminate_ids_of_items(spark):
+    docs = edge.documents(spark)
+    for kind, ids in (("string", ["b", None, "b", None, "aa"]), ("long", [10, None, 9, None, 9])):
+        items = list(zip(ids, ["one two three four five six seven eight nine ten", "short one", "eleven twelve", "two three four five six seven eight nine ten eleven", "thirteen"], strict=True))
+        frame = spark.createDataFrame(items, f"item_id {kind}, text string")
+        for size in (1, 2 << 20):
+            found = decontaminate.decontaminate(docs, frame, block_bytes=size)
+            assert dict(found.dtypes)["items"] == f"array<{'bigint' if kind == 'long' else kind}>"
+            named = sorted({i for i in ids if i is not None}, key=str)
+            assert found.filter("doc_id = 1").first()["items"] == [*named, None]
+            got = decontaminate.digest(found).filter("doc_id = 1").first()
+            assert (got["n_items"], got["items_sha256"]) == (len(named) + 1, hashlib.sha256(",".join(map(str, named)).encode()).hexdigest())
+
+
+def test_token_output_by_another_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = token_output.encode(edge.documents(spark), P.path("byte_bpe_50k.json"), 7).collect()
+    texts = {r["doc_id"]: r["text"] for r in edge.documents(spark).collect()}
+    assert len(rows) == 11 and all(r["ids"] == [*t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 7] for r in rows)
+
+
 def test_chat_fold(spark):
     events = [
         (1, 0, 0, "user", "delta", "he"),

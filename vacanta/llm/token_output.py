@@ -11,6 +11,7 @@ doc_id are ordered by their text. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -34,13 +35,17 @@ _known: dict = {}
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~-]*")
 #: The units that the tokenizer cuts such a word to, once it is lower case: a fixed value.
 UNIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-zß-öø-ÿ0-9]+")
+#: How a tokenizer's file must say that it normalises and cuts texts for these rules to hold.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 class Encoder:
-    """Ids of words by one tokenizer, which drops white space and cuts a text to units before it merges.
+    """Ids of texts by one tokenizer.
 
-    Plain words are cut here, and each distinct unit is merged once by the tokenizer's own model. Other words go
-    through the whole tokenizer.
+    If it drops white space, lower-cases and cuts a text to units by the rules above, plain words are cut here, and each
+    distinct unit is merged once by the tokenizer's own model; other words go through the whole tokenizer. A tokenizer
+    with other rules is given whole texts.
     """
 
     def __init__(self, path: str):
@@ -50,6 +55,11 @@ class Encoder:
         self.model = self.tokenizer.model
         self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        rules = json.loads(self.tokenizer.to_str())
+        cut = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_word = rules["normalizer"] == NORMALIZER and cut[0] == SPLIT and [x["type"] for x in cut[1:]] == ["ByteLevel"] and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+        if not self.by_word:
+            return
         # How the tokenizer spells the bytes of letters beyond ASCII.
         spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.spelling = {ord(c): spell(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
@@ -72,6 +82,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit integers of each text."""
+        if not self.by_word:
+            return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [x.replace("\n", " ").split(" ") for x in texts]
         known = self.words
         new = {w: self.word(w) for w in {w for doc in split for w in doc if w not in known}}
