@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vacanta.functions import role
 from vacanta.operators import score as scoring
 from vacanta.operators import screen as screening
+from vacanta.sources import boards
 from vacanta.streaming import jobs
 from vacanta.streaming.store import Store
 from vacanta.tables import shared_path
@@ -23,6 +24,8 @@ SCHEMA = "source_key string, company string, platform string, url string, payloa
 #: Columns of a role as it is stored.
 STORED = ["company", "title", "url", "location", "city", "country", "work_mode", "platform", "department", "salary", "posted_at", "description", "score", "reasons", "flags"]
 BAND = (2, 2)
+#: The boards that land here; others would be walked.
+FORMATS = {"lever": boards.lever}
 PAGE = 5000
 #: SQL that Spark and DuckDB share: the parts that are listed in a run, and what is said of them.
 LISTED = """SELECT p_partkey AS k, p_brand AS brand, CASE WHEN p_partkey % 7 = 6 THEN 'Barista ' ELSE 'Data Engineer ' END || CAST(p_partkey AS STRING) AS title, 'https://jobs.example.com/' || CAST(p_partkey AS STRING) AS link,
@@ -61,9 +64,9 @@ def after_runs(spark: SparkSession, sf_dir: str) -> Store:
     folder, root = shared_path(spark, "landing"), shared_path(spark, "roles")
     for run in RUNS:
         land(spark, sf_dir, run, folder)
-        store = jobs.ingest(jobs.landed(spark, folder, SCHEMA), root, screened, today(run), 16)
+        store = jobs.ingest(jobs.landed(spark, folder, SCHEMA), root, screened, today(run), 16, FORMATS)
     # Again without new files, and the last run again.
-    store = jobs.ingest(jobs.landed(spark, folder, SCHEMA), root, screened, today(9), 16)
+    store = jobs.ingest(jobs.landed(spark, folder, SCHEMA), root, screened, today(9), 16, FORMATS)
     last = store.roles().drop("first_seen", "first_run", "last_seen")
     if store.merge(last, store.source_counts().filter("run = 3").drop("run"), 3, today(9)):
         raise ValueError("a run was merged twice")

@@ -64,11 +64,11 @@ def landed(spark: SparkSession, folder: str, schema: str, files: int = 100) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
 
 
-def ingest(payloads: DataFrame, root: str, screen: Callable[[DataFrame], DataFrame], today: Column, buckets: int = BUCKETS) -> Store:
+def ingest(payloads: DataFrame, root: str, screen: Callable[[DataFrame], DataFrame], today: Column, buckets: int = BUCKETS, formats: dict[str, boards.Format] | None = None) -> Store:
     """Parse landed payloads, screen each batch and merge what stays into the roles under root; a batch is a run.
 
     screen takes the postings of a batch and gives roles with uid, a row for each; the run's number is not known to it. The
-    payloads are parsed as a stream, so that the plan of all formats is made once. The checkpoint is kept under root, beside the
+    formats are those of boards.parse(). The payloads are parsed as a stream, so that the plan of all formats is made once. The checkpoint is kept under root, beside the
     roles: a batch that is run again after a failure is a run that was merged already, or is merged as if for the first time.
     """
     store = Store(payloads.sparkSession, root, buckets)
@@ -81,7 +81,7 @@ def ingest(payloads: DataFrame, root: str, screen: Callable[[DataFrame], DataFra
         counts = landed_.groupBy("source_key").agg(F.max("company").alias("company"), F.count("title").alias("n"))
         store.merge(screen(landed_.filter("title IS NOT NULL")), counts, run_, today)
 
-    run(boards.parse(payloads, every=True), each, checkpoint=f"{root}/checkpoint")
+    run(boards.parse(payloads, formats, every=True), each, checkpoint=f"{root}/checkpoint")
     return store
 
 
