@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tests.llm import edge
 
 from vacanta.llm import graph, ngram_join, text
@@ -77,10 +78,39 @@ def test_merged_lists_stream(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
 
 
-def test_reaches():
-    x = np.arange(0, 400, 2, dtype=np.uint64)
-    y = np.arange(0, 400, 4, dtype=np.uint64)
-    assert ngram_join.reaches(x, y, 100) and not ngram_join.reaches(x, y, 101)
+def test_divide_skip():
+    rnd = np.random.default_rng(2)
+    for size, others in ((1, 1), (5, 3), (60, 1), (200, 40), (400, 7)):
+        asking = np.unique(rnd.integers(0, 10 * size, size, dtype=np.uint64))
+        sets = []
+        for i in range(others):
+            kept = asking[rnd.random(len(asking)) < (0.7 + 0.3 * i / others)]
+            sets.append(np.unique(np.concatenate([kept, rnd.integers(10 * size, 20 * size, max(1, size // 8), dtype=np.uint64)])))
+        for share in (0.5, 0.8, 0.95, 1.0):
+            need = [max(1, int(share * len(asking)) - i % 3) for i in range(others)]
+            want = [i for i, x in enumerate(sets) if len(np.intersect1d(asking, x)) >= need[i]]
+            assert ngram_join.divide_skip(asking, sets, need) == want
+
+
+def test_blocks_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "HELD", 50)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join([*base, *(f"x{i}.{j}" for j in range(i % 6))])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for named in (1 << 20, 0):
+        monkeypatch.setattr(ngram_join, "NAMED", named)
+        assert Counter(map(tuple, ngram_join.link(docs).collect())) == brute(rows)
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    one, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (1, other), (2, other + " end"), (3, one + " end"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_hash", F.lit(1))
+    got = ngram_join.link(docs)
+    assert Counter(tuple(r)[:3] for r in got.collect()) == brute(rows)
+    nameless = ngram_join.link(docs.withColumn("doc_id", F.when(F.col("doc_id") > 2, F.col("doc_id"))))
+    assert nameless.filter("doc_id IS NULL").count() == 3 and nameless.filter("doc_id = 3").count() == 2
 
 
 def test_components(spark):

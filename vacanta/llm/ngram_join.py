@@ -1,31 +1,39 @@
 """N-gram Jaccard join by T-occurrence search.
 
-Documents are sets of distinct 5-word shingles; those with a Jaccard similarity of at least 0.8 link. A document
-of n shingles asks for the others that stand on at least T = ceil(0.8 n) of its n inverted lists. As in
-DivideSkip, its T - 1 longest lists are set aside: whatever stands on T lists stands on one of the other
-n - T + 1 short ones. Only the short lists are built and merged, by Spark's sort on (shingle, size, text); the
-long ones are never merged but probed, by binary search for the shingles of one document in the sorted set of
-each candidate, given up as soon as T can't be reached. A list that holds the smaller set of a pair may be
-shorter still, as both sets then share 8/9 of it.
-
-Which lists are long need not be known exactly: any order that all documents share is exact. Shingles found more
-than once in one task's part are counted, and the most frequent of them (a bounded number, broadcast) come last.
-
-Equal texts are one text throughout. Long lists of near copies would give all pairs; so each list first offers
-its smallest set against the others and each set against the next, as many pairs as twice its length, and after
-components are known only pairs of different components are compared. Every pair that could link has then been compared or is connected. A pair is left out where what both sets
-have from their first common shingle on is too little to link; as shingles go from rare to frequent, that
-clears pairs which share one common passage. It is also left out where the bitmap filter of Sandes, Teodoro and
+Documents are sets of distinct 5-word shingles; those with a Jaccard similarity of at least 0.8 link. A document of n
+shingles asks for the others that stand on at least T of its n inverted lists, where T = ceil(0.8 n) or more.
+
+Which texts can meet at all is found by Spark: what stands on T lists stands on one of the n - T + 1 lists that come first
+in an order which all texts share, rare shingles before frequent ones. Only those lists are built, by Spark's sort on
+(shingle, size, text). The frequent shingles are counted: those found more than once in one task's part, a bounded number of
+which, broadcast, come last; any order is exact.
+
+The texts that one text can meet are then searched by DivideSkip, a block of them at a time: the inverted lists of the block
+are built for the shingles of the text that asks, its L longest lists are set aside, the short ones are merged through a heap,
+and those found T - L times or more are looked up in the long lists by binary search, until T is reached or can't be.
+L = T / (MU log2 M + 1), where M is the length of the longest list. The block of a text that very many others may meet is
+split by a hash of these.
+
+Equal texts are one text throughout. Long lists of near copies would give all pairs; so each list first offers its smallest
+set against the others and each set against the next, as many pairs as twice its length, and after components are known only
+pairs of different components are compared. Every pair that could link has then been compared or is connected. A pair is
+left out where what both sets have from their first common shingle on is too little to link; as shingles go from rare to
+frequent, that clears pairs which share one common passage. It is also left out where the bitmap filter of Sandes, Teodoro and
 Melo rules it out: each set has the parities of its shingles in SKETCH words of 64 bits; two sets differ in at least
 as many shingles as their parities differ in bits, and sets that link differ in at most a ninth of both sizes. That
-clears copies of one text which have drifted too far apart; it never drops a pair that links.
+clears copies of one text which have drifted too far apart; it never drops a pair that links. Only texts of pairs that are
+left are fetched.
 
 Null, empty and wordless texts have no set and link with nothing. doc_id is an integer; repeated rows give rows of
-their own and link with each other.
+their own and link with each other, and rows of one doc_id or without one may hold different texts.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +54,12 @@ REMEMBERED = 1 << 18
 #: Words of 64 parities for each set, a power of 2. Fewer leave out fewer pairs; the result is the same.
 SKETCH = 8
 PARITIES = [f"s{i}" for i in range(SKETCH)]
+#: Texts that one text is searched against at a time, on average, and their shingles at most (or one text).
+BLOCK, HELD = 64, 1 << 21
+#: Texts to fetch whose names are broadcast, some 40 bytes each; of more than these the names are shuffled, and all texts with them.
+NAMED = 1 << 20
+#: The constant in DivideSkip's choice of L: the cost of a step of the merge against one of a look-up.
+MU = 0.0085
 
 
 def sets(batch: pa.RecordBatch, text: str):
@@ -69,8 +83,9 @@ def within_reach(n: str, n_: str, a: str = "", b: str = "_") -> str:
 
 
 def texts(docs: DataFrame, doc_id: str, text: str, carried: str | None) -> DataFrame:
-    """doc_id, n (size of its set), k1 and k2, which name its word sequence, its parities, and the column that is carried along."""
-    also = [carried] if carried else []
+    """doc_id, n (size of its set), k1 and k2, which name its word sequence, its parities, a hash of the text, and the column that is carried along."""
+    also = ["_hash", *([carried] if carried else [])]
+    docs = docs.withColumn("_hash", F.xxhash64(text))
 
     def run(batches):
         for b in pieces(batches, text):
@@ -201,37 +216,87 @@ def merged(lists: DataFrame) -> DataFrame:
     return lists.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "n", "k1").mapInArrow(run, "shingle long, n long, k1 long, place long, head_n long, head long, prev long")
 
 
-def reaches(small: np.ndarray, large: np.ndarray, need: int) -> bool:
-    """Whether at least need shingles of small are in large; both ascend. Probes are given up once too many missed."""
-    spare = len(small) - need
-    for i in range(0, len(small), 64):
-        part = small[i : i + 64]
-        place = np.minimum(np.searchsorted(large, part), len(large) - 1)
-        spare -= int((large[place] != part).sum())
-        if spare < 0:
-            return False
-    return True
+def divide_skip(asking: np.ndarray, sets_: list[np.ndarray], need: list[int]) -> list[int]:
+    """The numbers of the sets that hold at least need[i] of the asking shingles. All arrays ascend, without repeats."""
+    least = min(need)
+    value, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), [len(x) for x in sets_])
+    at = np.minimum(np.searchsorted(asking, value), len(asking) - 1)
+    held = asking[at] == value
+    at, owner = at[held], owner[held]
+    order = np.lexsort((owner, at))
+    numbers, cut = owner[order].tolist(), np.searchsorted(at[order], np.arange(len(asking) + 1)).tolist()
+    lists = sorted((numbers[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True) if j > i), key=len)
+    if len(lists) < least:
+        return []
+    aside = min(least - 1, int(least / (MU * np.log2(len(lists[-1])) + 1))) if len(lists[-1]) > 1 else least - 1
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    out = []
+    for number, met in groupby(heapq.merge(*short)):
+        count = sum(1 for _ in met)
+        if count < least - aside:
+            continue
+        left = len(long)
+        for x in reversed(long):
+            if count >= need[number] or count + left < need[number]:
+                break
+            i = bisect_left(x, number)
+            count += i < len(x) and x[i] == number
+            left -= 1
+        if count >= need[number]:
+            out.append(number)
+    return out
 
 
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (a, b) of texts that link."""
+    """The pairs (a, b) of texts that link. Each a is searched against its b, a block of them at a time."""
 
     def run(batches):
+        block, asking, names, found = None, None, [], []
+
+        def search() -> pa.RecordBatch:
+            # 100 * both >= 80 * (x + y - both)
+            hits = divide_skip(asking, found, [-(-80 * (len(asking) + len(x)) // 180) for x in found])
+            out = pa.RecordBatch.from_arrays([pa.array([block[0]] * len(hits), pa.int64()), pa.array([names[i] for i in hits], pa.int64())], ["a", "b"])
+            names.clear()
+            found.clear()
+            return out
+
         for batch in batches:
-            for p in pieces(iter([batch]), "ta", 2 << 20):
-                va, aa, _, _ = sets(p, "ta")
-                vb, ab, _, _ = sets(p, "tb")
-                ok = []
+            for p in pieces(iter([batch]), "text", 2 << 20):
+                value, at, _, _ = sets(p, "text")
+                a, part, asks, k1 = (p.column(c).to_pylist() for c in ("a", "part", "asks", "k1"))
                 for i in range(p.num_rows):
-                    x, y = va[aa[i] : aa[i + 1]], vb[ab[i] : ab[i + 1]]
-                    small, large = (x, y) if len(x) <= len(y) else (y, x)
-                    # 100 * both >= 80 * (x + y - both)
-                    ok.append(len(small) > 0 and reaches(small, large, -(-80 * (len(x) + len(y)) // 180)))
-                yield pa.RecordBatch.from_arrays([p.column("a").filter(pa.array(ok)), p.column("b").filter(pa.array(ok))], ["a", "b"])
-
-    a = bodies.select(F.col("k1").alias("a"), F.col("text").alias("ta"))
-    b = bodies.select(F.col("k1").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+                    if (a[i], part[i]) != block and names:
+                        yield search()
+                    block = (a[i], part[i])
+                    own = value[at[i] : at[i + 1]]
+                    if asks[i]:
+                        asking = own.copy()
+                    else:
+                        names.append(k1[i])
+                        found.append(own.copy())
+                        if sum(map(len, found)) >= HELD:
+                            yield search()
+        if names:
+            yield search()
+
+    n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    blocks = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    asked = blocks.select("a", "part", F.lit(True).alias("asks"), F.col("a").alias("k1")).distinct().unionByName(blocks.select("a", "part", F.lit(False).alias("asks"), F.col("b").alias("k1")))
+    dealt = asked.join(bodies, "k1").repartition(partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.desc("asks"))
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def bodies_of(pairs: DataFrame, listed: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """k1 and text of the texts in pairs, from one row each."""
+    some = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
+    need = written(listed.join(some, "k1", "left_semi").select("k1", F.col("doc_id").alias("_id"), "_hash"), "needed")
+    names = F.broadcast(need) if need.count() <= NAMED else need
+    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    same = (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    out = written(body.join(names, same).select("k1", "text").dropDuplicates(["k1"]), "bodies")
+    discard(need)
+    return out
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_most: int = FREQUENT, carried: str | None = None) -> DataFrame:
@@ -240,16 +305,16 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_m
     named = written(texts(docs, doc_id, text, carried), "texts")
     lists = written(merged(postings(docs, text, frequent(docs, text, frequent_most))), "lists")
     # One document for each text that stands on a list.
-    of_text = named.filter("n > 0").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("size"), *(F.first(s).alias(s) for s in PARITIES))
+    one = F.min(F.struct("doc_id", "_hash")).alias("one")
+    of_text = named.filter("n > 0").groupBy("k1").agg(one, F.first("n").alias("size"), *(F.first(s).alias(s) for s in PARITIES)).select("k1", "one.*", "size", *PARITIES)
     listed = written(of_text.join(lists.select("k1").distinct(), "k1"), "listed")
     bits = listed.select("k1", "size", *PARITIES)
-    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(listed.select("doc_id", "k1"), "doc_id").select("k1", "text")
-    bodies = written(body.dropDuplicates(["k1"]), "bodies")
-
     first = lists.filter("k1 <> head AND 5 * head_n >= 4 * n").select(F.col("head").alias("a"), F.col("k1").alias("b"))
     first = first.union(lists.filter("k1 <> prev AND prev <> head").select("prev", "k1")).distinct()
     first = written(first.join(bits.withColumnRenamed("k1", "a"), "a").join(bits.select(*(F.col(c).alias(f"{c}_") for c in bits.columns)).withColumnRenamed("k1_", "b"), "b").filter("5 * size >= 4 * size_ AND " + within_reach("size", "size_")).select("a", "b"), "pairs")
+    bodies = bodies_of(first, listed, docs, doc_id, text)
     links = written(verified(first, bodies), "links")
+    discard(bodies)
     label = components(links)
     x = lists.join(label.withColumnRenamed("node", "k1"), "k1", "left").select("shingle", "n", "k1", "place", F.coalesce("component", "k1").alias("label"))
     x = x_table = written(x, "labelled")
@@ -258,8 +323,10 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_m
     y = x.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("n", "k1", "place", "label", *PARITIES)))
     second = x.filter("9 * place <= n").join(y, "shingle").filter("label <> label_ AND (n < n_ OR n = n_ AND k1 < k1_) AND 5 * n >= 4 * n_ AND 9 * least(n - place, n_ - place_) >= 4 * (n + n_) AND " + within_reach("n", "n_"))
     second = second.select(F.col("k1").alias("a"), F.col("k1_").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = written(second, "pairs")
+    bodies = bodies_of(second, listed, docs, doc_id, text)
     more = written(verified(second, bodies), "links")
-    discard(lists, listed, bodies, first, x_table)
+    discard(lists, listed, bodies, first, second, x_table)
     label = components(links.union(more))
     discard(links, more)
 
