@@ -15,7 +15,6 @@ import json
 import re
 import zlib
 from array import array
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -84,15 +83,23 @@ class Encoder:
         """Little-endian 32-bit integers of each text."""
         if not self.by_word:
             return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        known = self.words
-        new = {w: self.word(w) for w in {w for doc in split for w in doc if w not in known}}
-        if len(known) + len(new) <= KNOWN_WORDS:
-            known.update(new)
-        else:
-            known.update(islice(new.items(), KNOWN_WORDS - len(known)))
-            known = {w: new[w] if w in new else known[w] for doc in split for w in doc}
-        return [b"".join(map(known.__getitem__, doc)) for doc in split]
+        known, beyond, out = self.words, {}, []
+        for x in texts:
+            doc = x.replace("\n", " ").split(" ")
+            # Each word is looked up once; a text without a new word, most of them, is joined at once.
+            ids = list(map(known.get, doc))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:
+                for i, (w, found) in enumerate(zip(doc, ids, strict=True)):
+                    if found is None:
+                        found = known.get(w) or beyond.get(w)
+                        if found is None:
+                            found = self.word(w)
+                            (known if len(known) < KNOWN_WORDS else beyond)[w] = found
+                        ids[i] = found
+                out.append(b"".join(ids))
+        return out
 
 
 def encode_texts(path: str, texts: list[str | None], end_id: int) -> list[bytes]:
