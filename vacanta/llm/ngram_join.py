@@ -3,10 +3,11 @@
 Documents are sets of distinct 5-word shingles; those with a Jaccard similarity of at least 0.8 link. A document of n
 shingles asks for the others that stand on at least T of its n inverted lists, where T = ceil(0.8 n) or more.
 
-Which texts can meet at all is found by Spark: what stands on T lists stands on one of the n - T + 1 lists that come first
-in an order which all texts share, rare shingles before frequent ones. Only those lists are built, by Spark's sort on
-(shingle, size, text). The frequent shingles are counted: those found more than once in one task's part, a bounded number of
-which, broadcast, come last; any order is exact.
+Which texts can meet at all is found by Spark: what stands on T lists stands on c of the n - T + c lists that come first in
+an order which all texts share, rare shingles before frequent ones, for any c; here c = 1 + n / SHARE, so that long texts
+which have a few shingles in common by chance do not meet. Only those lists are built, by Spark's sort on (shingle, size,
+text). The frequent shingles are counted: those found more than once in one task's part, a bounded number of which,
+broadcast, come last; any order is exact.
 
 The texts that one text can meet are then searched by DivideSkip, a block of them at a time: the inverted lists of the block
 are built for the shingles of the text that asks, its L longest lists are set aside, the short ones are merged through a heap,
@@ -21,8 +22,9 @@ left out where what both sets have from their first common shingle on is too lit
 frequent, that clears pairs which share one common passage. It is also left out where the bitmap filter of Sandes, Teodoro and
 Melo rules it out: each set has the parities of its shingles in SKETCH words of 64 bits; two sets differ in at least
 as many shingles as their parities differ in bits, and sets that link differ in at most a ninth of both sizes. That
-clears copies of one text which have drifted too far apart; it never drops a pair that links. Only texts of pairs that are
-left are fetched.
+clears copies of one text which have drifted too far apart; it never drops a pair that links. Last, the places that both
+have on built lists are counted, by 32 bits of the shingles, which can only count too many; fewer than c rule a pair out.
+Only texts of pairs that are left are fetched.
 
 Null, empty and wordless texts have no set and link with nothing. doc_id is an integer; repeated rows give rows of
 their own and link with each other, and rows of one doc_id or without one may hold different texts.
@@ -58,6 +60,8 @@ PARITIES = [f"s{i}" for i in range(SKETCH)]
 BLOCK, HELD = 64, 1 << 21
 #: Texts to fetch whose names are broadcast, some 40 bytes each; of more than these the names are shuffled, and all texts with them.
 NAMED = 1 << 20
+#: Of so many shingles of a set one more has to be shared on the built lists.
+SHARE = 64
 #: The constant in DivideSkip's choice of L: the cost of a step of the merge against one of a look-up.
 MU = 0.0085
 
@@ -165,7 +169,7 @@ def postings(docs: DataFrame, text: str, often: tuple[np.ndarray, np.ndarray]) -
             order = np.lexsort((value, rank, doc))
             place = np.arange(len(value)) - np.repeat(at[:-1], n)
             each = np.repeat(n, n)
-            short = (place <= each - -(-4 * each // 5)) & np.repeat(fresh(k1, at, seen), n)
+            short = (place <= each - -(-4 * each // 5) + each // SHARE) & np.repeat(fresh(k1, at, seen), n)
             yield pa.RecordBatch.from_arrays([pa.array(value[order][short].view(np.int64)), pa.array(each[short]), pa.array(np.repeat(k1, n)[short]), pa.array(place[short])], ["shingle", "n", "k1", "place"])
 
     return docs.select(text).mapInArrow(run, "shingle long, n long, k1 long, place long")
@@ -247,8 +251,8 @@ def divide_skip(asking: np.ndarray, sets_: list[np.ndarray], need: list[int]) ->
     return out
 
 
-def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (a, b) of texts that link. Each a is searched against its b, a block of them at a time."""
+def searched(dealt: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts that link. dealt has a, part, asks, k1 and text: a itself (asks) before the texts of each of its blocks."""
 
     def run(batches):
         block, asking, names, found = None, None, [], []
@@ -280,23 +284,54 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         if names:
             yield search()
 
-    n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    blocks = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    asked = blocks.select("a", "part", F.lit(True).alias("asks"), F.col("a").alias("k1")).distinct().unionByName(blocks.select("a", "part", F.lit(False).alias("asks"), F.col("b").alias("k1")))
-    dealt = asked.join(bodies, "k1").repartition(partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.desc("asks"))
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def bodies_of(pairs: DataFrame, listed: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """k1 and text of the texts in pairs, from one row each."""
-    some = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    need = written(listed.join(some, "k1", "left_semi").select("k1", F.col("doc_id").alias("_id"), "_hash"), "needed")
-    names = F.broadcast(need) if need.count() <= NAMED else need
+def verified(pairs: DataFrame, listed: DataFrame, named: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) of texts that link. Each a is searched against its b, a block of them at a time.
+
+    The rows that texts are taken from are named by doc_id and hash, with all blocks that they go to; so each text is
+    read where it lies and is shuffled once, to its blocks.
+    """
+    n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    blocks = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    asked = blocks.select("a", "part", F.lit(True).alias("asks"), F.col("a").alias("k1")).distinct().unionByName(blocks.select("a", "part", F.lit(False).alias("asks"), F.col("b").alias("k1")))
+    to = asked.groupBy("k1").agg(F.collect_list(F.struct("a", "part", "asks")).alias("to"))
+    need = written(to.join(listed.select("k1", F.col("doc_id").alias("_id"), F.col("_hash").alias("_own")), "k1"), "needed")
+    size = need.count()
+    names = F.broadcast(need) if size <= NAMED else need
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    same = (F.xxhash64("text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    out = written(body.join(names, same).select("k1", "text").dropDuplicates(["k1"]), "bodies")
-    discard(need)
-    return out
+    rows = body.join(names, (F.xxhash64("text") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("k1", "text", "to")
+    key = need.select(F.col("_id"), F.col("_own"))
+    if named.join(key, (F.col("_hash") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id"))).count() > size:
+        rows = rows.dropDuplicates(["k1"])  # repeated rows of one doc_id
+    dealt = rows.select("k1", "text", F.explode("to").alias("t")).select("t.a", "t.part", "t.asks", "k1", "text")
+    return searched(dealt.repartition(partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.desc("asks")))
+
+
+def enough_shared(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which both have enough places on the same built lists, size and size_ being those of their sets."""
+    known = lists.groupBy("k1").agg(F.collect_list("shingle").alias("at"))
+
+    def pack(batches):
+        for x in batches:
+            at = x.column("at")
+            flat, cut = at.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False))])
+            yield pa.RecordBatch.from_arrays([x.column("k1"), pa.array([(flat[i:j].view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["k1", "at"])
+
+    def judge(batches):
+        for x in batches:
+            size, size_ = (x.column(c).to_numpy() for c in ("size", "size_"))
+            least = 1 + np.minimum(size, size_) // SHARE
+            ok = [int(np.isin(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")).sum()) >= m for p, q, m in zip(x.column("p").to_pylist(), x.column("q").to_pylist(), least.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    # One shingle is shared by every pair here, so short sets need no count.
+    long = F.least("size", "size_") >= SHARE
+    some = known.join(pairs.filter(long).select(F.col("a").alias("k1")).union(pairs.filter(long).select("b")).distinct(), "k1", "left_semi")
+    packed = written(some.mapInArrow(pack, "k1 long, at binary"), "places")
+    counted = pairs.filter(long).join(packed.toDF("a", "p"), "a").join(packed.toDF("b", "q"), "b").mapInArrow(judge, "a long, b long")
+    return counted.unionByName(pairs.filter(~long).select("a", "b"))
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_most: int = FREQUENT, carried: str | None = None) -> DataFrame:
@@ -311,10 +346,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_m
     bits = listed.select("k1", "size", *PARITIES)
     first = lists.filter("k1 <> head AND 5 * head_n >= 4 * n").select(F.col("head").alias("a"), F.col("k1").alias("b"))
     first = first.union(lists.filter("k1 <> prev AND prev <> head").select("prev", "k1")).distinct()
-    first = written(first.join(bits.withColumnRenamed("k1", "a"), "a").join(bits.select(*(F.col(c).alias(f"{c}_") for c in bits.columns)).withColumnRenamed("k1_", "b"), "b").filter("5 * size >= 4 * size_ AND " + within_reach("size", "size_")).select("a", "b"), "pairs")
-    bodies = bodies_of(first, listed, docs, doc_id, text)
-    links = written(verified(first, bodies), "links")
-    discard(bodies)
+    first = written(first.join(bits.withColumnRenamed("k1", "a"), "a").join(bits.select(*(F.col(c).alias(f"{c}_") for c in bits.columns)).withColumnRenamed("k1_", "b"), "b").filter("5 * size >= 4 * size_ AND " + within_reach("size", "size_")).select("a", "b", "size", "size_"), "pairs")
+    links = written(verified(written(enough_shared(first, lists), "pairs"), listed, named, docs, doc_id, text), "links")
     label = components(links)
     x = lists.join(label.withColumnRenamed("node", "k1"), "k1", "left").select("shingle", "n", "k1", "place", F.coalesce("component", "k1").alias("label"))
     x = x_table = written(x, "labelled")
@@ -322,11 +355,10 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent_m
     x = x.join(mixed, "shingle", "left_semi").join(bits.drop("size"), "k1")
     y = x.select("shingle", *(F.col(c).alias(f"{c}_") for c in ("n", "k1", "place", "label", *PARITIES)))
     second = x.filter("9 * place <= n").join(y, "shingle").filter("label <> label_ AND (n < n_ OR n = n_ AND k1 < k1_) AND 5 * n >= 4 * n_ AND 9 * least(n - place, n_ - place_) >= 4 * (n + n_) AND " + within_reach("n", "n_"))
-    second = second.select(F.col("k1").alias("a"), F.col("k1_").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = second.select(F.col("k1").alias("a"), F.col("k1_").alias("b"), F.col("n").alias("size"), F.col("n_").alias("size_")).distinct().join(first, ["a", "b"], "left_anti")
     second = written(second, "pairs")
-    bodies = bodies_of(second, listed, docs, doc_id, text)
-    more = written(verified(second, bodies), "links")
-    discard(lists, listed, bodies, first, second, x_table)
+    more = written(verified(written(enough_shared(second, lists), "pairs"), listed, named, docs, doc_id, text), "links")
+    discard(lists, listed, first, second, x_table)
     label = components(links.union(more))
     discard(links, more)
 
