@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +23,38 @@ def test_merge_of_duplicates(spark):
     assert {tuple(r) for r in moved.select("uid", "id").collect()} == {("c", 1), ("d", 2), (None, 3)}
 
 
+def test_merges_of_states_as_a_loop_would(spark):
+    """Many groups against a plain loop over each group in the order of choice."""
+    rnd = random.Random(4)
+    kinds = list(history.PROGRESS)
+    roles = [(f"u{i:03d}", rnd.choice(["Acme", "acme ", "Other", None]), f"t{i % 25}", rnd.choice(["linkedin", "nhs", "ashby"]), "x" * rnd.randrange(4)) for i in range(300)]
+    states = [(u, rnd.choice(kinds), rnd.choice(["", None, f"note {u}"]), f"2026-01-{rnd.randrange(1, 28):02d}") for u, *_ in roles if rnd.random() < 0.8]
+    want, held = {}, {u: s for u, *s in states}
+    groups = {}
+    for u, company, title, platform, text in roles:
+        groups.setdefault((company.lower().strip() if company else u, title), []).append(({"linkedin": 0, "nhs": 1}.get(platform, 2), len(text), u))
+    for members in groups.values():
+        order = [u for *_, u in sorted(members, key=lambda m: (-m[0], -m[1], m[2]))]
+        best, far, moved, first = None, 0, None, None
+        for i, u in enumerate(order):
+            status, note, at = held.get(u, (None, None, None))
+            if status is None or (status == "new" and i):
+                continue
+            p = history.PROGRESS[status]
+            if i and p > far:
+                moved = note or moved
+            first = first or note or None
+            best = status if best is None or p > history.PROGRESS[best] else best
+            far = max(far, p)
+        acted = [held[u][2] for i, u in enumerate(order) if u in held and (held[u][0] != "new" or i == 0)]
+        if best is not None:
+            want[order[0]] = (best, moved or first or "", max(acted))
+    r = spark.createDataFrame(roles, "uid string, company string, title string, platform string, description string").withColumn("salary", pay.salary())
+    s = spark.createDataFrame(states, "uid string, status string, note string, updated_at string")
+    _, merged, _ = history.merge_duplicates(r, s, spark.createDataFrame([], "uid string, id int"))
+    assert {u: tuple(rest) for u, *rest in merged.collect()} == want
+
+
 def test_unknown_status_is_an_error(spark):
     events = spark.createDataFrame([("a", "lost", "", 1)], "uid string, status string, note string, at int")
     with pytest.raises(Exception, match="unknown status"):
@@ -47,6 +81,14 @@ def test_shared_phrases(spark):
     assert [tuple(r) for r in phrases.shared_phrases(left, "d", "text", right, "i", "body").collect()] == [(1, 9, 7, "one two three four five six seven")]
 
 
+def test_shared_phrases_of_repeated_words(spark):
+    same = " ".join(["x"] * 300)
+    left = spark.createDataFrame([(1, same), (2, "a b c d e f g h q a b c d e f g h i")], "d int, text string")
+    right = spark.createDataFrame([(1, same + " x"), (2, "a b c d e f g h i j"), (3, "q a b c d e f")], "i int, body string")
+    got = {tuple(r) for r in phrases.shared_phrases(left, "d", "text", right, "i", "body").collect()}
+    assert got == {(1, 1, 300, same), (2, 2, 9, "a b c d e f g h i"), (2, 3, 7, "q a b c d e f")}
+
+
 def test_score(spark):
     rows = spark.sql(
         "SELECT * FROM VALUES ('Data Engineer', array('UK'), array(), true, DATE'2026-01-30', array()), ('Director', array(), array('US'), true, NULL, array('x')),"

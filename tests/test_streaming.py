@@ -1,4 +1,5 @@
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,16 @@ def test_other_columns_of_stored_roles_stay(spark, tmp_path):
     store.merge(batch(spark, ("a", 1, "a", "")).withColumn("fit", F.lit(70)), counts(spark), 1, F.lit("2026-01-01"))
     store.merge(batch(spark, ("a", 1, "b", "")).withColumn("sector", F.lit("it")), counts(spark), 2, F.lit("2026-01-01"))
     assert [(r["title"], r["fit"], r["sector"]) for r in store.roles().collect()] == [("b", 70, "it")]
+
+
+def test_gone_does_not_depend_on_batches(spark, tmp_path):
+    """A key is gone a week after its last sighting, each time; late sightings between others change nothing."""
+    day = lambda d: datetime(2026, 1, 1) + timedelta(days=d)
+    rows = [("a", 0.0), ("a", 3.0), ("a", 11.5), ("b", 1.0), ("c", 20.0), ("a", 12.0), ("d", 13.5), ("d", 13.25), (None, 2.0)]
+    for i, cuts in enumerate(([30], [2, 12, 30], [5, 10, 15, 30])):
+        folder = str(tmp_path / f"in{i}")
+        frame = spark.createDataFrame([(k, day(d), next(j for j, c in enumerate(cuts) if d < c)) for k, d in rows], "key string, ts timestamp_ntz, part int")
+        jobs.arriving(frame, F.col("part"), len(cuts), folder)
+        got = jobs.collected(jobs.gone(jobs.files(spark, folder, frame.schema, "1 hour"), "key", days=7), "gone")
+        shown = sorted((r["key"] or "", r["at"]) for r in got.select("key", jobs.in_utc(F.col("gone_at")).alias("at")).collect())
+        assert shown == [("", day(9)), ("a", day(10)), ("a", day(19)), ("b", day(8))]

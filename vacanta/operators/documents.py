@@ -39,9 +39,9 @@ def counted(items: Column) -> Column:
 def keywords(text: Column, top: int = TOP_KEYWORDS) -> Column:
     """The most frequent words as structs item and n, first found first among equals; words that say nothing are left out."""
     tokens = F.transform(all_of(F.lower(blank(text)), W.TOKEN), lambda t: F.btrim(t, F.lit(".-")))
-    dull = F.array(*(F.lit(w) for w in dict.fromkeys(W.STOP + W.FILLER)))
-    # Counted before the dull words go: each distinct word is looked up once.
-    kept = F.filter(counted(F.filter(tokens, lambda t: F.length(t) >= 3)), lambda x: ~F.array_contains(dull, x["item"]))
+    # A list of literals is a hash set in the plan, so a look-up costs the same however long the list; only what is left is sorted.
+    dull = list(dict.fromkeys(W.STOP + W.FILLER))
+    kept = counted(F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.isin(dull)))
     order = F.array_sort(F.transform(kept, lambda x: F.struct((-x["n"]).alias("less"), x["first"].alias("first"), x["item"].alias("item"))))
     return F.transform(F.slice(order, 1, top), lambda x: F.struct(x["item"].alias("item"), (-x["less"]).alias("n")))
 
@@ -70,9 +70,8 @@ def signals(documents: DataFrame, text: str = "text") -> DataFrame:
     marked = F.transform(F.filter("_lines", lambda x: (F.length(x) > 1) & (F.instr(glyph, F.substring(x, 1, 1)) > 0)), lambda x: F.trim(F.ltrim(x, glyph)))
     plain = F.filter("_lines", lambda x: F.length(x).between(40, 400) & ~((F.upper(x) == x) & (F.lower(x) != x)))
     rows = rows.withColumn("_bullets", let(marked, lambda m: F.when(F.size(m) > 0, m).otherwise(plain)))
-    verbs = F.array(*map(F.lit, W.VERBS))
     metric = F.size(F.filter("_bullets", lambda b: F.lower(b).rlike("(?U)" + W.METRIC)))
-    led = F.size(F.filter("_bullets", lambda b: F.array_contains(verbs, F.regexp_replace(F.lower(F.regexp_extract(b, r"\S+", 0)), "[^a-z]", ""))))
+    led = F.size(F.filter("_bullets", lambda b: F.regexp_replace(F.lower(F.regexp_extract(b, r"\S+", 0)), "[^a-z]", "").isin(W.VERBS)))
     n, words = F.size("_bullets"), F.regexp_count("_full", F.lit(r"\S+"))
     missing = F.array_compact(F.array(*(F.when(~F.col("_full").rlike(r"(?im)^\W{0,3}(" + "|".join(names) + r")\b") & ~F.col("_low").rlike("|".join(names)), F.lit(k)) for k, names in W.SECTIONS.items())))
     slop = F.array_sort(F.array_compact(F.array(*(F.when(F.col("_low").contains(w) & F.col("_low").rlike(r"\b" + re.escape(w) + r"\b"), F.lit(w)) for w in W.SLOP))))
@@ -86,7 +85,7 @@ def signals(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def titles(text: Column, top: int = TOP_TITLES) -> Column:
     """Job titles of a CV by frequency, then the shorter, then the first; levels before a title go."""
-    pattern = "(?im)" + W.TITLE_BEFORE + "(" + W.TITLE_WORDS + "(?:" + W.ROLE_WORD + ")" + W.TITLE_OF + ")" + W.TITLE_AFTER
+    pattern = "(?im)" + W.TITLE.replace("ROLE_WORD", W.ROLE_WORD)
     found = F.regexp_extract_all(blank(text), F.lit(pattern), F.lit(1))
     tidy = F.transform(found, lambda t: F.regexp_replace(F.btrim(F.lower(F.trim(F.regexp_replace(t, r"\s+", " "))), F.lit(" ,.-")), W.LEVEL_PREFIX, ""))
     fit = F.filter(tidy, lambda t: F.length(t).between(3, 45) & ~t.rlike("^(?:and|the|a) "))
@@ -106,8 +105,14 @@ def plain(token: Column) -> Column:
 def unsourced(draft: Column, source: Column, most: int = MOST_UNSOURCED) -> Column:
     """The first specifics of a draft, each once, that its source has nowhere; years and single digits are no claims."""
     known = F.array_union(F.transform(all_of(blank(source), "(?U)" + W.FIGURE), lambda t: plain(F.trim(t))), F.transform(all_of(blank(source), "(?iuU)" + W.SCALE_WORD), lambda t: F.lower(t)))
-    new = let(known, lambda have: F.filter(specifics(blank(draft)), lambda t: ~F.array_contains(have, plain(t)) & ~F.array_contains(have, F.lower(t)) & ~plain(t).rlike(r"^(?:19|20)\d\d$|^\d$")))
-    return F.slice(F.array_distinct(new), 1, most)
+    claims = F.array_distinct(F.filter(specifics(blank(draft)), lambda t: ~plain(t).rlike(r"^(?:19|20)\d\d$|^\d$")))
+
+    def judged(all_: Column) -> Column:
+        # What the source lacks is one difference of sets by hash; few are left, and only these are looked through.
+        lacking = F.array_except(F.array_union(F.transform(all_, plain), F.transform(all_, lambda t: F.lower(t))), known)
+        return let(lacking, lambda bad: F.filter(all_, lambda t: F.array_contains(bad, plain(t)) & F.array_contains(bad, F.lower(t))))
+
+    return F.slice(let(claims, judged), 1, most)
 
 
 def overlaps(a: Column, b: Column, n: int = 6) -> Column:

@@ -15,25 +15,30 @@ def words(text: Column) -> Column:
 
 
 def grams(texts: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, at and gram for each run of n words."""
+    """key, at, gram, and the words before and after it (null at an end), for each run of n words."""
     w = texts.select(key, words(F.col(text)).alias("w")).filter(F.size("w") >= n)
     # The grams are made before they are exploded, so that no row carries the whole text.
-    each = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-    return w.select(key, F.posexplode(each).alias("at", "gram"))
+    each = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.array_join(F.slice("w", i + 1, n), " ").alias("gram"), F.when(i > 0, F.get("w", i - 1)).alias("before"), F.get("w", i + n).alias("after")))
+    return w.select(key, F.posexplode(each).alias("at", "g")).select(key, "at", "g.*")
 
 
 def shared_phrases(left: DataFrame, left_key: str, left_text: str, right: DataFrame, right_key: str, right_text: str, n: int = 6) -> DataFrame:
     """left_key, right_key, n_words and phrase: the longest run of n words or more that both texts hold.
 
     The longest is by characters, then the one that starts first in the left text. Pairs that share none have no row;
-    null and empty texts share nothing. Runs meet by equality of grams; neighbouring meetings on one diagonal are
-    joined to islands by their place in it, so nothing is compared pair by pair. Keys are unique in each table.
+    null and empty texts share nothing. Keys are unique in each table. Runs meet by equality of grams, but only where a
+    shared run begins or ends, which the words beside the grams tell in the join itself: a passage that many texts share
+    gives two rows for each pair of them, however long it is, and a word that is repeated many times gives no row for each
+    pair of its places.
     """
-    a, b = grams(left, left_key, left_text, n), grams(right, right_key, right_text, n)
-    met = a.join(b.withColumnRenamed("at", "b_at"), "gram").withColumn("diagonal", F.col("at") - F.col("b_at"))
+    a, b = grams(left, left_key, left_text, n), grams(right, right_key, right_text, n).toDF(right_key, "b_at", "b_gram", "b_before", "b_after")
+    # Two texts that both begin here begin a run: a null is no word that goes on.
+    begins = ~F.coalesce(F.col("before") == F.col("b_before"), F.lit(False))
+    ends = ~F.coalesce(F.col("after") == F.col("b_after"), F.lit(False))
+    met = a.join(b, (F.col("gram") == F.col("b_gram")) & (begins | ends)).select(left_key, right_key, "at", (F.col("at") - F.col("b_at")).alias("diagonal"), begins.alias("begins"), ends.alias("ends"))
     line = Window.partitionBy(left_key, right_key, "diagonal").orderBy("at")
-    island = met.withColumn("island", F.col("at") - F.row_number().over(line)).groupBy(left_key, right_key, "diagonal", "island").agg(F.min("at").alias("first"), (F.count(F.lit(1)) + n - 1).alias("n_words"))
-    runs = island.select(left_key, right_key, "first", "n_words").distinct()
+    last = F.min(F.when(F.col("ends"), F.col("at"))).over(line.rowsBetween(0, Window.unboundedFollowing))
+    runs = met.withColumn("last", last).filter("begins").select(left_key, right_key, F.col("at").alias("first"), (F.col("last") - F.col("at") + n).alias("n_words")).distinct()
     # The words come back from the left text once the runs are known, so no text takes part in the shuffles before.
     text = left.select(left_key, words(F.col(left_text)).alias("w"))
     phrase = F.array_join(F.slice("w", F.col("first") + 1, F.col("n_words").cast("int")), " ")

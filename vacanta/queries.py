@@ -31,7 +31,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screening.with_pay(postings(spark, sf_dir))
+    return screening.with_pay(postings(spark, sf_dir), repeated=True)
 
 
 def posting_keys(spark, sf_dir):

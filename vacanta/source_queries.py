@@ -9,6 +9,7 @@ from vacanta.functions import text as T
 from vacanta.operators import documents as D
 from vacanta.sources import boards, discover, pages, registry
 from vacanta.streaming import jobs
+from vacanta.tables import shared_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +20,16 @@ TITLES = ["data engineer", "c++ & c#*~", "nurse", "a", "b", "c", "d"]
 
 
 def registry_boards(spark, sf_dir):
-    """Boards of a bundled registry file and of a second file with some again, expanded, filtered and each once."""
+    """Boards of a bundled registry folder and of a second folder with some again, expanded, filtered and each once."""
     s = table(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey"))
     url = F.concat(F.element_at(F.array(*(F.lit(x) for x in ("https://boards-api.greenhouse.io/v1/boards/", "https://api.lever.co/v0/postings/", "https://x.wd1.myworkdayjobs.com/wday/cxs/x/", "https://www.jobs.nhs.uk/candidate/search?k={keyword}&b=", "https://other.example.com/"))), (F.col("k") % 5 + 1).cast("int")), F.col("k").cast("string"), F.when(F.col("k") % 3 == 0, "#top").otherwise(""))
     entry = F.struct(F.col("s_name").alias("company"), F.when(F.col("k") % 13 > 0, url).alias("url"), F.when(F.col("k") % 4 == 0, "tech").when(F.col("k") % 4 == 1, "Health").alias("sector"), F.when(F.col("k") % 2 == 0, "UK").alias("country"), (F.col("k") % 5 == 3).alias("keyword_template"))
     wrapped = F.when(F.col("k") % 2 == 0, F.to_json(F.struct(entry.alias("json")))).otherwise(F.to_json(entry))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", wrapped.alias("e")))), lambda x: x["e"]), ",")
-    first = s.agg(F.concat(F.lit('{"sources": ['), ordered, F.lit("]}")).alias("value")).withColumn("file", F.lit(0))
-    again = s.filter("k % 3 = 1").agg(F.concat(F.lit("["), ordered, F.lit("]")).alias("value")).withColumn("file", F.lit(1))
-    loaded = registry.load(first.unionByName(again))
-    return registry.unique(registry.expand(registry.wanted(loaded, ["TECH"], ["uk"]), TITLES))
+    first, again = shared_path(spark, "registry"), shared_path(spark, "registry")
+    broken = F.when(F.col("k") % 19 == 0, F.lit('{"company": "broken')).otherwise(wrapped)
+    s.orderBy("k").select(F.explode(F.array_distinct(F.array(broken, wrapped))).alias("value")).write.text(first)
+    s.filter("k % 3 = 1").orderBy("k").select(wrapped.alias("value")).write.text(again)
+    return registry.unique(registry.expand(registry.wanted(registry.load(registry.read(spark, first, again)), ["TECH"], ["uk"]), TITLES))
 
 
 def registry_load(spark, sf_dir):
@@ -41,8 +42,9 @@ def registry_coverage(spark, sf_dir):
 
 def registry_saved(spark, sf_dir):
     """The saved registry, loaded again: the same boards."""
-    saved = registry.saved(registry_boards(spark, sf_dir)).groupBy().agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).withColumn("file", F.lit(0))
-    return registry.load(saved).select("company", "url", "platform", "method")
+    path = shared_path(spark, "registry")
+    registry.write(registry_boards(spark, sf_dir), path)
+    return registry.load(registry.read(spark, path)).select("company", "url", "platform", "method")
 
 
 def tagged_postings(spark, sf_dir):
@@ -122,10 +124,10 @@ def throttled_companies(spark, sf_dir):
 
 
 def page_texts(spark, sf_dir):
-    """Length of the flat text of a page, and of its text by lines with escaped markup kept."""
+    """The flat text of a page and its text by lines with escaped markup kept, of one with references; and both of the page itself."""
     p = table(spark, sf_dir, "pages")
-    probe = F.concat(F.lit("&lt;p&gt;A &amp;amp; B&lt;/p&gt;<br>C&#233;&#x20AC; &hellip; &unknown; "), F.col("page_id").cast("string"))
-    return p.select("page_id", T.flat(probe).alias("flat"), T.lines_of(probe).alias("lines"), T.spaced_name(F.col("url")).alias("spaced"), T.bare_name(F.col("url")).alias("bare"))
+    probe = F.concat(F.lit("&lt;p&gt;A &amp;amp; B&lt;/p&gt;<br>C&#233;&#x20AC; &hellip; &unknown; nurse&apos;s &check; &ampx &NotEqualTilde; &#128; "), F.col("page_id").cast("string"))
+    return p.select("page_id", T.flat(probe).alias("flat"), T.lines_of(probe).alias("lines"), T.flat(F.col("html")).alias("page"), T.spaced_name(F.col("url")).alias("spaced"), T.bare_name(F.col("url")).alias("bare"))
 
 
 def written_dates(spark, sf_dir):
@@ -203,10 +205,37 @@ def stream_drops(spark, sf_dir):
     return jobs.volume_drops(days, "user_id").select("user_id", F.col("day").cast("string").alias("day"), "was")
 
 
+#: Days in a file of events as they arrive.
+SLICE = 2
+SLICES = 16
+DAY = "datediff(ts, DATE'2024-01-01')"
+
+
+def arrived(spark, sf_dir, by_slice: bool = False):
+    """Events as files of two days each, and their schema; by_slice: each at the beginning of its file's days."""
+    slice_ = F.expr(f"CAST(floor({DAY} / {SLICE}) AS INT)")
+    rows = table(spark, sf_dir, "events")
+    if by_slice:
+        rows = rows.withColumn("ts", F.expr(f"CAST(DATE'2024-01-01' + CAST(floor({DAY} / {SLICE}) AS INT) * {SLICE} AS TIMESTAMP_NTZ)"))
+    folder = shared_path(spark, "arriving")
+    jobs.arriving(rows, slice_, SLICES, folder)
+    return folder, rows.schema
+
+
 def stream_once(spark, sf_dir):
-    """How often a user is let through when sightings within the watermark are suppressed: the first file holds all."""
-    got = jobs.collected(jobs.once(jobs.events(spark, sf_dir, "events", "40 days"), "user_id"), "once")
-    return got.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """How often a key is let through when sightings within the watermark are suppressed, over sixteen files: some come again while they are remembered, some after."""
+    folder, schema = arrived(spark, sf_dir, by_slice=True)
+    seen = jobs.files(spark, folder, schema, "54 hours").withColumn("key", F.expr("user_id * 5 + event_id % 5"))
+    got = jobs.collected(jobs.once(seen.select("key", "ts"), "key"), "once")
+    return got.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_gone(spark, sf_dir):
+    """Each time that a key has not been seen for a week, by timers over sixteen files."""
+    folder, schema = arrived(spark, sf_dir)
+    seen = jobs.files(spark, folder, schema, "1 hour").withColumn("key", F.expr("user_id * 40 + event_id % 40"))
+    got = jobs.collected(jobs.gone(seen, "key", days=7), "gone")
+    return got.select("key", *(F.date_format(jobs.in_utc(F.col(c)), "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("last_seen", "gone_at")))
 
 
 def stream_live(spark, sf_dir):
@@ -219,10 +248,10 @@ def stream_live(spark, sf_dir):
 
 
 def stream_late_texts(spark, sf_dir):
-    """Purchases with the value of clicks of the same user within an hour after them, joined as streams."""
+    """Purchases with the clicks of the same user within an hour after them, joined as streams, or without once the watermark has passed that hour."""
     p = jobs.events(spark, sf_dir, "events", "1 hour").filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     d = jobs.events(spark, sf_dir, "events", "1 hour").filter("event_type = 'click'").select("user_id", "ts", F.col("event_id").cast("string").alias("text"))
-    return jobs.collected(jobs.late_texts(p, d, "user_id", within="1 hour"), "late").filter("late_text IS NOT NULL").select("event_id", "late_text")
+    return jobs.collected(jobs.late_texts(p, d, "user_id", within="1 hour"), "late").select("event_id", "late_text")
 
 
 SUPPLIED = """s AS (SELECT s_suppkey AS k, s_name AS company, CASE s_suppkey % 5 WHEN 0 THEN 'https://boards-api.greenhouse.io/v1/boards/' WHEN 1 THEN 'https://api.lever.co/v0/postings/' WHEN 2 THEN 'https://x.wd1.myworkdayjobs.com/wday/cxs/x/' WHEN 3 THEN 'https://www.jobs.nhs.uk/candidate/search?k={keyword}&b=' ELSE 'https://other.example.com/' END || CAST(s_suppkey AS VARCHAR) AS base,
@@ -258,7 +287,9 @@ UNION ALL SELECT url, 'phenom', host, 'https://' || host || '/gb/en/search-resul
 SELECT s_suppkey AS source_key, coalesce(live_jobs, 0) AS live_jobs, CASE WHEN live_jobs IS NULL THEN 'dead' WHEN s_suppkey % 20 = 0 THEN 'live' WHEN s_suppkey % 10 = 9 THEN 'unchecked' WHEN s_suppkey % 3 = 0 THEN 'ok' WHEN s_suppkey % 5 = 0 THEN 'unchecked' WHEN s_suppkey % 7 = s_suppkey % 3 THEN 'ok' ELSE 'mismatch' END AS verdict FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey""",
     "prune_guard": "WITH d AS (SELECT count(*) AS sources, count(*) FILTER (WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey % 6 > 0)) AS dead FROM supplier) SELECT sources, dead, dead / sources > 0.25 AND dead > 5 AS refuse, CASE WHEN dead / sources > 0.25 AND dead > 5 THEN sources ELSE sources - dead END AS \"left\" FROM d",
     "throttled_companies": "WITH n AS (SELECT l_suppkey, count(*) FILTER (WHERE l_linenumber = 7) AS was, count(*) FILTER (WHERE l_linenumber = 6 AND l_suppkey % 2 = 0) AS now FROM lineitem GROUP BY 1) SELECT DISTINCT 'C' || CAST(s_suppkey % 30 AS VARCHAR) AS company FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey WHERE s_suppkey % 17 = 0 OR (coalesce(was, 0) >= 3 AND coalesce(now, 0) = 0)",
-    "page_texts": "SELECT page_id, 'A &amp; B Cé€ … &unknown; ' || CAST(page_id AS VARCHAR) AS flat, '<p>A &amp; B</p>' || chr(10) || 'Cé€ … &unknown; ' || CAST(page_id AS VARCHAR) AS lines, trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')) AS spaced, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') AS bare FROM pages",
+    "page_texts": r"""SELECT page_id, 'A &amp; B Cé€ … &unknown; nurse''s ✓ &x ≂̸ € ' || CAST(page_id AS VARCHAR) AS flat, '<p>A &amp; B</p>' || chr(10) || 'Cé€ … &unknown; nurse''s ✓ &x ≂̸ € ' || CAST(page_id AS VARCHAR) AS lines,
+  trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', chr(160)), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '[\s\p{Z}\x0B\x{85}]+', ' ', 'g')) AS page,
+  trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')) AS spaced, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') AS bare FROM pages""",
     "written_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 7 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders",
     "document_keywords": f"SELECT doc_id, place, word, n FROM ({KEYS.format(key='doc_id', text='text', table='documents')}) WHERE place <= 40",
     "document_signals": f"""WITH {LINES}, f AS (SELECT doc_id, array_to_string(lines, chr(10)) AS full_text, list_filter(lines, lambda x: length(x) > 1 AND contains('•·▪‣◦-–*', x[1])) AS marked, lines FROM l),
@@ -277,9 +308,17 @@ SELECT conv_id, 'written,no_em_dash,unsourced_specifics' || CASE WHEN conv_id %
     "stream_last_status": "SELECT user_id, (array_agg(event_type ORDER BY ts DESC, event_id DESC))[1] AS status FROM events GROUP BY user_id",
     "stream_daily": "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2",
     "stream_drops": "WITH c AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2), days AS (SELECT DISTINCT d FROM c) SELECT a.user_id, CAST(days.d AS VARCHAR) AS day, a.n AS was FROM c a JOIN days ON days.d = CAST(a.d + INTERVAL 1 DAY AS DATE) LEFT JOIN c b ON b.user_id = a.user_id AND b.d = days.d WHERE a.n >= 3 AND b.n IS NULL",
-    "stream_once": "SELECT user_id, CAST(1 AS BIGINT) AS n FROM events GROUP BY user_id",
+    "stream_once": f"""WITH RECURSIVE k AS (SELECT DISTINCT user_id * 5 + event_id % 5 AS key, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // {SLICE} AS s FROM events),
+  e AS (SELECT key, min(s) AS s FROM k GROUP BY key UNION ALL SELECT e.key, min(k.s) AS s FROM e JOIN k ON k.key = e.key AND k.s >= e.s + 5 GROUP BY e.key, e.s)
+SELECT key, count(*) AS n FROM e GROUP BY key""",
+    "stream_gone": """WITH k AS (SELECT user_id * 40 + event_id % 40 AS key, ts FROM events), w AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events),
+  g AS (SELECT key, lag(ts) OVER (PARTITION BY key ORDER BY ts) AS last_seen, ts AS again FROM k UNION ALL SELECT key, max(ts), NULL FROM k GROUP BY key)
+SELECT key, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, strftime(last_seen + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS gone_at FROM g, w
+WHERE last_seen IS NOT NULL AND (again > last_seen + INTERVAL 7 DAY OR again IS NULL AND last_seen + INTERVAL 7 DAY <= wm)""",
     "stream_live": "WITH u AS (SELECT user_id, CAST(min(ts) AS DATE) AS f, CAST(max(ts) AS DATE) AS l FROM events GROUP BY 1) SELECT user_id, CAST(l AS VARCHAR) AS last_seen, f = (SELECT max(l) FROM u) AS is_new FROM u WHERE l >= (SELECT max(l) FROM u) - INTERVAL 14 DAY",
-    "stream_late_texts": "SELECT p.event_id, CAST(d.event_id AS VARCHAR) AS late_text FROM events p JOIN events d ON d.user_id = p.user_id AND d.ts >= p.ts AND d.ts <= p.ts + INTERVAL 1 HOUR WHERE p.event_type = 'purchase' AND d.event_type = 'click'",
+    "stream_late_texts": """WITH w AS (SELECT least(max(ts) FILTER (WHERE event_type = 'click'), max(ts) FILTER (WHERE event_type = 'purchase')) - INTERVAL 1 HOUR AS wm FROM events), d AS (SELECT * FROM events WHERE event_type = 'click')
+SELECT p.event_id, CAST(d.event_id AS VARCHAR) AS late_text FROM events p LEFT JOIN d ON d.user_id = p.user_id AND d.ts >= p.ts AND d.ts <= p.ts + INTERVAL 1 HOUR, w
+WHERE p.event_type = 'purchase' AND (d.event_id IS NOT NULL OR p.ts + INTERVAL 1 HOUR < wm)""",
 }
 
 

@@ -340,7 +340,7 @@ def custom(payload: Column, board: Column, url: Column) -> Column:
         read = F.struct(first_of(*(node(get(k)) for k in TITLE_KEYS)).alias("title"), here.alias("here"), node(first_of(get("description"), get("content"))).alias("text"))
         return let(read, lambda x: item(x["title"], F.when(link.startswith("http"), link), x["here"], [x["here"], x["title"]], posted=first_of(*(get(k) for k in DATE_KEYS)), description=x["text"], pays=[start_of(x["text"])]))
 
-    return F.transform(first_list(F.trim(payload)), one)
+    return F.transform(first_list(F.ltrim(payload, F.lit(" \t\r\n"))), one)
 
 
 Format = Callable[[Column, Column, Column], Column]

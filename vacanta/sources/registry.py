@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacanta.functions.role import source_key
@@ -26,18 +26,44 @@ def detect(url: Column) -> Column:
     return F.coalesce(*(F.when(url.rlike("(?i)" + p), F.lit(name)) for name, p in PLATFORMS), F.lit("custom"))
 
 
-def load(texts: DataFrame, value: str = "value") -> DataFrame:
-    """Boards of registry files, a row of texts for each file (with its number, file): ordinal (file, place) and the fields.
+def read(spark: SparkSession, *folders: str) -> DataFrame:
+    """The entries of registry folders of JSON lines, one each: file (number of the folder), place and entry.
 
-    A file is an object with sources, or a list; an entry may be wrapped in an object json. Entries without url go.
+    place is where a line stands: name of the part, where its block begins, and the count of lines read by then. Nothing is
+    gathered: a folder of any size is read in parts.
     """
+    rows = None
+    for i, folder in enumerate(folders):
+        place = F.struct(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        part = spark.read.text(folder).select(F.lit(i).alias("file"), place.alias("place"), F.col("value").alias("entry"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def entries_of(texts: DataFrame, value: str = "value") -> DataFrame:
+    """The entries of whole registry documents, each a row with its number, file: an object with sources, or a list."""
     entries = F.coalesce(F.from_json(value, "struct<sources: array<string>>")["sources"], F.from_json(value, "array<string>"))
-    rows = texts.select("file", F.posexplode(entries).alias("place", "entry"))
-    board = F.from_json(F.coalesce(F.get_json_object("entry", "$.json"), F.col("entry")), FIELDS)
-    out = rows.select("file", "place", board.alias("b")).select("file", "place", "b.*").filter(blank(F.col("url")) != "")
+    return texts.select("file", F.posexplode(entries).alias("place", "entry"))
+
+
+def parsed(entries: DataFrame) -> DataFrame:
+    """file, place, entry, the fields of each, and corrupt: the entry itself where it can't be read."""
+    board = F.from_json(F.coalesce(F.get_json_object("entry", "$.json"), F.col("entry")), FIELDS.replace(">", ", corrupt: string>"), {"columnNameOfCorruptRecord": "corrupt"})
+    return entries.select("file", "place", "entry", board.alias("b")).select("file", "place", "entry", "b.*")
+
+
+def load(entries: DataFrame) -> DataFrame:
+    """Boards of registry entries: file, place and the fields. An entry may be wrapped in an object json. Those without url go, as do those that can't be read (rejected() has them)."""
+    out = parsed(entries).filter((blank(F.col("url")) != "") & F.col("corrupt").isNull()).drop("entry", "corrupt")
     return out.withColumn("platform", first_of(F.col("platform"), detect(F.col("url")))).withColumn("method", F.when(F.col("platform") == "workday", "POST").otherwise(first_of(F.col("method"), F.lit("GET"))))
 
 
+def rejected(entries: DataFrame) -> DataFrame:
+    """file, place and entry of what can't be read, or has no url. Empty lines are nothing."""
+    bad = F.col("corrupt").isNotNull() | (blank(F.col("url")) == "")
+    return parsed(entries).filter(bad & (F.trim(blank(F.col("entry"))) != "")).select("file", "place", "entry")
+
+
 def wanted(boards: DataFrame, sectors: list[str] = (), countries: list[str] = ()) -> DataFrame:
     """Boards of these sectors and countries; those without a tag stay."""
     for column, values in (("sector", sectors), ("country", countries)):
@@ -82,7 +108,7 @@ def saved(boards: DataFrame) -> DataFrame:
 
 
 def write(boards: DataFrame, path: str) -> None:
-    """A folder of lines that spark.read.text takes back; files are in order of platform and company."""
+    """A folder of lines that read() takes back; files are in order of platform and company."""
     saved(boards).select("value").write.mode("overwrite").text(path)
 
 
