@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from vacanta import history_queries as H
 from vacanta.functions import pay
 from vacanta.functions.text import capped_location, fit_band
-from vacanta.operators import board, enrich, history, tracker, triage
+from vacanta.operators import board, documents, enrich, history, tracker, triage
 from vacanta.operators.screen import Rules
-from vacanta.tables import numbered, written
+from vacanta.tables import numbered, shared_path, written
 
 #: SQL that Spark and DuckDB share.
 ROLES = """SELECT c_custkey AS uid, 'Co ' || CAST(c_custkey % 50 AS STRING) AS company, 'Role ' || CAST(c_custkey % 30 AS STRING) AS title, 'https://x.example.com/' || CAST(c_custkey AS STRING) AS url,
@@ -216,6 +216,58 @@ def role_duplicates(spark, sf_dir):
     return left.select("uid").join(states.select("uid", "status"), "uid", "left").join(n, "uid", "left").select("uid", F.coalesce("status", F.lit("new")).alias("status"), F.coalesce("artifacts", F.lit(0)).alias("artifacts"))
 
 
+def facet_order(spark, sf_dir):
+    """The names of each facet in the order that they are shown in."""
+    return board.ordered_facets(rows_of(spark, sf_dir).filter("shown")).select("facet", "name", "n", "place")
+
+
+def board_first(spark, sf_dir):
+    """The first twenty-five roles of the list."""
+    return board.first_rows(board.listing(rows_of(spark, sf_dir)), 25).select("uid", "score")
+
+
+def board_caveats(spark, sf_dir):
+    """The flags of each role that are worth a word."""
+    kinds = ["not screened: no text", "salary in USD, floor in GBP, not compared", "sponsorship offered", "closes 1 May", "listing only"]
+    some = F.filter(F.transform(F.array(*map(F.lit, kinds)), lambda f, i: F.when(F.col("uid") % (i + 2) == 0, f)), lambda f: f.isNotNull())
+    return roles(spark, sf_dir).select("uid", F.array_join(board.caveats(some), "; ").alias("caveats"))
+
+
+def repaired_links(spark, sf_dir):
+    """Links of roles, those of one system in the form that opens."""
+    url = F.concat(F.lit("https://jobs.smartrecruiters.com/Co"), F.when(F.col("uid") % 2 == 0, "/postings/").otherwise("/"), F.col("uid").cast("string"))
+    made = roles(spark, sf_dir).withColumn("url", F.when(F.col("platform") == "smartrecruiters", url).otherwise(F.col("url")))
+    return enrich.repaired(made).select("uid", "url")
+
+
+def artifact_ids(spark, sf_dir):
+    """Artifacts with new ones after them."""
+    a = artifacts(spark, sf_dir).select("id", "uid", "kind")
+    new = a.filter("kind = 'cv'").select("uid").distinct()
+    return documents.append(a, numbered(new, [F.col("uid")], "id").select("id", "uid", F.lit("letter").alias("kind"))).select("id", "uid", "kind")
+
+
+def results_written(spark, sf_dir):
+    """Results and digest written as files and read back: postings by whether they are new, and lines by what they say of pay."""
+    kept = rows_of(spark, sf_dir).filter("shown").select("uid", "title", "url", "company", "location", "salary", "score", "flags", "is_new")
+    at = shared_path(spark, "results")
+    board.write_results(kept, f"{at}/json")
+    board.write_digest(kept, f"{at}/digest")
+    back = spark.read.json(f"{at}/json").groupBy(F.concat(F.lit("new "), F.col("is_new").cast("string")).alias("name")).agg(F.count("uid").alias("n"))
+    lines = spark.read.text(f"{at}/digest").filter(F.col("value").startswith("- **"))
+    said = lines.groupBy(F.when(F.col("value").contains("unconfirmed salary"), "no pay").otherwise("pay").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return back.unionByName(said)
+
+
+def imported_seen(spark, sf_dir):
+    """A seen-set with an older one imported, twice."""
+    r = roles(spark, sf_dir)
+    seen = r.filter("uid % 3 = 0").select("uid", "first_seen", "last_seen", "company")
+    legacy = r.filter("uid % 2 = 0").select("uid", F.date_sub("first_seen", 400).alias("first_seen"), F.date_sub("last_seen", 300).alias("last_seen"), F.lit("old").alias("company"))
+    once = history.import_seen(seen, legacy)
+    return history.import_seen(once, legacy).select("uid", F.col("first_seen").cast("string").alias("first_seen"), F.col("last_seen").cast("string").alias("last_seen"), "company")
+
+
 def seen_roles(spark, sf_dir):
     """The seen-set after a run, pruned, and which roles were new in it."""
     r = roles(spark, sf_dir)
@@ -256,6 +308,16 @@ ORACLES = {
     "board_export": f"WITH {B} SELECT v.uid, company, status, CAST(2 AS BIGINT) AS n_flags, coalesce((SELECT string_agg(path, ',' ORDER BY id) FROM a WHERE a.uid = v.uid), '') AS paths FROM v WHERE shown AND status NOT IN {SETTLED}",
     "board_results": f"""WITH {B}, l AS (SELECT *, CASE WHEN NOT salary_confirmed THEN 'unconfirmed salary' WHEN uid % 90 < 10 THEN '£' || format('{{:,}}', uid % 90 * 1000) ELSE '£' || CAST(uid % 90 AS VARCHAR) || 'k' END AS label FROM v WHERE shown)
 SELECT is_new, uid, label, '- **[' || title || '](' || url || ')** · ' || company || ' · ' || CASE WHEN location = '' THEN 'location not stated' ELSE location END || ' · ' || label || ' · score ' || CAST(uid % 101 AS VARCHAR) AS line FROM l""",
+    "facet_order": f"""WITH {B}, f AS (SELECT 'sector' AS facet, CASE WHEN sector = '' THEN 'other' ELSE sector END AS name, count(*) AS n FROM v WHERE shown GROUP BY 2 UNION ALL SELECT 'mode', coalesce(work_mode, 'unstated'), count(*) FROM v WHERE shown GROUP BY 2
+  UNION ALL SELECT 'country', coalesce(country, 'unknown'), count(*) FROM v WHERE shown GROUP BY 2 UNION ALL SELECT 'city', city, count(*) FROM v WHERE shown AND city <> '' GROUP BY 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY facet ORDER BY n DESC, name) AS INTEGER) AS place FROM f""",
+    "board_first": f"WITH {B} SELECT uid, score FROM v WHERE shown AND status NOT IN {SETTLED} ORDER BY score DESC, lower(company), uid LIMIT 25",
+    "board_caveats": "SELECT c_custkey AS uid, concat_ws('; ', CASE WHEN c_custkey % 2 = 0 THEN 'not screened: no text' END, CASE WHEN c_custkey % 3 = 0 THEN 'salary in USD, floor in GBP, not compared' END, CASE WHEN c_custkey % 4 = 0 THEN 'sponsorship offered' END, CASE WHEN c_custkey % 6 = 0 THEN 'listing only' END) AS caveats FROM customer",
+    "repaired_links": f"WITH r AS ({R}) SELECT uid, CASE WHEN platform = 'smartrecruiters' THEN 'https://jobs.smartrecruiters.com/Co/' || CAST(uid AS VARCHAR) ELSE url END AS url FROM r",
+    "artifact_ids": f"WITH a AS ({A}) SELECT id, uid, kind FROM a UNION ALL SELECT (SELECT max(id) FROM a) + row_number() OVER (ORDER BY uid), uid, 'letter' FROM (SELECT DISTINCT uid FROM a WHERE kind = 'cv')",
+    "results_written": f"WITH {B} SELECT 'new ' || CAST(is_new AS VARCHAR) AS name, count(*) AS n FROM v WHERE shown GROUP BY 1 UNION ALL SELECT CASE WHEN salary_confirmed THEN 'pay' ELSE 'no pay' END, count(*) FROM v WHERE shown GROUP BY 1",
+    "imported_seen": f"""WITH r AS ({R}) SELECT uid, CAST(first_seen - CASE WHEN uid % 3 = 0 THEN 0 ELSE 400 END AS VARCHAR) AS first_seen, CAST(last_seen - CASE WHEN uid % 3 = 0 THEN 0 ELSE 300 END AS VARCHAR) AS last_seen, CASE WHEN uid % 3 = 0 THEN company ELSE 'old' END AS company
+FROM r WHERE uid % 3 = 0 OR uid % 2 = 0""",
     "board_composition": f"WITH {B}, w AS (SELECT *, CASE WHEN sector = '' THEN 'untagged' ELSE sector END AS tag FROM v WHERE shown) SELECT 'boards' AS name, count(*) FILTER (WHERE platform NOT IN ('linkedin', 'nhs')) AS n FROM w UNION ALL SELECT 'leads', count(*) FILTER (WHERE platform IN ('linkedin', 'nhs')) FROM w UNION ALL (SELECT tag, count(*) FROM w GROUP BY tag ORDER BY 2 DESC, 1 LIMIT 4)",
     "scan_summary": f"WITH {B} SELECT (SELECT count(*) FROM supplier) AS sources, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 > 0) AS ok, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 > 0 AND s_suppkey % 5 = 0) AS empty, (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT DISTINCT 'S' || CAST(s_suppkey % 20 AS VARCHAR) AS c FROM supplier WHERE s_suppkey % 11 = 0)) AS throttled, count(*) AS postings, count(*) FILTER (WHERE shown) AS matching, count(*) FILTER (WHERE shown AND is_new) AS new FROM v",
     "new_in_run": f"WITH r AS ({R}) SELECT uid FROM r WHERE first_run = 3",

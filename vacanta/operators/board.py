@@ -100,6 +100,11 @@ def facets(rows: DataFrame) -> DataFrame:
     return sets.select(facet.alias("facet"), F.coalesce(*names).alias("name"), "n").filter("facet <> 'city' OR name <> ''")
 
 
+def ordered_facets(rows: DataFrame) -> DataFrame:
+    """facets() with place: the most frequent names of each facet first, then by name. As many rows as there are names meet for a facet."""
+    return facets(rows).withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "name")))
+
+
 def latest_artifacts(artifacts: DataFrame) -> DataFrame:
     """The last artifact of each role and kind by id."""
     return artifacts.groupBy("uid", "kind").agg(F.max_by(F.struct(*artifacts.columns), "id").alias("_last")).select("_last.*")
@@ -169,7 +174,3 @@ def orphans(states: DataFrame, artifacts: DataFrame, roles: DataFrame) -> DataFr
     """Keys of states and artifacts that have no role."""
     keys = states.select(F.lit("state").alias("kind"), "uid").unionByName(artifacts.select(F.lit("artifact").alias("kind"), "uid"))
     return keys.join(roles.select("uid"), "uid", "left_anti").groupBy("kind", "uid").agg(F.count(F.lit(1)).alias("n"))
-
-
-def place_in(rows: DataFrame, group: list[str], order: list[Column], name: str = "place") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

@@ -81,6 +81,11 @@ def screen_reasons(spark, sf_dir):
     return screening.reasons(s)
 
 
+def drop_report(spark, sf_dir):
+    """The five reasons that most postings are dropped for."""
+    return screening.top_reasons(screening.screen(screening.derive(paid(spark, sf_dir)), NOT_GLASGOW))
+
+
 def posting_scores(spark, sf_dir):
     """Score of each posting that the screen keeps."""
     p = paid(spark, sf_dir)
@@ -156,6 +161,11 @@ ORACLES = {
     WHEN r_left NOT IN ('', 'Remote') AND NOT regexp_matches(r_left_countries, 'UK|IE|DE') THEN r_left || ' outside target countries'
     WHEN NOT {GBP} THEN 'stated pay below floor' WHEN r_hard <> '' THEN {HIT} ELSE '' END AS reason FROM p)
 SELECT {K}, reason, CASE WHEN reason = '' THEN {FLAGS} ELSE r_rights END AS flags FROM g""",
+    "drop_report": f"""WITH {READ}, g AS (SELECT *, CASE WHEN r_gate <> '' THEN r_gate WHEN r_left IS NULL THEN 'location excluded (' || location || ')'
+    WHEN r_left IN ('', 'Remote') AND r_scope = 'US' THEN 'remote but restricted to US' WHEN r_left NOT IN ('', 'Remote') AND r_left_countries = '' THEN 'location not recognised (' || r_left || ')'
+    WHEN r_left NOT IN ('', 'Remote') AND NOT regexp_matches(r_left_countries, 'UK|IE|DE') THEN r_left || ' outside target countries'
+    WHEN NOT {GBP} THEN 'stated pay below floor' WHEN r_hard <> '' THEN {HIT} ELSE '' END AS reason FROM p)
+SELECT trim(regexp_replace(reason, '\\(.*?\\)', '', 'g')) AS reason, count(*) AS n FROM g WHERE reason <> '' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5""",
     "screen_reasons": f"""WITH {DEDUPED}, g AS (SELECT CASE WHEN r_gate <> '' THEN r_gate WHEN location IN ('', 'Remote') AND r_scope = 'US' THEN 'remote but restricted to US'
     WHEN location NOT IN ('', 'Remote') AND NOT known THEN 'location not recognised' WHEN location NOT IN ('', 'Remote') AND NOT allowed THEN location || ' outside target countries'
     WHEN NOT {GBP} THEN 'stated pay below floor' WHEN r_hard <> '' THEN {HIT} ELSE 'kept' END AS reason FROM dd)

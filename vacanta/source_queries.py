@@ -9,7 +9,7 @@ from vacanta.functions import text as T
 from vacanta.operators import documents as D
 from vacanta.sources import boards, discover, pages, registry
 from vacanta.streaming import jobs
-from vacanta.tables import shared_path, written
+from vacanta.tables import numbered, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,42 @@ def search_pages(spark, sf_dir):
     return pages.merge_searches(answered_pages(spark, sf_dir)).select("source_key", "key", F.get_json_object("item", "$.title").alias("title"), "total")
 
 
+def widget_pages(spark, sf_dir):
+    """Postings of widget boards, each once by its number or link; every fifth board answers nothing and keeps what its page embeds."""
+    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").withColumn("page", F.floor(F.col("l_orderkey") / 7))
+    number = F.when(F.col("l_partkey") % 3 == 0, (F.col("l_partkey") % 40).cast("string"))
+    item = F.struct(number.alias("jobSeqNo"), F.when(F.col("l_partkey") % 3 == 1, F.concat(F.lit("J"), (F.col("l_partkey") % 30).cast("string"))).alias("jobId"), F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("https://x/"), (F.col("l_partkey") % 20).cast("string"))).alias("applyUrl"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("title"))
+    listed = rows.groupBy("l_suppkey", "l_linestatus", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", item.alias("i")))), lambda x: x["i"]).alias("items"))
+    silent = F.col("l_suppkey") % 5 == 0
+    empty = F.to_json(F.struct(F.struct(F.struct(F.array().cast("array<string>").alias("jobs")).alias("data")).alias("refineSearch")))
+    answers = listed.select(F.col("l_suppkey").alias("source_key"), F.col("l_linestatus").alias("term"), "page", F.when(silent, empty).otherwise(F.to_json(F.struct(F.struct(F.struct(F.col("items").alias("jobs")).alias("data")).alias("refineSearch")))).alias("payload"))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_key"), F.lit("").alias("term"), F.lit(0).alias("page"), F.to_json(F.struct(F.struct(F.array(*(F.struct(F.concat(F.lit(f"E{i}-"), F.col("s_suppkey").cast("string")).alias("jobId"), F.lit(f"embedded {i}").alias("title")) for i in range(3))).alias("jobs")).alias("data"))).alias("payload"))
+    return pages.merge_widgets(answers, own).select("source_key", "key", F.get_json_object("item", "$.title").alias("title"))
+
+
+def source_report(spark, sf_dir):
+    """The report of source health, written as files by verdict and read back."""
+    path = shared_path(spark, "report")
+    discover.write_report(source_health(spark, sf_dir), path)
+    back = spark.read.text(path)
+    return back.select(F.get_json_object("value", "$.source_key").cast("long").alias("source_key"), F.get_json_object("value", "$.live_jobs").cast("long").alias("live_jobs"), "verdict")
+
+
+def board_worth(spark, sf_dir):
+    """The place of each board among those discovered: ok ones first, then those with more postings."""
+    checked = source_health(spark, sf_dir).withColumn("identity", F.col("verdict"))
+    return numbered(checked, [*discover.by_worth(), F.col("source_key")], "place").select("source_key", "place")
+
+
+def registry_meta(spark, sf_dir):
+    """Metadata of a registry with new values over stored ones, a row for each nation."""
+    k = F.col("n_nationkey")
+    stored = F.when(k % 5 > 0, F.create_map(F.lit("checked"), F.lit("2026-01-01"), F.concat(F.lit("k"), (k % 3).cast("string")), F.lit("old")))
+    new = F.create_map(F.lit("checked"), F.lit("2026-02-01"), F.lit("k1"), F.lit("new"))
+    m = registry.merged_meta(stored, new)
+    return table(spark, sf_dir, "nation").select("n_nationkey", *(F.try_element_at(m, F.lit(x)).alias(x) for x in ("checked", "k0", "k1", "k2")))
+
+
 def result_pages(spark, sf_dir):
     """Result pages up to the last: suppliers' orders as pages, their quantity as the number of results."""
     p = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("source_key"), F.col("l_orderkey").alias("page"), F.col("l_partkey"), F.least(F.lit(10), F.col("l_quantity").cast("int")).alias("n"))
@@ -150,7 +186,7 @@ def document_keywords(spark, sf_dir):
 def document_signals(spark, sf_dir):
     """What can be counted in each document."""
     got = D.signals(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return got.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("word_count", "bullets", "with_metric", "metric_pct", "year_tokens", "em_dashes")), "est_pages", "has_email", "has_linkedin", F.array_join("slop_terms", ",").alias("slop_terms"))
+    return got.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("word_count", "bullets", "with_metric", "metric_pct", "verb_led", "verb_pct", "year_tokens", "date_ranges", "em_dashes")), "est_pages", "has_email", "has_phone", "has_linkedin", F.array_join("missing_sections", ",").alias("missing_sections"), F.array_join("slop_terms", ",").alias("slop_terms"))
 
 
 def conversation_texts(spark, sf_dir):
@@ -172,9 +208,15 @@ def document_gates(spark, sf_dir):
     return got.select("conv_id", F.map_keys("gates").alias("names"), "gates", "unsourced", "summary").select("conv_id", F.array_join("names", ",").alias("names"), F.col("gates")["no_em_dash"].alias("no_em_dash"), F.try_element_at("gates", F.lit("no_overlap_with_cv")).alias("no_overlap"))
 
 
+#: SQL that Spark and DuckDB share: what a CV says beside its prose.
+CAREER = """coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN '\n  Senior Data Engineer, Acme\nData Engineer\nHead of Sales for X\n' WHEN 1 THEN '\nI was a nurse\nLead Nurse | Ward 5\nthe manager\nSoftware   Architect (remote)\nNurse at home\n' ELSE '\nEngineering lead us on' END
+  || CASE WHEN doc_id % 2 = 0 THEN '\nInterim Controller - 2020\tControllers\nAnalyst' ELSE '' END"""
+
+
 def cv_titles(spark, sf_dir):
-    """Job titles in each document read as a CV."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(D.titles(F.col("text")), ",").alias("titles"))
+    """Job titles in each document read as a CV, with a career of some lines at its end."""
+    cv = table(spark, sf_dir, "documents").select("doc_id", F.expr(CAREER).alias("text"))
+    return cv.select("doc_id", F.array_join(D.titles(F.col("text")), ",").alias("titles"))
 
 
 def unsourced_specifics(spark, sf_dir):
@@ -287,6 +329,12 @@ UNION ALL SELECT url, 'phenom', host, 'https://' || host || '/gb/en/search-resul
 SELECT s_suppkey AS source_key, coalesce(live_jobs, 0) AS live_jobs, CASE WHEN live_jobs IS NULL THEN 'dead' WHEN s_suppkey % 20 = 0 THEN 'live' WHEN s_suppkey % 10 = 9 THEN 'unchecked' WHEN s_suppkey % 3 = 0 THEN 'ok' WHEN s_suppkey % 5 = 0 THEN 'unchecked' WHEN s_suppkey % 7 = s_suppkey % 3 THEN 'ok' ELSE 'mismatch' END AS verdict FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey""",
     "prune_guard": "WITH d AS (SELECT count(*) AS sources, count(*) FILTER (WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey % 6 > 0)) AS dead FROM supplier) SELECT sources, dead, dead / sources > 0.25 AND dead > 5 AS refuse, CASE WHEN dead / sources > 0.25 AND dead > 5 THEN sources ELSE sources - dead END AS \"left\" FROM d",
     "throttled_companies": "WITH n AS (SELECT l_suppkey, count(*) FILTER (WHERE l_linenumber = 7) AS was, count(*) FILTER (WHERE l_linenumber = 6 AND l_suppkey % 2 = 0) AS now FROM lineitem GROUP BY 1) SELECT DISTINCT 'C' || CAST(s_suppkey % 30 AS VARCHAR) AS company FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey WHERE s_suppkey % 17 = 0 OR (coalesce(was, 0) >= 3 AND coalesce(now, 0) = 0)",
+    "widget_pages": """WITH i AS (SELECT l_suppkey AS source_key, l_linestatus AS term, l_orderkey // 7 AS page, l_orderkey, l_linenumber, l_partkey,
+    CASE WHEN l_partkey % 3 = 0 THEN CAST(l_partkey % 40 AS VARCHAR) WHEN l_partkey % 3 = 1 THEN 'J' || CAST(l_partkey % 30 AS VARCHAR) WHEN l_partkey % 2 = 0 THEN 'https://x/' || CAST(l_partkey % 20 AS VARCHAR) END AS key FROM lineitem WHERE l_linenumber <= 3 AND l_suppkey % 5 > 0),
+  o AS (SELECT *, row_number() OVER (PARTITION BY source_key, key ORDER BY term, page, l_orderkey, l_linenumber, l_partkey) AS rn FROM i WHERE key IS NOT NULL)
+SELECT source_key, key, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS title FROM o WHERE rn = 1
+UNION ALL SELECT s_suppkey, 'E' || CAST(e AS VARCHAR) || '-' || CAST(s_suppkey AS VARCHAR), 'embedded ' || CAST(e AS VARCHAR) FROM supplier, (VALUES (0), (1), (2)) AS x(e) WHERE s_suppkey NOT IN (SELECT source_key FROM o)""",
+    "registry_meta": "SELECT n_nationkey, '2026-02-01' AS checked, CASE WHEN n_nationkey % 5 > 0 AND n_nationkey % 3 = 0 THEN 'old' END AS k0, 'new' AS k1, CASE WHEN n_nationkey % 5 > 0 AND n_nationkey % 3 = 2 THEN 'old' END AS k2 FROM nation",
     "page_texts": r"""SELECT page_id, 'A &amp; B Cé€ … &unknown; nurse''s ✓ &x ≂̸ € ' || CAST(page_id AS VARCHAR) AS flat, '<p>A &amp; B</p>' || chr(10) || 'Cé€ … &unknown; nurse''s ✓ &x ≂̸ € ' || CAST(page_id AS VARCHAR) AS lines,
   trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', chr(160)), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '[\s\p{Z}\x0B\x{85}]+', ' ', 'g')) AS page,
   trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')) AS spaced, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') AS bare FROM pages""",
@@ -294,10 +342,13 @@ SELECT s_suppkey AS source_key, coalesce(live_jobs, 0) AS live_jobs, CASE WHEN l
     "document_keywords": f"SELECT doc_id, place, word, n FROM ({KEYS.format(key='doc_id', text='text', table='documents')}) WHERE place <= 40",
     "document_signals": f"""WITH {LINES}, f AS (SELECT doc_id, array_to_string(lines, chr(10)) AS full_text, list_filter(lines, lambda x: length(x) > 1 AND contains('•·▪‣◦-–*', x[1])) AS marked, lines FROM l),
   b AS (SELECT *, CASE WHEN len(marked) > 0 THEN marked ELSE list_filter(lines, lambda x: length(x) BETWEEN 40 AND 400 AND NOT (upper(x) = x AND lower(x) <> x)) END AS bullets FROM f),
-  m AS (SELECT *, len(list_filter(bullets, lambda x: regexp_matches(lower(CASE WHEN len(marked) > 0 THEN ltrim(x, '•·▪‣◦-–*') ELSE x END), '[0-9]|£|\\$|%|\\bpercent\\b|\\bx\\b|times'))) AS k FROM b)
+  m AS (SELECT *, len(list_filter(bullets, lambda x: regexp_matches(lower(CASE WHEN len(marked) > 0 THEN ltrim(x, '•·▪‣◦-–*') ELSE x END), '[0-9]|£|\\$|%|\\bpercent\\b|\\bx\\b|times'))) AS k,
+    len(list_filter(bullets, lambda x: list_contains([{", ".join(repr(w) for w in D.W.VERBS)}], regexp_replace(lower(regexp_extract(CASE WHEN len(marked) > 0 THEN ltrim(ltrim(x, '•·▪‣◦-–*')) ELSE x END, '\\S+')), '[^a-z]', '', 'g')))) AS v FROM b)
 SELECT doc_id, len(regexp_extract_all(full_text, '\\S+')) AS word_count, len(bullets) AS bullets, k AS with_metric, CAST(CASE WHEN len(bullets) = 0 THEN 0 ELSE round_even(100.0 * k / len(bullets), 0) END AS BIGINT) AS metric_pct,
   len(regexp_extract_all(full_text, '\\b(?:19|20)[0-9]{{2}}\\b')) AS year_tokens, length(full_text) - length(replace(full_text, '—', '')) AS em_dashes, round_even(len(regexp_extract_all(full_text, '\\S+')) / 500.0, 1) AS est_pages,
-  regexp_matches(full_text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\\.[a-zA-Z0-9_.-]+') AS has_email, contains(lower(full_text), 'linkedin.com') AS has_linkedin,
+  regexp_matches(full_text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\\.[a-zA-Z0-9_.-]+') AS has_email, contains(lower(full_text), 'linkedin.com') AS has_linkedin, v AS verb_led, CAST(CASE WHEN len(bullets) = 0 THEN 0 ELSE round_even(100.0 * v / len(bullets), 0) END AS BIGINT) AS verb_pct,
+  regexp_matches(full_text, '\\+?[0-9][0-9 ()-]{{7,}}[0-9]') AS has_phone, len(regexp_extract_all(lower(full_text), '(?:19|20)[0-9]{{2}}\\s*[-–—]\\s*(?:[a-z]{{3,9}}\\s)?(?:present|current|now|(?:19|20)[0-9]{{2}})')) AS date_ranges,
+  concat_ws(',', {", ".join(f"CASE WHEN NOT regexp_matches(full_text, '(?im)^[^a-zA-Z0-9_]{{0,3}}(?:{'|'.join(names)})\\b') AND NOT regexp_matches(lower(full_text), '{'|'.join(names)}') THEN '{k}' END" for k, names in D.W.SECTIONS.items())}) AS missing_sections,
   array_to_string(list_sort(list_filter([{", ".join(repr(w) for w in D.W.SLOP)}], lambda w: regexp_matches(lower(full_text), '\\b' || w || '\\b'))), ',') AS slop_terms FROM m""",
     "keyword_match": f"""WITH {TALKS}, k AS (SELECT * FROM ({KEYS.format(key='conv_id', text='source', table='c')}) WHERE place <= 40), j AS (SELECT c.conv_id, word, regexp_matches(lower(body), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(word) || '($|[^\\p{{L}}\\p{{N}}_])') AS hit FROM c LEFT JOIN k USING (conv_id))
 SELECT conv_id, count(word) AS considered, count(word) FILTER (WHERE hit) AS matched, CAST(CASE WHEN count(word) = 0 THEN 0 ELSE round_even(100.0 * (count(word) FILTER (WHERE hit)) / count(word), 0) END AS BIGINT) AS pct FROM j GROUP BY conv_id""",
@@ -320,10 +371,19 @@ WHERE last_seen IS NOT NULL AND (again > last_seen + INTERVAL 7 DAY OR again IS
 SELECT p.event_id, CAST(d.event_id AS VARCHAR) AS late_text FROM events p LEFT JOIN d ON d.user_id = p.user_id AND d.ts >= p.ts AND d.ts <= p.ts + INTERVAL 1 HOUR, w
 WHERE p.event_type = 'purchase' AND (d.event_id IS NOT NULL OR p.ts + INTERVAL 1 HOUR < wm)""",
 }
+# A title is looked for once on each line; what may follow it is matched too, as there is no look-ahead.
+TITLED = "(?i)^[ \\t]*" + D.W.TITLE.partition("[ \\t]*")[2].replace("ROLE_WORD", D.W.ROLE_WORD).replace("(?=", "(?:").replace("'", "''")
+ORACLES["cv_titles"] = f"""WITH d AS (SELECT doc_id, {CAREER} AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+  t AS (SELECT doc_id, i, regexp_replace(trim(lower(trim(regexp_replace(regexp_extract(line, '{TITLED}', 1), '\\s+', ' ', 'g'))), ' ,.-'), '{D.W.LEVEL_PREFIX.replace("(?=", "(").rstrip()}', '\\1') AS title FROM l),
+  c AS (SELECT doc_id, title, count(*) AS n, min(i) AS first FROM t WHERE length(title) BETWEEN 3 AND 45 AND NOT regexp_matches(title, '^(?:and|the|a) ') GROUP BY ALL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(title), first) AS place FROM c)
+SELECT doc_id, coalesce(string_agg(title, ',' ORDER BY place) FILTER (WHERE place <= 12), '') AS titles FROM documents LEFT JOIN o USING (doc_id) GROUP BY doc_id"""
+ORACLES["source_report"] = ORACLES["source_health"]
+ORACLES["board_worth"] = f"SELECT source_key, row_number() OVER (ORDER BY CASE WHEN verdict = 'ok' THEN 0 ELSE 1 END, live_jobs DESC, source_key) AS place FROM ({ORACLES['source_health']})"
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in ORACLES} | {"cv_titles": cv_titles, "unsourced_specifics": unsourced_specifics}
+    return {name: globals()[name] for name in ORACLES} | {"unsourced_specifics": unsourced_specifics}
 
 
 def oracle_sql() -> dict[str, str]:
