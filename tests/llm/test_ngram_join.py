@@ -2,7 +2,6 @@ import random
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 from tests.llm import edge
 
