@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacanta.functions import pay, place, role
+from vacanta.functions import pay, place
 from vacanta.functions.text import blank, detail_key, lines_of, posting_number, sections
 from vacanta.operators.history import DESCRIPTION_CHARS, SETTLED
 from vacanta.operators.screen import Rules, dealbreaker_hits, names
@@ -72,7 +72,3 @@ def repaired(roles: DataFrame) -> DataFrame:
     from vacanta.functions.text import repaired_url
 
     return roles.withColumn("url", repaired_url(F.col("url")))
-
-
-def rights_note(roles: DataFrame) -> DataFrame:
-    return roles.withColumn("rights", role.work_rights(F.col("description")))

@@ -13,6 +13,7 @@ from vacanta.operators import history
 from vacanta.operators import score as scoring
 from vacanta.operators import screen as screening
 from vacanta.plans import postings as P
+from vacanta.tables import written
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 RULES = screening.Rules(P.WANTED, P.EXCLUDED, ["UK", "IE"], ["DE"], True, [], 55000.0, "GBP", [("take home", r"take.home", True), ("weekends", r"\bweekends\b", False)])
@@ -34,6 +35,11 @@ def paid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.with_pay(postings(spark, sf_dir), repeated=True)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with their pay as a written table, for queries that read them more than once."""
+    return written(paid(spark, sf_dir), "postings")
+
+
 def posting_keys(spark, sf_dir):
     p = postings(spark, sf_dir)
     return p.select(*KEY, role.uid(F.col("url"), F.col("company"), F.col("title"), F.col("location")).alias("uid"), role.source_key(F.col("url")).alias("source_key"), role.directness(F.col("platform")).alias("directness"), role.safe_url(F.col("link")).alias("safe_url"))
@@ -61,7 +67,7 @@ def posting_roles(spark, sf_dir):
 
 
 def posting_dedupe(spark, sf_dir):
-    return screening.dedupe(paid(spark, sf_dir), KEY, RULES.allowed).select(*KEY, "company", "title", "platform", "location", F.array_join("flags", "; ").alias("flags"))
+    return screening.dedupe(stored(spark, sf_dir), KEY, RULES.allowed).select(*KEY, "company", "title", "platform", "location", F.array_join("flags", "; ").alias("flags"))
 
 
 def screen_gates(spark, sf_dir):
@@ -77,7 +83,7 @@ def today_of(rows: DataFrame):
 
 def screen_reasons(spark, sf_dir):
     """Counts by drop reason of the whole screen: dedupe, derived columns, gates."""
-    s = screening.screen(screening.derive(screening.dedupe(paid(spark, sf_dir), KEY, RULES.allowed)), RULES)
+    s = screening.screen(screening.derive(screening.dedupe(stored(spark, sf_dir), KEY, RULES.allowed)), RULES)
     return screening.reasons(s)
 
 
@@ -88,10 +94,10 @@ def drop_report(spark, sf_dir):
 
 def posting_scores(spark, sf_dir):
     """Score of each posting that the screen keeps."""
-    p = paid(spark, sf_dir)
+    p = stored(spark, sf_dir)
     kept = screening.screen(screening.derive(p), RULES).filter("drop_reason IS NULL").withColumn("scope", place.remote_scope(F.col("description")))
     band = screening.target_band(RULES.wanted, spark)
-    done = scoring.score(kept, role.title_variants(RULES.wanted), band, RULES.countries, RULES.relocate_to, RULES.floor, RULES.currency, today_of(postings(spark, sf_dir)))
+    done = scoring.score(kept, role.title_variants(RULES.wanted), band, RULES.countries, RULES.relocate_to, RULES.floor, RULES.currency, today_of(p))
     return done.select(*KEY, "score", F.size("reasons").cast("long").alias("n_reasons"), F.size("flags").cast("long").alias("n_flags"))
 
 

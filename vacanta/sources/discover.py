@@ -64,11 +64,6 @@ def boards_in(pages: DataFrame, url: str = "url", text: str = "html") -> DataFra
     return each.groupBy("url", "h.api_url").agg(F.min(F.struct("place", "h.platform", "h.token")).alias("first")).select("url", "first.platform", "first.token", "api_url")
 
 
-def distinct_boards(found: DataFrame) -> DataFrame:
-    """Each board once over all pages, with the number of pages that name it."""
-    return found.groupBy("platform", "token", "api_url").agg(F.count(F.lit(1)).alias("pages"))
-
-
 def unsupported(url: Column, text: Column) -> Column:
     """The name of a system that can be recognised but not read, else empty."""
     blob = F.concat(blank(url), F.lit("\n"), F.substring(blank(text), 1, NAMED_CHARS))

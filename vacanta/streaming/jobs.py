@@ -177,8 +177,3 @@ def gone(sightings: DataFrame, key: str, at: str = "ts", days: float = history.L
     rows = sightings.select(F.col(key).alias("_key"), at, F.unix_micros(at).alias("_us"))
     out = rows.groupBy("_key").transformWithState(Liveness(days), f"key {kind}, last_us long, gone_us long", "Append", "EventTime")
     return out.select(F.col("key").alias(key), F.timestamp_micros("last_us").alias("last_seen"), F.timestamp_micros("gone_us").alias("gone_at"))
-
-
-def live_now(sightings: DataFrame, key: str, days: int = history.LIVE_DAYS, at: str = "ts") -> DataFrame:
-    """A table of keys seen in the days before the newest sighting of all, kept up by batches of first_and_last()."""
-    return history.live(first_and_last(sightings, key, at).withColumns({c: in_utc(F.col(c)).cast("date") for c in ("first_seen", "last_seen")}), days)
