@@ -15,6 +15,10 @@ from vacanta.llm.queries import pattern, vocabulary
 from vacanta.llm.shared import restored, table, written
 
 
+#: Names of near copies that are broadcast, some 50 bytes each; of more than these, texts and names are shuffled.
+GOING = 1 << 21
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the cut go. The model is trained on the labelled rows of the stage's own input.
 
@@ -35,11 +39,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near copies the document with the least doc_id stays; if its row is repeated, with its copies.
 
     Documents without words or without doc_id are in no group and stay. Rows are told apart by doc_id and a 64-bit hash
-    of the text; only those that go are joined back, so the texts move only if these are too many to broadcast.
+    of the text; only those that go are joined back, so the texts move only if these are more than GOING.
     """
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     going = ngram_join.link(named, carried="text_hash").filter("doc_id <> component_id").select("doc_id", "text_hash").distinct()
     going = written(going.toDF("_going_id", "_going_hash"), "going")
+    if going.count() <= GOING:
+        going = F.broadcast(going)
     return docs.join(going, (F.col("doc_id") == F.col("_going_id")) & (F.xxhash64("text") == F.col("_going_hash")), "left_anti")
 
 
