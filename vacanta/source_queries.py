@@ -219,9 +219,21 @@ def cv_titles(spark, sf_dir):
     return cv.select("doc_id", F.array_join(D.titles(F.col("text")), ",").alias("titles"))
 
 
+#: SQL that Spark and DuckDB share: what an answer claims, and what the user has said of it.
+CLAIMED = "body || ' Led ' || conv_id || ' engineers, grew sales ' || (conv_id % 7 * 35) || '%, to 1,' || (200 + conv_id % 300) || '.5k in 2021, with 3 global launches,weekly and Weekly; 12.x, 40 k, 7é, (5,' || (conv_id % 9) || ')'"
+STATED = "source || CASE conv_id % 3 WHEN 0 THEN ' I lead ' || conv_id || ' people; weekly notes' WHEN 1 THEN ' sales of 70 % and 1201.5K, global' ELSE '' END"
+
+
 def unsourced_specifics(spark, sf_dir):
-    """Figures and scale words of the answers that the user's words do not hold."""
-    return conversation_texts(spark, sf_dir).select("conv_id", F.array_join(D.unsourced(F.col("body"), F.col("source")), ",").alias("unsourced"))
+    """Figures and scale words of the answers, with some claims at their end, that the user's words do not hold."""
+    return conversation_texts(spark, sf_dir).select("conv_id", F.array_join(D.unsourced(F.expr(CLAIMED), F.expr(STATED)), ",").alias("unsourced"))
+
+
+def unsourced_by_predecessor(spark, sf_dir):
+    """Figures and scale words of each document that the document with the id before does not hold; without one, all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("source"))
+    return docs.join(before, "doc_id", "left").select("doc_id", F.array_join(D.unsourced(F.col("text"), F.col("source")), ",").alias("unsourced"))
 
 
 def stream_first_last(spark, sf_dir):
@@ -378,12 +390,23 @@ ORACLES["cv_titles"] = f"""WITH d AS (SELECT doc_id, {CAREER} AS text FROM docum
   c AS (SELECT doc_id, title, count(*) AS n, min(i) AS first FROM t WHERE length(title) BETWEEN 3 AND 45 AND NOT regexp_matches(title, '^(?:and|the|a) ') GROUP BY ALL),
   o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(title), first) AS place FROM c)
 SELECT doc_id, coalesce(string_agg(title, ',' ORDER BY place) FILTER (WHERE place <= 12), '') AS titles FROM documents LEFT JOIN o USING (doc_id) GROUP BY doc_id"""
+# A figure without look-around: where it ends, the last sign and the next tell whether a border or none must stand there. Accented
+# letters are made plain ones first, as these borders know ASCII only.
+FIGURES = r"(?:^|[^\w.])(\d+(?:[,.]+\d+)*(?:[,.]*(?:\s(?:[kKmMbB]\b|%\B|\B)|[kKmMbB]\b|%\B)|[,.]+\B|\b))"
+CLAIMS = "list_transform(regexp_extract_all({0}, '" + FIGURES + "', 1), lambda t: trim(t)) || regexp_extract_all({0}, '(?i)" + D.W.SCALE_WORD + "')"
+BARE = "rtrim(replace(lower(t), ',', ''), '.')"
+UNSOURCED = f"""a AS (SELECT id, regexp_replace(body, '[\\x{{C0}}-\\x{{24F}}]', 'z', 'g') AS body, regexp_replace(source, '[\\x{{C0}}-\\x{{24F}}]', 'z', 'g') AS source FROM both_texts),
+  f AS (SELECT id, {CLAIMS.format("body")} AS said, {CLAIMS.format("source")} AS known FROM a),
+  k AS (SELECT id, said, list_transform(known, lambda t: {BARE}) || list_transform(known, lambda t: lower(t)) AS known FROM f),
+  u AS (SELECT id, list_filter(said, lambda t, i: list_position(said, t) = i AND NOT regexp_matches({BARE}, '^(?:19|20)\\d\\d$|^\\d$') AND NOT list_contains(known, {BARE}) AND NOT list_contains(known, lower(t))) AS lacking FROM k)"""
+ORACLES["unsourced_specifics"] = f"WITH {TALKS}, both_texts AS (SELECT conv_id AS id, {CLAIMED} AS body, {STATED} AS source FROM c), {UNSOURCED} SELECT id AS conv_id, array_to_string(lacking[1:12], ',') AS unsourced FROM u"
+ORACLES["unsourced_by_predecessor"] = f"WITH both_texts AS (SELECT d.doc_id AS id, coalesce(d.text, '') AS body, coalesce(p.text, '') AS source FROM documents d LEFT JOIN documents p ON p.doc_id + 1 = d.doc_id), {UNSOURCED} SELECT id AS doc_id, array_to_string(lacking[1:12], ',') AS unsourced FROM u"
 ORACLES["source_report"] = ORACLES["source_health"]
 ORACLES["board_worth"] = f"SELECT source_key, row_number() OVER (ORDER BY CASE WHEN verdict = 'ok' THEN 0 ELSE 1 END, live_jobs DESC, source_key) AS place FROM ({ORACLES['source_health']})"
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in ORACLES} | {"unsourced_specifics": unsourced_specifics}
+    return {name: globals()[name] for name in ORACLES}
 
 
 def oracle_sql() -> dict[str, str]:
