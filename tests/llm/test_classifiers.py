@@ -62,6 +62,16 @@ def test_toxicity(spark):
     assert {r["score"] for r in got if r["doc_id"] in (2, 3, 4)} == {0.0}
 
 
+def test_repeated_rows_score_alike(spark):
+    docs, labels, _ = corpus(spark)
+    odd = edge.documents(spark)
+    for scored in (quality.score(odd, quality.train(docs, labels)), toxicity.score(odd, toxicity.train(docs, labels))):
+        by_id = {}
+        for r in scored.collect():
+            by_id.setdefault(r["doc_id"], []).append(r["score"])
+        assert by_id[1] == by_id[5] and len(by_id[10]) == 2 and len(set(by_id[10])) == 1
+
+
 def test_no_labels(spark):
     docs, labels, _ = corpus(spark)
     for none in (labels.limit(0), labels.filter("quality = 1 and toxic = 0"), labels.selectExpr("doc_id", "cast(null as int) quality", "cast(null as int) toxic")):

@@ -78,6 +78,19 @@ def test_against_sql(spark, name):
     assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
 
 
+def test_repeated_and_null_pages(spark, tmp_path):
+    boiler = lambda i: f"<p>menu</p><p>own {i}</p><p></p><div> foot </div>"
+    pages = [(i, f"http://a.org/{i}", boiler(i)) for i in range(6)] + [(9, "http://a.org/9", "<p>once</p>")] * 3 + [(20, "http://a.org/n", None), (21, None, boiler(1)), (21, None, boiler(1)), (22, "http://b.org/", "<p>x</p>"), (23, "http://a.org/e", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(queries.oracle_sql()["op10_line_dedup"])
+    got = Counter(map(tuple, queries.queries()["op10_line_dedup"](spark, str(tmp_path)).select(*want.columns).collect()))
+    assert got == Counter(want.fetchall()) and sum(got.values()) == len(pages)
+    # menu and foot stand on 6 of 11 pages; once is one page in three rows, 3 of 11 and so below the ratio.
+    assert {r[want.columns.index("text")] for r in got if r[want.columns.index("page_id")] == 9} == {"once"}
+
+
 def test_edge_rows_are_scored(spark):
     long = edge.documents(spark).filter("doc_id in (7, 10)")
     scores = [tuple(r) for r in quality.score(long, None).collect()]

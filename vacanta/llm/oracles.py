@@ -35,17 +35,17 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 LINES = rf"""
-WITH a AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS host,
+WITH a AS (SELECT row_number() OVER () AS r, page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS host,
     regexp_replace(regexp_replace(replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), chr(10), ' '), '(?i)</?({BLOCKS})([ /][^>]*)?>', chr(10), 'g'), '<[^>]*>', ' ', 'g') AS x FROM pages),
-  e AS (SELECT page_id, host, replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM a),
-  p AS (SELECT page_id, host, trim(regexp_replace(regexp_replace(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\n|\n$', '', 'g')) AS text FROM e),
-  l AS (SELECT page_id, host, i, trim(s[i]) AS line, s[i] AS full_line FROM (SELECT page_id, host, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT page_id, host, string_split(text, chr(10)) AS s FROM p))),
+  e AS (SELECT r, page_id, host, replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM a),
+  p AS MATERIALIZED (SELECT r, page_id, host, trim(regexp_replace(regexp_replace(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\n|\n$', '', 'g')) AS text FROM e),
+  l AS (SELECT r, page_id, host, none, i, trim(s[i]) AS line, s[i] AS full_line FROM (SELECT r, page_id, host, none, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT r, page_id, host, text IS NULL AS none, string_split(coalesce(text, ''), chr(10)) AS s FROM p))),
   t AS (SELECT host, count(*) AS total FROM p WHERE host <> '' GROUP BY host),
-  c AS (SELECT host, line, count(DISTINCT page_id) AS n FROM l WHERE line <> '' AND host <> '' GROUP BY host, line),
+  c AS (SELECT host, line, count(DISTINCT r) AS n FROM l WHERE line <> '' AND host <> '' GROUP BY host, line),
   f AS (SELECT host, line, true AS bad FROM c JOIN t USING (host) WHERE total >= 5 AND n > 0.3 * total)
 SELECT page_id, host, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped,
-  coalesce(string_agg(CASE WHEN bad THEN NULL ELSE full_line END, chr(10) ORDER BY i), '') AS text
-FROM l LEFT JOIN f USING (host, line) GROUP BY page_id, host
+  CASE WHEN NOT none THEN coalesce(string_agg(CASE WHEN bad THEN NULL ELSE full_line END, chr(10) ORDER BY i), '') END AS text
+FROM l LEFT JOIN f USING (host, line) GROUP BY r, page_id, host, none
 """
 
 WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
