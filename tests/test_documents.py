@@ -80,3 +80,19 @@ def test_import_of_a_seen_set(spark):
     seen, legacy = (spark.createDataFrame(x, "uid string, first_seen string, last_seen string") for x in ([("a", "1", "2")], [("a", "0", "0"), ("b", "0", "1")]))
     once = history.import_seen(seen, legacy)
     assert {tuple(r) for r in history.import_seen(once, legacy).collect()} == {("a", "1", "2"), ("b", "0", "1")}
+
+
+def test_large_groups_dedupe_alike_and_left_out_texts_are_not_shuffled(spark, monkeypatch):
+    rows = [(i, "Acme" if i % 3 else " ACME", "Engineer" if i % 5 else None, ["lever", "nhs", "linkedin"][i % 3], ["London", " london", "Paris", "", "Leeds"][i % 5 - i % 2], "x" * (i % 7), i % 4 == 0) for i in range(200)]
+    p = spark.createDataFrame(rows, "id long, company string, title string, platform string, location string, description string, paid boolean").withColumn("salary", F.struct(F.col("paid").alias("confirmed")))
+    keep = ["id", "company", "title", "platform", "location"]
+
+    def result():
+        return screen.dedupe(p, ["id"], ["UK"], keep)
+
+    plan = result()._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "struct<description" not in plan and "description, description" not in plan
+    small = sorted(map(repr, result().collect()))
+    monkeypatch.setattr(screen, "HOT", 5)
+    assert sorted(map(repr, result().collect())) == small
+    assert len(small) == 41
