@@ -10,16 +10,23 @@ from vacanta.functions import pay, place, role
 STRETCH = "a stretch: this sits well above the titles you asked for"
 
 
+def title_reading(title: Column, wanted: list[str]) -> Column:
+    """struct<wanted, level>: what a score reads of a title."""
+    return F.struct(place.has(F.coalesce(title, F.lit("")), role.whole_words(wanted)).alias("wanted"), role.seniority(title).alias("level"))
+
+
 def score(postings: DataFrame, wanted: list[str], band: tuple[int, int], home: list[str], relocate: list[str], floor: float, currency: str, today: Column) -> DataFrame:
     """postings (with salary, countries, scope, remote, flags and posted_at) with score, reasons and flags.
 
     band is the least and greatest level of the wanted titles, 0 where none has one. Nulls count as not said.
+    title_read, where it is there, is title_reading() of the title.
     """
     found, scope = F.col("countries"), F.col("scope")
     at_home, moved = F.array_intersect(found, F.array(*map(F.lit, home))), F.array_intersect(found, F.array(*map(F.lit, relocate)).cast("array<string>"))
     scoped = F.arrays_overlap(scope, F.array(*map(F.lit, home)))
     remote = F.coalesce("remote", F.lit(False))
-    title = place.has(F.coalesce("title", F.lit("")), role.whole_words(wanted))
+    read = F.col("title_read") if "title_read" in postings.columns else title_reading(F.col("title"), wanted)
+    title = read["wanted"]
 
     def named(before: str, c: Column, after: str = "") -> Column:
         return F.concat(F.lit(before), F.array_join(F.array_sort(c), ", "), F.lit(after))
@@ -37,7 +44,7 @@ def score(postings: DataFrame, wanted: list[str], band: tuple[int, int], home: l
     like = ~F.coalesce(s["currency"] != currency, F.lit(False)) if currency else F.lit(True)
     ample = stated & like & F.coalesce(pay.annualised(s) >= floor * 1.15, F.lit(False)) if floor else F.lit(False)
     age = F.date_diff(today, F.col("posted_at"))
-    level = role.seniority(F.col("title"))
+    level = read["level"]
     above, below = level - band[1], band[0] - level
     judged = (level > 0) & F.lit(band[1] > 0)
     stretch = judged & (above >= 2)
