@@ -11,3 +11,8 @@ SF = "/root/testdata/sf0.001"
 def test_texts_are_read_once(spark, name):
     plan = queries.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in ("hire|role is", "sponsorship\\s+is", "snr|specialist") if x in plan]
+
+
+def test_landed_pages_are_not_read_back_in_batches(spark):
+    """A batch of a table of pages holds thousands of them at once; board_counts reads parts only and parses page by page."""
+    assert {f.rsplit("/", 1)[-1] for f in queries.queries()["board_counts"](spark, SF).inputFiles()} == {"part.parquet"}

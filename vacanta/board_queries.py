@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacanta.sources import boards
-from vacanta.tables import written
 
 #: SQL that Spark and DuckDB share.
 BASE = """SELECT p_partkey AS k, p_brand AS brand, p_name || ' ' || CAST(p_partkey AS STRING) AS title, CAST(p_partkey AS STRING) AS id,
@@ -133,9 +132,9 @@ def all_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def board_counts(spark, sf_dir):
     """Postings by platform over all landed payloads together; payloads that gave none count 0."""
-    raw = written(all_landed(spark, sf_dir), "landed")
-    n = boards.parse(raw).groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
-    return raw.select("source_key", "platform").distinct().join(n, "source_key", "left").groupBy("platform").agg(F.sum(F.coalesce("n", F.lit(0))).alias("postings"), F.count_if(F.col("n").isNull()).alias("unread"))
+    # A landed row goes from the shuffle that makes it straight to the parser: read back from a table, a batch of pages would stand in memory at once.
+    n = boards.parse(all_landed(spark, sf_dir), every=True).groupBy("platform", "source_key").agg(F.count("title").alias("n"))
+    return n.groupBy("platform").agg(F.sum("n").alias("postings"), F.count_if(F.col("n") == 0).alias("unread"))
 
 
 def expected(name: str) -> str:
