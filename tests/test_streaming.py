@@ -105,3 +105,24 @@ def test_gone_does_not_depend_on_batches(spark, tmp_path):
         got = jobs.collected(jobs.gone(jobs.files(spark, folder, frame.schema, "1 hour"), "key", days=7), "gone")
         shown = sorted((r["key"] or "", r["at"]) for r in got.select("key", jobs.in_utc(F.col("gone_at")).alias("at")).collect())
         assert shown == [("", day(9)), ("a", day(10)), ("a", day(19)), ("b", day(8))]
+
+
+def test_gone_runs_no_python_for_a_key(spark, tmp_path):
+    """Keys by the million: their state is kept inside Spark, a Python call for each would take hours."""
+    folder = str(tmp_path / "in")
+    frame = spark.createDataFrame([("a", datetime(2026, 1, 1))], "key string, ts timestamp_ntz")
+    jobs.arriving(frame, F.lit(0), 1, folder)
+    plan = jobs.gone(jobs.files(spark, folder, frame.schema, "1 hour"), "key")._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "InPySpark" not in plan
+
+
+def test_gone_after_more_than_the_days_only(spark, tmp_path):
+    """Seen again exactly so many days later, a key was never gone; a microsecond later, it was."""
+    first, week = datetime(2026, 1, 1, 0, 0, 0, 5), timedelta(days=7)
+    rows = [("same", first, 0), ("same", first + week, 1), ("late", first, 0), ("late", first + week + timedelta(microseconds=1), 1), ("end", first + timedelta(days=9), 1)]
+    for parts in (1, 2):
+        folder = str(tmp_path / f"in{parts}")
+        frame = spark.createDataFrame(rows, "key string, ts timestamp_ntz, part int")
+        jobs.arriving(frame, F.col("part") % parts, parts, folder)
+        got = jobs.collected(jobs.gone(jobs.files(spark, folder, frame.schema, "1 hour"), "key", days=7), "gone")
+        assert [(r["key"], r["seen"], r["at"]) for r in got.select("key", jobs.in_utc(F.col("last_seen")).alias("seen"), jobs.in_utc(F.col("gone_at")).alias("at")).collect()] == [("late", first, first + week)]

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from vacanta.operators import history
 from vacanta.sources import boards
 from vacanta.streaming.store import BUCKETS, Store
-from vacanta.tables import shared_path, ship, written
+from vacanta.tables import shared_path, written
 
 
 def run(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
@@ -61,8 +61,13 @@ def events(spark: SparkSession, folder: str, name: str, watermark: str = "1 day"
 
 def arriving(rows: DataFrame, order: Column, parts: int, folder: str) -> None:
     """A table as files of a folder that arrive one after another: part i has the rows with order i."""
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "parts")
+    # Dealt once; each part is then read from its own files, so the table is not read anew for every part.
+    dealt = rows.withColumn("_part", order.cast("int")).filter(F.col("_part").between(0, parts - 1))
+    dealt.write.partitionBy("_part").parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
     for i in range(parts):
-        rows.filter(order == i).coalesce(1).write.mode("append").parquet(folder)
+        dealt.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(folder)
 
 
 def files(spark: SparkSession, folder: str, schema, watermark: str, at: str = "ts") -> DataFrame:
@@ -133,47 +138,15 @@ def last_status(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     return changes.groupBy(key).agg(F.max_by("status", F.struct(*order)).alias("status"), F.max(order[0]).alias("updated_at"))
 
 
-class Liveness(StatefulProcessor):
-    """When each key was last seen, and a timer that says when it is gone."""
-
-    def __init__(self, days: float):
-        self.micros = int(days * 86_400_000_000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        last = self.last.get()[0] if self.last.exists() else None
-        # Times only, in order: sightings that come late between others change nothing.
-        for at in sorted(r["_us"] for r in rows):
-            if last is not None and at - last > self.micros:
-                yield Row(key=key[0], last_us=last, gone_us=last + self.micros)
-            last = at if last is None else max(last, at)
-        self.last.update((last,))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((last + self.micros) // 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        last = self.last.get()[0]
-        self.last.clear()
-        yield Row(key=key[0], last_us=last, gone_us=last + self.micros)
-
-    def close(self) -> None:
-        pass
-
-
 def gone(sightings: DataFrame, key: str, at: str = "ts", days: float = history.LIVE_DAYS) -> DataFrame:
     """key, last_seen and gone_at each time that a key has not been seen for so many days of event time.
 
-    A key's state is one number and one timer, kept in RocksDB and dropped when the timer fires; seen again, it is live again. The
-    result does not depend on how sightings fall into batches as long as none is later than the watermark.
+    Sightings no further apart than that are one session. A key's state is its open sessions, two numbers each, kept in
+    RocksDB and dropped when the watermark reaches their end; seen again, it is live again. The result does not depend on how
+    sightings fall into batches as long as none is later than the watermark.
     """
     spark = sightings.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    ship(spark)
-    kind = sightings.schema[key].dataType.simpleString()
-    rows = sightings.select(F.col(key).alias("_key"), at, F.unix_micros(at).alias("_us"))
-    out = rows.groupBy("_key").transformWithState(Liveness(days), f"key {kind}, last_us long, gone_us long", "Append", "EventTime")
-    return out.select(F.col("key").alias(key), F.timestamp_micros("last_us").alias("last_seen"), F.timestamp_micros("gone_us").alias("gone_at"))
+    gap = f"{int(days * 86_400_000_000)} microseconds"
+    open_ = sightings.select(key, at).groupBy(key, F.session_window(at, gap)).agg(F.max(at).alias("last_seen"))
+    return open_.select(key, "last_seen", F.col("session_window.end").alias("gone_at"))
