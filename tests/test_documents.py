@@ -96,3 +96,14 @@ def test_large_groups_dedupe_alike_and_left_out_texts_are_not_shuffled(spark, mo
     monkeypatch.setattr(screen, "HOT", 5)
     assert sorted(map(repr, result().collect())) == small
     assert len(small) == 41
+
+
+def test_sections_are_searched_as_strings(spark):
+    """Names of sections are no patterns of the plan; in any case, inside words and after marks they are found as before."""
+    texts = ["", None, "* EXPERIENCE\nx", "unskilled in Techno", "A Professional Summary, education", "Qualifications - Technologies: employment ABOUT", "me@here.org", "a@b"]
+    rows = documents.signals(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"))
+    every = ["summary", "experience", "education", "skills"]
+    want = [every, every, ["summary", "education", "skills"], every, ["experience", "skills"], [], every, every]
+    assert [r["missing_sections"] for r in rows.orderBy("i").collect()] == want
+    assert [r["i"] for r in rows.filter("has_email").collect()] == [6]
+    assert "qualifications|" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -7,6 +7,8 @@ Null texts count as empty.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +63,11 @@ def percent(part: Column, of: Column) -> Column:
     return F.when(of == 0, F.lit(0.0)).otherwise(F.bround(100 * part / of, 0)).cast("int")
 
 
+def any_of(low: Column, names: list[str]) -> Column:
+    """Whether a text holds one of the names: searched as strings, which takes a small part of what a pattern of all of them takes."""
+    return reduce(or_, (low.contains(n) for n in names if not any(m in n for m in names if m != n)))
+
+
 def signals(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with words, pages, bullets, metric and verb shares, sections, contact, years, dashes and filler terms."""
     lines = F.filter(F.transform(F.split(blank(F.col(text)), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -73,11 +80,12 @@ def signals(documents: DataFrame, text: str = "text") -> DataFrame:
     metric = F.size(F.filter("_bullets", lambda b: F.lower(b).rlike("(?U)" + W.METRIC)))
     led = F.size(F.filter("_bullets", lambda b: F.regexp_replace(F.lower(F.regexp_extract(b, r"\S+", 0)), "[^a-z]", "").isin(W.VERBS)))
     n, words = F.size("_bullets"), F.regexp_count("_full", F.lit(r"\S+"))
-    missing = F.array_compact(F.array(*(F.when(~F.col("_full").rlike(r"(?im)^\W{0,3}(" + "|".join(names) + r")\b") & ~F.col("_low").rlike("|".join(names)), F.lit(k)) for k, names in W.SECTIONS.items())))
+    # A heading of a section holds one of its names, so a text without any of them has no such heading either; names within names need no search.
+    missing = F.array_compact(F.array(*(F.when(~any_of(F.col("_low"), names), F.lit(k)) for k, names in W.SECTIONS.items())))
     slop = F.array_sort(F.array_compact(F.array(*(F.when(F.col("_low").contains(w) & F.col("_low").rlike(r"\b" + re.escape(w) + r"\b"), F.lit(w)) for w in W.SLOP))))
     made = {
         "word_count": words, "est_pages": F.bround(words / 500.0, 1), "bullets": n, "with_metric": metric, "metric_pct": percent(metric, n), "verb_led": led, "verb_pct": percent(led, n), "missing_sections": missing,
-        "has_email": F.col("_full").rlike("(?U)" + W.EMAIL), "has_phone": F.col("_full").rlike(W.PHONE), "has_linkedin": F.col("_low").contains("linkedin.com"), "year_tokens": F.regexp_count("_full", F.lit(W.YEAR)),
+        "has_email": F.col("_full").contains("@") & F.col("_full").rlike("(?U)" + W.EMAIL), "has_phone": F.col("_full").rlike(W.PHONE), "has_linkedin": F.col("_low").contains("linkedin.com"), "year_tokens": F.regexp_count("_full", F.lit(W.YEAR)),
         "date_ranges": F.regexp_count("_low", F.lit(W.YEARS)), "em_dashes": F.length("_full") - F.length(F.replace("_full", F.lit("—"), F.lit(""))), "slop_terms": slop,
     }
     return rows.withColumns(made).drop("_lines", "_full", "_low", "_bullets")
