@@ -103,3 +103,13 @@ def test_score(spark):
     assert by["Director"]["score"] == 0 and score.STRETCH in by["Director"]["flags"]
     assert by[None]["score"] == 8 + 8 + 10
     assert by[None]["reasons"] == ["in FR, relocation", "unconfirmed salary", "posted 17 days ago"]
+
+
+def test_shared_phrases_are_told_by_their_words(spark, monkeypatch):
+    """Hashes only choose where grams are made: with one hash for all, the result is the same."""
+    left = spark.createDataFrame([(1, "a b c d e f g h. x"), (2, "b c d e f g"), (3, "a b c d e"), (4, None), (5, "z y x w v u t")], "d int, text string")
+    right = spark.createDataFrame([(7, "q A b c d e f g q"), (8, "t u v w x y z")], "i int, body string")
+    want = [(1, 7, 7, "a b c d e f g"), (2, 7, 6, "b c d e f g")]
+    assert sorted(map(tuple, phrases.shared_phrases(left, "d", "text", right, "i", "body").collect())) == want
+    monkeypatch.setattr(phrases, "hashed", lambda w, i, n: F.lit(0).cast("long"))
+    assert sorted(map(tuple, phrases.shared_phrases(left, "d", "text", right, "i", "body").collect())) == want
