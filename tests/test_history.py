@@ -113,3 +113,13 @@ def test_shared_phrases_are_told_by_their_words(spark, monkeypatch):
     assert sorted(map(tuple, phrases.shared_phrases(left, "d", "text", right, "i", "body").collect())) == want
     monkeypatch.setattr(phrases, "hashed", lambda w, i, n: F.lit(0).cast("long"))
     assert sorted(map(tuple, phrases.shared_phrases(left, "d", "text", right, "i", "body").collect())) == want
+
+
+def test_pay_is_looked_for_from_the_first_figure_on(spark):
+    """Patterns of pay read no text before the first figure, its sign and a space; what they find is as in the whole text."""
+    texts = ["prose £ 45,000 x", "base a b  40k to\t50K.", "😀 😀 £300 - £400 per DAY", "no figure", "DaıLY £٣٠٠", "1 then $12.5 an hour", "DOE, 40k"]
+    rows = spark.createDataFrame(enumerate(texts), "i int, t string").select("i", pay.from_figure(F.col("t")).alias("tail"), pay.parse(F.col("t")).alias("p")).orderBy("i").collect()
+    assert [r["tail"] for r in rows] == ["£ 45,000 x", "  40k to\t50K.", " £300 - £400 per DAY", "", " £٣٠٠", "1 then $12.5 an hour", ", 40k"]
+    assert [(r["p"]["min"], r["p"]["max"], r["p"]["period"], r["p"]["confirmed"]) for r in rows] == [
+        (45000.0, 45000.0, "year", True), (40000.0, 50000.0, "year", True), (300.0, 400.0, "day", True), (None, None, "year", False), (None, None, "year", False), (12.5, 12.5, "hour", True), (None, None, "year", False),
+    ]
