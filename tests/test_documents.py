@@ -98,6 +98,24 @@ def test_large_groups_dedupe_alike_and_left_out_texts_are_not_shuffled(spark, mo
     assert len(small) == 41
 
 
+def test_dedupe_by_a_note_of_pay_and_any_buckets(spark, monkeypatch):
+    """paid in place of the salary, and groups counted in few buckets or many, large or not, give the same rows; places are trimmed, platforms may be null."""
+    rows = [(i, "Acme" if i % 3 else " ACME", "Engineer" if i % 5 else None, ["lever", None, "linkedin"][i % 3], ["London", " london", "Paris ", None, "Leeds"][i % 5 - i % 2], i % 7, i % 4 == 0) for i in range(200)]
+    p = spark.createDataFrame(rows, "id long, company string, title string, platform string, location string, n_chars int, paid boolean")
+    by_salary = p.withColumn("salary", F.struct(F.col("paid").alias("confirmed"))).drop("paid")
+
+    def result(rows):
+        return sorted(map(repr, screen.dedupe(rows, ["id"], ["UK"], ["id", "company", "platform", "location"]).collect()))
+
+    want = result(by_salary)
+    assert result(p) == want and len(want) == 41
+    assert any("London / Leeds / Paris" in x and "posted in 3 locations" in x for x in want)
+    for hot, buckets in ((5, 1), (5, 1 << 16), (1, 7), (1000, 1)):
+        monkeypatch.setattr(screen, "HOT", hot)
+        monkeypatch.setattr(screen, "BUCKETS", buckets)
+        assert result(p) == want
+
+
 def test_sections_are_searched_as_strings(spark):
     """Names of sections are no patterns of the plan; in any case, inside words and after marks they are found as before."""
     texts = ["", None, "* EXPERIENCE\nx", "unskilled in Techno", "A Professional Summary, education", "Qualifications - Technologies: employment ABOUT", "me@here.org", "a@b"]
