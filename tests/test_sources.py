@@ -3,9 +3,11 @@ import json
 import random
 from html.entities import html5
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from vacanta import source_queries
 from vacanta.functions import text
 from vacanta.sources import boards, discover, registry
 
@@ -25,6 +27,19 @@ def test_references_are_read_as_pages_mean_them(spark):
     assert tuple(nulls) == (None, "", "")
 
 
+def test_a_page_keeps_references_that_are_cut_off(spark, tmp_path):
+    """page_texts on pages whose references lack their semicolon gives the rows of its SQL; flat() reads them as HTML 5 does unless told."""
+    cut = [(1, "https://x/a", "<b>A &amp; B</b> les&&amp</p> &quot"), (2, "https://x/b", "&copy; 2026 &am &ampx &lt;p&gt; &notit &nbsp;&#65")]
+    pages = spark.createDataFrame(cut, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(source_queries.oracle_sql()["page_texts"])
+    got = source_queries.page_texts(spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    assert [r[0] for r in pages.orderBy("page_id").select(text.flat(F.col("html"))).collect()] == ['A & B les&& "', "© 2026 &am &x ¬it A"]
+
+
 def deep(levels: int, inner):
     for _ in range(levels):
         inner = {"x": 1, "below": inner}

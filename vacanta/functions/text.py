@@ -60,15 +60,21 @@ CODE = r"""CASE WHEN part RLIKE r'^#[0-9]' THEN try_cast(regexp_replace(regexp_e
   ELSE try_cast(conv(nullif(regexp_extract(part, r'^#[xX]0*([0-9a-fA-F]{1,8})(?![0-9a-fA-F])', 1), ''), 16, 10) AS BIGINT) END"""
 LOOK = "try_element_at(try_element_at(from_json(r'{}', 'map<string, map<string, string>>'), substring({}, 1, 1)), {})"
 NAME = "regexp_extract(part, r'^[A-Za-z][A-Za-z0-9]{0,30};', 0)"
-#: What stands after an ampersand, with the reference that it begins with resolved: a number, a name with its semicolon, or the longest old name.
-REFERENCE = f"""CASE WHEN part RLIKE r'^#(?:[0-9]|[xX][0-9a-fA-F])' THEN concat({letting("code", CODE, NUMBERED)}, regexp_replace(part, r'^#(?:[0-9]+|[xX][0-9a-fA-F]+);?', ''))
-  ELSE coalesce({letting("name", NAME, f"concat({LOOK.format(NAMED, 'name', 'name')}, substring(part, length(name) + 1))")},
-    {letting("name", f"regexp_extract(part, r'{LOOSE}', 0)", f"concat({LOOK.format(NAMED, 'name', 'name')}, substring(part, length(name) + 1))")}, concat('&', part)) END"""
 
 
-def unescaped(x: str) -> str:
+def reference(closed: bool) -> str:
+    """What stands after an ampersand, with the reference that it begins with resolved: a number, a name with its semicolon, or the longest old name.
+
+    closed: as in XML, what lacks its semicolon is no reference.
+    """
+    old = "NULL" if closed else letting("name", f"regexp_extract(part, r'{LOOSE}', 0)", f"concat({LOOK.format(NAMED, 'name', 'name')}, substring(part, length(name) + 1))")
+    return f"""CASE WHEN part RLIKE r'^#(?:[0-9]+|[xX][0-9a-fA-F]+){";" if closed else ""}' THEN concat({letting("code", CODE, NUMBERED)}, regexp_replace(part, r'^#(?:[0-9]+|[xX][0-9a-fA-F]+);?', ''))
+  ELSE coalesce({letting("name", NAME, f"concat({LOOK.format(NAMED, 'name', 'name')}, substring(part, length(name) + 1))")}, {old}, concat('&', part)) END"""
+
+
+def unescaped(x: str, closed: bool = False) -> str:
     """Of SQL that is short, as it is written three times."""
-    return f"CASE WHEN contains({x}, '&') THEN array_join(transform(split({x}, '&'), (part, i) -> CASE WHEN i = 0 THEN part ELSE {REFERENCE} END), '') ELSE {x} END"
+    return f"CASE WHEN contains({x}, '&') THEN array_join(transform(split({x}, '&'), (part, i) -> CASE WHEN i = 0 THEN part ELSE {reference(closed)} END), '') ELSE {x} END"
 
 
 def unescape(c: Column) -> Column:
@@ -80,13 +86,16 @@ def squeezed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
 
 
-def flattened(x: str) -> str:
-    return f"regexp_replace(regexp_replace(regexp_replace({unescaped(x)}, '<[^>]+>', ' '), r'(?U)\\s+', ' '), '^ | $', '')"
+def flattened(x: str, closed: bool = False) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({unescaped(x, closed)}, '<[^>]+>', ' '), r'(?U)\\s+', ' '), '^ | $', '')"
+
 
+def flat(c: Column, closed: bool = False) -> Column:
+    """Readable text of a string that may hold markup: references first, then tags, then white space. Null is empty.
 
-def flat(c: Column) -> Column:
-    """Readable text of a string that may hold markup: references first, then tags, then white space. Null is empty."""
-    return applied(blank(c), flattened("x"))
+    closed: references need their semicolon, as in XML; one that a page cuts off stays as it is written.
+    """
+    return applied(blank(c), flattened("x", closed))
 
 
 # Values that are objects or lists themselves are not text.
