@@ -1,9 +1,11 @@
 import json
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from vacanta import source_queries
 from vacanta.functions import pay, role
 from vacanta.streaming import jobs
 from vacanta.streaming.store import Store
@@ -126,3 +128,21 @@ def test_gone_after_more_than_the_days_only(spark, tmp_path):
         jobs.arriving(frame, F.col("part") % parts, parts, folder)
         got = jobs.collected(jobs.gone(jobs.files(spark, folder, frame.schema, "1 hour"), "key", days=7), "gone")
         assert [(r["key"], r["seen"], r["at"]) for r in got.select("key", jobs.in_utc(F.col("last_seen")).alias("seen"), jobs.in_utc(F.col("gone_at")).alias("at")).collect()] == [("late", first, first + week)]
+
+
+@pytest.mark.parametrize("ahead", [timedelta(0), timedelta(days=70), timedelta(days=-70)])
+def test_gone_up_to_the_end_of_the_input(spark, tmp_path, ahead):
+    """stream_gone equals its SQL: a key seen again in the last hour was gone, one that may still come was not, to the microsecond; whatever the days."""
+    end, tick = datetime(2024, 1, 30, 12, 0, 0, 700) + ahead, timedelta(microseconds=1)
+    hour, week = timedelta(hours=1), timedelta(days=7)
+    seen = {
+        1: [end], 2: [end - week - hour / 2, end - hour / 4], 3: [end - week - hour / 2], 4: [end - week - hour], 5: [end - week - hour + tick], 6: [end - week - hour / 2, end - hour / 2],
+        7: [end - 3 * week, end - week - hour / 2, end - hour / 2 + tick], 8: [end - 3 * week], 9: [end - 4 * week, end - 2 * week, end - 2 * week + tick, end - hour],
+    }
+    rows = [(0, at, key, "view", 0.0, "{}") for key, times in seen.items() for at in times]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(source_queries.oracle_sql()["stream_gone"]).fetchall()
+    assert sorted(map(tuple, source_queries.stream_gone(spark, str(tmp_path)).collect())) == sorted(want)
+    assert sorted(k // 40 for k, *_ in want) == [2, 4, 7, 7, 8, 9, 9]

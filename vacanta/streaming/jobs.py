@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -76,6 +76,11 @@ def files(spark: SparkSession, folder: str, schema, watermark: str, at: str = "t
     return rows.withColumn(at, as_utc(F.col(at))).withWatermark(at, watermark)
 
 
+def ended(spark: SparkSession, folder: str, schema, at: str = "ts") -> None:
+    """A last file of one row, all null but its time, which lies far ahead: the watermark passes whatever is still open, so it comes out."""
+    spark.range(1).select(*(F.lit("9999-01-01 00:00:00" if f.name == at else None).cast(f.dataType).alias(f.name) for f in schema)).coalesce(1).write.mode("append").parquet(folder)
+
+
 def landed(spark: SparkSession, folder: str, schema: str, files: int = 100) -> DataFrame:
     """Landed payloads as they arrive in a folder of JSON lines."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
@@ -150,3 +155,14 @@ def gone(sightings: DataFrame, key: str, at: str = "ts", days: float = history.L
     gap = f"{int(days * 86_400_000_000)} microseconds"
     open_ = sightings.select(key, at).groupBy(key, F.session_window(at, gap)).agg(F.max(at).alias("last_seen"))
     return open_.select(key, "last_seen", F.col("session_window.end").alias("gone_at"))
+
+
+def gone_by_the_end(sessions: DataFrame, key: str, delay: str) -> DataFrame:
+    """Of all sessions of an input that has ended (gone() over files, the last of them ended()): those whose key is gone.
+
+    That is, those that end no later than the newest sighting less the delay, and those that a later one of their key follows.
+    """
+    until = sessions.agg((F.max("last_seen") - F.expr(f"INTERVAL {delay}")).alias("until")).scalar()
+    # A key has one session of these or, if it was seen again within the delay, two.
+    late = sessions.filter(F.col("gone_at") > until).withColumn("_last", F.max("gone_at").over(Window.partitionBy(key)))
+    return sessions.filter(F.col("gone_at") <= until).unionByName(late.filter(F.col("gone_at") < F.col("_last")).drop("_last"))
