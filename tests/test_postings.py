@@ -45,3 +45,10 @@ def test_level(spark, title, level):
 def test_safe_url(spark):
     assert one(spark, role.safe_url(F.col("t")), t="java\tscript:alert(1)") == ""
     assert one(spark, role.safe_url(F.col("t")), t="https://a.example/b") == "https://a.example/b"
+
+
+def test_mode_of_whole_texts(spark):
+    """What stands far behind counts as what stands first."""
+    mode = lambda text: one(spark, role.work_mode(F.lit(""), F.lit(""), F.col("t"), F.lit(None).cast("boolean")), t=text)
+    for said, want in (("It is hybrid.", "hybrid"), ("An on-site role.", "office"), ("Fully remote.", "remote"), ("Nothing.", "unstated")):
+        assert mode(said) == want and mode("The team plans. " * 5000 + said) == want
