@@ -52,3 +52,10 @@ def test_mode_of_whole_texts(spark):
     mode = lambda text: one(spark, role.work_mode(F.lit(""), F.lit(""), F.col("t"), F.lit(None).cast("boolean")), t=text)
     for said, want in (("It is hybrid.", "hybrid"), ("An on-site role.", "office"), ("Fully remote.", "remote"), ("Nothing.", "unstated")):
         assert mode(said) == want and mode("The team plans. " * 5000 + said) == want
+
+
+def test_scope_of_whole_texts(spark):
+    """A limit far behind counts as one that stands first."""
+    scope = lambda text: one(spark, place.remote_scope(F.col("t")), t=text)
+    for said, want in (("You are located in the United States.", ["US"]), ("Remote work from the UK only.", ["UK"]), ("Nothing.", [])):
+        assert scope(said) == want and scope("The team plans. " * 5000 + said) == want
