@@ -125,3 +125,13 @@ def test_sections_are_searched_as_strings(spark):
     assert [r["missing_sections"] for r in rows.orderBy("i").collect()] == want
     assert [r["i"] for r in rows.filter("has_email").collect()] == [6]
     assert "qualifications|" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_limits_of_remote_roles_far_behind(spark):
+    """The screen drops a remote role that the end of a long description limits, and its score reads the same; rules may name the characters that count."""
+    body = "The team plans. " * 500 + "You are located in the United States."
+    rows = spark.createDataFrame([("Data Engineer", "Remote", body, True)], "title string, location string, description string, remote boolean").withColumn("salary", screen.pay.salary())
+    for chars, want in ((None, "remote but restricted to US"), (3000, None)):
+        r = screen.Rules(["data engineer"], countries=["UK"], scope_chars=chars)
+        assert screen.screen(screen.derive(rows), r).first()["drop_reason"] == want
+        assert screen.screen(screen.derive(screen.read(rows, r)), r).first()["drop_reason"] == want
