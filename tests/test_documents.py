@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from vacanta import queries
 from vacanta.functions import role, text
 from vacanta.operators import documents, history, screen
 from vacanta.sources import boards
@@ -135,3 +136,9 @@ def test_limits_of_remote_roles_far_behind(spark):
         r = screen.Rules(["data engineer"], countries=["UK"], scope_chars=chars)
         assert screen.screen(screen.derive(rows), r).first()["drop_reason"] == want
         assert screen.screen(screen.derive(screen.read(rows, r)), r).first()["drop_reason"] == want
+
+
+def test_screen_reasons_reads_descriptions_to_their_end(spark):
+    """What screen_reasons reads of a description, with its own rules."""
+    rows = spark.createDataFrame([("The team plans. " * 500 + said,) for said in ("You are located in the United States.", "A take home exercise.")], "description string")
+    assert sorted((r["read"]["scope"], r["read"]["hard"]) for r in screen.readings(rows, queries.RULES).collect()) == [([], True), (["US"], False)]
